@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .line_dedup import LINES_SQL
+from .mixing import MIX_SQL
+
 
 def _tokenizer(name: str) -> str:
     import public_tokenizers
@@ -15,17 +18,36 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mix(spark, sf_dir):
+    from .mixing import plan_mix
+
+    m = plan_mix(_table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, cap=2.0)
+    return m.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+
+
 def op3_token_planes(spark, sf_dir):
     from .token_store import store_tokens
 
     return store_tokens(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2)
 
 
+def op4_line_dedup(spark, sf_dir):
+    from .line_dedup import drop_lines
+
+    return drop_lines(_table(spark, sf_dir, "documents"), digest=True, at_least=10, shortest=1)
+
+
+def op5_decontamination(spark, sf_dir):
+    from .decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_counts(spark, sf_dir):
     from .token_counts import count_tokens
 
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_token_planes, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op3_token_planes, op4_line_dedup, op5_decontamination, op10_token_counts)}
+ORACLES: dict[str, str] = {"op1_source_mix": MIX_SQL, "op4_line_dedup": LINES_SQL}
