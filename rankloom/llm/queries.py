@@ -43,11 +43,30 @@ def op5_decontamination(spark, sf_dir):
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op6_transport_streams(spark, sf_dir):
+    from .transport_stream import read_media, to_media
+
+    return read_media(to_media(_table(spark, sf_dir, "documents")))
+
+
+def op8_quality(spark, sf_dir):
+    from .quality import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op9_secret_scan(spark, sf_dir):
+    from .secret_scan import scan
+
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark, sf_dir):
     from .token_counts import count_tokens
 
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op3_token_planes, op4_line_dedup, op5_decontamination, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op3_token_planes, op4_line_dedup, op5_decontamination, op6_transport_streams, op8_quality, op9_secret_scan, op10_token_counts)}
 ORACLES: dict[str, str] = {"op1_source_mix": MIX_SQL, "op4_line_dedup": LINES_SQL}
