@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that a table may have for it to be broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 
 
 def scratch_root(spark: SparkSession) -> str:

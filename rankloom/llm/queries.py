@@ -25,6 +25,12 @@ def op1_source_mix(spark, sf_dir):
     return m.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
 
 
+def op2_near_duplicates(spark, sf_dir):
+    from .near_dedup import classes
+
+    return classes(_table(spark, sf_dir, "documents"), least=0.8, k=5).drop("h")
+
+
 def op3_token_planes(spark, sf_dir):
     from .token_store import store_tokens
 
@@ -68,5 +74,5 @@ def op10_token_counts(spark, sf_dir):
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op3_token_planes, op4_line_dedup, op5_decontamination, op6_transport_streams, op8_quality, op9_secret_scan, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_near_duplicates, op3_token_planes, op4_line_dedup, op5_decontamination, op6_transport_streams, op8_quality, op9_secret_scan, op10_token_counts)}
 ORACLES: dict[str, str] = {"op1_source_mix": MIX_SQL, "op4_line_dedup": LINES_SQL}
