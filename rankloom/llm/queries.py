@@ -55,6 +55,13 @@ def op6_transport_streams(spark, sf_dir):
     return read_media(to_media(_table(spark, sf_dir, "documents")))
 
 
+def op7_toxicity(spark, sf_dir):
+    from .toxicity import score, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op8_quality(spark, sf_dir):
     from .quality import score, train
 
@@ -74,5 +81,5 @@ def op10_token_counts(spark, sf_dir):
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_near_duplicates, op3_token_planes, op4_line_dedup, op5_decontamination, op6_transport_streams, op8_quality, op9_secret_scan, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_near_duplicates, op3_token_planes, op4_line_dedup, op5_decontamination, op6_transport_streams, op7_toxicity, op8_quality, op9_secret_scan, op10_token_counts)}
 ORACLES: dict[str, str] = {"op1_source_mix": MIX_SQL, "op4_line_dedup": LINES_SQL}
