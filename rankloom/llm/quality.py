@@ -119,3 +119,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, mod: int = 5, h
     kept = docs.select(F.col(doc_id).alias("doc_id"), (remainder(F.col(doc_id), mod) == held_out).alias("held_out"), text_of(text).alias("text"))
     kind = kept.schema["doc_id"].dataType.simpleString()
     return kept.mapInArrow(rows, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more, with all their columns as they are. A null text scores as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def rows(batches):
+        for b in batches:
+            s = shared.value.scores([t or "" for t in b.column(at).to_pylist()])
+            yield b.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(rows, docs.schema)
