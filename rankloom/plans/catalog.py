@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ("group_stats",)
+MODULES = ("group_stats", "text_features")
 
 
 def _load() -> None:
