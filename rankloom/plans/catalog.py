@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ("group_stats", "text_features")
+MODULES = ("group_stats", "rankings", "text_features", "shaping", "rated")
 
 
 def _load() -> None:
