@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normal_sf(z: float) -> float:
@@ -65,7 +66,7 @@ def exact_u_p(u: float, n: int, m: int) -> float:
     return min(1.0, 2 * sum(c[top:]) / sum(c))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mann_whitney_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series) -> pd.Series:
     """Two-sided p: exact where the smaller group has at most 8 values and none is tied, else normal with continuity correction."""
     out = []
@@ -83,7 +84,7 @@ def mann_whitney_p(u: pd.Series, n1: pd.Series, n2: pd.Series, ties: pd.Series)
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def correlation_p(rho: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation by Student's t."""
     out = []
