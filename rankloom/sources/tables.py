@@ -59,7 +59,7 @@ def read_latex_stats(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
     is_stat = F.rlike("line", F.lit(STAT_ROW))
     head = F.when(~is_stat & F.rlike("line", F.lit(GROUP_ROW)), F.regexp_extract("line", GROUP_ROW, 1))
-    d = lines.withColumn("group", F.last(head, ignorenulls=True).over(W.partitionBy("file").orderBy("i"))).filter(is_stat)
+    d = lines.withColumn("group", F.last(head, ignorenulls=True).over(W.partitionBy("file").orderBy("i").rowsBetween(W.unboundedPreceding, 0))).filter(is_stat)
     num = lambda k: F.regexp_extract("line", STAT_ROW, k).try_cast("double")
     return d.select("group", F.regexp_extract("line", STAT_ROW, 1).alias("feature"), num(2).alias("mean"), num(3).alias("std"), num(4).alias("min"), num(5).alias("max"))
 
