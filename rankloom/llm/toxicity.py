@@ -40,7 +40,7 @@ def words_of(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 def buckets_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(each word's bucket, the buckets of all its character n-grams, where each word's n-grams begin)."""
     own = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.int64, len(words)) % BUCKETS
-    marked = [b"<" + w + b">" for w in words]
+    marked = [b"<" + (w or b"_") + b">" for w in words]  # splitting leaves an empty word at a blank end
     raw = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     size = np.fromiter(map(len, marked), np.int64, len(marked))
     ends = np.cumsum(size)
@@ -327,14 +327,14 @@ def score(docs: DataFrame, net: Net, threshold: float = 0.3, mod: int = 4, held_
     """Return (doc_id, held_out, score, predicted) for each row.
 
     Only the text is scored, all its windows. A null text is empty, and an empty one is one window of padding. Equal texts have
-    equal scores. A null id stays null. Other columns are ignored; an empty table gives none.
+    equal scores but for the last of their five decimals, as single-precision sums depend on what else a batch holds. A null id stays null. Other columns are ignored; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def rows(batches):
         own = Scorer(shared.value)
         for b in batches:
-            s = own.scores(b.column(2).to_pylist())
+            s = own.scores(b.column(2).to_pylist()).round(5)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kept = docs.select(F.col(doc_id).alias("doc_id"), (remainder(F.col(doc_id), mod) == held_out).alias("held_out"), text_of(text).alias("text"))
