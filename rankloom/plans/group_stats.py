@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking as R
 from ..operators import stats as S
-from .base import FEATURES, FEATURES_SQL, LONG_SQL, RANKS, TOOLS, features, flags_sql, query, ranks, tidy, two_groups_sql
+from .base import FEATURES, FEATURES_SQL, LONG_SQL, TOOLS, features, flags_sql, query, ranks, tidy, two_groups_sql
 
 K = 25
 
