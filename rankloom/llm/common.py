@@ -25,11 +25,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it again: lineage ends here, and a lost executor loses nothing."""
+def stored(df: DataFrame, name: str, compression: str = "uncompressed") -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it again: lineage ends here, and a lost executor loses nothing.
+
+    Most of what is stored is hashes, which don't shrink; without a codec an executor that reads and writes very many small
+    files holds no native buffers for each. Texts are worth ``compression``.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,7 +125,7 @@ def write_tokens(df: DataFrame, out: str, tokenizer: str, end_id: int | None = 2
         if docs:
             yield shut()
 
-    kept.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h").mapInArrow(rows, schema).write.parquet(out)
+    kept.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h").mapInArrow(rows, schema).write.option("compression", "uncompressed").parquet(out)
 
 
 def read_tokens(spark, path: str, ids: bool = False) -> DataFrame:
@@ -135,8 +136,6 @@ def read_tokens(spark, path: str, ids: bool = False) -> DataFrame:
     """
     shards = spark.read.parquet(path)
     totals = shards.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    from pyspark.sql import Window as W
-
     base = totals.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
     fields = [("doc_id", T.LongType()), ("part", T.IntegerType()), ("shard", T.IntegerType()), ("at", T.LongType()), ("n_tokens", T.LongType()), ("ids_crc32", T.LongType())]
     schema = T.StructType([T.StructField(*f) for f in fields] + [T.StructField("ids", T.ArrayType(T.LongType()))] * ids)
