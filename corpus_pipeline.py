@@ -57,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, "stage-" + name.split()[0].lower())
+            docs = stored(docs, "stage-" + name.split()[0].lower(), compression="zstd")
     return docs
