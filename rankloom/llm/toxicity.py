@@ -4,8 +4,8 @@ A word's input has a word part and a character part. Both hash into tables (the
 5-grams with marks at its ends) that hold how strongly a bucket speaks for a label (a smoothed log-odds ratio over its
 standard error) and a few learnt numbers. The network reads windows of 32 words, each 24 after the one before, so that
 neighbours share 8; attention pools a window's states into one logit. Labels belong to whole documents, so each epoch
-learns from the highest window of each document, and from another one of those without the label. The odds come from one
-half of the labelled texts, all that the network learns from the other, so that it meets odds as they are on new texts. A document's score is
+learns from the highest window of each document, and from another one of those without the label. While the network learns
+from one fold of the labelled texts, the odds come from the others, so that it meets them as they are on new texts. A document's score is
 its highest window's logit, calibrated.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import text_of
 from .labelled import logistic, remainder, sample, sigmoid
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE, FOLDS = 32, 24, 4
 BUCKETS, LEARNT, HIDDEN, ATTEND = 1 << 16, 4, 8, 8
 INPUT = 3 + 2 * LEARNT
 _EDGE = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
@@ -174,8 +174,8 @@ class Net:
 
 def _odds(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """Log-odds of a bucket's documents over its standard error, squashed to -2 .. 2. counts: (2, buckets), by label."""
-    c = counts + 0.5
-    log = np.log(c[1] / (totals[1] + 1.0)) - np.log(c[0] / (totals[0] + 1.0))
+    c = counts + (totals / max(1, totals.sum()))[:, None]  # shared out by label, so that what was never seen says nothing
+    log = np.log(c[1] / max(1, totals[1])) - np.log(c[0] / max(1, totals[0]))
     return (2 * np.tanh(log / np.sqrt(1 / c[0] + 1 / c[1]) / 4)).astype(np.float32)
 
 
@@ -194,69 +194,88 @@ def _odds_of(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return _odds(by_word, totals), _odds(by_gram, totals)
 
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = 10, batch: int = 256, rate: float = 0.006, seed: int = 7) -> Net:
+def fit(texts: list[str], y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.006, seed: int = 7) -> Net:
     """Train on labelled texts. Without both labels the net stays as it began, and its calibration is the base rate."""
     net = Net(seed)
     base = (float(y.sum()) + 0.5) / (len(y) + 1)
     if len(set(y.tolist())) < 2:
         net.calibration = np.array([0.0, 0.0, np.log(base / (1 - base))])
         return net
-    half = np.arange(len(y)) % 2 == 0
-    if len(set(y[half].tolist())) < 2 or len(set(y[~half].tolist())) < 2:
-        half = np.ones(len(y), bool)
-    net.odds_word, net.odds_gram = _odds_of([t for t, h in zip(texts, half, strict=True) if h], y[half])
-    if not half.all():
-        texts, y = [t for t, h in zip(texts, half, strict=True) if not h], y[~half]
-    words, at, ends = words_of(texts)
-    rows = [laid_out(a, len(words)) for a in np.split(at, ends[:-1])]
-    begin = np.cumsum([0, *map(len, rows)])
-    doc_of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    rows = np.concatenate(rows)
+    fold = np.arange(len(y)) % FOLDS
+    if any(len(set(y[fold != f].tolist())) < 2 for f in range(FOLDS)):
+        fold[:] = 0
+    parts = []
+    for f in np.unique(fold):
+        mine = np.flatnonzero(fold == f)
+        others = np.flatnonzero(fold != f) if fold.any() else mine
+        words, at, ends = words_of([texts[i] for i in mine])
+        rows = [laid_out(a, len(words)) for a in np.split(at, ends[:-1])]
+        begin = np.cumsum([0, *map(len, rows)])
+        doc_of = np.repeat(np.arange(len(rows)), np.diff(begin))
+        parts.append((_odds_of([texts[i] for i in others], y[others]), words, np.concatenate(rows), begin, doc_of, y[mine]))
     rng = np.random.default_rng(seed)
-    moment = {k: (np.zeros_like(p), np.zeros_like(p)) for k, p in net.p.items()}
-    step = 0
+    adam = _Adam(net, rate)
     for _ in range(epochs):
-        x, _ = net.inputs(words)
-        logits = _scored(net, net.projected(x), rows)
-        top = np.lexsort((logits, doc_of))[begin[1:] - 1]  # the highest window of each document
-        other = np.array([rng.integers(a, b) for a, b in zip(begin[:-1], begin[1:], strict=True)])[y == 0]
-        pick = np.concatenate([top, other])
-        target = np.concatenate([y, np.zeros(len(other), y.dtype)]).astype(np.float32)
-        order = rng.permutation(len(pick))
-        weight = np.where(target > 0, 0.5 / max(1, target.sum()), 0.5 / (target == 0).sum()).astype(np.float32) * len(pick)
-        for i in range(0, len(order), batch):
-            j = order[i : i + batch]
-            mine, inverse = np.unique(rows[pick[j]], return_inverse=True)
-            real = mine[mine < len(words)]
-            local = inverse.reshape(len(j), WINDOW)
-            if not len(real):
-                continue
-            x, (ow, gr, fi, co) = net.inputs([words[k] for k in real])
-            logit, saved = net.forward(net.projected(x), local, keep=True)
-            d = ((1 / (1 + np.exp(-logit)) - target[j]) * weight[j] / len(j)).astype(np.float32)
-            g = net.backward(d, saved, len(real))
-            dproj = g.pop("proj")
-            g["w"], g["b"] = x.T[None] @ dproj, dproj.sum(1, keepdims=True)
-            dx = (dproj @ net.p["w"].transpose(0, 2, 1)).sum(0)
-            g["word"], g["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
-            np.add.at(g["word"], ow, dx[:, 3 : 3 + LEARNT])
-            np.add.at(g["gram"], gr, np.repeat(dx[:, 3 + LEARNT :] / co[:, None], co, axis=0))
-            step += 1
-            for name, grad in g.items():  # Adam, with the learnt tables shrunk a little
-                m, v = moment[name]
-                m += 0.1 * (grad - m)
-                v += 0.01 * (grad * grad - v)
-                fall = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
-                net.p[name] -= fall.astype(np.float32)
-                if name in ("word", "gram"):
-                    net.p[name] *= 0.999
-    x, _ = net.inputs(words)
-    logits = _scored(net, net.projected(x), rows)
-    best = np.maximum.reduceat(logits, begin[:-1])
-    net.calibration = logistic(np.column_stack([best, np.log(np.diff(begin))]), y.astype(float))
+        for f in rng.permutation(len(parts)):
+            _epoch(net, adam, parts[f], rng, batch)
+    best, sizes, labels = [], [], []
+    for odds, words, rows, begin, _, own in parts:
+        net.odds_word, net.odds_gram = odds
+        best.append(np.maximum.reduceat(_scored(net, net.projected(net.inputs(words)[0]), rows), begin[:-1]))
+        sizes.append(np.diff(begin))
+        labels.append(own)
+    net.calibration = logistic(np.column_stack([np.concatenate(best), np.log(np.concatenate(sizes))]), np.concatenate(labels).astype(float))
+    net.odds_word, net.odds_gram = _odds_of(texts, y)
     return net
 
 
+class _Adam:
+    """Adam steps; the learnt tables shrink a little with each."""
+
+    def __init__(self, net: Net, rate: float):
+        self.net, self.rate, self.n = net, rate, 0
+        self.moments = {k: (np.zeros_like(p), np.zeros_like(p)) for k, p in net.p.items()}
+
+    def step(self, grads: dict[str, np.ndarray]) -> None:
+        self.n += 1
+        for name, grad in grads.items():
+            m, v = self.moments[name]
+            m += 0.1 * (grad - m)
+            v += 0.01 * (grad * grad - v)
+            fall = self.rate * (m / (1 - 0.9**self.n)) / (np.sqrt(v / (1 - 0.99**self.n)) + 1e-6)
+            self.net.p[name] -= fall.astype(np.float32)
+            if name in ("word", "gram"):
+                self.net.p[name] *= 0.999
+
+
+def _epoch(net: Net, adam: _Adam, part: tuple, rng, batch: int) -> None:
+    """Learn once from the windows of one fold, with the odds of the others."""
+    (net.odds_word, net.odds_gram), words, rows, begin, doc_of, y = part
+    logits = _scored(net, net.projected(net.inputs(words)[0]), rows)
+    top = np.lexsort((logits, doc_of))[begin[1:] - 1]  # the highest window of each document
+    other = np.array([rng.integers(a, b) for a, b in zip(begin[:-1], begin[1:], strict=True)], np.int64)[y == 0]
+    pick = np.concatenate([top, other])
+    target = np.concatenate([y, np.zeros(len(other), y.dtype)]).astype(np.float32)
+    weight = np.where(target > 0, 0.5 / max(1, target.sum()), 0.5 / max(1, (target == 0).sum())).astype(np.float32) * len(pick)
+    order = rng.permutation(len(pick))
+    for i in range(0, len(order), batch):
+        j = order[i : i + batch]
+        mine, inverse = np.unique(rows[pick[j]], return_inverse=True)
+        real = mine[mine < len(words)]
+        if not len(real):
+            continue
+        x, (own, grams, _, count) = net.inputs([words[k] for k in real])
+        logit, saved = net.forward(net.projected(x), inverse.reshape(len(j), WINDOW), keep=True)
+        g = net.backward(((1 / (1 + np.exp(-logit)) - target[j]) * weight[j] / len(j)).astype(np.float32), saved, len(real))
+        dproj = g.pop("proj")
+        g["w"], g["b"] = x.T[None] @ dproj, dproj.sum(1, keepdims=True)
+        dx = (dproj @ net.p["w"].transpose(0, 2, 1)).sum(0)
+        g["word"], g["gram"] = np.zeros_like(net.p["word"]), np.zeros_like(net.p["gram"])
+        np.add.at(g["word"], own, dx[:, 3 : 3 + LEARNT])
+        np.add.at(g["gram"], grams, np.repeat(dx[:, 3 + LEARNT :] / count[:, None], count, axis=0))
+        adam.step(g)
+
+
 def _scored(net: Net, proj: np.ndarray, rows: np.ndarray, batch: int = 1_024) -> np.ndarray:
     return np.concatenate([net.forward(proj, rows[i : i + batch]) for i in range(0, len(rows), batch)])
 
