@@ -144,6 +144,21 @@ def test_near_duplicates_against_brute_force(spark, odd, empty):
     assert N.classes(empty).count() == 0 and N.near_dedup(empty).count() == 0
 
 
+def test_copies_of_one_original_that_are_not_alike(spark):
+    rng = random.Random(12)
+    texts, groups = [], 12
+    for _ in range(groups):
+        base = words(rng, 300).split()
+        texts.append(" ".join(base))
+        for _ in range(24):
+            at, new = rng.randrange(250), words(rng, 50).split()
+            texts.append(" ".join(base[:at] + new + base[at + 50 :]))
+    h = N.word_hashes(texts)
+    assert all(N.alignment_similarity(h[g * 25], h[g * 25 + i], 0.8) >= 0.8 for g in range(groups) for i in range(25))
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    assert {r.doc_id: r.class_id for r in N.classes(d).collect()} == {i: i // 25 * 25 for i in range(len(texts))}
+
+
 def test_repeated_rows_leave_one(spark):
     d = spark.createDataFrame([(1, "one two three four five six", "en", "s", 1)] * 3 + [(None, "other words altogether in this one", "en", "s", 1)] * 2, SCHEMA)
     assert sorted(r.text[:5] for r in N.near_dedup(d).collect()) == ["one t", "other"]
