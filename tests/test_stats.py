@@ -64,6 +64,15 @@ def test_auc_and_f1(spark):
     assert abs(S.best_f1(d, ["g"], "s", "y").first().best_f1 - 0.857143) < 1e-6
 
 
+def test_exact_p_of_a_small_group_against_a_large_one():
+    import math
+
+    import pandas as pd
+
+    p = tails.mann_whitney_p.func(pd.Series([5.0 * 501, 0.0]), pd.Series([5.0, 8.0]), pd.Series([501.0, 20000.0]), pd.Series([0.0, 0.0]))
+    assert p[0] == pytest.approx(2 / math.comb(506, 5), rel=1e-12) and p[1] == pytest.approx(2 / math.comb(20008, 8), rel=1e-12)
+
+
 def test_exact_u_and_t_tails():
     assert abs(tails.exact_u_p(0, 3, 3) - 0.1) < 1e-12 and tails.exact_u_p(4, 3, 3) == pytest.approx(1.0)
     assert abs(tails.t_two_sided(2.228138852, 10) - 0.05) < 1e-8
