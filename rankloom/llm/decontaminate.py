@@ -2,8 +2,8 @@
 
 A fixed mask over a few token positions names those that must be equal; the others may differ. Hashes of the masked tokens
 at every position of the benchmark's items make a small table; those of the documents at every position are looked up in
-it. Around each hit the two texts are laid side by side, and the best stretch under +1 for an equal token and -2 for another
-one says how much of the item the document holds, substitutions included.
+it. Around each hit the two texts are laid side by side, and the stretch with the most equal tokens among those that are
+equal in a given share says how much of the item the document holds, substitutions included.
 """
 
 from __future__ import annotations
@@ -38,31 +38,29 @@ def benchmark_seeds(bench: DataFrame, item_id: str = "item_id", text: str = "tex
     return items, seeds
 
 
-def _stretch(doc: str, item: str, shift: Column) -> Column:
-    """The best stretch of ``item`` laid on ``doc`` at ``shift``: struct(score, matches, start, length), under +1 and -2."""
+def _stretch(doc: str, item: str, shift: Column, share: float) -> Column:
+    """The stretch of ``item`` laid on ``doc`` at ``shift`` with the most equal tokens among all that have ``share`` of them: struct(matches, less, at), less being minus its length.
+
+    A stretch begins where tokens are equal. A beginning is worth keeping only if fewer tokens are missing before it than
+    before all earlier ones; of those kept, the earliest that has the share up to a token gives the most equal ones.
+    """
     low, high = F.greatest(F.lit(0), -shift), F.least(F.size(item), F.size(doc) - shift) - 1
-    kind = "struct<run:int,hits:int,start:int,score:int,matches:int,at:int,length:int>"
+    kind = "struct<m:int,begins:array<struct<m:int,k:int>>,best:struct<matches:int,less:int,at:int>>"
     zero = F.lit(0)
-    start = F.struct(zero.alias("run"), zero.alias("hits"), zero.alias("start"), zero.alias("score"), zero.alias("matches"), zero.alias("at"), zero.alias("length")).cast(kind)
+    start = F.struct(zero.alias("m"), F.array().alias("begins"), F.struct(zero.alias("matches"), zero.alias("less"), zero.alias("at")).alias("best")).cast(kind)
 
     def step(s, k):
         same = F.get(F.col(item), k) == F.get(F.col(doc), k + shift)
-        new = s["run"] <= 0
-        run = F.when(new, F.lit(0)).otherwise(s["run"]) + F.when(same, F.lit(1)).otherwise(F.lit(-2))
-        hits = F.when(new, F.lit(0)).otherwise(s["hits"]) + F.when(same, F.lit(1)).otherwise(F.lit(0))
-        begin = F.when(new, k).otherwise(s["start"])
-        better = run > s["score"]
-        return F.struct(
-            run.alias("run"),
-            hits.alias("hits"),
-            begin.alias("start"),
-            F.when(better, run).otherwise(s["score"]).alias("score"),
-            F.when(better, hits).otherwise(s["matches"]).alias("matches"),
-            F.when(better, begin).otherwise(s["at"]).alias("at"),
-            F.when(better, k - begin + 1).otherwise(s["length"]).alias("length"),
-        ).cast(kind)
-
-    return F.aggregate(F.sequence(low, high), start, step)
+        last = F.get(s["begins"], F.size(s["begins"]) - 1)
+        new = (F.size(s["begins"]) == 0) | (s["m"] - k * share < last["m"] - last["k"] * share)
+        begins = F.when(new, F.concat(s["begins"], F.array(F.struct(s["m"].alias("m"), k.alias("k"))))).otherwise(s["begins"])
+        m = s["m"] + 1
+        enough = F.slice(F.filter(begins, lambda r: m - r["m"] >= (k + 1 - r["k"]) * share), 1, 1)
+        ends = F.transform(enough, lambda r: F.struct((m - r["m"]).alias("matches"), (r["k"] - k - 1).alias("less"), r["k"].alias("at")))
+        found = F.struct(m.alias("m"), begins.alias("begins"), F.array_max(F.concat(F.array(s["best"]), ends)).alias("best"))
+        return F.when(same, found.cast(kind)).otherwise(s)
+
+    return F.aggregate(F.sequence(low, high), start, step, lambda s: s["best"])
 
 
 def overlaps(docs: DataFrame, bench: DataFrame, at_least: int = 13, share: float = 0.8, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", block_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -93,10 +91,10 @@ def overlaps(docs: DataFrame, bench: DataFrame, at_least: int = 13, share: float
         found = hit if found is None else found.union(hit)
     few = items.count() <= block_rows // 10
     found = found.join(F.broadcast(items) if few else items, "item")
-    found = found.select("doc_id", "text_hash", "item_id", "shift", F.size("bh").alias("item_tokens"), _stretch("dh", "bh", F.col("shift")).alias("s"))
+    found = found.select("doc_id", "text_hash", "item_id", "shift", F.size("bh").alias("item_tokens"), _stretch("dh", "bh", F.col("shift"), share).alias("s"))
     need = F.least(F.lit(at_least), F.ceil(F.col("item_tokens") * F.lit(share)).cast("int"))
-    found = found.filter((F.col("s.matches") >= need) & (F.col("s.matches") >= F.col("s.length") * F.lit(share)))
-    best = F.max(F.struct("s.matches", "s.length", (F.col("shift") + F.col("s.at")).alias("doc_start"), "item_tokens")).alias("b")
+    found = found.filter((F.col("s.matches") >= need) & (F.col("s.matches") >= -F.col("s.less") * F.lit(share)))
+    best = F.max(F.struct("s.matches", (-F.col("s.less")).alias("length"), (F.col("shift") + F.col("s.at")).alias("doc_start"), "item_tokens")).alias("b")
     found = found.groupBy("doc_id", "text_hash", "item_id").agg(best)
     return found.select("doc_id", "text_hash", "item_id", F.col("b.matches").alias("matched"), F.col("b.length").alias("length"), F.col("b.item_tokens").alias("item_tokens"), F.col("b.doc_start").alias("doc_start"))
 

@@ -296,6 +296,37 @@ def test_decontamination(spark, odd, empty):
     assert D.contaminated(empty, bench).count() == 0 and D.decontaminate(odd, bench).count() == len(ODD)
 
 
+def test_overlaps_with_gaps_between_verbatim_runs(spark):
+    rng = random.Random(14)
+    item = words(rng, 118).split()
+    short = words(rng, 60).split()
+    other = lambda n: [f"z{rng.randrange(10**9)}" for _ in range(n)]
+    docs = [
+        other(20) + item[:30] + other(14) + item[44:74] + other(14) + item[88:118] + other(20),  # runs of 30, 14 others between
+        other(20) + short[:13] + other(6) + short[19:32] + other(6) + short[38:51] + other(20),  # runs of 13, 6 others between
+        other(20) + short[:12] + other(20),  # too few
+        other(9) + short[:9] + other(6) + short[15:19] + other(1) + short[20:24] + other(1) + short[25:29] + other(1) + short[30:34] + other(9),  # 4 of 5, and a run of 9 that scores more
+    ]
+    d = spark.createDataFrame([(i, " ".join(x), "en", "s", 0) for i, x in enumerate(docs)], SCHEMA)
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    got = {r.doc_id: (r.item_ids, r.matched, r.length) for r in D.contaminated(d, bench).collect()}
+    assert set(got) == {0, 1, 3} and all(m >= 13 and m >= 0.8 * n for _, m, n in got.values())
+
+
+def test_the_best_stretch_against_brute_force(spark):
+    rng = random.Random(15)
+    rows = []
+    for i in range(200):
+        n = rng.randint(1, 40)
+        rows.append((i, list(range(n)), [k if rng.random() < 0.75 else -1 for k in range(n)]))
+    d = spark.createDataFrame(rows, "i int, bh array<int>, dh array<int>")
+    got = {r.i: r.s.matches for r in d.select("i", D._stretch("dh", "bh", F.lit(0), 0.8).alias("s")).collect()}
+    for i, a, b in rows:
+        same = [x == y for x, y in zip(a, b, strict=True)]
+        every = (sum(same[p:q]) for p in range(len(a)) for q in range(p + 1, len(a) + 1) if sum(same[p:q]) >= (q - p) * 0.8)
+        assert got[i] == max(every, default=0)
+
+
 def test_decontamination_plan_is_native(spark):
     d = spark.createDataFrame([(1, "x", "en", "s", 1)], SCHEMA)
     bench = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p q r")], "item_id long, text string")
