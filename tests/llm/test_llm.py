@@ -159,6 +159,20 @@ def test_copies_of_one_original_that_are_not_alike(spark):
     assert {r.doc_id: r.class_id for r in N.classes(d).collect()} == {i: i // 25 * 25 for i in range(len(texts))}
 
 
+def test_pairs_near_the_threshold_meet(spark):
+    rng = random.Random(13)
+    texts = []
+    for i in range(300):
+        w = words(rng, 200 if i % 2 else rng.randint(5, 12)).split()
+        texts.append(" ".join(w))
+        for at in rng.sample(range(len(w)), 36 if i % 2 else 1):
+            w[at] = words(rng, 1) + "xq"
+        texts.append(" ".join(w))
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(4)
+    got = {r.doc_id: r.class_id for r in N.classes(d).collect()}
+    assert sum(got[i + 1] == i for i in range(0, 600, 4)) >= 148 and sum(got[i + 3] == i + 2 for i in range(0, 600, 4)) >= 147
+
+
 def test_repeated_rows_leave_one(spark):
     d = spark.createDataFrame([(1, "one two three four five six", "en", "s", 1)] * 3 + [(None, "other words altogether in this one", "en", "s", 1)] * 2, SCHEMA)
     assert sorted(r.text[:5] for r in N.near_dedup(d).collect()) == ["one t", "other"]
