@@ -237,6 +237,19 @@ def test_a_full_cache_starts_anew():
         assert next(own.batch([t.encode()])).tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_a_full_cache_starts_anew_with_overlong_pieces():
+    from tokenizers import Tokenizer
+
+    from rankloom.llm.pretokens import Encoder
+
+    path, rng = tokenizer(), random.Random(3)
+    lib, own = Tokenizer.from_file(path), Encoder(path, 50)
+    texts = [words(rng, 30) + " https://" + "ab1/" * 20 + str(i) + ", the end." for i in range(20)]
+    for t in texts:
+        ids = lib.encode(t, add_special_tokens=False).ids
+        assert next(own.batch([t.encode()])).tolist() == ids and list(own.counts([t.encode()])) == [len(ids)]
+
+
 def lines_by_hand(rows, at_least, shortest=1):
     key = lambda s: s.strip(" \t\n\x0b\x0c\r").translate(str.maketrans(L._UPPER, L._LOWER))
     docs, seen, out = defaultdict(set), set(), {}
