@@ -1,21 +1,29 @@
-"""Shared helpers: scratch tables in the folder that the whole cluster sees, and copies counted by key."""
+"""Shared helpers: scratch tables in the folder that the whole cluster sees, and broadcasts behind a check of their size.
+
+Python operators get Arrow batches that Spark bounds by bytes (64 MB where ``spark.sql.execution.arrow.maxBytesPerBatch`` isn't
+set) and by rows, so that many long texts never sit in one batch.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a table may have for it to be broadcast; larger ones are joined by shuffle.
+#: Rows and bytes that a table may have for it to be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64_000_000
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The folder named in ``spark.checkpoint.dir``, which all executors must share; on a single machine one of our own if that is unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        import tempfile
+
         root = tempfile.mkdtemp(prefix="rankloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -34,7 +42,19 @@ def stored(df: DataFrame, name: str, compression: str = "uncompressed") -> DataF
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables that :func:`stored` made, once all that was read from them is stored in turn."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -43,6 +63,14 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= most else df
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that begins with ``name`` and that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column: str = "text") -> Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -102,9 +102,34 @@ def test_banded_distance_is_the_edit_distance():
 
 def test_sketch_follows_order():
     h = N.word_hashes(["one two three four five six seven eight nine ten", "six seven eight nine ten one two three four five", "One, two three FOUR five six seven eight nine ten!"])
-    a, b, c = (N.order_sketch(w, 5, 16, 2) for w in h)
+    a, b, c = N.order_sketch(h, 5, 16, 2)
     assert (a == c).all() and not (a == b).all()
-    assert len(N.order_sketch(np.zeros(0, np.uint64), 5, 16, 2)) == 16
+    assert (N.order_sketch(h[1:], 5, 16, 2) == [b, c]).all()  # whatever stands beside a text
+    assert N.order_sketch([np.zeros(0, np.uint64)], 5, 16, 2).shape == (1, 16) and N.order_sketch([], 5, 16, 2).shape == (0, 16)
+
+
+def test_sketch_against_its_definition():
+    """The smallest labelled k-mers, found by sorting, in text order."""
+    rng = random.Random(21)
+    lists = [np.array([rng.randint(1, 9) for _ in range(rng.randint(1, 30))], np.uint64) for _ in range(40)]
+    plain, labelled, place, starts = N.kmers(lists, 2)
+    ends = [*starts[1:].tolist(), len(plain)]
+    seeds = N._mix(np.arange(1, 13, dtype=np.uint64) * N._STEP)
+    got = N.order_sketch(lists, 2, 6, 3)
+    for t, (a, e) in enumerate(zip(starts.tolist(), ends, strict=True)):
+        assert place[a:e].tolist() == list(range(e - a)) and e - a == max(1, len(lists[t]) - 1)
+        for x in range(a, e):
+            for y in range(a, x):
+                same = lists[t][x - a : x - a + 2].tolist() == lists[t][y - a : y - a + 2].tolist()
+                assert (plain[x] == plain[y]) == same and labelled[x] != labelled[y]
+        for band in range(6):
+            with np.errstate(over="ignore"):
+                h = (labelled[a:e] ^ seeds[2 * band]) * (seeds[2 * band + 1] | np.uint64(1))
+            want = np.uint64(0)
+            for i, at in enumerate(sorted(np.argsort(h)[:3].tolist()), 3 - min(3, e - a)):
+                with np.errstate(over="ignore"):
+                    want = N._mix(np.array([want * N._STEP + plain[a + at] + np.uint64(i)], np.uint64))[0]
+            assert got[t, band] == want
 
 
 def test_near_duplicates_against_brute_force(spark, odd, empty):
@@ -159,18 +184,71 @@ def test_copies_of_one_original_that_are_not_alike(spark):
     assert {r.doc_id: r.class_id for r in N.classes(d).collect()} == {i: i // 25 * 25 for i in range(len(texts))}
 
 
-def test_pairs_near_the_threshold_meet(spark):
-    rng = random.Random(13)
-    texts = []
-    for i in range(300):
-        w = words(rng, 200 if i % 2 else rng.randint(5, 12)).split()
-        texts.append(" ".join(w))
-        for at in rng.sample(range(len(w)), 36 if i % 2 else 1):
-            w[at] = words(rng, 1) + "xq"
-        texts.append(" ".join(w))
+@pytest.mark.parametrize("low,high,n,least", [(0.80, 0.85, 200, 0.9), (0.85, 0.90, 200, 0.97), (0.90, 1.0, 200, 0.99), (0.80, 0.85, 600, 0.9), (0.80, 0.90, 30, 0.95), (0.80, 0.90, 8, 0.97), (0.80, 0.90, 60, 0.85)])
+def test_recall_by_edit_similarity(low, high, n, least):
+    """Of planted pairs with words changed all over the text, the share that some band brings together."""
+    rng = np.random.default_rng(14)
+    a, b = [], []
+    while len(a) < 300:
+        size = int(n * rng.uniform(0.7, 1.3))
+        x = rng.integers(1, 1 << 62, size).astype(np.uint64)
+        y, changes = x.copy(), int(round(rng.uniform(1 - high, 1 - low) * size))
+        y[rng.choice(size, changes, replace=False)] = rng.integers(1, 1 << 62, changes).astype(np.uint64)
+        if 0.8 <= 1 - changes / size and changes:
+            a.append(x)
+            b.append(y)
+    pairs = zip(N.buckets(a, 0.8, 5, 64, 2, 24), N.buckets(b, 0.8, 5, 64, 2, 24), strict=True)
+    assert np.mean([bool(set(x.tolist()) & set(y.tolist())) for x, y in pairs]) >= least
+
+
+def _passage_family(rng, n, shared, own):
+    """Texts that share a passage but little else, among them pairs with a few words changed."""
+    passage, texts = words(rng, shared), []
+    for i in range(n):
+        t = words(rng, own).split() + passage.split()
+        texts.append(" ".join(t))
+        if i % 10 == 0:
+            for at in rng.sample(range(own), own // 10):
+                t[at] = "other" + str(at)
+            texts.append(" ".join(t))
+    return texts
+
+
+@pytest.mark.parametrize("whole,levels", [(N.WHOLE, N.SLOTS), (40, 3), (40, 0)])
+def test_large_buckets_against_brute_force(spark, monkeypatch, whole, levels):
+    """Parting in a task, in the cluster and by blocks find the pairs of a family that meets in most of its buckets."""
+    rng = random.Random(15)
+    monkeypatch.setattr(N, "LEAF", 16)
+    texts = _passage_family(rng, 240, 60, 60) + _passage_family(rng, 60, 30, 30)
+    h = N.word_hashes(texts)
     d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA).repartition(4)
-    got = {r.doc_id: r.class_id for r in N.classes(d).collect()}
-    assert sum(got[i + 1] == i for i in range(0, 600, 4)) >= 148 and sum(got[i + 3] == i + 2 for i in range(0, 600, 4)) >= 147
+    got = {r.doc_id: r.class_id for r in N.classes(d, whole=whole, levels=levels).collect()}
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if N.alignment_similarity(h[i], h[j], 0.8) >= 0.8]
+    assert len(links) >= 30 and sum(got[i] == got[j] for i, j in links) >= 0.97 * len(links)
+    linked = {x for link in links for x in link}
+    assert all(got[i] == i for i in got if i not in linked)
+
+
+def test_groups_test_all_their_pairs():
+    """Without parting, a group gives every pair whose profiles allow for the similarity, blocks or not."""
+    rng = random.Random(16)
+    lists = []
+    for _ in range(40):
+        base = [rng.randrange(1 << 30) for _ in range(rng.randint(20, 60))]
+        for _ in range(3):
+            w = list(base)
+            for at in rng.sample(range(len(w)), len(w) // 8):
+                w[at] = rng.randrange(1 << 30)
+            lists.append(np.array(w, np.uint64))
+    counts, slots = N.profiles(lists)
+    keys = [bytes([i // 256, i % 256]) for i in range(len(lists))]
+    group = N.Group(0.8, keys, np.array(keys, object), np.array([len(x) for x in lists]), counts, slots)
+    real = {(j, i) for i in range(len(lists)) for j in range(i) if N.alignment_similarity(lists[i], lists[j], 0.8) >= 0.8}
+    for leaf in (7, 10_000):
+        N.LEAF, was = leaf, N.LEAF
+        got = {(min(x, y), max(x, y)) for a, b in group.pairs(3, 0) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+        N.LEAF = was
+        assert real <= got and len(real) > 30
 
 
 def test_repeated_rows_leave_one(spark):
