@@ -582,3 +582,14 @@ def test_windows_overlap_and_reach_the_end():
     for n in range(1, 200):
         b = toxicity.windows_of(n)
         assert b[-1] + toxicity.WINDOW >= n and (np.diff(b) == toxicity.STRIDE).all()
+
+
+def test_components_of_chains_and_stars(spark):
+    rng = random.Random(17)
+    names = [rng.randbytes(4) for _ in range(300)]
+    links = [(names[i], names[i + 1]) for i in range(99)] + [(names[100], names[i]) for i in range(101, 200)] + [(names[i], names[rng.randrange(200, i)]) for i in range(201, 300)]
+    rng.shuffle(links)
+    rows = N._components(spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in [*links, *links[:9], (names[5], names[5])]], "a binary, b binary")).collect()
+    got = {bytes(r.key): bytes(r.root) for r in rows}
+    assert len(rows) == 300 and all(got[x] == min(names[k : k + 100]) for k in (0, 100, 200) for x in names[k : k + 100])
+    assert N._components(spark.createDataFrame([], "a binary, b binary")).count() == 0
