@@ -8,13 +8,14 @@ has met and asks the library only for new ones, many in one call.
 from __future__ import annotations
 
 import json
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 _ABOVE_LATIN = bytes(range(0xCC))  # deleting these bytes leaves something only where a code point is U+0300 or above
-_STOPS = (0x2C, 0x2E)  # comma, full stop
+_COMMA, _STOP = 0x2C, 0x2E
 
 
 def drops_white_space(path: str) -> bool:
@@ -40,13 +41,17 @@ class Pieces:
     LONGEST = 64
 
     def __init__(self, path: str, most: int = 500_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.marks = [c.encode() for c in added]
+        self.bare = Tokenizer.from_file(path)
+        self.bare.no_truncation()
+        self.bare.no_padding()
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
         self.mark = next(iter(added), None)
         self.mark_id = added.get(self.mark)
         self.ends_word = np.zeros(self.tok.get_vocab_size(with_added_tokens=True) + 1, bool)
@@ -61,23 +66,30 @@ class Pieces:
         self.lens = np.zeros(1 << 16, np.int32)
         self.flat = np.zeros(1 << 18, np.uint32)
         self.n = self.used = 0
-        self.long: list[bytes] = []
+        self.far: list[np.ndarray] = []
 
     def split(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For each piece between ASCII white space its slot, learnt where it was new, and for each text where its pieces end.
         ASCII letters are lowered first where that can't change a composition or make a special string. Overlong pieces
-        are slots below 0, which count down through ``self.long``."""
+        are slots below 0, which count down through ``self.far``, their ids."""
         low = [t.lower() if b"<" not in t and not t.translate(None, _ABOVE_LATIN) else t for t in texts]
-        lists = pc.ascii_split_whitespace(pa.array(low, pa.large_binary()).cast(pa.large_string()))
+        lists = pc.ascii_split_whitespace(stops_apart(low))
         coded = lists.values.cast(pa.large_binary()).dictionary_encode()
         words = coded.dictionary.to_pylist()
-        self.learn(words)
-        self.long = [w for w in words if len(w) > self.LONGEST]
-        if self.long:
-            far = {w: -1 - i for i, w in enumerate(self.long)}
-            slots = np.fromiter((far[w] if w in far else self.at[w] for w in words), np.int64, len(words))
-        else:
-            slots = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        short = pc.binary_length(coded.dictionary).to_numpy() <= self.LONGEST
+        find = lambda: np.fromiter(map(self.at.get, words, repeat(-1)), np.int64, len(words))
+        slots = find()
+        new = np.flatnonzero(short & (slots < 0))
+        if len(new) and self.n + len(new) > self.most and self.n:
+            self.clear()
+            slots = find()
+            new = np.flatnonzero(short & (slots < 0))
+        if len(new):
+            self.learn([words[i] for i in new])
+            slots[new] = np.fromiter((self.at[words[i]] for i in new), np.int64, len(new))
+        long = np.flatnonzero(~short)
+        slots[long] = -1 - np.arange(len(long))
+        self.far = [self._one(words[i]) for i in long]
         return slots[coded.indices.to_numpy()], lists.offsets.to_numpy()[1:]
 
     def _add(self, pieces: list[bytes], lens: np.ndarray, flat: np.ndarray) -> None:
@@ -95,70 +107,82 @@ class Pieces:
     def _one(self, piece: bytes) -> np.ndarray:
         return np.array(self.tok.encode(piece.decode(), add_special_tokens=False).ids, np.uint32)
 
+    def _between_spaces(self, tok, words: list[bytes]) -> bool:
+        """Learn ``words`` from one call in which they stand between spaces, if each is one pre-token, whose last id ends a word."""
+        ids = np.array(tok.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends_word[ids])
+        if len(ends) == len(words):
+            self._add(words, np.diff(ends, prepend=-1), ids)
+        return len(ends) == len(words)
+
     def _encode(self, pieces: list[bytes]) -> None:
-        """Learn ``pieces`` from two calls of the library. Words of letters alone are one pre-token each, whose last id ends a
-        word, and stand between spaces; others stand between special strings, which the library cuts out first."""
+        """Learn ``pieces`` from a few calls of the library. Small ASCII letters need neither its normalizer nor its pattern; other
+        words of letters alone stand between spaces too; what is left stands between special strings, which it cuts out first."""
+        plain = [p for p in pieces if p.isascii() and p.isalpha() and p.islower()]
+        if plain and self._between_spaces(self.bare, plain):
+            pieces = [p for p in pieces if p not in self.at]
         words = [p for p in pieces if (p.isalpha() if p.isascii() else not p.translate(None, _ABOVE_LATIN) and p.decode().isalpha())]
-        if words:
-            ids = np.array(self.tok.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.ends_word[ids])
-            if len(ends) == len(words):
-                self._add(words, np.diff(ends, prepend=-1), ids)
-            else:
-                words = []
-        if not (rest := [p for p in pieces if p not in self.at] if words else pieces):
+        if words and self._between_spaces(self.tok, words):
+            pieces = [p for p in pieces if p not in self.at]
+        if not pieces:
             return
-        if self.mark is None or any(m in p for p in rest if b"<" in p for m in self.marks):
-            parts = [self._one(p) for p in rest]
-            self._add(rest, np.array([len(x) for x in parts]), np.concatenate(parts))
+        if self.mark is None or any(m in p for p in pieces if b"<" in p for m in self.marks):
+            parts = [self._one(p) for p in pieces]
+            self._add(pieces, np.array([len(x) for x in parts]), np.concatenate(parts))
             return
-        ids = np.array(self.tok.encode_batch_fast([self.mark.join(p.decode() for p in rest)], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(self.tok.encode_batch_fast([self.mark.join(p.decode() for p in pieces)], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(ids == self.mark_id)
-        self._add(rest, np.diff(cuts, prepend=-1, append=len(ids)) - 1, ids[ids != self.mark_id])
+        self._add(pieces, np.diff(cuts, prepend=-1, append=len(ids)) - 1, ids[ids != self.mark_id])
 
     def learn(self, words: list[bytes]) -> None:
-        """Make every piece of ``words`` known, but for the overlong ones."""
-        short = [w for w in words if len(w) <= self.LONGEST]
-        new = {w for w in short if w not in self.at}
-        if not new:
-            return
-        if self.n + len(new) > self.most and self.n:
-            self.clear()
-            new = set(short)
-        stem = [w for w in new if len(w) > 1 and w[-1] in _STOPS and 0x61 <= w[-2] <= 0x7A]  # a letter and a stop never share a pre-token
-        halves = [x for w in stem for x in (w[:-1], w[-1:])]
-        ask = list((new.difference(stem) | set(halves)) - self.at.keys())
-        for i in range(0, len(ask), 4096):
-            self._encode(ask[i : i + 4096])
-        stem = [w for w in stem if w not in self.at]
-        if stem:
-            halves = [x for w in stem for x in (w[:-1], w[-1:])]
-            k = np.fromiter(map(self.at.__getitem__, halves), np.int64, len(halves))
-            self._add(stem, self.lens[k].reshape(-1, 2).sum(1), self.ids(k))
+        """Make ``words``, different from one another and from those known, known."""
+        for i in range(0, len(words), 4096):
+            self._encode(words[i : i + 4096])
 
     def ids(self, slots: np.ndarray) -> np.ndarray:
         """Ids of the pieces in ``slots``, one after the other."""
-        if self.long and len(slots) and slots.min() < 0:
-            far = np.flatnonzero(slots < 0)
-            runs = np.split(slots, far)
-            parts = [self.ids(runs[0])]
-            for i, run in zip(far, runs[1:], strict=True):
-                parts += [self._one(self.long[-1 - slots[i]]), self.ids(run[1:])]
-            return np.concatenate(parts)
         if not len(slots):
             return np.zeros(0, np.uint32)
-        n = self.lens[slots].astype(np.int64)
+        n, flat, starts = self.counts(slots), self.flat, self.starts[slots]
+        if self.far:
+            flat = np.concatenate([self.flat[: self.used], *self.far])
+            lens = np.array([len(x) for x in self.far])
+            at = np.flatnonzero(slots < 0)
+            starts[at] = (self.used + np.cumsum(lens) - lens)[-1 - slots[at]]
         ends = np.cumsum(n)
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.starts[slots] - ends + n, n)]
+        return flat[np.arange(ends[-1]) + np.repeat(starts - ends + n, n)]
 
     def counts(self, slots: np.ndarray) -> np.ndarray:
         """Ids of each piece in ``slots``, as a number."""
         n = self.lens[slots].astype(np.int64)
-        for i in np.flatnonzero(slots < 0) if self.long else ():
-            n[i] = len(self._one(self.long[-1 - slots[i]]))
+        if self.far:
+            at = np.flatnonzero(slots < 0)
+            n[at] = np.array([len(x) for x in self.far])[-1 - slots[at]]
         return n
 
 
+def stops_apart(texts: list[bytes]) -> pa.Array:
+    """``texts`` with a blank put before each comma and full stop that ends a piece behind an ASCII letter or digit.
+
+    They never share a pre-token with these, and words that differ only in the stop behind them need to be learnt once.
+    """
+    array = pa.array(texts, pa.large_binary())
+    offsets = np.frombuffer(array.buffers()[1], np.int64, len(texts) + 1)
+    data = np.frombuffer(array.buffers()[2], np.uint8, int(offsets[-1])) if offsets[-1] else np.zeros(0, np.uint8)
+    at = np.flatnonzero((data == _COMMA) | (data == _STOP))
+    last = np.zeros(len(data) + 1, bool)
+    last[offsets] = True  # a text begins here, and another ends
+    at = at[~last[at]]
+    before = data[at - 1]
+    small = (before | 0x20) - np.uint8(0x61)
+    at = at[(small < 26) | (before - np.uint8(0x30) < 10)]
+    after = data[np.minimum(at + 1, len(data) - 1)] if len(data) else data
+    at = at[last[at + 1] | (after == 0x20) | (after - np.uint8(9) < 5)]
+    if len(at):
+        data, offsets = np.insert(data, at, 0x20), offsets + np.searchsorted(at, offsets)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data)]).cast(pa.large_string())
+
+
 class Whole:
     """Ids of whole texts by the library, for tokenizers whose pieces depend on the white space around them."""
 
@@ -185,17 +209,16 @@ class Encoder:
         self.whole = None if self.pieces else Whole(path)
 
     def batch(self, texts: list[bytes]):
-        """The ids of each text."""
+        """Runs of ``texts``: the ids of all of a run, one text after the other, and how many each has."""
         if self.whole:
             for t in texts:
-                yield self.whole.encode(t.decode())
+                ids = self.whole.encode(t.decode())
+                yield ids, np.array([len(ids)])
             return
         for part in blocks(texts):
             slots, ends = self.pieces.split(part)
-            begin = 0
-            for end in ends:
-                yield self.pieces.ids(slots[begin:end])
-                begin = end
+            sums = np.concatenate([[0], np.cumsum(self.pieces.counts(slots))])
+            yield self.pieces.ids(slots), np.diff(sums[ends], prepend=0)
 
     def counts(self, texts: list[bytes]):
         """How many ids each text has."""

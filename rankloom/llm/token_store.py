@@ -92,7 +92,8 @@ def write_tokens(df: DataFrame, out: str, tokenizer: str, end_id: int | None = 2
 
     Columns: part (range partition), shard (its number there), before (ids of the partition before it), n_ids, data.
     Texts are dealt by ranges of (doc_id, hash of the text), so that many rows of one id don't meet in one task. A null
-    id comes first, a null text is empty; rows of one id follow the hash of their texts; other columns are ignored.
+    id comes first, a null text is empty; rows of one id follow the hash of their texts; other columns are ignored. Ids must be
+    whole numbers above -2^63, which a shard writes for a null; another type that casts to them will do, and others raise.
     """
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -107,21 +108,29 @@ def write_tokens(df: DataFrame, out: str, tokenizer: str, end_id: int | None = 2
         docs, lens, parts, size, shard, before = [], [], [], 0, 0, 0
 
         def shut():
-            data = pack(docs, lens, np.concatenate(parts), block, bit)
+            data = pack(np.concatenate(docs), np.concatenate(lens), np.concatenate(parts), block, bit)
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["part", "shard", "before", "n_ids", "data"])
 
-        end = np.array([] if end_id is None else [end_id], np.uint32)
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for d, ids in zip(batch.column(0).to_pylist(), own.batch(texts), strict=True):
-                docs.append(_NULL_ID if d is None else d)
-                lens.append(len(ids) + len(end))
-                parts += [ids, end]
-                size += lens[-1]
-                if size >= shard_ids:
-                    yield shut()
-                    before, shard = before + size, shard + 1
-                    docs, lens, parts, size = [], [], [], 0
+            every, at = batch.column(0).fill_null(_NULL_ID).to_numpy(), 0
+            for ids, n in own.batch(batch.column(1).cast(pa.binary()).to_pylist()):
+                if end_id is not None:
+                    ids, n = np.insert(ids, np.cumsum(n), np.uint32(end_id)), n + 1
+                ends = np.cumsum(n)
+                first = 0
+                while first < len(n):  # a shard ends with the document that fills it
+                    used = int(ends[first - 1]) if first else 0
+                    to = min(int(np.searchsorted(ends, used + shard_ids - size)) + 1, len(n))
+                    docs.append(every[at + first : at + to])
+                    lens.append(n[first:to])
+                    parts.append(ids[used : int(ends[to - 1])])
+                    size += int(ends[to - 1]) - used
+                    first = to
+                    if size >= shard_ids:
+                        yield shut()
+                        before, shard = before + size, shard + 1
+                        docs, lens, parts, size = [], [], [], 0
+                at += len(n)
         if docs:
             yield shut()
 

@@ -312,7 +312,7 @@ def test_a_full_cache_starts_anew():
     lib, own = Tokenizer.from_file(path), Encoder(path, 50)
     texts = [words(rng, 30) + ", the end." for _ in range(20)]
     for t in texts:
-        assert next(own.batch([t.encode()])).tolist() == lib.encode(t, add_special_tokens=False).ids
+        assert next(own.batch([t.encode()]))[0].tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
 def test_a_full_cache_starts_anew_with_overlong_pieces():
@@ -325,7 +325,23 @@ def test_a_full_cache_starts_anew_with_overlong_pieces():
     texts = [words(rng, 30) + " https://" + "ab1/" * 20 + str(i) + ", the end." for i in range(20)]
     for t in texts:
         ids = lib.encode(t, add_special_tokens=False).ids
-        assert next(own.batch([t.encode()])).tolist() == ids and list(own.counts([t.encode()])) == [len(ids)]
+        assert next(own.batch([t.encode()]))[0].tolist() == ids and list(own.counts([t.encode()])) == [len(ids)]
+
+
+def test_odd_texts_in_one_batch_agree_with_the_library():
+    from tokenizers import Tokenizer
+
+    from rankloom.llm.pretokens import Encoder
+
+    path, rng = tokenizer(), random.Random(4)
+    lib, own = Tokenizer.from_file(path), Encoder(path, 400)
+    bits = [".", ",", "..", "a", "A", "é", "É", "İ", "\u0301", "1", "12", " ", "  ", "\n", "\x1c", "\u00a0", "'s", "<|endoftext|>", "<", "|>", "word", "Word", "x" * 70, "漢字", "\u01c5", "ﬁ", "ǆ", "-", "_", "\U0001f600"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(0, 14))) for _ in range(3000)] + ["", ".", ",", "a.", "1,", "\n.", "a.\n"]
+    got = []
+    for ids, n in own.batch([t.encode() for t in texts]):
+        got += [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+    assert got == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert list(own.counts([t.encode() for t in texts])) == [len(x) for x in got]
 
 
 def lines_by_hand(rows, at_least, shortest=1):
