@@ -72,7 +72,7 @@ def op8_quality(spark, sf_dir):
 def op9_secret_scan(spark, sf_dir):
     from .secret_scan import scan
 
-    return scan(_table(spark, sf_dir, "documents"))
+    return scan(_table(spark, sf_dir, "documents"), vocabulary=_tokenizer("word_bpe_49k.json"))
 
 
 def op10_token_counts(spark, sf_dir):

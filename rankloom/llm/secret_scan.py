@@ -2,15 +2,19 @@
 
 The cost of a value is the base-10 logarithm of the guesses that an attacker needs who tries words, dates, repeats, keyboard
 walks and then brute force: the cheapest segmentation of the value into such spans, found by dynamic programming. Values in
-a credential context that cost much are secrets, whatever they look like; placeholders and common passwords cost little.
+a credential context that cost much are secrets, whatever they look like; placeholders and common passwords cost little,
+and so do the words of a language, whose order of frequency a public tokenizer's vocabulary gives.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import json
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +27,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: Where a value of a credential follows: a wider context and wider values than the fixed pattern's.
 _CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:[A-Za-z0-9]+[_.-])*(?:password|passwd|passphrase|passcode|pass|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|authorization|bearer|credentials?|login|pin)["']?\x20*(?:[:=]|=>|\bis\b)\x20*["']?([^\s"'<>,;]+)""",
+    r"""(?<![A-Za-z0-9])(?:password|passwd|passphrase|passcode|pass|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|authorization|bearer|credentials?|login|pin)["']?\x20*(?:[:=]|=>|\bis\b)\x20*["']?([^\s"'<>,;]+)""",
     re.I | re.A,
 )
 _MARKS = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "login", "pin")
@@ -41,70 +45,103 @@ WORDS = (
 #: The rows of a keyboard.
 ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 
-_RANK = {w: k + 1 for k, w in enumerate(WORDS)}
 _LEET = str.maketrans("013457$@", "oleastsa")
 _NEXT = {(a, b) for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {(b, a) for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 _NEXT |= {(chr(c), chr(c + 1)) for c in [*range(97, 122), *range(48, 57)]} | {(chr(c + 1), chr(c)) for c in [*range(97, 122), *range(48, 57)]}
 _DATE = re.compile(r"(?:19|20)\d\d(?:[-./]?(?:0[1-9]|1[0-2])[-./]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-./]?(?:0[1-9]|1[0-2])[-./]?(?:19|20)\d\d")
-_LONGEST_WORD = max(map(len, WORDS))
-_LOG = [0.0, *(math.log10(k) for k in range(1, 4096))]
+
+
+class Words:
+    """What words cost: WORDS first, then the whole words of a tokenizer's vocabulary, in its order, which is about that of frequency."""
+
+    LONGEST = 24
+
+    def __init__(self, path: str | None = None):
+        every = dict.fromkeys(WORDS)
+        if path:
+            with open(path, encoding="utf-8") as f:
+                vocabulary = json.load(f)["model"]["vocab"]
+            whole = (t.removesuffix("</w>") for t, _ in sorted(vocabulary.items(), key=lambda x: x[1]) if t.endswith("</w>"))
+            every |= dict.fromkeys(w for w in whole if 3 <= len(w) <= self.LONGEST and w.isascii() and w.isalpha())
+        self.cost = {w: 0.301 + math.log10(k + 1) for k, w in enumerate(every)}
+        self.longest = max(map(len, self.cost))
+
+
+_KEPT: dict[str | None, Words] = {}
+
+
+def words_at(path: str | None) -> Words:
+    """One list for each worker process and vocabulary."""
+    if path not in _KEPT:
+        _KEPT[path] = Words(path)
+    return _KEPT[path]
 
 
 def _class_cost(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() and c.isascii() else math.log10(33)
 
 
-def guess_cost(value: str) -> tuple[float, list[tuple[str, str]]]:
-    """(log10 of guesses, the cheapest segmentation as (kind, span)).
+def _repeats(value: str, size: int) -> np.ndarray:
+    """For each position, where the repeats of the block of ``size`` characters there end."""
+    a = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), "<u4")
+    at = np.arange(len(a), dtype=np.int32)
+    if len(a) <= size:
+        return at + size
+    differs = np.append(a[:-size] != a[size:], np.ones(size, bool))
+    first = np.minimum.accumulate(np.where(differs, at, len(a))[::-1])[::-1]  # the next position that differs from the one a block on
+    return at + ((first - at) // size + 1) * size
+
+
+def guess_cost(value: str, enough: float = math.inf, words: Words | None = None) -> tuple[float, list[tuple[str, str]]]:
+    """(log10 of guesses, the cheapest segmentation as (kind, span)), or (``enough``, []) if it costs that much or more.
 
     A span of brute force costs each character's class; others cost a digit for their kind and their rank, length or
     position. Every further span costs a factor of 2. Spans other than brute force start at each position, words of up to
-    the longest word's length, walks and repeats as far as they go, so that the time grows with the value's length alone.
+    the longest word's length, walks from where they begin, and repeats as far as they go, which is known beforehand, so that
+    the time grows with the value's length alone. Positions that cost ``enough`` lead nowhere.
     """
-    n, low = len(value), value.lower()
+    words = words or words_at(None)
+    n, low = len(value), value.lower() if value.isascii() else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
-    best = [0.0] + [math.inf] * n
-    back: list[tuple[int, str]] = [(0, "")] * (n + 1)
-    dates: dict[int, int] = {}
-    for m in _DATE.finditer(value):
-        dates[m.start()] = m.end()
-    for i in range(n):
+    best: dict[int, float] = {0: 0.0}
+    back: dict[int, tuple[int, str]] = {0: (0, "")}
+    dates = {m.start(): m.end() for m in _DATE.finditer(value)}
+    ends = {size: _repeats(value, size) for size in (1, 2, 3, 4)} if n else {}
+    todo = [0]
+
+    def put(i: int, j: int, cost: float, kind: str) -> None:
+        if cost < min(best.get(j, enough), enough):
+            if j not in best:
+                heapq.heappush(todo, j)
+            best[j], back[j] = cost, (i, kind)
+
+    while todo:
+        i = heapq.heappop(todo)
+        if i == n:
+            break
         here = best[i] + (0.301 if i else 0.0)
-
-        def put(j: int, cost: float, kind: str, here=here, i=i) -> None:
-            if here + cost < best[j]:
-                best[j], back[j] = here + cost, (i, kind)
-
         c = _class_cost(value[i])  # going on with a brute-force span is free of the factor
-        go_on = best[i] if back[i][1] == "brute" else here
-        if go_on + c < best[i + 1]:
-            best[i + 1], back[i + 1] = go_on + c, (i, "brute")
-        for j in range(i + 3, min(n, i + _LONGEST_WORD) + 1):
+        put(i, i + 1, (best[i] if back[i][1] == "brute" else here) + c, "brute")
+        for j in range(i + 3, min(n, i + words.longest) + 1):
             for s, leet in ((low[i:j], 0.0), (plain[i:j], 0.301)):
-                if s in _RANK:
+                if s in words.cost:
                     upper = sum(ch.isupper() for ch in value[i:j])
-                    put(j, 0.301 + _LOG[_RANK[s]] + leet + (0.301 * min(upper, j - i - upper + 1)), "word")
+                    put(i, j, here + words.cost[s] + leet + (0.301 * min(upper, j - i - upper + 1)), "word")
                     break
         if i in dates:
-            put(dates[i], 1.0 + (2.1 if dates[i] - i == 4 else 4.6), "date")
-        if i == 0 or value[i - 1] != value[i]:  # repeats of one character, then of a short block
-            j = i + 1
-            while j < n and value[j] == value[i]:
-                j += 1
-            if j - i >= 3:
-                put(j, c + math.log10(j - i), "repeat")
-        for size in (2, 3, 4):
-            j = i + size
-            while value[j : j + size] == value[i : i + size] and j + size <= n:
-                j += size
-            if j >= i + 2 * size:
-                put(j, sum(map(_class_cost, value[i : i + size])) + math.log10((j - i) // size), "repeat")
+            put(i, dates[i], here + 1.0 + (2.1 if dates[i] - i == 4 else 4.6), "date")
+        for size, end in ends.items():
+            j, least = int(end[i]), 3 if size == 1 else 2 * size
+            if j >= i + least and (size > 1 or i == 0 or value[i - 1] != value[i]):
+                put(i, j, here + sum(map(_class_cost, value[i : i + size])) + math.log10((j - i) // size), "repeat")
         if i == 0 or (low[i - 1], low[i]) not in _NEXT:
             j = i + 1
             while j < n and (low[j - 1], low[j]) in _NEXT:
                 j += 1
             if j - i >= 3:
-                put(j, 1.0 + math.log10(40) + math.log10(j - i), "walk")
+                put(i, j, here + 1.0 + math.log10(40) + math.log10(j - i), "walk")
+    if n not in best:
+        return enough, []
     spans, j = [], n
     while j:
         i, kind = back[j]
@@ -127,7 +164,7 @@ def find_base(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
 
 
-def find_guessed(text: str, least: float = 10.0, shortest: int = 8) -> list[tuple[int, int, str]]:
+def find_guessed(text: str, least: float = 10.0, shortest: int = 8, words: Words | None = None) -> list[tuple[int, int, str]]:
     """(start, end, "guess") of values in a credential context that cost 10 ** ``least`` guesses or more."""
     low = text.lower()
     if not any(m in low for m in _MARKS) or not any(m in text for m in (":", "=", " is ")):
@@ -135,31 +172,33 @@ def find_guessed(text: str, least: float = 10.0, shortest: int = 8) -> list[tupl
     out = []
     for m in _CONTEXT.finditer(text):
         value = m[1].rstrip(".)]}!?")
-        if len(value) >= shortest and guess_cost(value)[0] >= least:
+        if len(value) >= shortest and guess_cost(value, least, words)[0] >= least:
             out.append((m.start(1), m.start(1) + len(value), "guess"))
     return out
 
 
-def spans_of(text: str, least: float = 10.0) -> tuple[list, list]:
+def spans_of(text: str, least: float = 10.0, words: Words | None = None) -> tuple[list, list]:
     """(base spans, all spans), each in order of start, then kind."""
     order = lambda s: (s[0], KINDS.index(s[2]), s[1])
     base = sorted(find_base(text), key=order)
-    return base, sorted(base + find_guessed(text, least), key=order)
+    return base, sorted(base + find_guessed(text, least, words=words), key=order)
 
 
-def scan(docs: DataFrame, least: float = 10.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, least: float = 10.0, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Return doc_id, n_assign, n_access, n_hex, base_sha256, spans and n_guess for each row.
 
     Spans are kind:start:end in code points of the whole match, or of the value for ``guess``, ends exclusive,
-    comma-joined. A null text is empty and has none; equal texts have equal results; a null id stays null; an empty table
-    gives none.
+    comma-joined. ``vocabulary`` names a tokenizers ``.json`` file that every worker can open, whose words count as words. A
+    null text is empty and has none; equal texts have equal results; a null id stays null; other columns are ignored; an
+    empty table gives none.
     """
 
     def rows(batches):
+        words = words_at(vocabulary)
         for b in batches:
             out = [[] for _ in range(6)]
             for t in b.column(1).to_pylist():
-                base, every = spans_of(t, least)
+                base, every = spans_of(t, least, words)
                 for k, kind in enumerate(("assign", "access", "hex")):
                     out[k].append(sum(s[2] == kind for s in base))
                 text_form = lambda spans: ",".join(f"{k}:{a}:{e}" for a, e, k in spans)

@@ -500,6 +500,66 @@ def test_guess_costs():
         assert cost(v) <= sum(map(S._class_cost, v)) + 1e-9
 
 
+def test_guess_costs_against_all_segmentations():
+    """Every way to cut a value into words, repeats, walks and brute force, tried one by one."""
+    rng, words_ = random.Random(18), S.words_at(None)
+    step = lambda a, b: (a, b) in S._NEXT
+
+    def prices(v, i, j):
+        part, low = v[i:j], v[i:j].lower()
+        yield "brute", sum(map(S._class_cost, part))
+        for w, leet in ((low, 0.0), (low.translate(S._LEET), 0.301)):
+            if len(part) >= 3 and w in S.WORDS:
+                upper = sum(x.isupper() for x in part)
+                yield "word", 0.301 + np.log10(S.WORDS.index(w) + 1) + leet + 0.301 * min(upper, len(part) - upper + 1)
+                break
+        for size in (1, 2, 3, 4):
+            times = len(part) // size
+            whole = len(part) % size == 0 and part == part[:size] * times and not v[i + len(part) :].startswith(part[:size])
+            if whole and times >= (3 if size == 1 else 2) and (size > 1 or i == 0 or v[i - 1] != v[i]):
+                yield "repeat", sum(map(S._class_cost, part[:size])) + np.log10(times)
+        walk = all(map(step, low, low[1:])) and (i == 0 or not step(v[i - 1].lower(), low[0])) and (j == len(v) or not step(low[-1], v[j].lower()))
+        if len(part) >= 3 and walk:
+            yield "walk", 1 + np.log10(40) + np.log10(len(part))
+
+    def cheapest(v):
+        best = [{"": 0.0}] + [{} for _ in v]  # by the kind of the last span, as brute force doesn't follow brute force
+        for j in range(1, len(v) + 1):
+            for i in range(j):
+                for kind, cost in prices(v, i, j):
+                    for was, so_far in best[i].items():
+                        if (was, kind) != ("brute", "brute"):
+                            best[j][kind] = min(best[j].get(kind, 1e9), so_far + cost + (0.301 if i else 0))
+        return min(best[-1].values())
+
+    assert words_.longest <= S.Words.LONGEST
+    for _ in range(400):
+        v = "".join(rng.choices(["a", "b", "ab", "1", "2", "q", "we", "Pass", "p@ss", "key", "x", "$", "zz"], k=rng.randint(1, 7)))
+        got = S.guess_cost(v)[0]
+        # the search keeps one best way to each place, whatever its last span, so brute force may pay one factor of 2 more for each span
+        assert cheapest(v) - 1e-9 <= got <= cheapest(v) + 0.301 * len(S.guess_cost(v)[1]) + 1e-9
+        assert "".join(x for _, x in S.guess_cost(v)[1]) == v
+        for enough in (2.0, 5.0):
+            assert abs(S.guess_cost(v, enough)[0] - min(got, enough)) < 1e-9
+
+
+def test_secret_scans_take_time_in_proportion():
+    import time
+
+    for start, block in (("", "a_"), ("password: ", "ab"), ("password: ", "aq3z"), ("pin", " "), ("token=", "1234567890"), ("secret: ", "documentation")):
+        began = time.process_time()
+        S.spans_of(start + block * (4_000_000 // len(block)))
+        assert time.process_time() - began < 10
+
+
+def test_words_are_no_secrets():
+    w = S.words_at(tokenizer())
+    for t in ("login: documentation", "Token: description of the field", "the login is unavailable today", "pin: international", "password: changeme", "auth: authorization"):
+        assert S.find_guessed(t, words=w) == []
+    for t in ("login: xK9#qLm2vT", "api-key => Zx81kfQ0ppLs", "my_db.password is 'e3b3ed3cc854x'"):
+        assert len(S.find_guessed(t, words=w)) == 1
+
+
 def test_secrets_against_plain_patterns(spark, odd, empty):
     import re
 
@@ -507,7 +567,8 @@ def test_secrets_against_plain_patterns(spark, odd, empty):
     bits = ["password: ", "token=", "API_KEY = '", "secret", "AKIA", "ABCD1234EFGH5678", "deadbeef", "0123456789abcdef", " ", "\n", "x", "Passwd:", "=", "ſecret: abcdefgh ", "é"]
     texts = ["".join(rng.choices(bits, k=rng.randint(1, 25))) for _ in range(400)]
     for t in texts:
-        want = [(m.start(), m.end(), "assign") for m in re.finditer(S._ASSIGN, t) if len(m[2]) >= 6]
+        assign = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+        want = [(m.start(), m.end(), "assign") for m in re.finditer(assign, t, re.I | re.A) if len(m[2]) >= 6]
         want += [(m.start(), m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
         want += [(m.start(), m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
         base, every = S.spans_of(t)
