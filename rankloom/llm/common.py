@@ -63,6 +63,13 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= most else df
 
 
+def parts_of(df: DataFrame, each: int = 32_000_000) -> int:
+    """Partitions for a shuffle of ``df``'s rows: ``spark.sql.shuffle.partitions``, and more where its files are so large that one would hold over ``each`` of their (compressed) bytes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(own, -(-size // each)) if size < 1 << 55 else own  # beyond, the size isn't known
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name that begins with ``name`` and that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

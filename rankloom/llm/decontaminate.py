@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, stored, text_of
+from .common import BROADCAST_ROWS, free, small, stored, text_of
 
 #: 1: the token must be equal; 0: it may be any. All start and end with 1 and are as long.
 MASKS = ("110101011", "111001101", "101110011")
@@ -28,14 +28,18 @@ def _seed(k: int, tokens: str, at: Column) -> Column:
     return F.xxhash64(F.lit(k), *[F.get(F.col(tokens), at + F.lit(o)) for o, m in enumerate(MASKS[k]) if m == "1"])
 
 
-def benchmark_seeds(bench: DataFrame, item_id: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(items, seeds): items by key with their token hashes; for each mask and position the hash, and the one a position before."""
+def benchmark_items(bench: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """The benchmark's items by key, with their token hashes."""
     items = bench.select(F.col(item_id).alias("item_id"), F.xxhash64(F.col(item_id), text_of(text)).alias("item"), token_hashes(text).alias("bh"))
-    items = items.filter(F.size("bh") >= SPAN).dropDuplicates(["item"])
-    at = items.select("item", "bh", F.explode(F.sequence(F.lit(0), F.size("bh") - SPAN)).alias("j"))
-    each = F.array(*[F.struct(F.lit(k).alias("k"), _seed(k, "bh", F.col("j")).alias("h"), F.when(F.col("j") > 0, _seed(k, "bh", F.col("j") - 1)).alias("before")) for k in range(len(MASKS))])
-    seeds = at.select("item", "j", F.explode(each).alias("s")).select("item", "j", "s.*")
-    return items, seeds
+    return items.filter(F.size("bh") > 0).dropDuplicates(["item"])
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
+    """For each mask k and position j the hash h, the one a position before, and those of the masks before k at j."""
+    at = items.filter(F.size("bh") >= SPAN).select("item", "bh", F.explode(F.sequence(F.lit(0), F.size("bh") - SPAN)).alias("j"))
+    seed = lambda k: _seed(k, "bh", F.col("j"))
+    each = [F.struct(F.lit(k).alias("k"), seed(k).alias("h"), F.when(F.col("j") > 0, _seed(k, "bh", F.col("j") - 1)).alias("before"), F.array(*map(seed, range(k))).cast("array<bigint>").alias("others")) for k in range(len(MASKS))]
+    return at.select("item", "j", F.explode(F.array(*each)).alias("s")).select("item", "j", "s.*")
 
 
 def _stretch(doc: str, item: str, shift: Column, share: float) -> Column:
@@ -63,38 +67,63 @@ def _stretch(doc: str, item: str, shift: Column, share: float) -> Column:
     return F.aggregate(F.sequence(low, high), start, step, lambda s: s["best"])
 
 
+def _short_overlaps(d: DataFrame, items: DataFrame, lengths: list[int], block_rows: int) -> list[DataFrame]:
+    """Where documents hold all tokens of an item too short for a seed, in a row: one lookup for each length that there is."""
+    out = []
+    for n in lengths:
+        gram = lambda tokens, at, n=n: F.xxhash64(F.lit(n), *[F.get(F.col(tokens), at + F.lit(o)) for o in range(n)])
+        own = stored(items.filter(F.size("bh") == n).select("item_id", gram("bh", F.lit(0)).alias("h")), "bench-short")
+        grams = F.when(F.size("dh") >= n, F.transform(F.sequence(F.lit(0), F.size("dh") - n), lambda i: gram("dh", i)))
+        at = d.select("doc_id", "text_hash", F.posexplode(grams).alias("doc_start", "dhash"))
+        blocks = max(1, -(-own.count() // block_rows))
+        for b in range(blocks):
+            hit = at.join(F.broadcast(own.filter(F.pmod("h", F.lit(blocks)) == b)), F.col("dhash") == F.col("h"))
+            out.append(hit.select("doc_id", "text_hash", "item_id", F.lit(n).alias("matches"), F.lit(n).alias("length"), "doc_start", F.lit(n).alias("item_tokens")))
+    return out
+
+
 def overlaps(docs: DataFrame, bench: DataFrame, at_least: int = 13, share: float = 0.8, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", block_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each document and item that overlap: doc_id, text_hash, item_id, matched, length, item_tokens, doc_start.
 
     An overlap counts if it has ``at_least`` equal tokens, or ``share`` of a shorter item's, and equal tokens make up
-    ``share`` of its length. Tokens are lower-cased runs of letters and digits. The benchmark's seeds are broadcast in
-    blocks of at most about ``block_rows`` rows by hash, one pass over the documents each, so any benchmark fits. A run of
-    hits along one diagonal is verified once, at its first. Items and documents of under 9 tokens, null and empty texts
-    among them, overlap with nothing. A null id stays null; rows that repeat id and text give one row; empty tables give none.
+    ``share`` of its length; an item of under 9 tokens counts where all of them stand in a row. Tokens are lower-cased runs of
+    letters and digits. The benchmark's items are broadcast, with their seeds, in blocks of about ``block_rows`` seeds (an
+    item stays whole), one pass over the documents each, so any benchmark fits. A run of hits along one diagonal is verified
+    once, at its first, whatever masks it hits. Items and documents without tokens, null and empty texts among them, overlap
+    with nothing. A null id stays null; rows that repeat id and text give one row; empty tables give none. Other columns are
+    ignored.
     """
-    items, seeds = (stored(x, "bench") for x in benchmark_seeds(bench, item_id, text))
-    n = seeds.count()
-    blocks = max(1, -(-n // block_rows))
+    items = stored(benchmark_items(bench, item_id, text), "bench")
+    tokens = F.size("bh")
+    sizes = items.agg(F.sum(F.when(tokens >= SPAN, (tokens - SPAN + 1) * len(MASKS))).alias("n"), F.array_sort(F.collect_set(F.when(tokens < SPAN, tokens))).alias("short")).first()
+    seeds = stored(item_seeds(items), "bench-seeds")
     d = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("text_hash"), token_hashes(text).alias("dh"))
     starts = F.when(F.size("dh") >= SPAN, F.sequence(F.lit(0), F.size("dh") - SPAN))  # no filter above: it would hash all tokens twice
     at = d.select("doc_id", "text_hash", "dh", F.explode(starts).alias("i"))
     at = at.select("*", F.explode(F.array(*[_seed(k, "dh", F.col("i")) for k in range(len(MASKS))])).alias("dhash"))
-    found = None
+    back = F.col("i") - 1
+    before = F.when(F.col("k") == 0, _seed(0, "dh", back))
+    for k in range(1, len(MASKS)):
+        before = before.when(F.col("k") == k, _seed(k, "dh", back))
+    first = F.col("before").isNull() | (F.col("i") == 0) | (before != F.col("before"))  # of its mask's hits along the diagonal
+    for k in range(len(MASKS) - 1):  # and no mask before it hits there too
+        first &= (F.col("k") <= k) | (_seed(k, "dh", F.col("i")) != F.get("others", F.lit(k)))
+    columns = ["doc_id", "text_hash", "item_id", "matches", "length", "doc_start", "item_tokens"]
+    parts = []
+    blocks = max(1, -(-(sizes.n or 0) // block_rows))
     for b in range(blocks):
-        s = seeds.filter(F.pmod("h", F.lit(blocks)) == b) if blocks > 1 else seeds
-        back = F.col("i") - 1
-        before = F.when(F.col("k") == 0, _seed(0, "dh", back))
-        for k in range(1, len(MASKS)):
-            before = before.when(F.col("k") == k, _seed(k, "dh", back))
-        starts = F.col("before").isNull() | (F.col("i") == 0) | (before != F.col("before"))
-        hit = at.join(F.broadcast(s), (F.col("dhash") == F.col("h")) & starts).select("doc_id", "text_hash", "dh", "item", (F.col("i") - F.col("j")).alias("shift"))
-        found = hit if found is None else found.union(hit)
-    few = items.count() <= block_rows // 10
-    found = found.join(F.broadcast(items) if few else items, "item")
-    found = found.select("doc_id", "text_hash", "item_id", "shift", F.size("bh").alias("item_tokens"), _stretch("dh", "bh", F.col("shift"), share).alias("s"))
-    need = F.least(F.lit(at_least), F.ceil(F.col("item_tokens") * F.lit(share)).cast("int"))
-    found = found.filter((F.col("s.matches") >= need) & (F.col("s.matches") >= -F.col("s.less") * F.lit(share)))
-    best = F.max(F.struct("s.matches", (-F.col("s.less")).alias("length"), (F.col("shift") + F.col("s.at")).alias("doc_start"), "item_tokens")).alias("b")
+        mine = F.pmod("item", F.lit(blocks)) == b
+        hit = at.join(F.broadcast(seeds.filter(mine)), (F.col("dhash") == F.col("h")) & first).select("doc_id", "text_hash", "dh", "item", (F.col("i") - F.col("j")).alias("shift"))
+        laid = hit.join(F.broadcast(items.filter(mine)), "item")
+        laid = laid.select("doc_id", "text_hash", "item_id", "shift", tokens.alias("item_tokens"), _stretch("dh", "bh", F.col("shift"), share).alias("s"))
+        need = F.least(F.lit(at_least), F.ceil(F.col("item_tokens") * F.lit(share)).cast("int"))
+        laid = laid.filter((F.col("s.matches") >= need) & (F.col("s.matches") >= -F.col("s.less") * F.lit(share)))
+        parts.append(laid.select("doc_id", "text_hash", "item_id", "s.matches", (-F.col("s.less")).alias("length"), (F.col("shift") + F.col("s.at")).alias("doc_start"), "item_tokens"))
+    found = None
+    for p in [*parts, *_short_overlaps(d, items, sizes.short, block_rows)]:
+        p = p.select(columns)
+        found = p if found is None else found.union(p)
+    best = F.max(F.struct("matches", "length", "doc_start", "item_tokens")).alias("b")
     found = found.groupBy("doc_id", "text_hash", "item_id").agg(best)
     return found.select("doc_id", "text_hash", "item_id", F.col("b.matches").alias("matched"), F.col("b.length").alias("length"), F.col("b.item_tokens").alias("item_tokens"), F.col("b.doc_start").alias("doc_start"))
 
@@ -108,7 +137,6 @@ def contaminated(docs: DataFrame, bench: DataFrame, **how) -> DataFrame:
 
 def decontaminate(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that no item overlaps, with all their columns; others stay as they are."""
-    bad = stored(overlaps(docs, bench, doc_id=doc_id, text=text, **how).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct(), "contaminated")
-    n = bad.count()
-    bad = F.broadcast(bad) if n <= BROADCAST_ROWS else bad
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_d")) & (F.xxhash64(text_of(text)) == F.col("_h")), "left_anti")
+    d, h = free(docs, "d"), free(docs, "h")
+    bad = stored(overlaps(docs, bench, doc_id=doc_id, text=text, **how).select(F.col("doc_id").alias(d), F.col("text_hash").alias(h)).distinct(), "contaminated")
+    return docs.join(small(bad), F.col(doc_id).eqNullSafe(F.col(d)) & (F.xxhash64(text_of(text)) == F.col(h)), "left_anti")

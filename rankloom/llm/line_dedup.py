@@ -2,8 +2,8 @@
 
 Lines become (hash, document, position), dealt by ranges of all three, so that a line that every document shares is spread
 over many tasks, and sorted. Each task streams over its part in bounded memory. Only a task's first and last run can go on
-in a neighbour: each task reports at most two such pieces, and these few rows (two for each partition) are put together on
-the driver. What is decided is gathered for each document as a zlib-compressed bitmap of the lines that stay.
+in a neighbour: each task reports at most two such pieces, and one more for each HELD lines of an undecided run, and these
+few rows are put together on the driver. What is decided is gathered for each document as a zlib-compressed bitmap of the lines that stay.
 """
 
 from __future__ import annotations
@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import dropped, parts_of, small, stored, text_of
 
 BLANKS = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _NO_ID = -(1 << 63)
 _DROP, _OPEN, _PIECE = 0, 1, 2
+#: Rows of an undecided run that a task holds; beyond, they wait as rows of their own.
+HELD = 100_000
 
 
 def line_key(line: Column) -> Column:
@@ -55,9 +57,8 @@ def _stream(at_least: int | None):
         join = lambda parts: tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
         def close(run, edge):
-            if edge:
-                head = run["head"]
-                yield out(_PIECE, head, part, run["docs"], run["last"])
+            if edge or run["waiting"]:
+                yield out(_PIECE, run["head"], part, run["docs"], run["last"])
                 if run["kept"]:
                     yield out(_OPEN, join(run["kept"]), part)
 
@@ -92,7 +93,7 @@ def _stream(at_least: int | None):
                     yield from close(run, first)
                     first, run = False, None
                 if run is None:
-                    run = {"hash": (h1[begins[k]], h2[begins[k]]), "docs": 0, "head": cut(rows, slice(0, 1)), "kept": [], "over": False}
+                    run = {"hash": (h1[begins[k]], h2[begins[k]]), "docs": 0, "head": cut(rows, slice(0, 1)), "kept": [], "held": 0, "waiting": False}
                     if at_least is None:
                         run["kept"], rest = [run["head"]], cut(rows, slice(1, None))
                         if len(rest[0]):
@@ -108,6 +109,10 @@ def _stream(at_least: int | None):
                     run["kept"] = []
                 else:
                     run["kept"].append(rows)
+                    run["held"] += len(rows[0])
+                    if run["held"] > HELD:
+                        yield out(_OPEN, join(run["kept"]), part)
+                        run["kept"], run["held"], run["waiting"] = [], 0, True
         if run is not None:
             yield from close(run, True)
 
@@ -135,23 +140,26 @@ def keep_bitmaps(df: DataFrame, at_least: int | None = 10, shortest: int = 1, do
     Texts split at newlines; a line's key is :func:`line_key`. With ``at_least``, keys in that many documents lose all their
     lines; with None, all but the first line in order of document and position. Keys of under ``shortest`` code points stay.
     d is the id (the least long for null) and r the text's 64-bit hash; rows that repeat both are one document. ``keep``
-    holds one bit for each line, first line first, most significant bit first, compressed with zlib.
+    holds one bit for each line, first line first, most significant bit first, compressed with zlib. Ids must be whole numbers
+    above the least long; another type that casts to them will do, and others raise.
     """
     spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or parts_of(df)
     lines = _rows(doc_id, text, df).select("d", "r", F.split("text", "\n").alias("ls"))
     lines = lines.select("d", "r", F.size("ls").alias("lines"), F.posexplode("ls").alias("pos", "line"))
     lines = lines.select("d", "r", "pos", "lines", line_key(F.col("line")).alias("key")).filter(F.length("key") >= shortest)
     lines = lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "d", "r", "pos", "lines")
+    lines = stored(lines, "line-hashes")  # dealing by ranges reads them twice
     order = ["h1", "h2", "d", "r", "pos"]
     schema = "kind byte, d long, r long, pos int, lines int, h1 long, h2 long, docs long, d2 long, r2 long, part int"
     rows = stored(lines.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_stream(at_least), schema), "line-decisions")
-    pieces = rows.filter(F.col("kind") == _PIECE).select("h1", "h2", "docs", "d", "r", "d2", "r2", "part").collect()  # two for each partition at most
+    pieces = rows.filter(F.col("kind") == _PIECE).select("h1", "h2", "docs", "d", "r", "d2", "r2", "part").collect()  # two for each partition, and one for each HELD lines
+    dropped(lines)
     gone = spark.createDataFrame(_settle(pieces, at_least), "h1 long, h2 long, part int")
-    late = rows.filter(F.col("kind") == _OPEN).join(F.broadcast(gone), ["h1", "h2", "part"], "left_semi")
+    late = rows.filter(F.col("kind") == _OPEN).join(small(gone, gone.count()), ["h1", "h2", "part"], "left_semi")
     cols = ["d", "r", "pos", "lines"]
-    dropped = rows.filter(F.col("kind") == _DROP).select(cols).union(late.select(cols))
-    each = dropped.groupBy("d", "r").agg(F.max("lines").alias("n_lines"), F.collect_set("pos").alias("gone"))
+    leave = rows.filter(F.col("kind") == _DROP).select(cols).union(late.select(cols))
+    each = leave.groupBy("d", "r").agg(F.max("lines").alias("n_lines"), F.collect_set("pos").alias("gone"))
 
     def bits(batches):
         for b in batches:

@@ -54,8 +54,8 @@ def chance(seed: str, doc_id: str, text: str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def plan_mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``df`` with mix_size, mix_source_size, mix_target and mix_copies.
+def plan_mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", prefix: str = "mix_") -> DataFrame:
+    """``df`` with mix_size, mix_source_size, mix_target and mix_copies, or another ``prefix`` than mix_.
 
     Each document is to be emitted floor(rate) times, and once more with the rate's fraction as probability, where rate is
     its source's target over its source's size. A null source is a source of its own, the last one. A null or empty text has
@@ -64,17 +64,21 @@ def plan_mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float
     """
     sizes = df.select(F.col(source).alias("source"), words_of(text).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
     targets = stored(source_targets(sizes, cyclic_weight(weights), share, cap), "mix-targets")
-    t = small(targets.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")))
-    out = df.drop("mix_source", "mix_source_size", "mix_target", "mix_size", "mix_copies").join(t, F.col(source).eqNullSafe(F.col("mix_source"))).drop("mix_source")
-    rate = F.coalesce(F.try_divide("mix_target", "mix_source_size"), F.lit(0.0))
-    copies = F.floor(rate) + (chance(seed, doc_id, text) < rate - F.floor(rate)).cast("long")
-    return out.withColumns({"mix_size": words_of(text), "mix_copies": copies})
+    of, total, target, size, copies = (prefix + x for x in ("source", "source_size", "target", "size", "copies"))
+    t = small(targets.select(F.col("source").alias(of), F.col("source_size").alias(total), F.col("target").alias(target)))
+    out = df.drop(of, total, target, size, copies).join(t, F.col(source).eqNullSafe(F.col(of))).drop(of)
+    rate = F.coalesce(F.try_divide(target, total), F.lit(0.0))
+    times = F.floor(rate) + (chance(seed, doc_id, text) < rate - F.floor(rate)).cast("long")
+    return out.withColumns({size: words_of(text), copies: times})
 
 
 def mix(df: DataFrame, **how) -> DataFrame:
-    """The mix itself: the rows and columns of ``df``, each row as many times as :func:`plan_mix` says."""
-    out = plan_mix(df, **how).withColumn("mix_copies", F.explode(F.array_repeat(F.lit(0), F.col("mix_copies").cast("int"))))
-    return out.select(*df.columns)
+    """The mix itself: the rows and columns of ``df``, whatever these are named, each row as many times as :func:`plan_mix` says."""
+    prefix = "mix_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    out = plan_mix(df, prefix=prefix, **how)
+    return out.withColumn(prefix + "copies", F.explode(F.array_repeat(F.lit(0), F.col(prefix + "copies").cast("int")))).select(*df.columns)
 
 
 MIX_SQL = r"""

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import scratch_path, text_of
+from .common import parts_of, scratch_path, text_of
 from .pretokens import encoder
 
 MAGIC = b"RLPLANE1"
@@ -95,8 +95,7 @@ def write_tokens(df: DataFrame, out: str, tokenizer: str, end_id: int | None = 2
     id comes first, a null text is empty; rows of one id follow the hash of their texts; other columns are ignored. Ids must be
     whole numbers above -2^63, which a shard writes for a null; another type that casts to them will do, and others raise.
     """
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or parts_of(df)
     kept = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_of(text).alias("text"))
     kept = kept.withColumn("h", F.xxhash64("text"))
     schema = "part int, shard int, before long, n_ids long, data binary"

@@ -434,6 +434,67 @@ def test_overlaps_with_gaps_between_verbatim_runs(spark):
     assert set(got) == {0, 1, 3} and all(m >= 13 and m >= 0.8 * n for _, m, n in got.values())
 
 
+def test_items_too_short_for_seeds(spark):
+    bench = spark.createDataFrame([(1, "alpha beta, gamma"), (2, "delta"), (3, "Alpha beta gamma one two three four five"), (4, ""), (5, None), (6, "...")], "item_id long, text string")
+    docs = ["x alpha BETA gamma y", "alpha beta x gamma", "Delta!", "the alpha beta gamma one two three four five six", "alpha beta gamma one two three four", "", None]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(docs)], SCHEMA)
+    for block_rows in (1, 1000):
+        got = {r.doc_id: (r.item_ids, r.matched, r.doc_start) for r in D.contaminated(d, bench, block_rows=block_rows).collect()}
+        assert got == {0: ([1], 3, 1), 2: ([2], 1, 0), 3: ([1, 3], 8, 1), 4: ([1], 3, 0)}
+
+
+def test_overlaps_against_brute_force(spark):
+    """Random items laid into documents with random tokens replaced, some after 13 verbatim ones: all diagonals, all stretches."""
+    rng = random.Random(19)
+    items = {i: [f"w{i}x{k}" for k in range(rng.randint(9, 45))] for i in range(8)}
+    docs = {}
+    for i in range(80):
+        part = list(items[rng.randrange(8)])
+        keep = rng.choice((0, 13))
+        rate = rng.choice((0.1, 0.2, 0.3, 0.5))
+        part = [t if k < keep or rng.random() >= rate else f"o{rng.randrange(10**9)}" for k, t in enumerate(part)]
+        if i % 3 == 0:
+            part = [t if k < 13 or k % 4 else f"o{k}" for k, t in enumerate(items[i % 8])]
+        docs[i] = [f"x{rng.randrange(10**9)}" for _ in range(rng.randint(0, 9))] + part + [f"y{rng.randrange(10**9)}" for _ in range(rng.randint(0, 9))]
+
+    def held(doc, item):
+        need = min(13, -(-len(item) * 4 // 5))
+        for shift in range(-len(item) + 1, len(doc)):
+            same = [0 <= k + shift < len(doc) and doc[k + shift] == x for k, x in enumerate(item)]
+            hit = any(all(same[j + o] for o, m in enumerate(mask) if m == "1") for mask in D.MASKS for j in range(len(item) - D.SPAN + 1))
+            if hit and any(sum(same[p:q]) >= max(need, 0.8 * (q - p) - 1e-9) for p in range(len(item)) for q in range(p + 1, len(item) + 1)):
+                return True
+        return False
+
+    d = spark.createDataFrame([(i, " ".join(x), "en", "s", 0) for i, x in docs.items()], SCHEMA)
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    want = {(i, k) for i, x in docs.items() for k, y in items.items() if held(x, y)}
+    assert {(r.doc_id, r.item_id) for r in D.overlaps(d, bench).collect()} == want and 20 < len(want) < 80
+    assert all(any(k == i % 8 for k in items if (i, k) in want) for i in range(0, 80, 3) if len(items[i % 8]) >= 13)
+
+
+def test_columns_with_clashing_names(spark):
+    """Whatever a table's own columns are called, filters return them as they are."""
+    rows = [(1, "one two three four five six seven", "src0", 7, 8, 9, 10, "d", "h"), (2, "one two three four five six seven", "src0", 7, 8, 9, 10, "d", "h"), (3, "alpha beta", None, 1, 2, 3, 4, "d", None)]
+    t = spark.createDataFrame(rows, "doc_id long, text string, source string, _d int, _h int, mix_size int, mix__size int, d string, h string").withColumn("H_", F.lit(1)).withColumn("kept", F.lit(1))
+    bench = spark.createDataFrame([(5, "alpha beta")], "item_id long, text string")
+    for out in (N.near_dedup(t), D.decontaminate(t, bench), M.mix(t)):
+        assert out.columns == t.columns
+        assert all(r._d == {1: 7, 3: 1}[min(r.doc_id, 1) if r.doc_id < 3 else 3] and r.mix_size == r._d + 2 for r in out.collect())
+    assert [r.doc_id for r in D.decontaminate(t, bench).collect()] == [1, 2] and sorted(r.doc_id for r in N.near_dedup(t).collect()) == [1, 3]
+
+
+def test_undecided_runs_wait_as_rows(spark, monkeypatch):
+    """A key of many lines in few documents, and then in many: held in small parts, decided alike."""
+    monkeypatch.setattr(L, "HELD", 20)
+    few, many = "\n".join(["rare"] * 300 + ["own"]), "\n".join(["common"] * 100)
+    d = spark.createDataFrame([(i, few + str(i), "en", "s", 0) for i in range(9)] + [(20 + i, many + f"\nother{i}", "en", "s", 0) for i in range(12)], SCHEMA)
+    for partitions in (1, 5):
+        got = {r.doc_id: r for r in L.drop_lines(d, partitions=partitions).collect()}
+        assert all(got[i].n_dropped == 0 and got[i].text == few + str(i) for i in range(9))
+        assert all((got[20 + i].n_dropped, got[20 + i].text) == (100, f"other{i}") for i in range(12))
+
+
 def test_the_best_stretch_against_brute_force(spark):
     rng = random.Random(15)
     rows = []
