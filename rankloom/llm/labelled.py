@@ -18,7 +18,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longe
     """At most ``per_class`` documents of each class 0 and 1 of at most ``longest`` code points, and their labels.
 
     Those first in the order of a hash of their id, so that reruns agree. ``learn`` is a condition on the labels' rows. An
-    id that repeats with both labels counts as 1; null labels, and ids without a document or with a null text, are left out.
+    id that repeats with both labels counts as 1, and of its texts the least; null labels, and ids without a document or with
+    a null text, are left out.
     """
     lab = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
     lab = (lab.filter(learn) if learn is not None else lab).groupBy("doc_id").agg(F.max(label).alias("y"))
@@ -32,6 +33,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, longe
     spark = docs.sparkSession
     few = spark.createDataFrame([(r.doc_id, r.y, r.h) for r in picked], f"doc_id {docs.schema[doc_id].dataType.simpleString()}, y int, h long")
     got = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text")).join(F.broadcast(few), "doc_id").filter(F.length("text") <= longest)
+    got = got.groupBy("doc_id", "y", "h").agg(F.min("text").alias("text"))
     rows = sorted({(r.h, r.doc_id, r.text, r.y) for r in got.collect()})
     return [r[2] for r in rows], np.array([r[3] for r in rows], np.int8)
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from .common import text_of
 from .labelled import logistic, remainder, sample, sigmoid
 
-CHUNK = 2_048
+#: Bytes in a piece; pieces of each labelled text, spread over the whole of it, that the dictionaries are trained on.
+CHUNK, PIECES = 512, 8
 
 
 def _chunks(data: bytes) -> list[bytes]:
@@ -21,9 +22,10 @@ def _chunks(data: bytes) -> list[bytes]:
 class Model:
     """Two zstandard dictionaries and the weights that turn compressed sizes into the probability of label 1.
 
-    A text is cut into pieces of 2 KB, so that its own past doesn't hide what the dictionaries know. Its features are the
-    difference of the two compressed sizes over their sum, over the whole text and in its worst piece, and the compressed
-    size over the length, whole and in the most repetitive piece.
+    A text is cut into pieces of CHUNK bytes, so that its own past doesn't hide what the dictionaries know. Its features are the
+    difference of the two compressed sizes over their sum, over the whole text and in its worst piece, and how far the size
+    under the good dictionary falls short of a quarter of the length, whole and in the most repetitive piece: text that
+    repeats itself shrinks alike under both dictionaries, so that the difference alone misses it.
     """
 
     LEVEL = 3
@@ -54,18 +56,23 @@ class Model:
         worst = each[long].max() if long.any() else (g - b) / (g + b)
         ratio = g / (n + 16)
         least = (s[long, 0] / (s[long, 2] + 16)).min() if long.any() else ratio
-        return [(g - b) / (g + b), worst, max(0.0, 0.25 - ratio), max(0.0, 0.25 - least), np.log1p(n)]
+        return [(g - b) / (g + b), worst, max(0.0, 0.25 - ratio), max(0.0, 0.25 - least)]
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not texts:
             return np.zeros(0)
         x = np.array([self.features(t) for t in texts])
-        return sigmoid(x @ np.array(self.weights[:-1]) + self.weights[-1])
+        return sigmoid((x * np.array(self.weights[:-1])).sum(1) + self.weights[-1])
+
+
+def _spread(pieces: list[bytes]) -> list[bytes]:
+    """At most PIECES of them, the first and the last and others as far apart as can be."""
+    return [pieces[i] for i in np.unique(np.linspace(0, len(pieces) - 1, PIECES).round().astype(int))]
 
 
 def _dictionary(texts: list[str], size: int) -> bytes:
     """A trained dictionary, so that matches and symbol statistics count both; plain content where there is too little to train on."""
-    pieces = [c for t in texts for c in _chunks(t.encode())[:4]]
+    pieces = [c for t in texts for c in _spread(_chunks(t.encode()))]
     try:
         return zstandard.train_dictionary(size, pieces, level=Model.LEVEL, threads=0).as_bytes()
     except zstandard.ZstdError:
@@ -76,7 +83,7 @@ def fit(texts: list[str], y: np.ndarray, size: int = 131_072) -> Model:
     """Dictionaries from one half of the labelled texts, the weights from the other half; without both classes, the base rate alone."""
     base = (y.sum() + 1) / (len(y) + 2)
     if len(set(y.tolist())) < 2:
-        return Model(b"-", b"-", [0.0] * 5 + [float(np.log(base / (1 - base)))])
+        return Model(b"-", b"-", [0.0] * 4 + [float(np.log(base / (1 - base)))])
     half = np.arange(len(texts)) % 2
     half[[np.flatnonzero(y == c)[0] for c in (0, 1)]] = 0
     good, bad = (_dictionary([t for t, c, h in zip(texts, y, half, strict=True) if c == k and h == 0], size) for k in (1, 0))
@@ -90,7 +97,8 @@ def fit(texts: list[str], y: np.ndarray, size: int = 131_072) -> Model:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 3_000, longest: int = 20_000, mod: int = 5, held_out: int = 0, doc_id: str = "doc_id", text: str = "text") -> Model:
     """Fit on a sample of at most ``per_class`` documents of each class, the true rate of classes put back afterwards.
 
-    Only rows whose crc32(id) mod ``mod`` is not ``held_out`` are learnt from.
+    Only rows whose crc32(id) mod ``mod`` is not ``held_out`` are learnt from. Sampled texts have at most ``longest`` code points;
+    the dictionaries see PIECES pieces of each, from all over it.
     """
     learn = remainder(F.col("doc_id"), mod) != held_out
     texts, y = sample(docs, labels, label, per_class, longest, learn, doc_id, text)

@@ -2,8 +2,8 @@
 
 A word's input has a word part and a character part. Both hash into tables (the word itself, and its character 3- to
 5-grams with marks at its ends) that hold how strongly a bucket speaks for a label (a smoothed log-odds ratio over its
-standard error) and a few learnt numbers. The network reads windows of 32 words, each 24 after the one before, so that
-neighbours share 8; attention pools a window's states into one logit. Labels belong to whole documents, so each epoch
+standard error) and a few learnt numbers. The network reads windows of 32 words, each 16 after the one before, so that
+any 16 words on end stand in one; attention pools a window's states into one logit. Labels belong to whole documents, so each epoch
 learns from the highest window of each document, and from another one of those without the label. While the network learns
 from one fold of the labelled texts, the odds come from the others, so that it meets them as they are on new texts. A document's score is
 its highest window's logit, calibrated.
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 from .common import text_of
 from .labelled import logistic, remainder, sample, sigmoid
 
-WINDOW, STRIDE, FOLDS = 32, 24, 4
+WINDOW, STRIDE, FOLDS = 32, 16, 4
+#: Windows, and words, that are worked on at once: always as many, so that no sum's order depends on what else there is.
+AT_ONCE, WORDS_AT_ONCE = 1_024, 4_096
 BUCKETS, LEARNT, HIDDEN, ATTEND = 1 << 16, 4, 8, 8
 INPUT = 3 + 2 * LEARNT
 _EDGE = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
@@ -64,13 +66,12 @@ def buckets_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def windows_of(n: int) -> np.ndarray:
-    """Where windows begin in a text of ``n`` words: every 24 words, up to the one that reaches the end."""
+    """Where windows begin in a text of ``n`` words: every 16 words, up to the one that reaches the end."""
     return np.arange(0, max(1, -(-(n - WINDOW) // STRIDE) + 1) * STRIDE, STRIDE) if n > WINDOW else np.zeros(1, np.int64)
 
 
 def laid_out(at: np.ndarray, pad: int) -> np.ndarray:
-    """The windows of a text as rows of word numbers, ``pad`` where it has ended. A word said several times on end counts once."""
-    at = at[np.append(True, at[1:] != at[:-1])] if len(at) else at
+    """The windows of a text as rows of word numbers, ``pad`` where it has ended."""
     begins = windows_of(len(at))
     rows = begins[:, None] + np.arange(WINDOW)
     out = np.full(rows.shape, pad, np.int64)
@@ -110,7 +111,11 @@ class Net:
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         """Inputs times the gates' input weights, for each direction."""
-        return (x @ self.p["w"] + self.p["b"]).astype(np.float32)
+        out = np.empty((2, len(x), 3 * HIDDEN), np.float32)
+        for i in range(0, len(x), WORDS_AT_ONCE):
+            part = x[i : i + WORDS_AT_ONCE]
+            out[:, i : i + len(part)] = (_filled(part, WORDS_AT_ONCE, 0) @ self.p["w"] + self.p["b"])[:, : len(part)]
+        return out
 
     def forward(self, proj: np.ndarray, rows: np.ndarray, keep: bool = False):
         """Logits of windows ``rows`` of word numbers; a number beyond the words is padding. proj: (2, words, gates)."""
@@ -276,8 +281,15 @@ def _epoch(net: Net, adam: _Adam, part: tuple, rng, batch: int) -> None:
         adam.step(g)
 
 
-def _scored(net: Net, proj: np.ndarray, rows: np.ndarray, batch: int = 1_024) -> np.ndarray:
-    return np.concatenate([net.forward(proj, rows[i : i + batch]) for i in range(0, len(rows), batch)])
+def _filled(rows: np.ndarray, n: int, blank) -> np.ndarray:
+    """``rows`` with blank ones behind, ``n`` in all."""
+    return rows if len(rows) == n else np.concatenate([rows, np.full((n - len(rows), *rows.shape[1:]), blank, rows.dtype)])
+
+
+def _scored(net: Net, proj: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Logits of windows, AT_ONCE at a time."""
+    pad = proj.shape[1]
+    return np.concatenate([net.forward(proj, _filled(rows[i : i + AT_ONCE], AT_ONCE, pad)) for i in range(0, len(rows), AT_ONCE)])[: len(rows)]
 
 
 class Scorer:
@@ -326,8 +338,8 @@ class Scorer:
         rows = [laid_out(a, pad) for a in np.split(slots, ends[:-1])]
         begin = np.cumsum([0, *map(len, rows)])
         best = np.maximum.reduceat(_scored(self.net, self.proj, np.concatenate(rows)), begin[:-1])
-        x = np.column_stack([best, np.log(np.diff(begin))])
-        return sigmoid(x.astype(float) @ self.net.calibration[:-1] + self.net.calibration[-1])
+        of_best, of_size, base = self.net.calibration
+        return sigmoid(best.astype(float) * of_best + np.log(np.diff(begin)) * of_size + base)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2_500, longest: int = 12_000, mod: int = 4, held_out: int = 2, doc_id: str = "doc_id", text: str = "text") -> Net:
@@ -346,7 +358,7 @@ def score(docs: DataFrame, net: Net, threshold: float = 0.3, mod: int = 4, held_
     """Return (doc_id, held_out, score, predicted) for each row.
 
     Only the text is scored, all its windows. A null text is empty, and an empty one is one window of padding. Equal texts have
-    equal scores but for the last of their five decimals, as single-precision sums depend on what else a batch holds. A null id stays null. Other columns are ignored; an empty table gives none.
+    equal scores, whatever else there is. A null id stays null. Other columns are ignored; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

@@ -715,8 +715,33 @@ def test_network_gradients():
         assert abs((up - down) / (2 * e) - g[k][at]) < 1e-3 + 0.02 * abs(g[k][at])
 
 
+def test_scores_do_not_depend_on_what_else_there_is():
+    rng = random.Random(20)
+    texts = [words(rng, n) for n in (0, 1, 5, 31, 32, 33, 48, 49, 500, 3000) for _ in range(8)] + ["is onhe. " * 700, "so " * 40, "so so"]
+    y = np.array([i % 2 for i in range(len(texts))])
+    net = toxicity.fit([t + " idiot moron" * k for t, k in zip(texts, y, strict=True)], y, epochs=2)
+    together = toxicity.Scorer(net).scores(texts[::-1])[::-1]
+    assert together.tolist() == [toxicity.Scorer(net).scores([t])[0] for t in texts]
+    good, bad = ["plain words of a text " + words(rng, 40) for _ in range(60)], ["### $$$ " + words(rng, 40).upper() for _ in range(60)]
+    model = quality.fit(good + bad, np.array([1] * 60 + [0] * 60))
+    assert model.scores(texts).tolist() == [model.scores([t])[0] for t in texts]
+
+
+def test_every_passage_stands_in_a_window():
+    """Sixteen words on end, wherever they begin, are seen together."""
+    for n in (16, 17, 40, 47, 48, 49, 200):
+        rows = toxicity.laid_out(np.arange(n), n)
+        assert all(any(set(range(a, a + 16)) <= set(r.tolist()) for r in rows) for a in range(n - 15))
+
+
+def test_dictionaries_see_the_whole_of_a_text():
+    pieces = [bytes([i]) for i in range(100)]
+    got = quality._spread(pieces)
+    assert len(got) == quality.PIECES and got[0] == pieces[0] and got[-1] == pieces[-1] and quality._spread(pieces[:3]) == pieces[:3]
+
+
 def test_windows_overlap_and_reach_the_end():
-    assert toxicity.windows_of(5).tolist() == [0] and toxicity.windows_of(32).tolist() == [0] and toxicity.windows_of(33).tolist() == [0, 24]
+    assert toxicity.windows_of(5).tolist() == [0] and toxicity.windows_of(32).tolist() == [0] and toxicity.windows_of(33).tolist() == [0, toxicity.STRIDE]
     for n in range(1, 200):
         b = toxicity.windows_of(n)
         assert b[-1] + toxicity.WINDOW >= n and (np.diff(b) == toxicity.STRIDE).all()
