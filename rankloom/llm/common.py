@@ -6,8 +6,11 @@ set) and by rows, so that many long texts never sit in one batch.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +73,22 @@ def parts_of(df: DataFrame, each: int = 32_000_000) -> int:
     return max(own, -(-size // each)) if size < 1 << 55 else own  # beyond, the size isn't known
 
 
+def tidy(rows):
+    """``rows`` for mapInArrow, after which its worker gives freed memory back: workers live on and serve other stages, whose tasks need it."""
+
+    def run(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return run
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name that begins with ``name`` and that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, parts_of, small, stored, text_of
+from .common import dropped, parts_of, small, stored, text_of, tidy
 
 BLANKS = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -152,7 +152,7 @@ def keep_bitmaps(df: DataFrame, at_least: int | None = 10, shortest: int = 1, do
     lines = stored(lines, "line-hashes")  # dealing by ranges reads them twice
     order = ["h1", "h2", "d", "r", "pos"]
     schema = "kind byte, d long, r long, pos int, lines int, h1 long, h2 long, docs long, d2 long, r2 long, part int"
-    rows = stored(lines.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(_stream(at_least), schema), "line-decisions")
+    rows = stored(lines.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(tidy(_stream(at_least)), schema), "line-decisions")
     pieces = rows.filter(F.col("kind") == _PIECE).select("h1", "h2", "docs", "d", "r", "d2", "r2", "part").collect()  # two for each partition, and one for each HELD lines
     dropped(lines)
     gone = spark.createDataFrame(_settle(pieces, at_least), "h1 long, h2 long, part int")
@@ -171,7 +171,7 @@ def keep_bitmaps(df: DataFrame, at_least: int | None = 10, shortest: int = 1, do
                 counts.append(len(gone))
             yield pa.record_batch([b.column(0), b.column(1), pa.array(b.column(2).to_numpy().astype(np.int64)), pa.array(counts, pa.int64()), pa.array(keeps, pa.binary())], ["d", "r", "n_lines", "n_dropped", "keep"])
 
-    return each.mapInArrow(bits, "d long, r long, n_lines long, n_dropped long, keep binary")
+    return each.mapInArrow(tidy(bits), "d long, r long, n_lines long, n_dropped long, keep binary")
 
 
 def _kept_lines(text: str, keep: bytes | None) -> tuple[str, int, int]:
@@ -199,7 +199,7 @@ def drop_lines(df: DataFrame, digest: bool = False, doc_id: str = "doc_id", text
             yield pa.record_batch([b.column(0), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64()), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_dropped", last])
 
     joined = _rows(doc_id, text, df).join(maps, ["d", "r"], "left").select("doc_id", "text", "keep")
-    return joined.mapInArrow(rows, f"doc_id long, n_lines long, n_dropped long, {last} string")
+    return joined.mapInArrow(tidy(rows), f"doc_id long, n_lines long, n_dropped long, {last} string")
 
 
 LINES_SQL = r"""

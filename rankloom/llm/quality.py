@@ -8,7 +8,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, tidy
 from .labelled import logistic, remainder, sample, sigmoid
 
 #: Bytes in a piece; pieces of each labelled text, spread over the whole of it, that the dictionaries are trained on.
@@ -126,7 +126,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, mod: int = 5, h
 
     kept = docs.select(F.col(doc_id).alias("doc_id"), (remainder(F.col(doc_id), mod) == held_out).alias("held_out"), text_of(text).alias("text"))
     kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(rows, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return kept.mapInArrow(tidy(rows), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text: str = "text") -> DataFrame:
@@ -139,4 +139,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3, text: str =
             s = shared.value.scores([t or "" for t in b.column(at).to_pylist()])
             yield b.filter(pa.array(s >= threshold))
 
-    return docs.mapInArrow(rows, docs.schema)
+    return docs.mapInArrow(tidy(rows), docs.schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, tidy
 
 KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -210,7 +210,7 @@ def scan(docs: DataFrame, least: float = 10.0, doc_id: str = "doc_id", text: str
 
     kept = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
     kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(rows, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
+    return kept.mapInArrow(tidy(rows), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long")
 
 
 def redact(text: str, spans: list, mark: str = "[secret]") -> str:

@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts_of, scratch_path, text_of
+from .common import parts_of, scratch_path, text_of, tidy
 from .pretokens import encoder
 
 MAGIC = b"RLPLANE1"
@@ -133,7 +133,7 @@ def write_tokens(df: DataFrame, out: str, tokenizer: str, end_id: int | None = 2
         if docs:
             yield shut()
 
-    kept.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h").mapInArrow(rows, schema).write.option("compression", "uncompressed").parquet(out)
+    kept.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h").mapInArrow(tidy(rows), schema).write.option("compression", "uncompressed").parquet(out)
 
 
 def read_tokens(spark, path: str, ids: bool = False) -> DataFrame:
@@ -167,7 +167,7 @@ def read_tokens(spark, path: str, ids: bool = False) -> DataFrame:
                     out.append(pa.array([all_ids[a:b].astype(np.int64) for a, b in zip(starts, ends, strict=True)], pa.list_(pa.int64())))
                 yield pa.record_batch(out, schema.names)
 
-    found = shards.select("part", "shard", "before", "data").mapInArrow(rows, schema)
+    found = shards.select("part", "shard", "before", "data").mapInArrow(tidy(rows), schema)
     return found.join(F.broadcast(base), "part").select("doc_id", (F.col("at") + F.col("base")).alias("start"), "n_tokens", "ids_crc32", "part", "shard", *["ids"] * ids)
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, tidy
 from .labelled import logistic, remainder, sample, sigmoid
 
 WINDOW, STRIDE, FOLDS = 32, 16, 4
@@ -370,4 +370,4 @@ def score(docs: DataFrame, net: Net, threshold: float = 0.3, mod: int = 4, held_
 
     kept = docs.select(F.col(doc_id).alias("doc_id"), (remainder(F.col(doc_id), mod) == held_out).alias("held_out"), text_of(text).alias("text"))
     kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(rows, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return kept.mapInArrow(tidy(rows), f"doc_id {kind}, held_out boolean, score double, predicted int")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, tidy
 
 PACKET, SYNC = 188, 0x47
 PMT_PID, ES_PID, STREAM_TYPE = 0x100, 0x101, 0x06  # 6: PES packets with private data
@@ -246,7 +246,7 @@ def to_media(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             yield pa.record_batch([b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([write_stream(padded(t)) for t in texts], pa.binary())], ["doc_id", "n_bytes", "media"])
 
     kept = docs.select(F.col(doc_id).alias("doc_id"), text_of(text).alias("text"))
-    return kept.mapInArrow(rows, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return kept.mapInArrow(tidy(rows), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def read_media(media: DataFrame) -> DataFrame:
@@ -271,4 +271,4 @@ def read_media(media: DataFrame) -> DataFrame:
 
     schema = f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     names = [x.split()[0] for x in schema.split(", ")]
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(rows, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(rows), schema)
