@@ -1,7 +1,7 @@
 """Shared helpers: scratch tables in the folder that the whole cluster sees, and broadcasts behind a check of their size.
 
-Python operators get Arrow batches that Spark bounds by bytes (64 MB where ``spark.sql.execution.arrow.maxBytesPerBatch`` isn't
-set) and by rows, so that many long texts never sit in one batch.
+Python operators get Arrow batches that Spark bounds by bytes and by rows, so that many long texts never sit in one batch: 8 MB
+while a scratch table is written, and what ``spark.sql.execution.arrow.maxBytesPerBatch`` says, or Spark's 64 MB, otherwise.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +37,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 8 << 20):
+    """Meanwhile Arrow batches have about ``most`` bytes, unless the session says something else."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name, None) is None
+    if own:
+        spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        if own:
+            spark.conf.unset(name)
+
+
 def stored(df: DataFrame, name: str, compression: str = "uncompressed") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: lineage ends here, and a lost executor loses nothing.
 
@@ -44,7 +59,8 @@ def stored(df: DataFrame, name: str, compression: str = "uncompressed") -> DataF
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out

@@ -34,24 +34,22 @@ def drops_white_space(path: str) -> bool:
 class Pieces:
     """Ids of pieces, as slices of one growing array.
 
-    ``most`` bounds the pieces that are kept; when it is reached the cache starts anew. Pieces of over 64 bytes are
+    ``most`` bounds the pieces that are kept; when it is reached the cache starts anew, with those that have just come again. Pieces of over 64 bytes are
     encoded each time and never kept.
     """
 
     LONGEST = 64
 
-    def __init__(self, path: str, most: int = 500_000):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+    def __init__(self, path: str, most: int = 250_000):
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.marks = [c.encode() for c in added]
-        self.bare = Tokenizer.from_file(path)
-        self.bare.no_truncation()
-        self.bare.no_padding()
-        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.bare = Tokenizer(self.tok.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.mark = next(iter(added), None)
         self.mark_id = added.get(self.mark)
         self.ends_word = np.zeros(self.tok.get_vocab_size(with_added_tokens=True) + 1, bool)
@@ -68,6 +66,14 @@ class Pieces:
         self.n = self.used = 0
         self.far: list[np.ndarray] = []
 
+    def renew(self, words: list[bytes], slots: np.ndarray) -> None:
+        """Start anew with those of ``words`` that are known: what comes again is worth keeping."""
+        again = np.flatnonzero(slots >= 0)
+        lens, flat = self.lens[slots[again]].astype(np.int64), self.ids(slots[again])
+        self.clear()
+        new = np.fromiter((words[i] not in self.at for i in again), bool, len(again))
+        self._add([words[i] for i in again[new]], lens[new], flat[np.repeat(new, lens)])
+
     def split(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For each piece between ASCII white space its slot, learnt where it was new, and for each text where its pieces end.
         ASCII letters are lowered first where that can't change a composition or make a special string. Overlong pieces
@@ -81,7 +87,7 @@ class Pieces:
         slots = find()
         new = np.flatnonzero(short & (slots < 0))
         if len(new) and self.n + len(new) > self.most and self.n:
-            self.clear()
+            self.renew(words, slots)
             slots = find()
             new = np.flatnonzero(short & (slots < 0))
         if len(new):
@@ -204,7 +210,7 @@ class Whole:
 class Encoder:
     """Ids of texts given as UTF-8, exactly as the library gives them."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         self.pieces = Pieces(path, most) if drops_white_space(path) else None
         self.whole = None if self.pieces else Whole(path)
 
@@ -232,7 +238,7 @@ class Encoder:
             yield from np.diff(sums[ends], prepend=0).tolist()
 
 
-def blocks(texts: list[bytes], most: int = 8_000_000):
+def blocks(texts: list[bytes], most: int = 4_000_000):
     """Runs of ``texts`` of about ``most`` bytes."""
     part, n = [], 0
     for t in texts:
@@ -248,7 +254,7 @@ def blocks(texts: list[bytes], most: int = 8_000_000):
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str, most: int = 500_000) -> Encoder:
+def encoder(path: str, most: int = 250_000) -> Encoder:
     """One encoder for each worker process, kept from task to task."""
     if (path, most) not in _ENCODERS:
         _ENCODERS[path, most] = Encoder(path, most)

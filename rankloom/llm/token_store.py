@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts_of, scratch_path, text_of, tidy
+from .common import parts_of, scratch_path, small_batches, text_of, tidy
 from .pretokens import encoder
 
 MAGIC = b"RLPLANE1"
@@ -133,7 +133,9 @@ def write_tokens(df: DataFrame, out: str, tokenizer: str, end_id: int | None = 2
         if docs:
             yield shut()
 
-    kept.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h").mapInArrow(tidy(rows), schema).write.option("compression", "uncompressed").parquet(out)
+    dealt = kept.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
+    with small_batches(df.sparkSession):
+        dealt.mapInArrow(tidy(rows), schema).write.option("compression", "uncompressed").parquet(out)
 
 
 def read_tokens(spark, path: str, ids: bool = False) -> DataFrame:
