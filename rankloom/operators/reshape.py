@@ -20,10 +20,11 @@ def pivot_tools(df: DataFrame, keys: list[str], tools: list[str], metrics: dict[
     return df.groupBy(*keys).agg(*cols)
 
 
-def frequent_values(df: DataFrame, column: str, least: int, most: int = 1_000) -> list:
-    """Values of at least ``least`` rows, at most ``most`` of them, most frequent first: a vocabulary for columns."""
+def frequent_values(df: DataFrame, column: str, least: int, most: int | None = None) -> list:
+    """Values of at least ``least`` rows, most frequent first: a vocabulary for columns, of at most ``most`` where that is given."""
     n = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return [r[0] for r in n.orderBy(F.desc("n"), column).limit(most).collect()]
+    n = n.orderBy(F.desc("n"), column)
+    return [r[0] for r in (n if most is None else n.limit(most)).collect()]
 
 
 def clean_name(value, most: int = 60) -> str:
@@ -44,7 +45,7 @@ def multi_hot(df: DataFrame, items: str, values: list[str], prefix: str) -> Data
     return df.select("*", *cols, F.size(items).alias(f"{prefix}_count"), (F.size(items) == 0).cast("int").alias(f"{prefix}_is_missing"))
 
 
-def vocabulary(df: DataFrame, items: str, least: int, most: int = 1_000) -> list[str]:
+def vocabulary(df: DataFrame, items: str, least: int, most: int | None = None) -> list[str]:
     """Items that at least ``least`` rows hold."""
     return frequent_values(df.select(F.explode(F.array_distinct(items)).alias("item")), "item", least, most)
 

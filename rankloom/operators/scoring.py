@@ -47,6 +47,39 @@ def train_stats(train: DataFrame, by: list[str]) -> DataFrame:
     return d.withColumn("sd", F.when(F.col("sd") >= 1e-9, F.col("sd")).otherwise(1.0))
 
 
+def fold_params(long: DataFrame, by: list[str], y: str = "y", n: int = 5, full: int = -1) -> DataFrame:
+    """(by, model, feature, delta, mu, sd) of the model without each fold, and of the one on all rows, as ``full``.
+
+    What :func:`delta_weights` and :func:`train_stats` say of :func:`for_training`, without a row for each model: every distinct
+    value meets once, with its rows by fold and class, and a model's ranks and counts are those of all less the fold's. Means
+    and deviations are put together from the folds'.
+    """
+    keys = [*by, "feature"]
+    fold, hit = F.col("fold"), F.col(y) == 1
+    counts = [e for f in range(n) for e in (F.count_if(fold == f).cast("double").alias(f"_c{f}"), F.count_if((fold == f) & hit).cast("double").alias(f"_p{f}"))]
+    each = long.groupBy(*keys, "value").agg(*counts)
+    below = W.partitionBy(*keys).orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    each = each.withColumns({f"_l{f}": F.coalesce(F.sum(f"_c{f}").over(below), F.lit(0.0)) for f in range(n)})
+    models = [full, *range(n)]
+    sums = []
+    for k, m in enumerate(models):
+        c, p, low = (sum((F.col(f"_{x}{f}") for f in range(n) if f != m), F.lit(0.0)) for x in "cpl")
+        sums += [F.sum(p).alias(f"_n{k}"), F.sum(c).alias(f"_a{k}"), F.sum(p * (low + (c + 1) / 2)).alias(f"_r{k}")]
+    rows = each.groupBy(*keys).agg(*sums)
+    rows = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_n{k}").alias("n1"), F.col(f"_a{k}").alias("n"), F.col(f"_r{k}").alias("r1")) for k, m in enumerate(models)])).alias("x")).select(*keys, "x.*")
+    n1, n2 = F.col("n1"), F.col("n") - F.col("n1")
+    delta = F.coalesce(2 * F.try_divide(F.col("r1") - n1 * (n1 + 1) / 2, n1 * n2) - 1, F.lit(0.0))
+    deltas = rows.filter("n > 0").select(*keys, "model", delta.alias("delta"))
+    parts = long.groupBy(*keys, "fold").agg(F.count("value").cast("double").alias("_n"), F.avg("value").alias("_m"), F.var_pop("value").alias("_v"))
+    parts = for_training(parts, n, full).groupBy(*keys, "model").agg(F.collect_list(F.struct("_n", "_m", "_v")).alias("_f"))  # one entry for each fold
+    add = lambda e: F.aggregate("_f", F.lit(0.0), lambda a, x: a + e(x))
+    total = add(lambda x: x["_n"])
+    mu = F.try_divide(add(lambda x: x["_n"] * x["_m"]), total)
+    parts = parts.withColumn("mu", mu).withColumn("sd", F.sqrt(F.when(total > 1, add(lambda x: x["_n"] * (x["_v"] + (x["_m"] - F.col("mu")) * (x["_m"] - F.col("mu")))) / (total - 1))))
+    stats = parts.select(*keys, "model", "mu", F.when(F.col("sd") >= 1e-9, F.col("sd")).otherwise(1.0).alias("sd"))
+    return deltas.join(stats, [*keys, "model"])
+
+
 def delta_scores(rows: DataFrame, params: DataFrame, keys: list[str], on: list[str], least: float = 1e-9) -> DataFrame:
     """(keys, on, score): the sum over features of delta * (value - mu) / sd. A missing value adds nothing, nor does a delta near 0.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import catalog
 
-TOOLS = ["T1", "T2", "T3"]
+TOOLS = [f"T{i}" for i in range(1, 8)]
 
 
 def query(name: str, sql: str | None = None):
@@ -30,16 +30,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def ranks(spark, sf_dir) -> DataFrame:
     """(bug, tool, rank, detected, project): the best rank of each tool for each order."""
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3")
+    li = table(spark, sf_dir, "lineitem")
     return li.groupBy(F.col("l_orderkey").alias("bug"), F.concat(F.lit("T"), F.col("l_linenumber")).alias("tool")).agg(F.min(F.col("l_quantity").cast("int")).alias("rank"), F.max(F.col("l_returnflag") != "N").alias("detected"))
 
 
-RANKS = "SELECT l_orderkey AS bug, concat('T', l_linenumber) AS tool, min(CAST(l_quantity AS INT)) AS rank, bool_or(l_returnflag <> 'N') AS detected FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2"
+RANKS = "SELECT l_orderkey AS bug, concat('T', l_linenumber) AS tool, min(CAST(l_quantity AS INT)) AS rank, bool_or(l_returnflag <> 'N') AS detected FROM lineitem GROUP BY 1, 2"
 
 
 def flags_sql(k: int) -> str:
     cols = ", ".join(f"coalesce(bool_or(rank <= {k}) FILTER (WHERE tool = '{t}'), false) AS found_{t}" for t in TOOLS)
-    return f"SELECT *, found_T1::INT + found_T2::INT + found_T3::INT AS num_found FROM (SELECT bug, {cols} FROM ({RANKS}) GROUP BY bug)"
+    return f"SELECT *, {' + '.join(f'found_{t}::INT' for t in TOOLS)} AS num_found FROM (SELECT bug, {cols} FROM ({RANKS}) GROUP BY bug)"
 
 
 FEATURES = ["o_totalprice", "sum_price", "avg_discount", "avg_tax", "n_items"]
@@ -77,12 +77,13 @@ g AS (SELECT {b}, count(*) FILTER (WHERE is_first) AS n1, count(*) FILTER (WHERE
 u AS (SELECT *, CASE WHEN n1 > 0 AND n2 > 0 THEN r1 - n1::DOUBLE * (n1 + 1) / 2 END AS u,
  n1::DOUBLE * n2 / 12 * ((n1 + n2 + 1) - ties / nullif((n1 + n2)::DOUBLE * (n1 + n2 - 1), 0)) AS v FROM g),
 s AS (SELECT *, CASE WHEN n1 > 0 AND n2 > 0 AND v > 0 THEN (greatest(u, n1::DOUBLE * n2 - u) - n1::DOUBLE * n2 / 2 - 0.5) / sqrt(v) END AS z, 2 * u / nullif(n1::DOUBLE * n2, 0) - 1 AS delta FROM u)
-SELECT {b}, n1::BIGINT AS n1, n2::BIGINT AS n2, round(median1, 4) AS median1, round(median2, 4) AS median2, round(mean1, 4) AS mean1, round(mean2, 4) AS mean2, u, round(z, 6) AS z, round(delta, 6) AS delta,
+SELECT {b}, n1::BIGINT AS n1, n2::BIGINT AS n2, round(median1, 4) AS median1, round(median2, 4) AS median2, round(mean1 + 1e-8::DOUBLE, 4) AS mean1, round(mean2 + 1e-8::DOUBLE, 4) AS mean2, u, round(z, 6) AS z, round(delta, 6) AS delta,
  CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' WHEN delta IS NOT NULL THEN 'large' END AS effect_size{tail} FROM s"""
 
 
 def tidy(stats: DataFrame, by: list[str], *more) -> DataFrame:
     from ..operators.stats import effect_label
 
-    cols = [F.round(c, 4).alias(c) for c in ("median1", "median2", "mean1", "mean2")]
+    cols = [F.round(c, 4).alias(c) for c in ("median1", "median2")]
+    cols += [F.round(F.col(c) + 1e-8, 4).alias(c) for c in ("mean1", "mean2")]  # a tie falls one way, whatever the order of the sum
     return stats.select(*by, "n1", "n2", *cols, "u", F.round("z", 6).alias("z"), F.round("delta", 6).alias("delta"), effect_label(F.col("delta")).alias("effect_size"), *more)

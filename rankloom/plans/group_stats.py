@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking as R
 from ..operators import stats as S
+from ..operators.reshape import standard_scale
 from .base import FEATURES, FEATURES_SQL, LONG_SQL, TOOLS, features, flags_sql, query, ranks, tidy, two_groups_sql
 
-K = 25
+K, N = 25, len(TOOLS)
 
 
 def _flags(spark, sf_dir, k=K):
@@ -20,17 +21,17 @@ def _long(spark, sf_dir):
     return S.long_form(features(spark, sf_dir), ["bug", "project"], FEATURES)
 
 
-@query("success_flags_topk", f"SELECT bug, found_T1, found_T2, found_T3, num_found::INT AS num_found FROM ({flags_sql(10)})")
+@query("success_flags_topk", f"SELECT bug, {', '.join(f'found_{t}' for t in TOOLS)}, num_found::INT AS num_found FROM ({flags_sql(10)})")
 def success_flags_topk(spark, sf_dir):
     return _flags(spark, sf_dir, 10)
 
 
-@query("tool_membership_upset", f"SELECT concat_ws(',', CASE WHEN found_T1 THEN 'T1' END, CASE WHEN found_T2 THEN 'T2' END, CASE WHEN found_T3 THEN 'T3' END) AS members, count(*)::BIGINT AS n FROM ({flags_sql(10)}) GROUP BY 1")
+@query("tool_membership_upset", f"SELECT concat_ws(',', {', '.join(f"CASE WHEN found_{t} THEN '{t}' END" for t in TOOLS)}) AS members, count(*)::BIGINT AS n FROM ({flags_sql(10)}) GROUP BY 1")
 def tool_membership_upset(spark, sf_dir):
     return R.membership(_flags(spark, sf_dir, 10), TOOLS).groupBy("members").agg(F.count("*").alias("n"))
 
 
-_SIZES = {f"found_{t}": f"found_{t}" for t in TOOLS} | {f"only_{t}": f"found_{t} AND num_found = 1" for t in TOOLS} | {"none": "num_found = 0", "any": "num_found > 0", "all": "num_found = 3", "exactly_one": "num_found = 1"}
+_SIZES = {f"found_{t}": f"found_{t}" for t in TOOLS} | {f"only_{t}": f"found_{t} AND num_found = 1" for t in TOOLS} | {"none": "num_found = 0", "any": "num_found > 0", "all": f"num_found = {N}", "exactly_one": "num_found = 1"}
 
 
 @query("upset_set_sizes", f"WITH f AS ({flags_sql(10)}) " + " UNION ALL ".join(f"SELECT '{k}' AS name, (count(*) FILTER (WHERE {c}))::BIGINT AS n FROM f" for k, c in _SIZES.items()))
@@ -38,12 +39,12 @@ def upset_set_sizes(spark, sf_dir):
     return R.set_sizes(_flags(spark, sf_dir, 10), TOOLS)
 
 
-_ALL_NONE = f"SELECT feature, value, num_found = 3 AS is_first FROM ({LONG_SQL}) JOIN flags USING (bug) WHERE num_found IN (0, 3)"
+_ALL_NONE = f"SELECT feature, value, num_found = {N} AS is_first FROM ({LONG_SQL}) JOIN flags USING (bug) WHERE num_found IN (0, {N})"
 
 
 @query("all_vs_none_stats", f"WITH feats AS ({FEATURES_SQL}), flags AS ({flags_sql(K)}), {two_groups_sql(_ALL_NONE, ['feature'])}")
 def all_vs_none_stats(spark, sf_dir):
-    f = _flags(spark, sf_dir).filter(F.col("num_found").isin(0, 3)).select("bug", (F.col("num_found") == 3).alias("is_first"))
+    f = _flags(spark, sf_dir).filter(F.col("num_found").isin(0, N)).select("bug", (F.col("num_found") == N).alias("is_first"))
     return tidy(S.two_groups(_long(spark, sf_dir).join(f, "bug"), ["feature"]), ["feature"])
 
 
@@ -51,16 +52,16 @@ def all_vs_none_stats(spark, sf_dir):
 def all_vs_none_tested(spark, sf_dir):
     """All thresholds at once, with p, Holm within each, and practical significance."""
     r = ranks(spark, sf_dir)
-    parts = [R.success_flags(r, "bug", TOOLS, k).filter(F.col("num_found").isin(0, 3)).select("bug", F.lit(k).alias("k"), (F.col("num_found") == 3).alias("is_first")) for k in (5, 10, 25)]
+    parts = [R.success_flags(r, "bug", TOOLS, k).filter(F.col("num_found").isin(0, N)).select("bug", F.lit(k).alias("k"), (F.col("num_found") == N).alias("is_first")) for k in (5, 10, 25)]
     groups = parts[0].union(parts[1]).union(parts[2])
     stats = S.with_p(S.two_groups(_long(spark, sf_dir).join(groups, "bug"), ["k", "feature"])).filter((F.col("n1") >= 5) & (F.col("n2") >= 5))
     return S.significant(S.holm(stats, ["k"], tie=["feature"]))
 
 
 _MODES = f"""
-cnt AS (SELECT {", ".join(f"count(*) FILTER (WHERE found_{t} AND num_found = 1) AS u_{t}, count(*) FILTER (WHERE num_found - found_{t}::INT = 2) AS a_{t}, count(*) FILTER (WHERE num_found - found_{t}::INT > 0) AS o_{t}" for t in TOOLS)} FROM flags),
+cnt AS (SELECT {", ".join(f"count(*) FILTER (WHERE found_{t} AND num_found = 1) AS u_{t}, count(*) FILTER (WHERE num_found - found_{t}::INT = {N - 1}) AS a_{t}, count(*) FILTER (WHERE num_found - found_{t}::INT > 0) AS o_{t}" for t in TOOLS)} FROM flags),
 grp AS ({" UNION ALL ".join(f"SELECT '{t}' AS tool, bug, found_{t} AND num_found = 1 AS is_first, CASE WHEN a_{t} >= 5 THEN 'all' WHEN o_{t} < 5 AND u_{t} >= 10 THEN 'majority' ELSE 'any' END AS mode, num_found - found_{t}::INT AS others FROM flags, cnt WHERE u_{t} >= 5" for t in TOOLS)}),
-sel AS (SELECT * FROM grp WHERE is_first OR CASE mode WHEN 'all' THEN others = 2 WHEN 'majority' THEN others >= 1 ELSE others > 0 END)"""
+sel AS (SELECT * FROM grp WHERE is_first OR CASE mode WHEN 'all' THEN others = {N - 1} WHEN 'majority' THEN others >= {N // 2} ELSE others > 0 END)"""
 _REST = f"SELECT tool, mode, feature, value, is_first FROM ({LONG_SQL}) JOIN sel USING (bug)"
 
 
@@ -102,7 +103,7 @@ def difficulty_spectrum_spearman(spark, sf_dir):
 
 @query("difficulty_spectrum_tested")
 def difficulty_spectrum_tested(spark, sf_dir):
-    d = _long(spark, sf_dir).join(_flags(spark, sf_dir).select("bug", (F.col("num_found") / 3).alias("rate")), "bug")
+    d = _long(spark, sf_dir).join(_flags(spark, sf_dir).select("bug", (F.col("num_found") / N).alias("rate")), "bug")
     out = S.holm(S.spearman(d, ["feature"], "value", "rate", p=True).withColumn("family", F.lit("all")), ["family"], tie=["feature"])
     return out.withColumn("direction", F.when(F.col("rho") > 0, "easier").otherwise("harder"))
 
@@ -120,7 +121,7 @@ def holm_adjust(spark, sf_dir):
     return S.holm(p, ["p_brand"], tie=["p_partkey"]).withColumn("pval_adj", F.round("pval_adj", 9))
 
 
-@query("category_difficulty", f"""WITH feats AS ({FEATURES_SQL}), flags AS ({flags_sql(K)}), t AS (SELECT 'T1' AS tool, bug FROM flags WHERE found_T1 UNION ALL SELECT 'T2', bug FROM flags WHERE found_T2 UNION ALL SELECT 'T3', bug FROM flags WHERE found_T3 UNION ALL SELECT 'overall', bug FROM flags)
+@query("category_difficulty", f"""WITH feats AS ({FEATURES_SQL}), flags AS ({flags_sql(K)}), t AS ({' UNION ALL '.join(f"SELECT '{t}' AS tool, bug FROM flags WHERE found_{t}" for t in TOOLS)} UNION ALL SELECT 'overall', bug FROM flags)
  SELECT tool, project AS category, count(*)::BIGINT AS n, round(avg(n_items), 6) AS mean, median(n_items) AS median, round(stddev_samp(n_items), 6) AS std, min(n_items) AS min, max(n_items) AS max FROM t JOIN feats USING (bug) GROUP BY 1, 2 HAVING count(*) >= 5""")
 def category_difficulty(spark, sf_dir):
     """Difficulty by category, for what each tool finds and overall."""
@@ -163,7 +164,7 @@ def stratified_delta_tertiles(spark, sf_dir):
 def confound_logit(spark, sf_dir):
     """Each feature alone and with a scale variable beside it, what attenuates, and the verdict."""
     d = features(spark, sf_dir).join(_flags(spark, sf_dir).select("bug", (F.col("num_found") > 0).cast("int").alias("y")), "bug")
-    d = d.select("y", *[F.try_divide(F.col(c) - F.avg(c).over(W.partitionBy()), F.stddev_pop(c).over(W.partitionBy())).alias(c) for c in FEATURES])
+    d = standard_scale(d.select("y", *FEATURES), FEATURES, keep=False).checkpoint()  # the fits below read it again and again
     rows = []
     for f in FEATURES[:-1]:
         raw, adj = ({r.feature: r for r in S.logit(d, cols, "y").collect()}[f] for cols in ([f], [f, "n_items"]))

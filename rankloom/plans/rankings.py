@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ranking as R
 from ..operators import stats as S
-from .base import RANKS, query, ranks, table
+from .base import RANKS, TOOLS, query, ranks, table
 
 _RES = "SELECT l_orderkey AS bug, concat('T', l_linenumber) AS tool, l_returnflag AS project, CAST(l_quantity AS INT) AS rank, l_returnflag <> 'N' AS detected FROM lineitem"
 
@@ -93,14 +93,15 @@ def unlocalizable_hard_soft(spark, sf_dir):
 
 
 _EDGES = {"1-1": "rank <= 1", "2-5": "rank <= 5", "6-10": "rank <= 10", "11-20": "rank <= 20", "21-50": "rank <= 50"}
+_BUCKETS = ["not_found", *_EDGES, ">50"]
 _B = "CASE WHEN rank IS NULL OR rank <= 0 THEN 'not_found' " + " ".join(f"WHEN {c} THEN '{b}'" for b, c in _EDGES.items()) + " ELSE '>50' END"
 
 
-@query("rank_buckets", f"SELECT tool, {', '.join(f'''(count(*) FILTER (WHERE b = '{b}'))::BIGINT AS \"b_{b}\"''' for b in _EDGES)} FROM (SELECT tool, {_B} AS b FROM ({RANKS})) GROUP BY tool")
+@query("rank_buckets", f"SELECT tool, {', '.join(f'''(count(*) FILTER (WHERE b = '{b}'))::BIGINT AS \"b_{b}\"''' for b in _BUCKETS)} FROM (SELECT tool, {_B} AS b FROM (SELECT tool, rank * 2 - 20 AS rank FROM ({RANKS}))) GROUP BY tool")
 def rank_buckets(spark, sf_dir):
-    d = ranks(spark, sf_dir).select("tool", R.rank_bucket(F.col("rank")).alias("b"))
-    p = d.groupBy("tool").pivot("b", list(_EDGES)).count().fillna(0)
-    return p.select("tool", *[F.col(f"`{b}`").alias(f"b_{b}") for b in _EDGES])
+    d = ranks(spark, sf_dir).select("tool", R.rank_bucket(F.col("rank") * 2 - 20).alias("b"))
+    p = d.groupBy("tool").pivot("b", _BUCKETS).count().fillna(0)
+    return p.select("tool", *[F.col(f"`{b}`").alias(f"b_{b}") for b in _BUCKETS])
 
 
 @query("closest_tool", f"SELECT bug, tool, rank FROM (SELECT *, row_number() OVER (PARTITION BY bug ORDER BY rank, tool) AS k FROM ({RANKS})) WHERE k = 1")
@@ -138,9 +139,9 @@ def always_missed(spark, sf_dir):
     return g.filter("all_miss").select("bug", "tools")
 
 
-@query("verdict_crosstab", f"SELECT project, {', '.join(f'''(count(*) FILTER (WHERE tool = 'T{i}'))::BIGINT AS T{i}''' for i in (1, 2, 3))} FROM ({_RES}) GROUP BY project")
+@query("verdict_crosstab", f"SELECT project, {', '.join(f'''(count(*) FILTER (WHERE tool = '{t}'))::BIGINT AS {t}''' for t in TOOLS)} FROM ({_RES}) GROUP BY project")
 def verdict_crosstab(spark, sf_dir):
-    return _results(spark, sf_dir).groupBy("project").pivot("tool", ["T1", "T2", "T3"]).count().fillna(0)
+    return _results(spark, sf_dir).groupBy("project").pivot("tool", TOOLS).count().fillna(0)
 
 
 @query("value_counts", "SELECT event_type, count(*)::BIGINT AS n FROM events GROUP BY 1")

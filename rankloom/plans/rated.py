@@ -8,10 +8,11 @@ from ..operators import ratings as J
 from .base import query, table
 
 _ONE = [("Clarity", "c1", "the and for with from that"), ("Clarity", "c2", "les des une que"), ("Ambiguity", "a1", "der die das und"), ("Ambiguity", "a2", "license software"), ("HiddenReproducibility", "h1", "password token secret"), ("RepairReadiness", "r1", "tion ing ed")]
-_TWO = [(d, i, p + " on in la") for d, i, p in _ONE]
+_TWO = [("Clarity", "c1", "house that the xyz qqq"), ("Clarity", "c2", "pour les vous der das"), ("Ambiguity", "a1", "und les des une qui"), ("Ambiguity", "a2", "copyright software license warranty notice"), ("HiddenReproducibility", "h1", "token email address secret phone"), ("RepairReadiness", "r1", "zzz yyy www ing ed")]
 
 
 def _words(p):
+    """What the judge reads of an item: its first five words of three letters or more."""
     import re
 
     return [w.lower() for w in re.findall(r"[a-zA-Z]{3,}", p)[:5]]

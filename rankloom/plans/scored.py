@@ -12,7 +12,8 @@ from ..operators import stats as S
 from .base import FEATURES, FEATURES_SQL, RANKS, TOOLS, features, flags_sql, query, ranks, table
 
 K = 10
-TASKS = {"any": "num_found > 0", **{t: f"found_{t}" for t in TOOLS}}
+#: What is scored: whether any of the tools finds a bug, and whether each of the first three does.
+TASKS = {"any": "num_found > 0", **{t: f"found_{t}" for t in TOOLS[:3]}}
 _TASK_SQL = " UNION ALL ".join(f"SELECT bug, '{t}' AS task, ({c})::INT AS y FROM flags" for t, c in TASKS.items())
 _HASH = lambda seed: f"(((bug + {seed})::HUGEINT * 2654435761) % 4294967296)::BIGINT"
 _FOLD = f"""feats AS ({FEATURES_SQL}), flags AS ({flags_sql(K)}), t0 AS ({_TASK_SQL}), t1 AS (SELECT *, {_HASH(42)} AS h FROM t0), t2 AS (SELECT *, (h // 65536) % 64 AS b FROM t1),
@@ -23,7 +24,8 @@ _MODELS = """m AS (SELECT x.*, model FROM x, (SELECT unnest([-1, 0, 1, 2, 3, 4])
  rk AS (SELECT task, model, feature, y, value, rank() OVER w + (count(*) OVER (PARTITION BY task, model, feature, value) - 1) / 2.0::DOUBLE AS ar FROM m WINDOW w AS (PARTITION BY task, model, feature ORDER BY value)),
  g AS (SELECT task, model, feature, sum(y)::DOUBLE AS n1, (count(*) - sum(y))::DOUBLE AS n2, sum(ar) FILTER (WHERE y = 1) AS r1, avg(value) AS mu, stddev_samp(value) AS sd FROM rk GROUP BY 1, 2, 3),
  w AS (SELECT task, model, feature, coalesce(2 * (r1 - n1 * (n1 + 1) / 2) / nullif(n1 * n2, 0) - 1, 0.0) AS delta, mu, CASE WHEN sd >= 1e-9 THEN sd ELSE 1.0 END AS sd FROM g)"""
-_SCORES = "sc AS (SELECT x.task, x.bug, y, fold, round(sum(delta * (value - mu) / sd), 9) AS score FROM x JOIN w ON w.task = x.task AND w.feature = x.feature AND w.model = x.fold WHERE abs(delta) >= 1e-9 GROUP BY 1, 2, 3, 4)"
+_RAW = "sc AS (SELECT x.task, x.bug, y, fold, sum(delta * (value - mu) / sd) AS score FROM x JOIN w ON w.task = x.task AND w.feature = x.feature AND w.model = x.fold WHERE abs(delta) >= 1e-9 GROUP BY 1, 2, 3, 4)"
+_SCORES = _RAW.replace("sum(delta * (value - mu) / sd) AS", "round(sum(delta * (value - mu) / sd), 9) AS")
 
 
 def _rows(spark, sf_dir):
@@ -34,15 +36,13 @@ def _rows(spark, sf_dir):
 
 
 def _params(x):
-    train = Z.for_training(x)
-    by = ["task", "model"]
-    return Z.delta_weights(train, by).join(Z.train_stats(train, by), [*by, "feature"])
+    return Z.fold_params(x, ["task"])
 
 
-def _scores(spark, sf_dir):
+def _scores(spark, sf_dir, places: int = 9):
     x = _rows(spark, sf_dir)
     s = Z.delta_scores(x.withColumn("model", F.col("fold")), _params(x), ["bug", "y", "fold"], ["task", "model"])
-    return s.select("task", "bug", "y", "fold", F.round("score", 9).alias("score"))
+    return s.select("task", "bug", "y", "fold", F.round("score", places).alias("score"))
 
 
 @query("stratified_folds", f"WITH {_FOLD} SELECT task, bug, y, fold FROM tasks")
@@ -55,9 +55,9 @@ def delta_weights(spark, sf_dir):
     return _params(_rows(spark, sf_dir)).select("task", "model", "feature", F.round("delta", 4).alias("delta"), F.round("mu", 6).alias("mu"), F.round("sd", 6).alias("sd"))
 
 
-@query("delta_score_cv", f"WITH {_FOLD}, {_MODELS}, {_SCORES} SELECT task, bug, y, fold, round(score, 6) AS score FROM sc")
+@query("delta_score_cv", f"WITH {_FOLD}, {_MODELS}, {_RAW} SELECT task, bug, y, fold, round(score, 6) AS score FROM sc")
 def delta_score_cv(spark, sf_dir):
-    return _scores(spark, sf_dir).withColumn("score", F.round("score", 6))
+    return _scores(spark, sf_dir, 6)
 
 
 @query("cv_auc_summary", f"""WITH {_FOLD}, {_MODELS}, {_SCORES},
@@ -79,19 +79,19 @@ def delta_stability(spark, sf_dir):
     return s.withColumns({c: F.round(c, 6) for c in ("fold_mean", "fold_std", "full")})
 
 
-@query("external_scores", f"WITH {_FOLD}, {_MODELS} SELECT task, bug, round(sum(delta * (value - mu) / sd), 6) AS score FROM long JOIN w USING (feature) WHERE model = -1 AND abs(delta) >= 1e-9 AND bug % 10 = 0 GROUP BY 1, 2")
+@query("external_scores", f"WITH {_FOLD}, {_MODELS} SELECT task, bug, round(sum(delta * (value - mu) / sd), 6) AS score FROM long JOIN w USING (feature) WHERE model = -1 AND abs(delta) >= 1e-9 GROUP BY 1, 2")
 def external_scores(spark, sf_dir):
-    """Reports that the weights were given for from outside, here every tenth order, scored by the tables of all rows."""
+    """All reports, as if from outside, scored by the tables of the model of all rows."""
     p = _params(_rows(spark, sf_dir)).filter("model = -1").drop("model")
-    ext = S.long_form(features(spark, sf_dir).filter("bug % 10 = 0"), ["bug"], FEATURES)
+    ext = S.long_form(features(spark, sf_dir), ["bug"], FEATURES)
     rows = ext.join(F.broadcast(p.filter(F.abs("delta") >= 1e-9)), "feature")
     return rows.groupBy("task", "bug").agg(F.round(F.sum(F.col("delta") * (F.col("value") - F.col("mu")) / F.col("sd")), 6).alias("score"))
 
 
-@query("out_of_fold_wide", f"WITH {_FOLD}, {_MODELS}, {_SCORES} SELECT bug, " + ", ".join(f"round(max(score) FILTER (WHERE task = '{t}'), 6) AS score_{t}, max(y) FILTER (WHERE task = '{t}') AS y_{t}" for t in TASKS) + " FROM sc GROUP BY bug")
+@query("out_of_fold_wide", f"WITH {_FOLD}, {_MODELS}, {_RAW} SELECT bug, " + ", ".join(f"round(max(score) FILTER (WHERE task = '{t}'), 6) AS score_{t}, max(y) FILTER (WHERE task = '{t}') AS y_{t}" for t in TASKS) + " FROM sc GROUP BY bug")
 def out_of_fold_wide(spark, sf_dir):
-    s = _scores(spark, sf_dir)
-    return s.groupBy("bug").agg(*[e for t in TASKS for e in (F.round(F.max(F.when(F.col("task") == t, F.col("score"))), 6).alias(f"score_{t}"), F.max(F.when(F.col("task") == t, F.col("y"))).alias(f"y_{t}"))])
+    s = _scores(spark, sf_dir, 6)
+    return s.groupBy("bug").agg(*[e for t in TASKS for e in (F.max(F.when(F.col("task") == t, F.col("score"))).alias(f"score_{t}"), F.max(F.when(F.col("task") == t, F.col("y"))).alias(f"y_{t}"))])
 
 
 @query("score_histogram", f"WITH {_FOLD}, {_MODELS}, {_SCORES} SELECT task, y, CASE WHEN score < -1 THEN 0 WHEN score >= 1 THEN 21 ELSE floor((score + 1) / 0.1::DOUBLE)::INT + 1 END AS bin, count(*)::BIGINT AS n FROM sc GROUP BY 1, 2, 3")
@@ -133,9 +133,9 @@ def heatmap_matrix(spark, sf_dir):
     return d.groupBy("feature").agg(*[cell(t).alias(t if t != "any" else "task_any") for t in TASKS])
 
 
-_TIERS = [["T1"], ["T1", "T2"], ["T1", "T2", "T3"]]
+_TIERS = [TOOLS[:1], TOOLS[:3], TOOLS]
 _WIDE = f"SELECT bug, {', '.join(f'''min(rank) FILTER (WHERE tool = '{t}') AS rank_{t}''' for t in TOOLS)} FROM ({RANKS}) GROUP BY bug"
-_BEST = f"SELECT bug, rank_T1 AS best_1, least(rank_T1, rank_T2) AS best_2, least(rank_T1, rank_T2, rank_T3) AS best_3 FROM ({_WIDE})"
+_BEST = f"SELECT bug, {', '.join(f"least({', '.join(f'rank_{t}' for t in ts)}) AS best_{i}" for i, ts in enumerate(_TIERS, 1))} FROM ({_WIDE})"
 
 
 def _best(spark, sf_dir):

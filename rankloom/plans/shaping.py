@@ -17,16 +17,16 @@ def split_and_repair_ids(spark, sf_dir):
     return c.select("c_custkey", *C.repair_keys("project", "bug_id"), C.normal_id("f").alias("normal"))
 
 
-@query("split_report_ids", "SELECT c_custkey, split_part(c_name, '#', 1) AS project, TRY_CAST(split_part(c_name, '#', 2) AS BIGINT) AS bug_id FROM customer")
+@query("split_report_ids", "SELECT c_custkey, c_mktsegment AS project, c_custkey::BIGINT AS bug_id FROM customer")
 def split_report_ids(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", *C.split_id(F.replace("c_name", F.lit("#"), F.lit("-"))))
+    return table(spark, sf_dir, "customer").select("c_custkey", *C.split_id(F.concat("c_mktsegment", F.lit("-"), "c_custkey")))
 
 
 _PIV = ", ".join(f"min(rank) FILTER (WHERE tool = '{t}') AS rank_{t}" for t in TOOLS)
 
 
 @query("merge_features_pivot", f"""WITH feats AS ({FEATURES_SQL}), p AS (SELECT bug, {_PIV} FROM ({RANKS}) GROUP BY bug), r AS (SELECT o_orderkey AS bug, o_totalprice AS o_totalprice_ratings, o_orderstatus FROM orders WHERE o_orderstatus = 'F')
- SELECT bug, o_totalprice, n_items, rank_T1, rank_T2, rank_T3, o_totalprice_ratings, o_orderstatus FROM feats LEFT JOIN p USING (bug) LEFT JOIN r USING (bug)""")
+ SELECT bug, o_totalprice, n_items, {', '.join(f'rank_{t}' for t in TOOLS)}, o_totalprice_ratings, o_orderstatus FROM feats LEFT JOIN p USING (bug) LEFT JOIN r USING (bug)""")
 def merge_features_pivot(spark, sf_dir):
     """Features, the pivoted ranks and a second table whose clashing column gets a suffix."""
     f = features(spark, sf_dir).select("bug", "o_totalprice", "n_items")
@@ -35,18 +35,18 @@ def merge_features_pivot(spark, sf_dir):
     return C.join_suffixed(C.join_suffixed(f, p, ["bug"], "_perf"), r, ["bug"], "_ratings")
 
 
-@query("pivot_max_zero_fill", "SELECT l_orderkey AS bug, " + ", ".join(f"coalesce(max(l_extendedprice) FILTER (WHERE l_linenumber = {i}), 0) AS price_T{i}" for i in (1, 2, 3)) + " FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1")
+@query("pivot_max_zero_fill", "SELECT l_orderkey AS bug, " + ", ".join(f"coalesce(max(l_extendedprice) FILTER (WHERE l_linenumber = {i}), 0) AS price_T{i}" for i in range(1, len(TOOLS) + 1)) + " FROM lineitem GROUP BY 1")
 def pivot_max_zero_fill(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("bug"), F.concat(F.lit("T"), "l_linenumber").alias("tool"), F.col("l_extendedprice").alias("price"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("bug"), F.concat(F.lit("T"), "l_linenumber").alias("tool"), F.col("l_extendedprice").alias("price"))
     return P.pivot_tools(li, ["bug"], TOOLS, {"price": "max"}, fill=0.0)
 
 
 _HOT = ("1-URGENT", "2-HIGH", "5-LOW")
 
 
-@query("onehot_topk", "SELECT o_orderkey, " + ", ".join(f"(o_orderpriority = '{v}')::INT AS prio_{v.lower().replace('-', '_')}" for v in _HOT) + f", (o_orderpriority NOT IN {_HOT})::INT AS prio__other__, 0 AS prio_is_missing FROM orders")
+@query("onehot_topk", "SELECT o_orderkey, " + ", ".join(f"coalesce(o_orderpriority = '{v}', false)::INT AS prio_{v.lower().replace('-', '_')}" for v in _HOT) + f", coalesce(o_orderpriority NOT IN {_HOT}, false)::INT AS prio__other__, (o_orderpriority IS NULL)::INT AS prio_is_missing FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN o_orderpriority END AS o_orderpriority FROM orders)")
 def onehot_topk(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderpriority")).alias("o_orderpriority"))
     return P.one_hot(o, "o_orderpriority", list(_HOT), "prio").drop("o_orderpriority")
 
 
@@ -57,10 +57,10 @@ def onehot_frequent(spark, sf_dir):
     return p.groupBy(F.col("p_brand").alias("value")).agg(F.count("*").alias("n")).filter("n >= 20")
 
 
-@query("multihot_concepts", "SELECT p_partkey, contains(p_type, 'STEEL')::INT AS c_steel, contains(p_type, 'BRASS')::INT AS c_brass, len(string_split(p_type, ' '))::INT AS c_count, 0 AS c_is_missing FROM part")
+@query("multihot_concepts", "SELECT p_partkey, list_contains(items, 'red')::INT AS c_red, list_contains(items, 'SMALL')::INT AS c_small, len(items)::INT AS c_count, (len(items) = 0)::INT AS c_is_missing FROM (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN [] WHEN 1 THEN string_split(p_name, ' ') ELSE string_split(p_name || ' ' || p_type, ' ') END AS items FROM part)")
 def multihot_concepts(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.split("p_type", " ").alias("items"))
-    return P.multi_hot(p, "items", ["STEEL", "BRASS"], "c").drop("items")
+    p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, F.array().cast("array<string>")).when(F.col("p_size") % 3 == 1, F.split("p_name", " ")).otherwise(F.split(F.concat("p_name", F.lit(" "), "p_type"), " ")).alias("items"))
+    return P.multi_hot(p, "items", ["red", "SMALL"], "c").drop("items")
 
 
 @query("vocabulary_frequency", "SELECT w AS item, count(*)::BIGINT AS n FROM (SELECT unnest(list_distinct(string_split(p_type, ' '))) AS w FROM part) GROUP BY 1 HAVING count(*) >= 30")
@@ -132,7 +132,7 @@ def scaling_parameters(spark, sf_dir):
 @query("nan_median_fill", f"WITH p AS (SELECT bug, {_PIV} FROM ({RANKS}) GROUP BY bug) SELECT bug, coalesce(rank_T1::DOUBLE, (SELECT median(rank_T1) FROM p)) AS rank_T1, coalesce(rank_T2::DOUBLE, (SELECT median(rank_T2) FROM p)) AS rank_T2, coalesce(rank_T3, 0) AS rank_T3 FROM p")
 def nan_median_fill(spark, sf_dir):
     w = P.pivot_tools(ranks(spark, sf_dir), ["bug"], TOOLS, {"rank": "min"}).withColumns({c: F.col(c).cast("double") for c in ("rank_T1", "rank_T2")})
-    return P.fill_missing(w, ["rank_T1", "rank_T2"], ["rank_T3"])
+    return P.fill_missing(w.select("bug", "rank_T1", "rank_T2", "rank_T3"), ["rank_T1", "rank_T2"], ["rank_T3"])
 
 
 @query("low_variance_filter", f"WITH feats AS ({FEATURES_SQL}) SELECT feature FROM ({LONG_SQL}) GROUP BY feature HAVING count(DISTINCT value) < 5 OR stddev_samp(value) < 0.01 OR var_samp(value) < 0.001")
@@ -163,10 +163,12 @@ def prefer_raw_values(spark, sf_dir):
     return features(spark, sf_dir).select("bug", F.coalesce(F.when(F.col("n_items") > 3, F.col("sum_price")), F.col("o_totalprice")).alias("value"))
 
 
-@query("feature_group_values", "SELECT o_orderstatus AS status, 'price' AS grp, count(o_totalprice)::BIGINT AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
+_GROUPS = {"o_totalprice": "price", "sum_price": "price", "avg_discount": "rate", "avg_tax": "rate", "n_items": "size"}
+
+
+@query("feature_group_values", f"WITH feats AS ({FEATURES_SQL}) SELECT project, CASE feature {' '.join(f'WHEN {chr(39)}{f}{chr(39)} THEN {chr(39)}{g}{chr(39)}' for f, g in _GROUPS.items())} END AS grp, count(value)::BIGINT AS n, round(avg(value), 4) AS mean FROM ({LONG_SQL}) GROUP BY 1, 2")
 def feature_group_values(spark, sf_dir):
     """Values under display groups, by a small spec that is joined to the long form."""
-    o = table(spark, sf_dir, "orders")
-    spec = spark.createDataFrame([("o_totalprice", "price")], "feature string, grp string")
-    long = S.long_form(o, ["o_orderkey", "o_orderstatus"], ["o_totalprice"]).join(F.broadcast(spec), "feature")
-    return long.groupBy(F.col("o_orderstatus").alias("status"), "grp").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    spec = spark.createDataFrame(list(_GROUPS.items()), "feature string, grp string")
+    long = S.long_form(features(spark, sf_dir), ["bug", "project"], FEATURES).join(F.broadcast(spec), "feature")
+    return long.groupBy("project", "grp").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))

@@ -185,3 +185,18 @@ def test_vectors(spark):
     assert abs(r["a"] - 1 / 3) < 1e-12 and r["b"] == 0.0
     e = {x.g: x.semantic_entropy for x in V.semantic_diversity(d, "g", "v").collect()}
     assert e["b"] == 0.0 and math.isfinite(e["a"])
+
+
+def test_fold_params_are_those_of_rows_for_each_model(spark):
+    import random
+
+    from rankloom.operators import scoring as Z
+
+    rng = random.Random(3)
+    rows = [(t, i, int(rng.random() < 0.4), rng.randrange(5), f, None if rng.random() < 0.05 else float(rng.randint(0, 12)) + (f == "b") * rng.random()) for t in "xy" for i in range(150) for f in "ab"]
+    rows += [("z", i, 1, i, "a", 3.0) for i in range(5)]  # one class, no spread
+    d = spark.createDataFrame(rows, "task string, bug int, y int, fold int, feature string, value double").filter("value is not null")
+    train, by = Z.for_training(d), ["task", "model"]
+    want = {tuple(r)[:3]: tuple(r)[3:] for r in Z.delta_weights(train, by).join(Z.train_stats(train, by), [*by, "feature"]).select("task", "model", "feature", "delta", "mu", "sd").collect()}
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in Z.fold_params(d, ["task"]).select("task", "model", "feature", "delta", "mu", "sd").collect()}
+    assert set(got) == set(want) and all(abs(a - b) < 1e-9 for k in want for a, b in zip(got[k], want[k], strict=True))
