@@ -23,14 +23,14 @@ _ENDS = (
 
 
 def _reports(spark, sf_dir, name="documents", key="doc_id", text="text"):
-    """Texts with their ends; every seventh is blank."""
+    """Whole texts, each with its end behind it."""
     end = F.element_at(F.array(*map(F.lit, _ENDS)), (F.col(key) % len(_ENDS) + 1).cast("int"))
-    return table(spark, sf_dir, name).select(key, F.when(F.col(key) % 7 == 6, F.lit("  ")).otherwise(F.concat(text, end)).alias("text"))
+    return table(spark, sf_dir, name).select(key, F.concat(text, end).alias("text"))
 
 
 def _reports_sql(name="documents", key="doc_id", text="text") -> str:
     ends = ", ".join("E'" + e.replace("\n", "\\n") + "'" for e in _ENDS)
-    return f"(SELECT {key}, CASE WHEN {key} % 7 = 6 THEN '  ' ELSE {text} || ([{ends}])[({key} % {len(_ENDS)} + 1)::INT] END AS text FROM {name})"
+    return f"(SELECT {key}, {text} || ([{ends}])[({key} % {len(_ENDS)} + 1)::INT] AS text FROM {name})"
 
 
 def _docs(spark, sf_dir):
