@@ -81,5 +81,11 @@ def op10_token_counts(spark, sf_dir):
     return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_source_mix, op2_near_duplicates, op3_token_planes, op4_line_dedup, op5_decontamination, op6_transport_streams, op7_toxicity, op8_quality, op9_secret_scan, op10_token_counts)}
+def op13_keyed_upsert(spark, sf_dir):
+    from .upsert import upsert_clients
+
+    return upsert_clients(_table(spark, sf_dir, "clients"), _table(spark, sf_dir, "client_changes"))
+
+
+QUERIES = {f.__name__: f for f in (op1_source_mix, op2_near_duplicates, op3_token_planes, op4_line_dedup, op5_decontamination, op6_transport_streams, op7_toxicity, op8_quality, op9_secret_scan, op10_token_counts, op13_keyed_upsert)}
 ORACLES: dict[str, str] = {"op1_source_mix": MIX_SQL, "op4_line_dedup": LINES_SQL}
