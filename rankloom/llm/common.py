@@ -66,6 +66,23 @@ def stored(df: DataFrame, name: str, compression: str = "uncompressed") -> DataF
     return out
 
 
+def numbered(df: DataFrame, order: list, at: str, name: str) -> tuple[DataFrame, int]:
+    """``df`` sorted by ``order`` as a stored table with each row's place from 0 in column ``at``, and the number of rows.
+
+    The sort's partitions are counted; a row's place is its place in its partition behind the rows of the partitions before.
+    """
+    placed = stored(df.sort(*order).withColumn(at, F.monotonically_increasing_id()), name, compression="zstd")
+    part = F.shiftright(at, 33).cast("int")
+    counts = {r.part: r.n for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    before, total = [], 0
+    for p in range(max(counts, default=-1) + 1):
+        before.append(total)
+        total += counts.get(p, 0)
+    out = placed.withColumn(at, F.get(F.array(*map(F.lit, before or [0])), part) + F.col(at).bitwiseAND((1 << 33) - 1))
+    out._scratch = placed._scratch
+    return out, total
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables that :func:`stored` made, once all that was read from them is stored in turn."""
     for df in tables:

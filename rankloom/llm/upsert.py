@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, parts_of, scratch_path, small, stored, tidy
+from .common import dropped, free, numbered, parts_of, scratch_path, small, stored, tidy
 
 #: Ids whose newest change a task holds before the shuffle; beyond, what it holds goes out and is folded again behind it.
 KEPT = 50_000
@@ -47,27 +47,12 @@ def _write_files(df: DataFrame, file: str, n: int, order: list[str], columns: li
 
 
 def write_sorted(df: DataFrame, key: str, folder: str, rows: int) -> None:
-    """Write ``df``, sorted by ``key``, as files of ``rows`` rows, the last with the rest; rows with a null key are left out.
-
-    The sort's partitions are counted, and the exact place of a row follows from the rows of the partitions before its own.
-    """
-    order = _order(df, key)
-    at = "at"
-    while at in (lower := {c.lower() for c in df.columns}):
-        at += "_"
-    placed = stored(df.filter(F.col(f"`{key}`").isNotNull()).sort(*order).withColumn(at, F.monotonically_increasing_id()), "sorted", compression="zstd")
-    part = F.shiftright(at, 33).cast("int")
-    counts = {r.part: r.n for r in placed.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
-    before, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        before.append(total)
-        total += counts.get(p, 0)
+    """Write ``df``, sorted by ``key``, as files of ``rows`` rows, the last with the rest; rows with a null key are left out."""
+    order, at = _order(df, key), free(df, "at")
+    placed, total = numbered(df.filter(F.col(f"`{key}`").isNotNull()), order, at, "sorted")
     if total:
-        file = "file"
-        while file in lower | {at}:
-            file += "_"
-        place = F.get(F.array(*map(F.lit, before)), part) + F.col(at).bitwiseAND((1 << 33) - 1)
-        _write_files(placed.withColumn(file, F.floor(place / rows).cast("int")), file, -(-total // rows), order, df.columns, folder)
+        file = free(placed, "file")
+        _write_files(placed.withColumn(file, F.floor(F.col(at) / rows).cast("int")), file, -(-total // rows), order, df.columns, folder)
     dropped(placed)
 
 
