@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import vectors as V
 from ..sources import reports as X
 from ..sources import tables as T
@@ -54,6 +55,41 @@ def resume_union(spark, sf_dir):
     return R.resume(o, done, "o_orderkey", lambda d: d.select("o_orderkey", F.lit("new").alias("source")))
 
 
+def _event_files(spark, sf_dir):
+    """Two lots of files for a stream: the second sends part of the first again."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    again = e.filter(F.col("event_type") == "click")
+    return e.filter("event_id % 2 = 0").unionByName(again), e.filter("event_id % 2 = 1").unionByName(again)
+
+
+@query("process_once_stream", "SELECT event_id, user_id, event_type, CASE WHEN value IS NULL OR value <= 0 THEN 'failed' ELSE 'ok' END AS status FROM events")
+def process_once_stream(spark, sf_dir):
+    """Events that arrive in two lots, part of them twice, annotated once each by a stream that is started again from its checkpoint."""
+    src, out, mark = (scratch.folder(spark, f"stream-{x}") for x in ("source", "out", "checkpoint"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def annotate(batch):
+        scored = batch.withColumn("score", F.when(F.col("value") > 0, F.log("value")))
+        return R.with_status(scored, "score").drop("score", "value")
+
+    for lot in _event_files(spark, sf_dir):
+        lot.repartition(parts).write.mode("append").parquet(src)
+        source = spark.readStream.schema(lot.schema).parquet(src)
+        R.annotate_stream(source, "event_id", annotate, out, mark).awaitTermination()
+    return T.read_batches(spark, out)
+
+
+@query("run_counters", "SELECT batch::INT AS batch, count(*)::BIGINT AS processed, count(*) FILTER (WHERE p_brand = 'Brand#13')::BIGINT AS skipped, count(*) FILTER (WHERE p_size < 5 AND p_brand <> 'Brand#13')::BIGINT AS failed FROM (SELECT *, p_partkey % 4 AS batch FROM part) GROUP BY 1")
+def run_counters(spark, sf_dir):
+    """A run in four batches whose last two are tried again: counts that Spark observes while it writes, one row for each batch all the same."""
+    out, log = scratch.folder(spark, "run"), scratch.folder(spark, "run-log")
+    p = table(spark, sf_dir, "part").withColumn("status", F.when(F.col("p_brand") == "Brand#13", "skipped").when(F.col("p_size") < 5, "failed").otherwise("ok"))
+    counters = {"processed": F.count(F.lit(1)), "skipped": F.count_if(F.col("status") == "skipped"), "failed": F.count_if(F.col("status") == "failed")}
+    for b in (0, 1, 2, 3, 2, 3):
+        T.append_once(p.filter(F.col("p_partkey") % 4 == b).select("p_partkey", "status"), out, "first", b, counters, log)
+    return spark.read.parquet(log).select(F.col("batch").cast("int"), "processed", "skipped", "failed")
+
+
 @query("functional_gate_semi", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def functional_gate_semi(spark, sf_dir):
     allowed = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,6 +82,28 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.select(*[F.to_json(c).alias(c) if c in nested else F.col(c) for c in df.columns]).write.mode("append").parquet(path)
 
 
+def append_once(df: DataFrame, path: str, run: str, batch: int, counters: dict[str, Column] | None = None, log: str | None = None) -> dict[str, int]:
+    """Write ``df`` as batch ``batch`` of ``run``, in the place of what an earlier try of it left, so a retry adds nothing twice.
+
+    ``counters`` are aggregates that Spark observes in the pass that writes; they are returned and, with ``log``, written as the row of this
+    run and batch, again in the place of an earlier one. The table reads without the columns ``run`` and ``batch`` through :func:`read_batches`.
+    """
+    seen = Observation() if counters else None
+    if seen is not None:
+        df = df.observe(seen, *[e.alias(n) for n, e in counters.items()])
+    at = f"run={run}/batch={batch}"
+    df.write.mode("overwrite").parquet(f"{path}/{at}")
+    counts = {n: int(v or 0) for n, v in seen.get.items()} if seen is not None else {}
+    if log is not None and counts:
+        df.sparkSession.createDataFrame([tuple(counts.values())], ", ".join(f"{n} long" for n in counts)).coalesce(1).write.mode("overwrite").parquet(f"{log}/{at}")
+    return counts
+
+
+def read_batches(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`append_once` has written, without its run and batch."""
+    return spark.read.parquet(path).drop("run", "batch")
+
+
 def write_table(df: DataFrame, path: str, form: str = "parquet") -> None:
     writer = df.write.mode("overwrite")
     writer.option("header", True).csv(path) if form == "csv" else writer.format(form).save(path)

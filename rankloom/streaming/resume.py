@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..sources.tables import append_once
+
 
 def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Items whose key isn't in ``done`` yet."""
@@ -31,24 +33,22 @@ def with_status(annotated: DataFrame, required: str, default: str | None = None)
     return out.withColumn(required, F.coalesce(required, F.lit(default))) if default is not None else out
 
 
-def annotate_stream(source: DataFrame, key: str, annotate: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append ``annotate(batch)`` of a stream to the Parquet table ``out``, every key once.
+def annotate_stream(source: DataFrame, key: str | list[str], annotate: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, log: str | None = None, run: str = "stream", failed: Column | None = None, once: bool = True) -> StreamingQuery:
+    """Write ``annotate(batch)`` of a stream to the table ``out``, every key once, over restarts too.
 
-    Keys that ``out`` holds are skipped, so a batch that is replayed after a failure writes nothing twice. With ``once`` the
-    query ends when it has read what is there.
+    Which keys were there is state of the query, kept in its checkpoint by Spark's state store and dealt by key; ``out`` is never
+    read, so a batch costs what it holds, not what was done before. A batch is a folder of ``out`` (:func:`append_once`): one that is replayed
+    after a failure takes its own place again. A null key is a key like another. Of rows that share a key within a batch any one may
+    stay; make ``source`` alike in them, or order them before. With ``log``, counts of each batch go beside it: ``processed`` and, where
+    ``failed`` says of an annotated row that it is, ``failed``. With ``once`` the query ends when it has read what is there.
     """
+    counters = {"processed": F.count(F.lit(1)), "failed": F.count_if(failed if failed is not None else F.lit(False))}
+
+    def put(batch: DataFrame, number: int) -> None:
+        append_once(annotate(batch), out, run, number, counters if log else None, log)
 
-    def put(batch: DataFrame, _: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        spark = batch.sparkSession
-        try:
-            fresh = pending(fresh, spark.read.parquet(out), key)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        annotate(fresh).write.mode("append").parquet(out)
-
-    writer = source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    fresh = source.dropDuplicates([key] if isinstance(key, str) else key)
+    writer = fresh.writeStream.foreachBatch(put).outputMode("append").option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

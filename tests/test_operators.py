@@ -170,13 +170,56 @@ def test_resume_and_stream(spark, tmp_path):
     run()
     spark.createDataFrame([(2,), (3,)], "id int").write.mode("append").parquet(src)
     run()
-    assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [(1, 10), (2, 20), (3, 30)]
+    assert sorted(tuple(r) for r in tables.read_batches(spark, out).collect()) == [(1, 10), (2, 20), (3, 30)]
     done = spark.createDataFrame([(1, "old")], "id int, s string")
     items = spark.createDataFrame([(1,), (2,)], "id int")
     r = resume.resume(items, done, "id", lambda d: d.withColumn("s", F.lit("new"))).collect()
     assert sorted(tuple(x) for x in r) == [(1, "old"), (2, "new")]
 
 
+def test_stream_state_and_replayed_batches(spark, tmp_path):
+    src, out, mark, log = (str(tmp_path / x) for x in ("src", "out", "mark", "log"))
+    broken = {"times": 1}
+
+    def annotate(batch):
+        if broken["times"] and batch.filter("id = 4").count():
+            broken["times"] -= 1
+            tables.append_once(batch, out, "stream", 1)  # written, then lost before the batch is committed
+            raise ValueError("lost")
+        return batch.withColumn("status", F.when(F.col("id") % 2 == 0, "failed").otherwise("ok"))
+
+    def run():
+        q = resume.annotate_stream(spark.readStream.schema("id int").parquet(src), "id", annotate, out, mark, log=log, failed=F.col("status") == "failed")
+        try:
+            q.awaitTermination()
+        except Exception as e:
+            assert "lost" in str(e)
+
+    put = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id int").coalesce(1).write.mode("append").parquet(src)
+    put(1, 2, None, 2)
+    run()
+    put(2, 3, 4, None)
+    run()
+    run()
+    run()
+    got = sorted((r.id or 0, r.status) for r in tables.read_batches(spark, out).collect())
+    assert got == [(0, "ok"), (1, "ok"), (2, "failed"), (3, "ok"), (4, "failed")] and not broken["times"]
+    counts = spark.read.parquet(log)
+    assert tuple(counts.agg(F.sum("processed"), F.sum("failed")).first()) == (5, 2) and counts.select("batch").distinct().count() == counts.count()
+
+
+def test_append_once(spark, tmp_path):
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
+    d = spark.range(10).select("id", F.when(F.col("id") % 4 > 0, F.col("id")).alias("x"))
+    for _ in range(2):
+        for b in (0, 1):
+            c = tables.append_once(d.filter(F.col("id") % 2 == b), out, "r1", b, {"processed": F.count("*"), "failed": F.count_if(F.col("x").isNull())}, log)
+            assert c == {"processed": 5, "failed": 3 if b == 0 else 0}
+    tables.append_once(d.filter("id < 0"), out, "r2", 0, {"processed": F.count("*"), "failed": F.count_if(F.col("x").isNull())}, log)
+    assert sorted(r.id for r in tables.read_batches(spark, out).collect()) == list(range(10))
+    assert sorted((r.run, r.batch, r.processed, r.failed) for r in spark.read.parquet(log).collect()) == [("r1", 0, 5, 3), ("r1", 1, 5, 0), ("r2", 0, 0, 0)]
+
+
 def test_vectors(spark):
     from rankloom.functions import vectors as V
 
