@@ -146,44 +146,3 @@ def fill_missing(df: DataFrame, by_median: list[str], by_zero: list[str]) -> Dat
     d = df.crossJoin(F.broadcast(med)) if med is not None else df
     fill = {c: F.coalesce(F.col(c), F.col(f"__f_{c}"), F.lit(0.0)) for c in by_median} | {c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in by_zero}
     return d.select(*[fill[c].alias(c) if c in fill else F.col(c) for c in df.columns])
-
-
-def constant_columns(df: DataFrame, columns: list[str], distinct: int = 5, std: float = 0.01, var: float = 0.001) -> list[str]:
-    """Columns of fewer than ``distinct`` values or that hardly vary."""
-    row = df.agg(*[e for i, c in enumerate(columns) for e in (F.count_distinct(c).alias(f"n{i}"), F.stddev_samp(c).alias(f"s{i}"), F.var_samp(c).alias(f"v{i}"))]).first()
-    return [c for i, c in enumerate(columns) if row[f"n{i}"] < distinct or (row[f"s{i}"] or 0) < std or (row[f"v{i}"] or 0) < var]
-
-
-def clusters(names: list[str], rho: dict[tuple[str, str], float], apart: float = 0.05) -> list[list[str]]:
-    """Average-linkage clusters at distance 1 - |rho| of at most ``apart``; a pair that is missing is 1 apart. Columns are few, so this runs on the driver."""
-    d = lambda a, b: 1 - abs(rho.get((min(a, b), max(a, b)), 0.0))
-    groups = [[n] for n in sorted(names)]
-    while len(groups) > 1:
-        gap, i, j = min((sum(d(a, b) for a in g for b in h) / (len(g) * len(h)), i, j) for i, g in enumerate(groups) for j, h in enumerate(groups) if i < j)
-        if gap > apart:
-            break
-        groups[i] = sorted(groups[i] + groups.pop(j))
-    return groups
-
-
-def prune(df: DataFrame, columns: list[str], key: str, same: float = 0.999, apart: float = 0.05) -> list[tuple[str, str]]:
-    """(stage, column) of what goes: constant columns, copies of an earlier column, and all but one of each cluster of correlated ones.
-
-    The one that stays varies most, missing values counted against it. Correlations come from one Spark job.
-    """
-    from .stats import long_form, spearman_matrix
-
-    gone = [("constant", c) for c in constant_columns(df, columns)]
-    live = [c for c in columns if ("constant", c) not in gone]
-    rho = {(r.feature_a, r.feature_b): r.rho or 0.0 for r in spearman_matrix(long_form(df, [key], live), key).collect()} if len(live) > 1 else {}
-    for i, b in enumerate(live):
-        if any(("duplicate", a) not in gone and rho.get((min(a, b), max(a, b)), 0) >= same for a in live[:i]):
-            gone.append(("duplicate", b))
-    live = [c for c in live if ("duplicate", c) not in gone]
-    if live:
-        row = df.agg(F.count("*").alias("n"), *[e for i, c in enumerate(live) for e in (F.var_samp(c).alias(f"v{i}"), F.count(c).alias(f"k{i}"))]).first()
-        worth = {c: (row[f"v{i}"] or 0.0) * row[f"k{i}"] / max(1, row["n"]) for i, c in enumerate(live)}
-        for g in clusters(live, rho, apart):
-            stay = max(g, key=lambda c: (worth[c], c))
-            gone += [("correlated", c) for c in g if c != stay]
-    return gone

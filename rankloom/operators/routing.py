@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import scratch
 from .scoring import spread_key
+from .stats import meet, quantiles
 
 
 def tier_best_rank(wide: DataFrame, tiers: list[list[str]], prefix: str = "rank_") -> DataFrame:
@@ -21,8 +23,8 @@ def cutoffs(train_scores: DataFrame, by: list[str], splits: list[tuple[int, int]
 
     All of tier 1 at 100 and none of tier 3 at 0 are infinite cutoffs."""
     wanted = sorted({1 - a / 100 for a, _ in splits} | {b / 100 for _, b in splits})
-    p = train_scores.groupBy(*by).agg(F.expr(f"percentile({score}, array({', '.join(f'{x}D' for x in wanted)}))").alias("_p"))
-    at = lambda q: F.element_at("_p", wanted.index(q) + 1)
+    p = quantiles(train_scores, by, score, {f"_{i}": q for i, q in enumerate(wanted)})
+    at = lambda q: F.col(f"_{wanted.index(q)}")
     rows = [F.struct(F.lit(f"{a}/{b}").alias("split"), F.lit(a).alias("tier1"), F.lit(b).alias("tier3"), (F.lit(float("-inf")) if a == 100 else at(1 - a / 100)).alias("high"), (F.lit(float("-inf")) if b == 0 else at(b / 100)).alias("low")) for a, b in splits]
     return p.select(*by, F.explode(F.array(*rows)).alias("r")).select(*by, "r.*")
 
@@ -33,12 +35,20 @@ def route(scores: DataFrame, cuts: DataFrame, by: list[str], score: str = "score
     return scores.join(F.broadcast(cuts), by).withColumn("tier", tier)
 
 
-def random_route(routed: DataFrame, by: list[str], key: str, seed: int = 7) -> DataFrame:
-    """Tiers of the same sizes for each group of ``by``, dealt by a hash of the key."""
-    w = W.partitionBy(*by)
-    n1, n2 = F.count_if(F.col("tier") == 1).over(w), F.count_if(F.col("tier") == 2).over(w)
-    i = F.row_number().over(w.orderBy(spread_key(F.col(key), seed), key))
-    return routed.withColumn("random_tier", F.when(i <= n1, 1).when(i <= n1 + n2, 2).otherwise(3))
+def random_route(routed: DataFrame, by: list[str], key: str, seed: int = 7, prefixes: int = 256) -> DataFrame:
+    """Tiers of the same sizes for each group of ``by``, dealt in the order of a hash of the key, ties by the key.
+
+    Rows are counted by the hash's prefix, which places each prefix among the sizes; a row's place is that of its prefix and its place in it,
+    so windows see a prefix, not a group. ``routed`` is written once, as it is read twice.
+    """
+    h = spread_key(F.col(key), seed)
+    rows = scratch.stored(routed.withColumns({"_h": h, "_p": F.floor(h / (4294967296 / prefixes)).cast("int")}), "routed")
+    n = rows.groupBy(*by, "_p").agg(F.count("*").alias("_c"), F.count_if(F.col("tier") == 1).alias("_1"), F.count_if(F.col("tier") == 2).alias("_2"))
+    all_, lower = W.partitionBy(*by), W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    n = n.select(*by, "_p", F.coalesce(F.sum("_c").over(lower), F.lit(0)).alias("_from"), F.sum("_1").over(all_).alias("_1"), F.sum("_2").over(all_).alias("_2"))
+    i = F.col("_from") + F.row_number().over(W.partitionBy(*by, "_p").orderBy("_h", key))
+    tier = F.when(i <= F.col("_1"), 1).when(i <= F.col("_1") + F.col("_2"), 2).otherwise(3)
+    return meet(rows, n, [*by, "_p"], few=True).withColumn("random_tier", tier).drop("_h", "_p", "_from", "_1", "_2")
 
 
 def rank_of_tier(tier: Column) -> Column:

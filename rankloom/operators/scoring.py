@@ -56,10 +56,8 @@ def fold_params(long: DataFrame, by: list[str], y: str = "y", n: int = 5, full:
     """
     keys = [*by, "feature"]
     fold, hit = F.col("fold"), F.col(y) == 1
-    counts = [e for f in range(n) for e in (F.count_if(fold == f).cast("double").alias(f"_c{f}"), F.count_if((fold == f) & hit).cast("double").alias(f"_p{f}"))]
-    each = long.groupBy(*keys, "value").agg(*counts)
-    below = W.partitionBy(*keys).orderBy("value").rowsBetween(W.unboundedPreceding, -1)
-    each = each.withColumns({f"_l{f}": F.coalesce(F.sum(f"_c{f}").over(below), F.lit(0.0)) for f in range(n)})
+    counts = {k: F.coalesce(e, F.lit(False)).cast("int") for f in range(n) for k, e in ((f"_c{f}", fold == f), (f"_p{f}", (fold == f) & hit))}
+    each = S.value_ranks(long, keys, "value", counts).withColumnsRenamed({f"before__c{f}": f"_l{f}" for f in range(n)})
     models = [full, *range(n)]
     sums = []
     for k, m in enumerate(models):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions.tails import correlation_p, mann_whitney_p
 
 
@@ -15,29 +16,59 @@ def long_form(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     return cast.unpivot(keys, features, "feature", "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def value_ranks(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], spread: bool = False) -> DataFrame:
-    """One row for each distinct value of a group, with ``sums`` over its rows, ``c`` (their number), ``low`` (rows below) and ``avg_rank``.
+def meet(left: DataFrame, right: DataFrame, on: list[str], few: bool = False) -> DataFrame:
+    """Inner join on columns of the same name, where null is a value like another; ``few``: the right side has a bounded number of rows and may be broadcast."""
+    right = F.broadcast(right) if few else right
+    if not on:
+        return left.crossJoin(right)  # one row
+    right = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    same = F.lit(True)
+    for c in on:
+        same &= left[c].eqNullSafe(right[f"_r_{c}"])
+    return left.join(right, same).drop(*[f"_r_{c}" for c in on])
 
-    Ties meet before the shuffle, so what a window sees is distinct values. With ``spread`` no task holds a whole group:
-    values are dealt by ranges, ranked in their range, and lifted by what lies in lower ranges of their group (one row for
-    each group and range).
+
+def value_ranks(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], weight: Column | None = None, few: bool = True) -> DataFrame:
+    """One row for each distinct value of a group: ``c`` (its rows, or their weight) and ``sums``, and of each of them before_ (over lower values) and all_ (over the group).
+
+    ``avg_rank`` is the average rank, ties sharing it. No task holds a group: distinct values meet first, with their sums, in a table that is written at once, as
+    it is read three times; a sketch of them parts each group into ranges of about equal size; sums of the ranges give what lies below a range, and a window sees
+    the values of one range only. There are about as many ranges as shuffle partitions; where they are cut changes no result.
+    Groups are comparisons by features, so a row for each of their ranges is broadcast; say ``few=False`` if ``by`` holds a key of the data.
     """
-    each = df.groupBy(*by, value).agg(F.count("*").cast("double").alias("c"), *[F.sum(e).cast("double").alias(n) for n, e in sums.items()])
-    if not spread:
-        w = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-        out = each.withColumn("low", F.coalesce(F.sum("c").over(w), F.lit(0.0)))
-    else:
-        each = each.repartitionByRange(*by, value).withColumn("_part", F.spark_partition_id()).persist()
-        parts = each.groupBy(*by, "_part").agg(F.sum("c").alias("_n"))
-        before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-        lift = parts.select(*[F.col(b).alias("_" + b) for b in by], F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(before), F.lit(0.0)).alias("_lift"))
-        same = F.col("_part") == F.col("_p")
-        for b in by:
-            same &= F.col(b).eqNullSafe(F.col("_" + b))
-        w = W.partitionBy(*by, "_part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-        out = each.join(lift, same).withColumn("low", F.coalesce(F.sum("c").over(w), F.lit(0.0)) + F.col("_lift"))
-        out = out.drop("_part", "_p", "_lift", *["_" + b for b in by])
-    return out.withColumn("avg_rank", F.col("low") + (F.col("c") + 1) / 2)
+    cols = {"c": F.count("*") if weight is None else F.sum(weight), **{n: F.sum(e) for n, e in sums.items()}}
+    each = scratch.stored(df.groupBy(*by, value).agg(*[e.cast("double").alias(n) for n, e in cols.items()]), "values")
+    ranges = min(256, max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cut = F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts")
+    whole = each.groupBy(*by).agg(cut, *[F.sum(n).alias(f"all_{n}") for n in cols])
+    each = meet(each, whole, by, few).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    lower = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    parts = each.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_p_{n}") for n in cols])
+    parts = parts.select(*by, "_range", *[F.coalesce(F.sum(f"_p_{n}").over(lower), F.lit(0.0)).alias(f"_b_{n}") for n in cols])
+    within = W.partitionBy(*by, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    out = meet(each, parts, [*by, "_range"], few)
+    out = out.withColumns({f"before_{n}": F.coalesce(F.sum(n).over(within), F.lit(0.0)) + F.col(f"_b_{n}") for n in cols})
+    return out.drop("_range", *[f"_b_{n}" for n in cols]).withColumn("avg_rank", F.col("before_c") + (F.col("c") + 1) / 2)
+
+
+def _at(value: Column, place: Column, before: Column, c: Column) -> Column:
+    """The value at a place (from 0) of a group in order, as an aggregate over the rows of :func:`value_ranks`."""
+    return F.max(F.when((before <= place) & (place < before + c), value.cast("double")))
+
+
+def _quantile(value: Column, q: float, before: Column, c: Column, all_: Column) -> Column:
+    """The quantile ``q`` with linear interpolation, as an aggregate over the rows of :func:`value_ranks`."""
+    place = (all_ - 1) * q
+    low, high = F.floor(place), F.ceil(place)
+    between = F.max(place - low)  # the same in all rows of a group
+    return F.when(between > 0, (1 - between) * _at(value, low, before, c) + between * _at(value, high, before, c)).otherwise(_at(value, low, before, c))
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, float]) -> DataFrame:
+    """Exact quantiles of each group, by name, of the values that are there; no task holds a group's values."""
+    d = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    r = value_ranks(d, by, value, {})
+    return r.groupBy(*by).agg(*[_quantile(F.col(value), q, F.col("before_c"), F.col("c"), F.col("all_c")).alias(n) for n, q in wanted.items()])
 
 
 def effect_label(delta: Column) -> Column:
@@ -45,19 +76,19 @@ def effect_label(delta: Column) -> Column:
     return F.when(d.isNull(), None).when(d < 0.147, "negligible").when(d < 0.33, "small").when(d < 0.474, "medium").otherwise("large")
 
 
-def two_groups(df: DataFrame, by: list[str], value: str = "value", first: str = "is_first", spread: bool = False, empty: float | None = None) -> DataFrame:
+def two_groups(df: DataFrame, by: list[str], value: str = "value", first: str = "is_first", empty: float | None = None) -> DataFrame:
     """Compare rows where the boolean ``first`` is true with the others, in each group of ``by``.
 
     Returns by, n1, n2, median1, median2, mean1, mean2, u (of the first), ties (sum of t^3 - t), z and delta (Cliff's).
     Where one side is empty, u and z are null and delta is ``empty``.
     """
     d = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    r = value_ranks(d, by, value, {"c1": F.col(first).cast("int")}, spread).withColumn("c2", F.col("c") - F.col("c1"))
+    r = value_ranks(d, by, value, {"c1": F.col(first).cast("int")})
+    r = r.withColumns({f"{x}c2": F.col(f"{x}c") - F.col(f"{x}c1") for x in ("", "before_", "all_")})
     out = r.groupBy(*by).agg(
         F.sum("c1").cast("long").alias("n1"),
         F.sum("c2").cast("long").alias("n2"),
-        F.expr(f"percentile({value}, 0.5, cast(c1 as bigint))").alias("median1"),
-        F.expr(f"percentile({value}, 0.5, cast(c2 as bigint))").alias("median2"),
+        *[_quantile(F.col(value), 0.5, F.col(f"before_{c}"), F.col(c), F.col(f"all_{c}")).alias(n) for n, c in (("median1", "c1"), ("median2", "c2"))],
         F.try_divide(F.sum(F.col("c1") * F.col(value)), F.sum("c1")).alias("mean1"),
         F.try_divide(F.sum(F.col("c2") * F.col(value)), F.sum("c2")).alias("mean2"),
         F.sum(F.col("c1") * F.col("avg_rank")).alias("r1"),
@@ -93,31 +124,17 @@ def significant(df: DataFrame, least_delta: float = 0.2) -> DataFrame:
     return df.withColumns({"abs_delta": F.abs("delta"), "practically_significant": F.col("reject") & (F.abs("delta") >= least_delta)})
 
 
-def average_ranks(df: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
-    """Rows with the average rank of their value in the group."""
-    w = W.partitionBy(*by)
-    tied = F.count("*").over(w.partitionBy(*by, value) if by else W.partitionBy(value))
-    return df.withColumn(out, F.rank().over(w.orderBy(value)).cast("double") + (tied - 1) / 2)
-
-
 def spearman(df: DataFrame, by: list[str], x: str, y: str, p: bool = False) -> DataFrame:
-    """(by, n, rho) of rows where both are there; a constant side gives null. ``p`` adds p_value."""
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    d = average_ranks(average_ranks(d, by, x, "_rx"), by, y, "_ry")
-    n = F.count("*").cast("double")
-    sx, sy, sxy, sxx, syy = F.sum("_rx"), F.sum("_ry"), F.sum(F.col("_rx") * F.col("_ry")), F.sum(F.col("_rx") * F.col("_rx")), F.sum(F.col("_ry") * F.col("_ry"))
-    out = d.groupBy(*by).agg(F.count("*").alias("n"), F.try_divide(n * sxy - sx * sy, F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))).alias("rho"))
-    return out.withColumn("p_value", correlation_p("rho", "n")) if p else out
-
+    """(by, n, rho) of rows where both are there; a constant side gives null. ``p`` adds p_value.
 
-def spearman_matrix(long: DataFrame, key: str) -> DataFrame:
-    """Absolute Spearman correlation of every two features (feature_a < feature_b), pairwise complete, from (key, feature, value).
-
-    Rows of a key meet each other once: features are few, keys are many."""
-    a = long.select(key, F.col("feature").alias("feature_a"), F.col("value").alias("va"))
-    b = long.select(key, F.col("feature").alias("feature_b"), F.col("value").alias("vb"))
-    pairs = a.join(b, key).filter(F.col("feature_a") < F.col("feature_b"))
-    return spearman(pairs, ["feature_a", "feature_b"], "va", "vb").withColumn("rho", F.abs("rho"))
+    Equal pairs meet first; each side is ranked over its distinct values (:func:`value_ranks`), and pairs get their ranks by joins.
+    """
+    pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").cast("double").alias("_w"))
+    rank = lambda v: value_ranks(pairs, by, v, {}, F.col("_w")).select(*by, v, (F.col("avg_rank") - (F.col("all_c") + 1) / 2).alias(f"_r{v}"))
+    d = meet(meet(pairs, rank("_x"), [*by, "_x"]), rank("_y"), [*by, "_y"])
+    w, rx, ry = F.col("_w"), F.col("_r_x"), F.col("_r_y")
+    out = d.groupBy(*by).agg(F.sum(w).cast("long").alias("n"), F.try_divide(F.sum(w * rx * ry), F.sqrt(F.sum(w * rx * rx) * F.sum(w * ry * ry))).alias("rho"))
+    return out.withColumn("p_value", correlation_p("rho", "n")) if p else out
 
 
 def auc(df: DataFrame, by: list[str], score: str, y: str) -> DataFrame:
@@ -128,11 +145,9 @@ def auc(df: DataFrame, by: list[str], score: str, y: str) -> DataFrame:
 
 def roc_points(df: DataFrame, by: list[str], score: str, y: str) -> DataFrame:
     """(by, score, tp, fp, pos, neg) with every score as threshold, score >= threshold being positive."""
-    each = df.filter(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(y).cast("int")).cast("double").alias("p"), F.count("*").cast("double").alias("c"))
-    down = W.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*by)
-    tp, all_ = F.sum("p").over(down), F.sum("c").over(down)
-    return each.select(*by, score, tp.alias("tp"), (all_ - tp).alias("fp"), F.sum("p").over(whole).alias("pos"), (F.sum("c").over(whole) - F.sum("p").over(whole)).alias("neg"))
+    r = value_ranks(df.filter(F.col(score).isNotNull()), by, score, {"p": F.col(y).cast("int")})
+    tp, found = F.col("all_p") - F.col("before_p"), F.col("all_c") - F.col("before_c")
+    return r.select(*by, score, tp.alias("tp"), (found - tp).alias("fp"), F.col("all_p").alias("pos"), (F.col("all_c") - F.col("all_p")).alias("neg"))
 
 
 def best_f1(df: DataFrame, by: list[str], score: str, y: str) -> DataFrame:
@@ -148,22 +163,27 @@ def z_scores(df: DataFrame, by: list[str], value: str, out: str = "z") -> DataFr
 
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """count, mean, std (sample), min, quartiles and max of each group."""
-    return df.groupBy(*by).agg(
-        F.count(value).alias("count"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("std"),
-        F.min(value).cast("double").alias("min"),
-        *[F.expr(f"percentile({value}, {q})").alias(n) for q, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))],
-        F.max(value).cast("double").alias("max"),
-    )
+    v = F.col(value)
+    plain = df.groupBy(*by).agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"))
+    some = quantiles(df, by, value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    if by:
+        right = some.withColumnsRenamed({c: f"_r_{c}" for c in by})
+        same = F.lit(True)
+        for c in by:
+            same &= plain[c].eqNullSafe(right[f"_r_{c}"])
+        out = plain.join(right, same, "left")
+    else:
+        out = plain.join(some, F.lit(True), "left")
+    return out.select(*by, "count", "mean", "std", "min", "q1", "median", "q3", "max")
 
 
 def tertiles(df: DataFrame, by: list[str], value: str, out: str = "band") -> DataFrame:
-    """Add the right-closed third of ``value`` (1, 2, 3); null where edges coincide."""
-    cuts = df.groupBy(*by).agg(F.min(value).alias("_0"), F.expr(f"percentile({value}, 1/3D)").alias("_1"), F.expr(f"percentile({value}, 2/3D)").alias("_2"), F.max(value).alias("_3"))
-    d = df.join(F.broadcast(cuts), by) if by else df.crossJoin(F.broadcast(cuts))
+    """Add the right-closed third of ``value`` (1, 2, 3); null where edges coincide or the value is missing."""
+    v = F.col(value)
+    cuts = meet(df.groupBy(*by).agg(F.min(v).alias("_0"), F.max(v).alias("_3")), quantiles(df, by, value, {"_1": 1 / 3, "_2": 2 / 3}), by)
+    d = meet(df, cuts, by)
     apart = (F.col("_0") < F.col("_1")) & (F.col("_1") < F.col("_2")) & (F.col("_2") < F.col("_3"))
-    band = F.when(apart, F.when(F.col(value) <= F.col("_1"), 1).when(F.col(value) <= F.col("_2"), 2).otherwise(3))
+    band = F.when(apart & v.isNotNull(), F.when(v <= F.col("_1"), 1).when(v <= F.col("_2"), 2).otherwise(3))
     return d.withColumn(out, band).drop("_0", "_1", "_2", "_3")
 
 

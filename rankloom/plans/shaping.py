@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schema as C
+from ..operators import redundancy
 from ..operators import reshape as P
 from ..operators import stats as S
 from .base import FEATURES, FEATURES_SQL, LONG_SQL, RANKS, TOOLS, features, query, ranks, table
@@ -137,14 +138,14 @@ def nan_median_fill(spark, sf_dir):
 
 @query("low_variance_filter", f"WITH feats AS ({FEATURES_SQL}) SELECT feature FROM ({LONG_SQL}) GROUP BY feature HAVING count(DISTINCT value) < 5 OR stddev_samp(value) < 0.01 OR var_samp(value) < 0.001")
 def low_variance_filter(spark, sf_dir):
-    gone = P.constant_columns(features(spark, sf_dir), FEATURES)
-    return spark.createDataFrame([(c,) for c in gone], "feature string")
+    return redundancy.constant_columns(features(spark, sf_dir), FEATURES)
 
 
 @query("redundancy_prune")
 def redundancy_prune(spark, sf_dir):
-    f = features(spark, sf_dir).withColumns({"price_again": F.col("o_totalprice") * 2, "half_items": F.col("n_items") / 2})
-    return spark.createDataFrame(P.prune(f, [*FEATURES, "price_again", "half_items"], "bug"), "stage string, feature string")
+    f = features(spark, sf_dir).withColumns({"price_again": F.col("o_totalprice") * 2, "half_items": F.col("n_items") / 2, "avg_tax__orig": F.col("avg_tax") + 1, "txt_x_word_count": F.col("n_items"), "txt_x_chars": F.col("n_items") * 6})
+    names = [c for c in f.columns if c not in ("bug", "project")]
+    return spark.createDataFrame(redundancy.prune(f, names, "bug"), "stage string, feature string")
 
 
 @query("binary_features", f"WITH p AS (SELECT bug, (count(*) > 1)::INT::DOUBLE AS several, min(rank)::DOUBLE AS best FROM ({RANKS}) GROUP BY bug) SELECT 'several' AS feature, bool_and(several IN (0, 1)) AS is_binary FROM p UNION ALL SELECT 'best', bool_and(best IN (0, 1)) FROM p")

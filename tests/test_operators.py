@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rankloom import schema as C
 from rankloom.operators import ranking as R
 from rankloom.operators import ratings as J
+from rankloom.operators import redundancy as R2
 from rankloom.operators import reshape as P
 from rankloom.operators import routing as G
 from rankloom.operators import scoring as Z
@@ -103,10 +104,62 @@ def test_one_hot(spark):
 
 
 def test_prune(spark):
-    rows = [(i, float(i), float(i) * 2, float(i % 7), 1.0) for i in range(40)]
-    d = spark.createDataFrame(rows, "k int, a double, copy double, other double, flat double")
-    assert P.prune(d, ["a", "copy", "other", "flat"], "k") == [("constant", "flat"), ("duplicate", "copy")]
-    assert P.clusters(["a", "b", "c"], {("a", "b"): 0.97, ("a", "c"): 0.1, ("b", "c"): 0.1}) == [["a", "b"], ["c"]]
+    rows = [(i, float(i), float(i) * 2, float(i % 7), 1.0, None if i % 3 else float(i * i)) for i in range(40)]
+    d = spark.createDataFrame(rows, "k int, a double, copy double, other double, flat double, holes double")
+    d = d.withColumns({"a__orig_mean": F.col("other"), "z__orig_max": F.col("other") * F.col("a"), "z__orig_median": F.col("other") - F.col("a"), "txt_t_word_count": -F.col("other") * F.col("other") + F.col("a"), "txt_t_chars": F.col("a")})
+    names = [c for c in d.columns if c != "k"]
+    assert R2.prune(d, names, "k") == [("family", "a__orig_mean"), ("family", "z__orig_max"), ("length", "txt_t_chars"), ("constant", "flat"), ("duplicate", "copy"), ("duplicate", "holes"), ("correlated", "a")]
+    assert R2.clusters(["a", "b", "c"], {("a", "b"): 0.97, ("a", "c"): 0.1, ("b", "c"): 0.1}) == [["a", "b"], ["c"]]
+    assert R2.collapsed(["txt_a_length", "txt_b", "txt_a_avg_words_per_line", "x__orig"]) == [("length", "txt_a_avg_words_per_line")]
+
+
+def test_spearman_matrix_agrees_with_pandas(spark):
+    import random
+
+    import pandas as pd
+
+    from rankloom.operators.stats import long_form
+
+    rng = random.Random(5)
+    rows = [{"k": i, **{f"f{j}": None if j % 4 == 3 and rng.random() < 0.2 else float(rng.randint(0, 9)) + (j > 6) * rng.random() for j in range(12)}, "h": None if i % 5 == 0 else float(i % 11), "g": None if i % 5 == 0 else rng.random(), "flat": 2.0} for i in range(120)]
+    names = [c for c in rows[0] if c != "k"]
+    got = R2.spearman_matrix(long_form(spark.createDataFrame(pd.DataFrame(rows).astype("float64")), ["k"], names), "k").collect()
+    want = pd.DataFrame(rows)[names].rank()  # checked without nulls; those with nulls are ranked by pair below
+    assert len(got) == len(names) * (len(names) - 1) // 2
+    for r in got:
+        both = pd.DataFrame(rows)[[r.feature_a, r.feature_b]].dropna()
+        rho = both.rank().corr().iloc[0, 1]
+        assert r.n == len(both) and (r.rho is None if rho != rho else abs(r.rho - abs(rho)) < 1e-9)
+    assert len(want) == 120
+
+
+def test_linkage_against_merging_the_closest(spark):
+    import random
+
+    rng = random.Random(8)
+    for n in (1, 2, 7, 25):
+        names = [f"c{i:02}" for i in range(n)]
+        rho = {(a, b): rng.choice([rng.random(), 0.9 + rng.random() / 10]) for i, a in enumerate(names) for b in names[i + 1 :]}
+        groups = [[c] for c in names]
+        while len(groups) > 1:
+            gap, i, j = min((sum(1 - rho[min(a, b), max(a, b)] for a in g for b in h) / (len(g) * len(h)), i, j) for i, g in enumerate(groups) for j, h in enumerate(groups) if i < j)
+            if gap > 0.3:
+                break
+            groups[i] = sorted(groups[i] + groups.pop(j))
+        assert R2.clusters(names, rho, 0.3) == sorted(groups)
+
+
+def test_random_routing_by_prefix(spark):
+    d = spark.range(900).select((F.col("id") % 3).alias("g"), F.col("id").alias("k"), F.when(F.col("id") % 7 < 2, 1).when(F.col("id") % 7 < 5, 2).otherwise(3).alias("tier"))
+    d = d.unionByName(d.filter("k = 5"))
+    got = {}
+    for r in G.random_route(d, ["g"], "k", prefixes=16).collect():
+        got.setdefault(r.g, []).append((r.k, r.random_tier))
+    for g, rows in got.items():
+        mine = [r for r in d.collect() if r.g == g]
+        order = sorted((((r.k + 7) * 2654435761) % 4294967296, r.k) for r in mine)
+        n1, n2 = (sum(r.tier == t for r in mine) for t in (1, 2))
+        assert sorted(rows) == sorted((k, 1 if i < n1 else 2 if i < n1 + n2 else 3) for i, (_, k) in enumerate(order))
 
 
 def test_folds_partition_and_stratify(spark):

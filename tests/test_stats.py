@@ -22,11 +22,25 @@ def test_mann_whitney_and_delta(spark):
     assert abs(r.p_value - 0.0794532) < 1e-6 and r.effect_size == "medium"
 
 
-def test_spread_ranks_agree(spark):
+def test_ranks_and_quantiles_over_ranges(spark):
     random.seed(3)
-    d = groups(spark, [random.randint(0, 40) for _ in range(300)], [random.randint(5, 50) for _ in range(200)])
-    a, b = (S.two_groups(d, ["feature"], spread=s).first() for s in (False, True))
-    assert a == b
+    rows = [(g, random.choice([None, float(random.randint(0, 30)), random.gauss(0, 1e3), float("nan")]), random.random() < 0.5) for g in ("a", "b", None) for _ in range(400)]
+    rows += [("one", 1.0, True), ("same", 2.0, True), ("same", 2.0, False)]
+    d = spark.createDataFrame(rows, "g string, v double, p boolean")
+    groups = {g: sorted(v for h, v, _ in rows if h == g and v is not None and v == v) for g in ("a", "b", None, "one", "same")}
+    whole = {(r.g, r.v): r for r in S.value_ranks(d.filter("v is not null and not isnan(v)"), ["g"], "v", {"hits": F.col("p").cast("int")}).collect()}
+    for g, vs in groups.items():
+        for v in set(vs):
+            r = whole[g, v]
+            assert (r.c, r.before_c, r.all_c) == (vs.count(v), sum(x < v for x in vs), len(vs)) and r.avg_rank == r.before_c + (r.c + 1) / 2
+            assert r.before_hits == sum(1 for h, x, p in rows if h == g and x is not None and x < v and p)
+    got = {r.g: r for r in S.quantiles(d, ["g"], "v", {"a": 0.1, "m": 0.5, "z": 1.0, "t": 1 / 3}).collect()}
+    for g, vs in groups.items():
+        for name, q in (("a", 0.1), ("m", 0.5), ("z", 1.0), ("t", 1 / 3)):
+            at = (len(vs) - 1) * q
+            want = vs[int(at)] + (at - int(at)) * (vs[min(len(vs) - 1, int(at) + 1)] - vs[int(at)])
+            assert getattr(got[g], name) == pytest.approx(want, rel=1e-12, abs=1e-12)
+    assert "Window [" in (plan := S.two_groups(d, ["g"], "v", "p")._jdf.queryExecution().toString()) and "percentile(" not in plan
 
 
 def test_delta_is_antisymmetric_and_pairwise(spark):
