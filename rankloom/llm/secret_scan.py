@@ -103,54 +103,63 @@ def guess_cost(value: str, enough: float = math.inf, words: Words | None = None)
     words = words or words_at(None)
     n, low = len(value), value.lower() if value.isascii() else "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
     plain = low.translate(_LEET)
-    best: dict[int, float] = {0: 0.0}
-    back: dict[int, tuple[int, str]] = {0: (0, "")}
+    # Two states for each position, as going on with a brute-force span is free of the factor: 0 after any other span, 1 after brute force
+    best: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    back: dict[tuple[int, int], tuple[int, int, str]] = {}
     dates = {m.start(): m.end() for m in _DATE.finditer(value)}
     ends = {size: _repeats(value, size) for size in (1, 2, 3, 4)} if n else {}
-    todo = [0]
+    todo, waiting = [0], {0}
 
-    def put(i: int, j: int, cost: float, kind: str) -> None:
-        if cost < min(best.get(j, enough), enough):
-            if j not in best:
+    def put(i: int, state: int, j: int, cost: float, kind: str) -> None:
+        to = (j, int(kind == "brute"))
+        if cost < min(best.get(to, enough), enough):
+            if j not in waiting:
+                waiting.add(j)
                 heapq.heappush(todo, j)
-            best[j], back[j] = cost, (i, kind)
+            best[to], back[to] = cost, (i, state, kind)
 
     while todo:
         i = heapq.heappop(todo)
         if i == n:
             break
-        here = best[i] + (0.301 if i else 0.0)
-        c = _class_cost(value[i])  # going on with a brute-force span is free of the factor
-        put(i, i + 1, (best[i] if back[i][1] == "brute" else here) + c, "brute")
+        after = [(best[i, s], s) for s in (0, 1) if (i, s) in best]
+        least, state = min(after)
+        here = least + (0.301 if i else 0.0)
+        c = _class_cost(value[i])
+        put(i, state, i + 1, here + c, "brute")
+        if (i, 1) in best:
+            put(i, 1, i + 1, best[i, 1] + c, "brute")
         for j in range(i + 3, min(n, i + words.longest) + 1):
             for s, leet in ((low[i:j], 0.0), (plain[i:j], 0.301)):
                 if s in words.cost:
                     upper = sum(ch.isupper() for ch in value[i:j])
-                    put(i, j, here + words.cost[s] + leet + (0.301 * min(upper, j - i - upper + 1)), "word")
+                    put(i, state, j, here + words.cost[s] + leet + (0.301 * min(upper, j - i - upper + 1)), "word")
                     break
         if i in dates:
-            put(i, dates[i], here + 1.0 + (2.1 if dates[i] - i == 4 else 4.6), "date")
+            put(i, state, dates[i], here + 1.0 + (2.1 if dates[i] - i == 4 else 4.6), "date")
         for size, end in ends.items():
-            j, least = int(end[i]), 3 if size == 1 else 2 * size
-            if j >= i + least and (size > 1 or i == 0 or value[i - 1] != value[i]):
-                put(i, j, here + sum(map(_class_cost, value[i : i + size])) + math.log10((j - i) // size), "repeat")
+            j, shortest = int(end[i]), 3 if size == 1 else 2 * size
+            if j >= i + shortest and (size > 1 or i == 0 or value[i - 1] != value[i]):
+                put(i, state, j, here + sum(map(_class_cost, value[i : i + size])) + math.log10((j - i) // size), "repeat")
         if i == 0 or (low[i - 1], low[i]) not in _NEXT:
             j = i + 1
             while j < n and (low[j - 1], low[j]) in _NEXT:
                 j += 1
             if j - i >= 3:
-                put(i, j, here + 1.0 + math.log10(40) + math.log10(j - i), "walk")
-    if n not in best:
-        return enough, []
-    spans, j = [], n
-    while j:
-        i, kind = back[j]
+                put(i, state, j, here + 1.0 + math.log10(40) + math.log10(j - i), "walk")
+    last = [(best[n, s], s) for s in (0, 1) if (n, s) in best]
+    if not last:
+        return (enough, []) if n else (0.0, [])
+    cost, state = min(last)
+    spans, at = [], (n, state)
+    while at in back:
+        i, state, kind = back[at]
         if kind == "brute" and spans and spans[-1][0] == "brute":
-            spans[-1] = ("brute", value[i:j] + spans[-1][1])
+            spans[-1] = ("brute", value[i : at[0]] + spans[-1][1])
         else:
-            spans.append((kind, value[i:j]))
-        j = i
-    return best[n], spans[::-1]
+            spans.append((kind, value[i : at[0]]))
+        at = (i, state)
+    return cost, spans[::-1]
 
 
 def find_base(text: str) -> list[tuple[int, int, str]]:
@@ -167,7 +176,7 @@ def find_base(text: str) -> list[tuple[int, int, str]]:
 def find_guessed(text: str, least: float = 10.0, shortest: int = 8, words: Words | None = None) -> list[tuple[int, int, str]]:
     """(start, end, "guess") of values in a credential context that cost 10 ** ``least`` guesses or more."""
     low = text.lower()
-    if not any(m in low for m in _MARKS) or not any(m in text for m in (":", "=", " is ")):
+    if not any(m in low for m in _MARKS) or not any(m in low for m in (":", "=", "is")):
         return []
     out = []
     for m in _CONTEXT.finditer(text):

@@ -22,6 +22,8 @@ from .common import text_of, tidy
 from .labelled import logistic, remainder, sample, sigmoid
 
 WINDOW, STRIDE, FOLDS = 32, 16, 4
+#: Texts of each label from which on the tables of buckets learn too.
+LEARNABLE = 200
 #: Windows, and words, that are worked on at once: always as many, so that no sum's order depends on what else there is.
 AT_ONCE, WORDS_AT_ONCE = 1_024, 4_096
 BUCKETS, LEARNT, HIDDEN, ATTEND = 1 << 16, 4, 8, 8
@@ -200,8 +202,15 @@ def _odds_of(texts: list[str], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: list[str], y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.006, seed: int = 7) -> Net:
-    """Train on labelled texts. Without both labels the net stays as it began, and its calibration is the base rate."""
+    """Train on labelled texts. Without both labels the net stays as it began, and its calibration is the base rate.
+
+    With fewer than ``LEARNABLE`` texts of a label the learnt numbers of buckets stay 0, as they would remember those texts instead of
+    learning from them, and the rest learns in smaller steps more often.
+    """
     net = Net(seed)
+    few = min((y == 0).sum(), (y == 1).sum()) < LEARNABLE
+    if few:
+        epochs, batch = 3 * epochs, batch // 8
     base = (float(y.sum()) + 0.5) / (len(y) + 1)
     if len(set(y.tolist())) < 2:
         net.calibration = np.array([0.0, 0.0, np.log(base / (1 - base))])
@@ -219,7 +228,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 8, batch: int = 128, rate
         doc_of = np.repeat(np.arange(len(rows)), np.diff(begin))
         parts.append((_odds_of([texts[i] for i in others], y[others]), words, np.concatenate(rows), begin, doc_of, y[mine]))
     rng = np.random.default_rng(seed)
-    adam = _Adam(net, rate)
+    adam = _Adam(net, rate, ("word", "gram") if few else ())
     for _ in range(epochs):
         for f in rng.permutation(len(parts)):
             _epoch(net, adam, parts[f], rng, batch)
@@ -237,13 +246,15 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 8, batch: int = 128, rate
 class _Adam:
     """Adam steps; the learnt tables shrink a little with each."""
 
-    def __init__(self, net: Net, rate: float):
-        self.net, self.rate, self.n = net, rate, 0
+    def __init__(self, net: Net, rate: float, frozen: tuple[str, ...] = ()):
+        self.net, self.rate, self.n, self.frozen = net, rate, 0, frozen
         self.moments = {k: (np.zeros_like(p), np.zeros_like(p)) for k, p in net.p.items()}
 
     def step(self, grads: dict[str, np.ndarray]) -> None:
         self.n += 1
         for name, grad in grads.items():
+            if name in self.frozen:
+                continue
             m, v = self.moments[name]
             m += 0.1 * (grad - m)
             v += 0.01 * (grad * grad - v)
