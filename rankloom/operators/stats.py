@@ -199,14 +199,3 @@ def verdict(raw_p: Column, adj_p: Column, raw: Column, adj: Column, alpha: float
         .when(~sign, "sign_flip")
         .otherwise("vanishes_after_adjustment")
     )
-
-
-def logit(df: DataFrame, features: list[str], y: str) -> DataFrame:
-    """(feature, coefficient, p_value) of a logistic regression with an intercept, fitted by Spark ML's GLM."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GeneralizedLinearRegression
-
-    rows = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(df.select(*features, F.col(y).cast("double").alias("_y")))
-    m = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_x", labelCol="_y").fit(rows)
-    names, coefs = [*features, "const"], [*m.coefficients.toArray().tolist(), m.intercept]
-    return df.sparkSession.createDataFrame(list(zip(names, map(float, coefs), map(float, m.summary.pValues), strict=True)), "feature string, coefficient double, p_value double")

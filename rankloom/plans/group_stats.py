@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import logits
 from ..operators import ranking as R
 from ..operators import redundancy
 from ..operators import stats as S
@@ -165,13 +166,9 @@ def stratified_delta_tertiles(spark, sf_dir):
 def confound_logit(spark, sf_dir):
     """Each feature alone and with a scale variable beside it, what attenuates, and the verdict."""
     d = features(spark, sf_dir).join(_flags(spark, sf_dir).select("bug", (F.col("num_found") > 0).cast("int").alias("y")), "bug")
-    d = standard_scale(d.select("y", *FEATURES), FEATURES, keep=False).checkpoint()  # the fits below read it again and again
-    rows = []
-    for f in FEATURES[:-1]:
-        raw, adj = ({r.feature: r for r in S.logit(d, cols, "y").collect()}[f] for cols in ([f], [f, "n_items"]))
-        rows.append((f, round(raw.coefficient, 4), round(raw.p_value, 4), round(adj.coefficient, 4), round(adj.p_value, 4)))
-    out = spark.createDataFrame(rows, "feature string, raw_coef double, raw_p double, adj_coef double, adj_p double")
-    return out.withColumn("verdict", S.verdict(F.col("raw_p"), F.col("adj_p"), F.col("raw_coef"), F.col("adj_coef")))
+    long = d.withColumn("scale", F.col("n_items")).select("scale", "y", *FEATURES[:-1]).unpivot(["scale", "y"], FEATURES[:-1], "feature", "value")
+    fits = logits.confound_fits(long)
+    return fits.select("feature", "n", *[F.round(c, 4).alias(c) for c in ("raw_coef", "raw_p", "adj_coef", "adj_p", "attenuation")], "verdict")
 
 
 _V = "SELECT p_partkey, (p_partkey % 97) / 1000.0::DOUBLE AS raw_p, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE (p_partkey % 89) / 1000.0::DOUBLE END AS adj_p, (p_partkey % 13 - 6.5)::DOUBLE AS raw, (p_partkey % 7 - 1.5)::DOUBLE AS adj FROM part"

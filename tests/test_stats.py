@@ -105,3 +105,39 @@ def test_tertiles_with_equal_edges(spark):
     assert {r.band for r in S.tertiles(d, [], "v").collect()} == {None}
     e = spark.createDataFrame([(float(i),) for i in range(9)], "v double")
     assert sorted(r.band for r in S.tertiles(e, [], "v").collect()) == [1] * 3 + [2] * 3 + [3] * 3
+
+
+def test_fits_agree_with_a_general_solver(spark):
+    import math
+
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    from rankloom.operators import logits
+
+    rng = random.Random(11)
+    rows, jobs = [], {}
+    for i in range(300):
+        s = rng.gauss(0, 3)
+        f = {"near": s + rng.gauss(0, 1), "own": rng.gauss(5, 2), "steep": rng.gauss(0, 1), "noise": rng.random()}
+        y = int(rng.random() < 1 / (1 + math.exp(-(0.4 * s + 0.3 * (f["own"] - 5) + 3 * f["steep"]))))
+        rows += [(k, v if rng.random() > 0.05 else None, s, y) for k, v in f.items()]
+        rows += [("parted", float(y) + rng.random() / 2, s, y), ("flat", 1.0, s, y), ("one", s, s, 1)]
+    rows += [("few", rng.random(), rng.random(), k % 2) for k in range(29)]
+    long = spark.createDataFrame(rows, "feature string, value double, scale double, y int")
+    sc = spark.sparkContext
+    sc.setJobGroup("fits", "")
+    got = {r.feature: r for r in logits.confound_fits(long).collect()}
+    jobs = len(sc.statusTracker().getJobIdsForGroup("fits"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert set(got) == {"near", "own", "steep", "noise", "parted", "flat"}
+    assert got["parted"].raw_coef is None and got["flat"].raw_coef is None and got["parted"].verdict == "model_failed"
+    for f in ("near", "own", "steep", "noise"):
+        d = long.filter((F.col("feature") == f) & F.col("value").isNotNull())
+        m = d.agg(*[e(c) for c in ("value", "scale") for e in (F.avg, F.stddev_pop)]).first()
+        d = d.select(((F.col("value") - m[0]) / m[1]).alias("a"), ((F.col("scale") - m[2]) / m[3]).alias("b"), F.col("y").cast("double").alias("y"))
+        for cols, coef, p in ((["a"], got[f].raw_coef, got[f].raw_p), (["a", "b"], got[f].adj_coef, got[f].adj_p)):
+            fit = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="x", labelCol="y", tol=1e-12, maxIter=100).fit(VectorAssembler(inputCols=cols, outputCol="x").transform(d))
+            assert coef == pytest.approx(fit.coefficients[0], rel=1e-6, abs=1e-9) and p == pytest.approx(fit.summary.pValues[0], rel=1e-4, abs=1e-9)
+        assert got[f].n == d.count() and got[f].attenuation == pytest.approx(1 - got[f].adj_coef / got[f].raw_coef)
+    assert jobs <= 40  # Spark counts a job for each stage of a broadcast, too; the actions are at most 11
