@@ -78,11 +78,25 @@ def path_match(pred: Column, truth: Column) -> Column:
     return (pred == truth) | F.endswith(pred, truth) | F.endswith(truth, pred)
 
 
+def matched_files(files: DataFrame, truth: DataFrame, by: list[str], file: str = "file", gt: str = "gt_file") -> DataFrame:
+    """Distinct (by, file) that match a truth of the same ``by`` (:func:`path_match`).
+
+    Equality on suffixes instead of comparing all pairs: a file's suffixes of the lengths that the truths of its ``by`` have meet
+    those truths, and the truths' suffixes of the files' lengths meet the files. A report of very many files and truths so makes
+    rows in proportion to both, dealt by the suffix.
+    """
+    p = files.select(*by, F.col(file).alias("_f")).filter("_f is not null").distinct()
+    t = truth.select(*by, F.col(gt).alias("_t")).filter("_t is not null").distinct()
+    lengths = lambda d, c: d.groupBy(*by).agg(F.collect_set(F.length(c)).alias("_n"))
+    cut = lambda d, c: d.withColumn("_n", F.explode(F.filter("_n", lambda n: n <= F.length(c)))).withColumn("_s", F.right(F.col(c), F.col("_n")))
+    longer = cut(p.join(lengths(t, "_t"), by), "_f").join(t.withColumnRenamed("_t", "_s"), [*by, "_s"], "left_semi").select(*by, "_f")
+    shorter = cut(t.join(lengths(p, "_f"), by), "_t").select(*by, F.col("_s").alias("_f")).distinct().join(p, [*by, "_f"], "left_semi")
+    return longer.unionByName(shorter).distinct().withColumnRenamed("_f", file)
+
+
 def matched_ranks(predictions: DataFrame, truth: DataFrame, by: list[str], file: str = "file", gt: str = "gt_file") -> DataFrame:
     """Predictions (by, tool, file, rank) that match a truth of the same ``by``; each counts once."""
-    t = truth.select(*[F.col(c).alias("_" + c) for c in by], F.col(gt).alias("_gt"))
-    on = reduce(lambda a, b: a & b, [F.col(c) == F.col("_" + c) for c in by])
-    return predictions.join(t, on & path_match(F.col(file), F.col("_gt")), "left_semi")
+    return predictions.join(matched_files(predictions, truth, by, file, gt), [*by, file], "left_semi")
 
 
 def map_at_k(predictions: DataFrame, truth: DataFrame, by: list[str], ks: list[int], file: str = "file", gt: str = "gt_file") -> DataFrame:

@@ -135,6 +135,18 @@ def latex_rows(spark, sf_dir):
     return T.latex_rows(table(spark, sf_dir, "part"), ["p_name", "p_retailprice"])
 
 
+@query("latex_table_round_trip", """SELECT c AS grp, 'Size_' || p_size || ' & more' AS feature, format('{:.6f}', avg(cents) / 100)::DOUBLE AS mean, format('{:.6f}', stddev_pop(cents) / 100)::DOUBLE AS std, min(cents) / 100.0::DOUBLE AS min, max(cents) / 100.0::DOUBLE AS max
+ FROM (SELECT p_brand || ' 100%' AS c, p_size, round(p_retailprice * 100)::BIGINT AS cents FROM part) GROUP BY c, p_size""")
+def latex_table_round_trip(spark, sf_dir):
+    """Statistics by brand and size, written as a table with a row for each brand, and read back from the file."""
+    cents = F.round(F.col("p_retailprice") * 100).cast("long")
+    p = table(spark, sf_dir, "part").groupBy(F.concat("p_brand", F.lit(" 100%")).alias("grp"), F.concat(F.lit("Size_"), "p_size", F.lit(" & more")).alias("feature"))
+    d = p.agg((F.avg(cents) / 100).alias("mean"), (F.stddev_pop(cents) / 100).alias("std"), (F.min(cents) / 100).alias("min"), (F.max(cents) / 100).alias("max"))
+    path = scratch.folder(spark, "latex")
+    T.write_latex(T.latex_table(d, ["feature", "mean", "std", "min", "max"], ["Feature", "Mean", "STD", "Min", "Max"], group="grp", digits=6), path)
+    return T.read_latex_stats(spark, path).withColumnRenamed("group", "grp")
+
+
 @query("corpus_summary", "SELECT count(*)::BIGINT AS n, round(avg(n_chars), 4) AS mean_chars, sum(n_chars)::BIGINT AS chars, count(DISTINCT source)::BIGINT AS n_sources, round(avg((lang = 'en')::INT), 6) AS share_en FROM documents")
 def corpus_summary(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean_chars"), F.sum("n_chars").alias("chars"), F.count_distinct("source").alias("n_sources"), F.round(F.avg((F.col("lang") == "en").cast("int")), 6).alias("share_en"))

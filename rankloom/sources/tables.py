@@ -48,32 +48,78 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"))
 
 
-GROUP_ROW, STAT_ROW = r"\\textbf\{([^}]*)\}", r"^\s*([^&\\]+?)\s*&\s*(-?[\d.]+)\s*&\s*(-?[\d.]+)\s*&\s*(-?[\d.]+)\s*&\s*(-?[\d.]+)\s*\\\\"
+def latex_text(c: Column) -> Column:
+    """A cell as plain text: no math signs, daggers and emphasis, escapes undone, white space as single spaces."""
+    for pattern, by in ((r"(?<!\\)\$", ""), (r"\^?\{?\s*\\d?dagger(?:\s*\})?", ""), (r"\\(?:textbf|textit|emph|texttt)\{((?:[^{}\\]|\\.)*)\}", "$1"), (r"\\([&%$#_{}])", "$1"), (r"\s+", " ")):
+        c = F.regexp_replace(c, pattern, by)
+    return F.trim(c)
 
 
-def read_latex_stats(spark: SparkSession, path: str) -> DataFrame:
-    """(group, feature, mean, std, min, max) of a LaTeX table whose groups stand in lines of their own.
+#: Rules and comments that stand between a table's rows, the table's body, and a row that is one wide or emphasised cell.
+RULE, COMMENT = r"\\(?:toprule|midrule|bottomrule|hline|cline\{[^}]*\}|cmidrule(?:\([^)]*\))?\{[^}]*\})", r"(?<!\\)%[^\n]*"
+BODY = r"(?s)\\begin\{tabular[*xy]?\}(?:\{[^}]*\})*(.*?)\\end\{tabular[*xy]?\}"
+WIDE = r"(?s)^\s*(?:\\multicolumn\{\d+\}\{[^}]*\}\{(.*)\}|(\\text(?:bf|it)\{(?:[^{}\\]|\\.)*\}))\s*$"
+
+
+def read_latex_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(file, i, group, cells) of the LaTeX tables in files: rows end at a double backslash, cells at a bare &; a row that is one wide cell,
+    or one emphasised one, is the group of the rows below it.
 
     Order matters within a file, which a table in print is small enough for: one file is one window.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
-    is_stat = F.rlike("line", F.lit(STAT_ROW))
-    head = F.when(~is_stat & F.rlike("line", F.lit(GROUP_ROW)), F.regexp_extract("line", GROUP_ROW, 1))
-    d = lines.withColumn("group", F.last(head, ignorenulls=True).over(W.partitionBy("file").orderBy("i").rowsBetween(W.unboundedPreceding, 0))).filter(is_stat)
-    num = lambda k: F.regexp_extract("line", STAT_ROW, k).try_cast("double")
-    return d.select("group", F.regexp_extract("line", STAT_ROW, 1).alias("feature"), num(2).alias("mean"), num(3).alias("std"), num(4).alias("min"), num(5).alias("max"))
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", COMMENT, "").alias("text"))
+    body = F.regexp_extract("text", BODY, 1)
+    body = F.regexp_replace(F.when(body != "", body).otherwise(F.col("text")), RULE, "")
+    rows = whole.select("file", F.posexplode(F.split(body, r"\\\\(?:\[[^\]]*\])?")).alias("i", "row")).filter(F.trim(F.regexp_replace("row", r"\s+", " ")) != "")
+    wide = F.rlike("row", F.lit(WIDE)) & ~F.rlike("row", F.lit(r"(?<!\\)&"))
+    name = F.when(wide, latex_text(F.concat(F.regexp_extract("row", WIDE, 1), F.regexp_extract("row", WIDE, 2))))
+    group = F.last(name, ignorenulls=True).over(W.partitionBy("file").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
+    out = rows.select("file", "i", group.alias("group"), F.transform(F.split("row", r"(?<!\\)&"), latex_text).alias("cells"), wide.alias("wide"))
+    return out.filter("not wide").drop("wide")
+
+
+def read_latex_stats(spark: SparkSession, path: str) -> DataFrame:
+    """(group, feature, mean, std, min, max): the rows of LaTeX tables that are a name and four numbers."""
+    num = [F.get("cells", F.lit(k)).try_cast("double").alias(n) for k, n in enumerate(("mean", "std", "min", "max"), 1)]
+    d = read_latex_rows(spark, path).filter(F.size("cells") == 5).select("group", F.col("cells")[0].alias("feature"), *num)
+    return d.filter("mean is not null and std is not null and min is not null and max is not null")
 
 
-def latex_rows(df: DataFrame, columns: list[str], digits: int = 2) -> DataFrame:
-    """(line): each row as a line of a LaTeX table, numbers with ``digits``, nulls as dashes, text escaped."""
+def _latex_cell(df: DataFrame, c: str, digits: int, math: bool) -> Column:
     from ..schema import latex_escape
 
-    def cell(c: str) -> Column:
-        kind = df.schema[c].dataType
-        text = F.format_string(f"%.{digits}f", F.col(c).cast("double")) if isinstance(kind, (T.DoubleType, T.FloatType)) else latex_escape(F.col(c).cast("string"))
-        return F.coalesce(F.when(F.col(c).isNotNull(), text), F.lit("--"))
+    numeric = isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType))
+    text = F.format_string(f"%.{digits}f", F.col(c).cast("double")) if numeric else latex_escape(F.col(c).cast("string"))
+    text = F.concat(F.lit("$"), text, F.lit("$")) if numeric and math else text
+    return F.coalesce(F.when(F.col(c).isNotNull(), text), F.lit("--"))
+
+
+def latex_rows(df: DataFrame, columns: list[str], digits: int = 2, math: bool = False) -> DataFrame:
+    """(line): each row as a line of a LaTeX table, numbers with ``digits`` (in math signs, if asked for), nulls as dashes, text escaped."""
+    return df.select(F.concat(F.concat_ws(" & ", *[_latex_cell(df, c, digits, math) for c in columns]), F.lit(r" \\")).alias("line"))
+
+
+def latex_table(df: DataFrame, columns: list[str], header: list[str], group: str | None = None, order: str | None = None, digits: int = 2, caption: str = "") -> DataFrame:
+    """(place, line) of a whole LaTeX table: head, the groups in alphabetical order with a row of their own each, their rows by ``order``, and end.
+
+    What is emphasised in the row of a group is its name; numbers stand in math signs, as :func:`read_latex_rows` reads them.
+    """
+    key = F.col(group) if group else F.lit("")
+    place = lambda part, name, kind, last: F.struct(F.lit(part).alias("part"), name.alias("name"), F.lit(kind).alias("kind"), last.alias("last")).alias("place")
+    fixed = lambda part, *lines: df.sparkSession.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").select(place(part, F.lit(""), 0, F.format_string("%04d", "i")), "line")
+    from ..schema import latex_escape
+
+    rows = df.select(place(1, key, 2, F.col(order or columns[0]).cast("string")), F.concat(F.concat_ws(" & ", *[_latex_cell(df, c, digits, True) for c in columns]), F.lit(r" \\")).alias("line"))
+    out = fixed(0, r"\begin{table}[h]", rf"\caption{{{caption}}}", rf"\begin{{tabular}}{{l{'r' * (len(columns) - 1)}}}", r"\toprule", " & ".join(rf"\textbf{{{h}}}" for h in header) + r" \\").unionByName(rows)
+    if group:
+        head = F.concat(F.lit("\\midrule\n" + rf"\multicolumn{{{len(columns)}}}{{l}}{{\textit{{"), latex_escape(key), F.lit(r"}} \\"))
+        out = out.unionByName(df.select(group).distinct().select(place(1, key, 1, F.lit("")), head.alias("line")))
+    return out.unionByName(fixed(2, r"\bottomrule", r"\end{tabular}", r"\end{table}"))
+
 
-    return df.select(F.concat(F.concat_ws(" & ", *[cell(c) for c in columns]), F.lit(r" \\")).alias("line"))
+def write_latex(lines: DataFrame, path: str) -> None:
+    """Write the lines of :func:`latex_table` in their order as one file; a table in print is small."""
+    lines.repartition(1).sortWithinPartitions("place").select("line").write.mode("overwrite").text(path)
 
 
 def append_rows(df: DataFrame, path: str) -> None:

@@ -11,9 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.tables import append_once
 
 
-def pending(items: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Items whose key isn't in ``done`` yet."""
-    return items.join(done.select(key).distinct(), key, "left_anti")
+def _keys(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def pending(items: DataFrame, done: DataFrame, key: str | list[str]) -> DataFrame:
+    """Items whose key, or pair of keys, isn't in ``done`` yet."""
+    return items.join(done.select(*_keys(key)).distinct(), _keys(key), "left_anti")
 
 
 def resume(items: DataFrame, done: DataFrame, key: str, annotate: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -21,9 +25,15 @@ def resume(items: DataFrame, done: DataFrame, key: str, annotate: Callable[[Data
     return done.unionByName(annotate(pending(items, done, key)), allowMissingColumns=True)
 
 
-def gate(items: DataFrame, allowed: DataFrame | None, key: str) -> DataFrame:
-    """Items whose key is allowed; without a list all are."""
-    return items if allowed is None else items.join(allowed.select(key), key, "left_semi")
+def gate(items: DataFrame, allowed: DataFrame | None, key: str | list[str]) -> DataFrame:
+    """Items whose key, or pair of keys, is allowed; without a list all are."""
+    return items if allowed is None else items.join(allowed.select(*_keys(key)), _keys(key), "left_semi")
+
+
+def flagged(items: DataFrame, listed: DataFrame, key: str | list[str], flag: str) -> DataFrame:
+    """Items with a column ``flag`` that says whether their key is listed."""
+    there = listed.select(*_keys(key)).distinct().withColumn(flag, F.lit(True))
+    return items.join(there, _keys(key), "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def with_status(annotated: DataFrame, required: str, default: str | None = None) -> DataFrame:
@@ -47,7 +57,7 @@ def annotate_stream(source: DataFrame, key: str | list[str], annotate: Callable[
     def put(batch: DataFrame, number: int) -> None:
         append_once(annotate(batch), out, run, number, counters if log else None, log)
 
-    fresh = source.dropDuplicates([key] if isinstance(key, str) else key)
+    fresh = source.dropDuplicates(_keys(key))
     writer = fresh.writeStream.foreachBatch(put).outputMode("append").option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 

@@ -210,6 +210,48 @@ def test_statements_listing_latex_and_optional(spark, tmp_path):
     assert got == [("Counts", "Num A", 1.5, 0.5, 0.0, 3.0), ("Text", "Len", -2.0, 1.0, -5.0, 9.0)]
 
 
+def test_latex_tables(spark, tmp_path):
+    groups = {"Semantic Quality": 6, "Ambiguity": 2, r"Structural \& Surface": 18, "Readability": 7, r"Embedding \& Semantic": 5}
+    lines = [r"\begin{table}[h]", r"\caption{Means (n=8, 5\% cut).} % a & b \\", r"\begin{tabular}{lrrrr}", r"\toprule", r"\textbf{Feature} & \textbf{Mean} & \textbf{STD} & \textbf{Min} & \textbf{Max} \\"]
+    for g, n in groups.items():
+        lines += [r"\midrule", rf"    \multicolumn{{5}}{{l}}{{\textit{{{g}}}}} \\"]
+        lines += [rf"    Feature {i}" + r"$^\dagger$" * (i % 2) + rf" \& rest ({g[0]})  & ${i}.50$ & $0.25$ & $-{i}.00$ & $11140.00$ \\" for i in range(n)]
+    lines += [r"\bottomrule", r"\end{tabular}", r"\end{table}"]
+    (tmp_path / "p.tex").write_text("\n".join(lines))
+    got = tables.read_latex_stats(spark, str(tmp_path / "p.tex")).collect()
+    want = [(g.replace("\\", ""), f"Feature {i} & rest ({g[0]})", i + 0.5, 0.25, -float(i), 11140.0) for g, n in groups.items() for i in range(n)]
+    assert len(want) == 38 and sorted(map(tuple, got)) == sorted(want)
+    d = spark.createDataFrame([("A & b_c", "x % {y}", 1.5, None), ("A & b_c", "#2 $", -2.0, 0.25), ("Z", "q", 0.0, 3.0)], "g string, name string, a double, b double")
+    tables.write_latex(tables.latex_table(d, ["name", "a", "b"], ["Name", "A", "B"], group="g"), str(tmp_path / "out"))
+    back = [(r.group, *r.cells) for r in tables.read_latex_rows(spark, str(tmp_path / "out")).orderBy("i").collect()]
+    assert back == [(None, "Name", "A", "B"), ("A & b_c", "#2 $", "-2.00", "0.25"), ("A & b_c", "x % {y}", "1.50", "--"), ("Z", "q", "0.00", "3.00")]
+
+
+def test_suffix_matches_against_all_pairs(spark):
+    import random
+    import time
+
+    rng = random.Random(12)
+    name = lambda: "/".join(rng.choices(["a", "b", "src", "X.java", "Y.java", "ab", ""], k=rng.randint(1, 4)))
+    pred = [(rng.randrange(4), "t", rng.choice([name(), name(), name(), None]), rng.randrange(9)) for _ in range(300)]
+    truth = [(rng.randrange(4), name()) for _ in range(40)] + [(1, None)]
+    p, t = spark.createDataFrame(pred, "bug int, tool string, file string, rank int"), spark.createDataFrame(truth, "bug int, gt_file string")
+    got = sorted(tuple(r) for r in R.matched_ranks(p, t, ["bug"]).select("bug", "tool", "file", "rank").collect())
+    assert got == sorted(r for r in pred if r[2] is not None and any(b == r[0] and g is not None and (r[2].endswith(g) or g.endswith(r[2])) for b, g in truth))
+    many = spark.range(100_000).select(F.lit(1).alias("bug"), F.lit("t").alias("tool"), F.concat(F.lit("src/p"), F.col("id") % 977, F.lit("/F"), "id", F.lit(".java")).alias("file"), F.col("id").alias("rank"))
+    hot = spark.range(10_000).select(F.lit(1).alias("bug"), F.concat(F.lit("/F"), F.col("id") * 10, F.lit(".java")).alias("gt_file"))
+    began = time.time()
+    assert R.matched_ranks(many, hot, ["bug"]).count() == 10_000 and time.time() - began < 60
+
+
+def test_pairs_of_keys(spark):
+    d = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "k int, t string")
+    some = d.filter("k = 1 and t = 'b'").unionByName(d.filter("k = 1 and t = 'b'"))
+    assert [tuple(r) for r in resume.gate(d, some, ["k", "t"]).collect()] == [(1, "b")]
+    assert sorted(tuple(r) for r in resume.pending(d, some, ["k", "t"]).collect()) == [(1, "a"), (2, "a")]
+    assert sorted(tuple(r) for r in resume.flagged(d, some, ["k", "t"], "known").collect()) == [(1, "a", False), (1, "b", True), (2, "a", False)]
+
+
 def test_csv_round_trip(spark, tmp_path):
     d = spark.createDataFrame([("a;b", 1.5), ("line\nbreak", None)], "t string, v double")
     tables.write_table(d, str(tmp_path / "out"), "csv")
