@@ -97,9 +97,9 @@ _BUCKETS = ["not_found", *_EDGES, ">50"]
 _B = "CASE WHEN rank IS NULL OR rank <= 0 THEN 'not_found' " + " ".join(f"WHEN {c} THEN '{b}'" for b, c in _EDGES.items()) + " ELSE '>50' END"
 
 
-@query("rank_buckets", f"SELECT tool, {', '.join(f'''(count(*) FILTER (WHERE b = '{b}'))::BIGINT AS \"b_{b}\"''' for b in _BUCKETS)} FROM (SELECT tool, {_B} AS b FROM (SELECT tool, rank * 2 - 20 AS rank FROM ({RANKS}))) GROUP BY tool")
+@query("rank_buckets", f"SELECT tool, {', '.join(f'''(count(*) FILTER (WHERE b = '{b}'))::BIGINT AS \"b_{b}\"''' for b in _BUCKETS)} FROM (SELECT tool, {_B} AS b FROM ({RANKS})) GROUP BY tool")
 def rank_buckets(spark, sf_dir):
-    d = ranks(spark, sf_dir).select("tool", R.rank_bucket(F.col("rank") * 2 - 20).alias("b"))
+    d = ranks(spark, sf_dir).select("tool", R.rank_bucket(F.col("rank")).alias("b"))
     p = d.groupBy("tool").pivot("b", _BUCKETS).count().fillna(0)
     return p.select("tool", *[F.col(f"`{b}`").alias(f"b_{b}") for b in _BUCKETS])
 

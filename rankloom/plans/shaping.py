@@ -42,13 +42,13 @@ def pivot_max_zero_fill(spark, sf_dir):
     return P.pivot_tools(li, ["bug"], TOOLS, {"price": "max"}, fill=0.0)
 
 
-_HOT = ("1-URGENT", "2-HIGH", "5-LOW")
+_HOT = ("retail", "online", "public")
 
 
-@query("onehot_topk", "SELECT o_orderkey, " + ", ".join(f"coalesce(o_orderpriority = '{v}', false)::INT AS prio_{v.lower().replace('-', '_')}" for v in _HOT) + f", coalesce(o_orderpriority NOT IN {_HOT}, false)::INT AS prio__other__, (o_orderpriority IS NULL)::INT AS prio_is_missing FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN o_orderpriority END AS o_orderpriority FROM orders)")
+@query("onehot_topk", "SELECT client_id, " + ", ".join(f"coalesce(segment = '{v}', false)::INT AS seg_{v}" for v in _HOT) + f", coalesce(trim(segment) <> '' AND segment NOT IN {_HOT}, false)::INT AS seg__other__, (segment IS NULL OR trim(segment) = '')::INT AS seg_is_missing FROM clients")
 def onehot_topk(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 > 0, F.col("o_orderpriority")).alias("o_orderpriority"))
-    return P.one_hot(o, "o_orderpriority", list(_HOT), "prio").drop("o_orderpriority")
+    c = table(spark, sf_dir, "clients").select("client_id", "segment")
+    return P.one_hot(c, "segment", list(_HOT), "seg").drop("segment")
 
 
 @query("onehot_frequent", "SELECT p_brand AS value, count(*)::BIGINT AS n FROM part GROUP BY 1 HAVING count(*) >= 20")
@@ -58,10 +58,11 @@ def onehot_frequent(spark, sf_dir):
     return p.groupBy(F.col("p_brand").alias("value")).agg(F.count("*").alias("n")).filter("n >= 20")
 
 
-@query("multihot_concepts", "SELECT p_partkey, list_contains(items, 'red')::INT AS c_red, list_contains(items, 'SMALL')::INT AS c_small, len(items)::INT AS c_count, (len(items) = 0)::INT AS c_is_missing FROM (SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN [] WHEN 1 THEN string_split(p_name, ' ') ELSE string_split(p_name || ' ' || p_type, ' ') END AS items FROM part)")
+@query("multihot_concepts", "SELECT client_id, list_contains(items, 'retail')::INT AS c_retail, list_contains(items, 'web')::INT AS c_web, len(items)::INT AS c_count, (len(items) = 0)::INT AS c_is_missing FROM (SELECT client_id, CASE WHEN segment IS NULL THEN [] ELSE list_filter([segment, source], lambda x: x IS NOT NULL) END AS items FROM clients)")
 def multihot_concepts(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 3 == 0, F.array().cast("array<string>")).when(F.col("p_size") % 3 == 1, F.split("p_name", " ")).otherwise(F.split(F.concat("p_name", F.lit(" "), "p_type"), " ")).alias("items"))
-    return P.multi_hot(p, "items", ["red", "SMALL"], "c").drop("items")
+    """What describes a client that has a segment: the segment and the source."""
+    c = table(spark, sf_dir, "clients").select("client_id", F.when(F.col("segment").isNotNull(), F.array_compact(F.array("segment", "source"))).otherwise(F.array().cast("array<string>")).alias("items"))
+    return P.multi_hot(c, "items", ["retail", "web"], "c").drop("items")
 
 
 @query("vocabulary_frequency", "SELECT w AS item, count(*)::BIGINT AS n FROM (SELECT unnest(list_distinct(string_split(p_type, ' '))) AS w FROM part) GROUP BY 1 HAVING count(*) >= 30")

@@ -62,14 +62,14 @@ def _event_files(spark, sf_dir):
     return e.filter("event_id % 2 = 0").unionByName(again), e.filter("event_id % 2 = 1").unionByName(again)
 
 
-@query("process_once_stream", "SELECT event_id, user_id, event_type, CASE WHEN value IS NULL OR value <= 0 THEN 'failed' ELSE 'ok' END AS status FROM events")
+@query("process_once_stream", "SELECT event_id, user_id, event_type, CASE WHEN value > 10 THEN 'ok' ELSE 'failed' END AS status FROM events")
 def process_once_stream(spark, sf_dir):
     """Events that arrive in two lots, part of them twice, annotated once each by a stream that is started again from its checkpoint."""
     src, out, mark = (scratch.folder(spark, f"stream-{x}") for x in ("source", "out", "checkpoint"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def annotate(batch):
-        scored = batch.withColumn("score", F.when(F.col("value") > 0, F.log("value")))
+        scored = batch.withColumn("score", F.when(F.col("value") > 10, F.log(F.col("value") - 10)))
         return R.with_status(scored, "score").drop("score", "value")
 
     for lot in _event_files(spark, sf_dir):
@@ -96,10 +96,10 @@ def functional_gate_semi(spark, sf_dir):
     return R.gate(table(spark, sf_dir, "lineitem"), allowed, "l_orderkey").select("l_orderkey", "l_linenumber", "l_quantity")
 
 
-@query("failed_items_status", "SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN p_size % 7 = 0 THEN 'Functional Issue' ELSE p_brand END AS category FROM part")
+@query("failed_items_status", "SELECT client_id, CASE WHEN segment IS NULL THEN 'failed' ELSE 'ok' END AS status, coalesce(segment, 'Functional Issue') AS category FROM clients")
 def failed_items_status(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 7 != 0, F.col("p_brand")).alias("category"))
-    return R.with_status(p, "category", "Functional Issue").select("p_partkey", "status", "category")
+    c = table(spark, sf_dir, "clients").select("client_id", F.col("segment").alias("category"))
+    return R.with_status(c, "category", "Functional Issue").select("client_id", "status", "category")
 
 
 @query("windowed_totals", "SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

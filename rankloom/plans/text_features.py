@@ -176,10 +176,12 @@ def ambiguity_types(spark, sf_dir):
     return p.select("p_partkey", *[e.alias(n) for n, e in X.ambiguity_types(F.col("items"), _AMB).items()])
 
 
-@query("parse_list_json", "SELECT event_id, items, len(items)::INT AS n FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN list_transform(json_keys(props), lambda x: lower(x)) WHEN 1 THEN ['x y', event_type] ELSE ['a', 'b', event_type] END AS items FROM events WHERE props IS NOT NULL)")
+@query("parse_list_json", "SELECT event_id, form, items, len(items)::INT AS n FROM (SELECT event_id, 0 AS form, list_transform(json_keys(props), lambda x: lower(x)) AS items FROM events WHERE props IS NOT NULL UNION ALL SELECT event_id, 1, ['x y', event_type] FROM events WHERE props IS NOT NULL UNION ALL SELECT event_id, 2, ['a', 'b', event_type] FROM events WHERE props IS NOT NULL)")
 def parse_list_json(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("props is not null").select("event_id", X.parse_list(F.when(F.col("event_id") % 3 == 0, F.col("props")).when(F.col("event_id") % 3 == 1, F.concat(F.lit('["X  y", "'), "event_type", F.lit('"]'))).otherwise(F.concat(F.lit("a; B,"), "event_type"))).alias("items"))
-    return e.withColumn("n", F.size("items"))
+    """Each event's own object, and its type in the two other forms that lists come in."""
+    forms = F.array("props", F.concat(F.lit('["X  y", "'), "event_type", F.lit('"]')), F.concat(F.lit("a; B,"), "event_type"))
+    e = table(spark, sf_dir, "events").filter("props is not null").select("event_id", F.posexplode(forms).alias("form", "text"))
+    return e.select("event_id", "form", X.parse_list(F.col("text")).alias("items")).withColumn("n", F.size("items"))
 
 
 @query("prompt_column", "SELECT conv_id, turn, 'Rate ' || coalesce(role, '') || ': ' || coalesce(text, '') AS prompt FROM conversations")

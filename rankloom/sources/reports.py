@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUG = "STRUCT<_id: BIGINT, _opendate: STRING, _fixdate: STRING, _resolution: STRING, buginformation: STRUCT<summary: STRING, description: STRING>, fixedFiles: STRUCT<file: ARRAY<STRING>>>"
+BUG = "STRUCT<_id: STRING, _opendate: STRING, _fixdate: STRING, _resolution: STRING, buginformation: STRUCT<summary: STRING, description: STRING>, fixedFiles: STRUCT<file: ARRAY<STRING>>>"
+#: A root of each kind, with what didn't parse.
+ONE, MANY = BUG[:-1] + ", _bad: STRING>", f"STRUCT<bug: ARRAY<{BUG}>, _bad: STRING>"
+ROOT = r"^\x{FEFF}?(?:\s+|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>\[]*(?:\[.*?\]\s*)?>)*<([A-Za-z_][\w.:-]*)"
 REPORTS = "id STRING, title STRING, description STRING, opendate STRING, fixdate STRING, resolution STRING, files ARRAY<STRING>, path STRING"
 
 
@@ -30,14 +33,40 @@ def clean_bytes(content: Column) -> Column:
     return F.regexp_replace(text, r"[\x00-\x08\x0B-\x0C\x0E-\x1F]", "")
 
 
+def parse_xml(files: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
+    """(path, root, bad, bugs): whole documents by Spark's XML parser. The root's name says what they are: a ``bug``, a ``bugRepository`` whose children are
+    the bugs, or nothing that is known. ``bad`` is the text of a document that isn't well-formed, which has no bugs.
+
+    The parser, not a pattern, finds elements, so that tags in CDATA, comments or other roots are text.
+    """
+    d = files.select(F.col(name).alias("path"), clean_bytes(F.col(content)).alias("xml")).withColumn("root", F.regexp_extract("xml", "(?s)" + ROOT, 1))
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    d = d.withColumns({"one": F.when(F.col("root") == "bug", F.from_xml("xml", ONE, how)), "many": F.when(F.col("root") == "bugRepository", F.from_xml("xml", MANY, how))})
+    unknown = ~F.col("root").isin("bug", "bugRepository")
+    bad = F.coalesce("one._bad", "many._bad", F.when(unknown & (F.col("root") == ""), F.col("xml")))
+    alone = F.struct(*[F.col(f"one.{c}").alias(c) for c in ("_id", "_opendate", "_fixdate", "_resolution", "buginformation", "fixedFiles")])
+    bugs = F.when(F.col("root") == "bug", F.array(alone)).otherwise(F.col("many.bug"))
+    return d.select("path", "root", bad.alias("bad"), F.when(bad.isNull(), bugs).alias("bugs"))
+
+
+def _xml_files(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").load(path)
+    return parse_xml(files.select(F.element_at(F.split("path", "/"), -1).alias("path"), "content"))
+
+
+def broken_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(path, reason) of XML files that give no reports: "malformed", or "root" where the root is neither a bug nor holds bugs."""
+    d = _xml_files(spark, path)
+    reason = F.when(F.col("bad").isNotNull(), "malformed").when(~F.col("root").isin("bug", "bugRepository"), "root")
+    return d.select("path", reason.alias("reason")).filter("reason is not null")
+
+
 def read_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Reports of XML files, each with a root <bug> or a root that holds some; files that don't parse give none.
+    """Reports of XML files, each with a root <bug> or a root <bugRepository> that holds some; :func:`broken_xml` has the files that give none.
 
     Files come as bytes, so that bad encodings and control characters don't lose a report. Entities are undone once more.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("path"), clean_bytes(F.col("content")).alias("xml"))
-    bugs = files.select("path", F.explode(F.regexp_extract_all("xml", F.lit(r"(?s)<bug[\s>].*?</bug>"), F.lit(0))).alias("one"))
-    parsed = bugs.select("path", F.from_xml("one", BUG, {"mode": "PERMISSIVE"}).alias("b")).filter("b.buginformation is not null")
+    parsed = _xml_files(spark, path).select("path", F.explode("bugs").alias("b")).filter("b.buginformation is not null")
     info = F.col("b.buginformation")
     out = parsed.select(
         id_from_name(F.col("path"), F.col("b._id")).alias("id"),

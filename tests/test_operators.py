@@ -192,6 +192,18 @@ def test_xml_and_json_reports(spark, tmp_path):
     (tmp_path / "broken_3.xml").write_text("<bug><nothing")
     r = {x.id: x for x in reports.read_xml(spark, f"{tmp_path}/*.xml").collect()}
     assert set(r) == {"Chart-1", "plain-7"} and r["Chart-1"].title == "s < t" and r["plain-7"].title == "caf\xe9" and r["Chart-1"].files == ["A.java"]
+    assert {tuple(x) for x in reports.broken_xml(spark, f"{tmp_path}/*.xml").collect()} == {("broken_3.xml", "malformed")}
+    odd = tmp_path / "odd"
+    odd.mkdir()
+    one = "<bug id='A7' opendate='x'><buginformation><summary>{}</summary><description>{}</description></buginformation></bug>"
+    (odd / "cdata_1.xml").write_text("<?xml version='1.0'?>\n<!-- <bug> -->\n" + one.format("<![CDATA[see <bug id='9'><buginformation>]]>", "é"))
+    (odd / "other_2.xml").write_text("<list>" + one.format("t", "d") + "</list>")
+    (odd / "cut_3.xml").write_text("<bugRepository>" + one.format("t", "d") + "<bug>")
+    (odd / "two.xml").write_text("\ufeff<bugRepository>" + one.format("t", "d") + one.format("u", "") + "<bug id='z'/></bugRepository>")
+    (odd / "text_4.xml").write_text("no markup")
+    got = sorted((x.id, x.title, x.description, x.opendate) for x in reports.read_xml(spark, f"{odd}/*.xml").collect())
+    assert got == [("cdata-1", "see <bug id='9'><buginformation>", "é", "x"), ("two-A7", "t", "d", "x"), ("two-A7", "u", "", "x")]
+    assert {tuple(x) for x in reports.broken_xml(spark, f"{odd}/*.xml").collect()} == {("other_2.xml", "root"), ("cut_3.xml", "malformed"), ("text_4.xml", "malformed")}
     (tmp_path / "issues.json").write_text('[{"issue_id": "Lang-3", "title": "t", "description": "d"}]')
     assert tuple(reports.rating_input(spark, f"{tmp_path}/issues.json").first()) == ("Lang-3", "Lang", "t", "d")
 

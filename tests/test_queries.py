@@ -15,10 +15,12 @@ VARY = {
     "concept_layers": ("concept_diversity", "has_cross_layer_concepts", "concept_breadth", "ui_concepts", "logic_concepts", "data_concepts", "network_concepts", "infra_concepts"),
     "ambiguity_types": ("has_reproduction_ambiguity", "has_input_ambiguity", "has_error_ambiguity", "ambiguity_type_count"),
     "parse_list_json": ("items", "n"),
-    "multihot_concepts": ("c_red", "c_small", "c_count", "c_is_missing"),
-    "onehot_topk": ("prio_is_missing", "prio__other__"),
+    "multihot_concepts": ("c_retail", "c_web", "c_count", "c_is_missing"),
+    "onehot_topk": ("seg_is_missing", "seg__other__"),
     "agreement_kappa": ("cohens_kappa",),
     "adjudicate": ("value", "source"),
+    "failed_items_status": ("status", "category"),
+    "process_once_stream": ("status", "event_type"),
     "split_report_ids": ("project",),
     "feature_group_values": ("grp",),
 }
