@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ("group_stats", "rankings", "text_features", "shaping", "rated", "scored", "sources_and_vectors")
+MODULES = ("figure_data", "group_stats", "rankings", "text_features", "shaping", "rated", "scored", "sources_and_vectors")
 
 
 def _load() -> None:

@@ -141,3 +141,24 @@ def test_fits_agree_with_a_general_solver(spark):
             assert coef == pytest.approx(fit.coefficients[0], rel=1e-6, abs=1e-9) and p == pytest.approx(fit.summary.pValues[0], rel=1e-4, abs=1e-9)
         assert got[f].n == d.count() and got[f].attenuation == pytest.approx(1 - got[f].adj_coef / got[f].raw_coef)
     assert jobs <= 40  # Spark counts a job for each stage of a broadcast, too; the actions are at most 11
+
+
+def test_densities_and_boxes(spark):
+    import math
+    import statistics
+
+    from rankloom.operators import figures
+
+    rng = random.Random(13)
+    rows = [("a", rng.gauss(5, 1)) for _ in range(500)] + [("b", 3.0)] * 4 + [("b", 50.0), ("c", None), (None, 1.0)]
+    d = spark.createDataFrame(rows, "g string, v double")
+    got = {}
+    for r in figures.density(d, ["g"], "v", 0, 10, 50).collect():
+        got.setdefault(r.g, {})[round(r.at, 6)] = r.density
+    assert set(got) == {"a", "b", None} and all(len(x) == 50 for x in got.values())
+    assert abs(sum(got["a"].values()) * 0.2 - 1) < 0.01 and max(got["a"], key=got["a"].get) == pytest.approx(5, abs=0.6)
+    h = max(statistics.stdev([3.0] * 4 + [50.0]) / 5**0.2, 0.2)
+    want = sum(math.exp(-(((4.1 - m) / h) ** 2) / 2) for m in [3.1] * 4 + [9.9]) / 5 / h / math.sqrt(2 * math.pi)
+    assert got["b"][4.1] == pytest.approx(want)
+    box = {r.g: r for r in figures.boxes(d, ["g"], "v").collect()}
+    assert tuple(box["b"])[1:] == (5, 3.0, 3.0, 3.0, 3.0, 3.0, 1) and tuple(box[None])[1:] == (1, 1.0, 1.0, 1.0, 1.0, 1.0, 0) and "c" not in box
