@@ -13,7 +13,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier doesn't reject."""
+    """Documents that the compression classifier doesn't reject.
+
+    A null text is an empty one and has a score like any other; equal texts have equal scores, so repeated rows stay or go together. Without
+    labels of both kinds nothing tells good from bad, and all rows score the labels' rate. An empty table stays empty."""
     return quality.keep_good(docs, quality.train(docs, _table(spark, sf_dir, "labels")), threshold=0.3)
 
 
@@ -52,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; each one's rows are a Parquet table in the shared folder before the next begins."""
+    """Apply all stages to ``documents``; each one's rows are a Parquet table in the shared folder before the next begins.
+
+    Nulls in any column, empty and very long texts, repeated rows and ids and further columns pass through all stages, as each
+    stage's operator says; other columns travel along up to the last stage, whose names can't clash with them. An empty table gives none."""
     docs = _table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -354,7 +354,10 @@ class Scorer:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2_500, longest: int = 12_000, mod: int = 4, held_out: int = 2, doc_id: str = "doc_id", text: str = "text") -> Net:
-    """Fit on a sample of at most ``per_class`` documents of each label, then put the labels' true rate back."""
+    """Fit on a sample of at most ``per_class`` documents of each label, then put the labels' true rate back.
+
+    Rows whose label or id is null or whose text is missing aren't learnt from; an id with both labels counts as 1. Without both labels the
+    score is the base rate."""
     learn = remainder(F.col("doc_id"), mod) != held_out
     texts, y = sample(docs, labels, label, per_class, longest, learn, doc_id, text)
     net = fit(texts, y)
@@ -369,7 +372,8 @@ def score(docs: DataFrame, net: Net, threshold: float = 0.3, mod: int = 4, held_
     """Return (doc_id, held_out, score, predicted) for each row.
 
     Only the text is scored, all its windows. A null text is empty, and an empty one is one window of padding. Equal texts have
-    equal scores, whatever else there is. A null id stays null. Other columns are ignored; an empty table gives none.
+    equal scores, whatever else there is. A null id stays null and counts as empty text for ``held_out``; repeated rows are scored each.
+    Other columns are ignored; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
