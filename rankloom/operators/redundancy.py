@@ -48,9 +48,10 @@ def spearman_matrix(long: DataFrame, key: str, features: list[str] | None = None
     partition first, has all pairs. Two features that are missing in the same rows have the ranks of their common rows, so that is exact; a pair
     whose rows differ is ranked again over those that have both. (feature_a, feature_b, n, rho); a constant side gives null.
     """
+    long = scratch.stored(long.select(key, "feature", "value"), "long")
     names = sorted(features if features is not None else [r[0] for r in long.select("feature").distinct().collect()])
     ranked = value_ranks(long, ["feature"], "value", {}).select("feature", "value", (F.col("avg_rank") - (F.col("all_c") + 1) / 2).alias("r"))
-    rows = meet(long.select(key, "feature", "value"), ranked, ["feature", "value"]).groupBy(key).agg(F.collect_list(F.struct("feature", "r")).alias("x"))
+    rows = meet(long, ranked, ["feature", "value"]).groupBy(key).agg(F.collect_list(F.struct("feature", "r")).alias("x"))
     sums = rows.select("x.feature", "x.r").mapInArrow(_partial(names), "i int, j int, product double, both long").groupBy("i", "j").agg(F.sum("product").alias("product"), F.sum("both").alias("both"))
     sums = scratch.stored(sums, "gram")
     own = sums.filter("i = j").select("i", F.col("product").alias("own"), F.col("both").alias("n_own"))  # a row for each feature

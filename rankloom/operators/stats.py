@@ -130,6 +130,7 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, p: bool = False) -> D
     Equal pairs meet first; each side is ranked over its distinct values (:func:`value_ranks`), and pairs get their ranks by joins.
     """
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").cast("double").alias("_w"))
+    pairs = scratch.stored(pairs, "pairs")
     rank = lambda v: value_ranks(pairs, by, v, {}, F.col("_w")).select(*by, v, (F.col("avg_rank") - (F.col("all_c") + 1) / 2).alias(f"_r{v}"))
     d = meet(meet(pairs, rank("_x"), [*by, "_x"]), rank("_y"), [*by, "_y"])
     w, rx, ry = F.col("_w"), F.col("_r_x"), F.col("_r_y")

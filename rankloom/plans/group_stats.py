@@ -150,7 +150,7 @@ def roc_best_f1(spark, sf_dir):
  r AS (SELECT feature_a, feature_b, rank() OVER (PARTITION BY feature_a, feature_b ORDER BY va) + (count(*) OVER (PARTITION BY feature_a, feature_b, va) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY feature_a, feature_b ORDER BY vb) + (count(*) OVER (PARTITION BY feature_a, feature_b, vb) - 1) / 2.0::DOUBLE AS rb FROM x)
  SELECT feature_a, feature_b, count(*)::BIGINT AS n, round(abs(corr(ra, rb)), 6) AS rho FROM r GROUP BY 1, 2""")
 def spearman_matrix(spark, sf_dir):
-    return redundancy.spearman_matrix(_long(spark, sf_dir), "bug").withColumn("rho", F.round("rho", 6))
+    return redundancy.spearman_matrix(_long(spark, sf_dir), "bug", FEATURES).withColumn("rho", F.round("rho", 6))
 
 
 @query("stratified_delta_tertiles", f"WITH feats AS ({FEATURES_SQL}), flags AS ({flags_sql(K)}), c AS (SELECT quantile_cont(n_items, 1/3::DOUBLE) AS a, quantile_cont(n_items, 2/3::DOUBLE) AS b, min(n_items) AS lo, max(n_items) AS hi FROM feats), x AS (SELECT bug, CASE WHEN lo < a AND a < b AND b < hi THEN CASE WHEN n_items <= a THEN 1 WHEN n_items <= b THEN 2 ELSE 3 END END AS band FROM feats, c), {two_groups_sql(f'SELECT band, feature, value, num_found > 0 AS is_first FROM ({LONG_SQL}) JOIN x USING (bug) JOIN flags USING (bug) WHERE band IS NOT NULL', ['band', 'feature'])}")
