@@ -757,3 +757,32 @@ def test_components_of_chains_and_stars(spark):
     got = {bytes(r.key): bytes(r.root) for r in rows}
     assert len(rows) == 300 and all(got[x] == min(names[k : k + 100]) for k in (0, 100, 200) for x in names[k : k + 100])
     assert N._components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+
+
+def test_network_against_a_plain_forward_pass():
+    """One window, word by word and direction by direction, in ordinary arithmetic."""
+    words_, at, _ = toxicity.words_of(["some words and more of these words, then quite a few others"])
+    net = toxicity.Net(3)
+    rng = np.random.default_rng(4)
+    net.odds_word, net.odds_gram = (rng.normal(size=x.shape).astype(np.float32) for x in (net.odds_word, net.odds_gram))
+    for name in ("word", "gram"):
+        net.p[name] = rng.normal(size=net.p[name].shape).astype(np.float32) / 4
+    x = net.inputs(words_)[0]
+    rows = toxicity.laid_out(at, len(words_))
+    got = net.forward(net.projected(x), rows)
+    p, k, sig = {n: v.astype(float) for n, v in net.p.items()}, toxicity.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    assert len(rows) == 1
+    states = {}
+    for d, order in ((0, range(toxicity.WINDOW)), (1, reversed(range(toxicity.WINDOW)))):
+        h = np.zeros(k)
+        for t in order:
+            if rows[0, t] < len(words_):
+                g, u = x[rows[0, t]].astype(float) @ p["w"][d] + p["b"][d, 0], h @ p["u"][d]
+                z, r = sig(g[:k] + u[:k]), sig(g[k : 2 * k] + u[k : 2 * k])
+                c = np.tanh(g[2 * k :] + r * u[2 * k :])
+                h = (1 - z) * c + z * h
+            states[d, t] = h
+    both = [np.concatenate([states[0, t], states[1, t]]) for t in range(toxicity.WINDOW) if rows[0, t] < len(words_)]
+    weight = np.exp([float(np.tanh(s @ p["a"]) @ p["v"][:, 0]) for s in both])
+    pooled = sum(w * s for w, s in zip(weight / weight.sum(), both, strict=True))
+    assert abs(float(got[0]) - float(pooled @ p["o"][:, 0] + p["c"][0])) < 1e-4
