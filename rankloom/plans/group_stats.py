@@ -130,8 +130,8 @@ def category_difficulty(spark, sf_dir):
     f = _flags(spark, sf_dir)
     t = f.select("bug", F.explode(F.array_compact(F.array(*[F.when(F.col(f"found_{t}"), F.lit(t)) for t in TOOLS], F.lit("overall")))).alias("tool"))
     d = t.join(features(spark, sf_dir).select("bug", F.col("project").alias("category"), "n_items"), "bug")
-    out = d.groupBy("tool", "category").agg(F.count("*").alias("n"), F.round(F.avg("n_items"), 6).alias("mean"), F.median("n_items").alias("median"), F.round(F.stddev_samp("n_items"), 6).alias("std"), F.min("n_items").alias("min"), F.max("n_items").alias("max"))
-    return out.filter("n >= 5")
+    out = S.describe(d, ["tool", "category"], "n_items").withColumnRenamed("count", "n").filter("n >= 5")
+    return out.select("tool", "category", "n", F.round("mean", 6).alias("mean"), "median", F.round("std", 6).alias("std"), "min", "max")
 
 
 @query("roc_best_f1", """WITH d AS (SELECT doc_id, n_chars::DOUBLE AS score, toxic FROM documents JOIN labels USING (doc_id)),
