@@ -142,7 +142,12 @@ def standard_scale(df: DataFrame, columns: list[str], keep: bool = True) -> Data
 
 def fill_missing(df: DataFrame, by_median: list[str], by_zero: list[str]) -> DataFrame:
     """Nulls as the column's median (0 if it has no value), or as 0."""
-    med = df.agg(*[F.median(c).alias(f"__f_{c}") for c in by_median]) if by_median else None
+    from .stats import long_form, quantiles
+
+    med = None
+    if by_median:
+        each = quantiles(long_form(df, [], by_median), ["feature"], "value", {"m": 0.5})
+        med = each.agg(*[F.max(F.when(F.col("feature") == c, F.col("m"))).alias(f"__f_{c}") for c in by_median])  # one row
     d = df.crossJoin(F.broadcast(med)) if med is not None else df
     fill = {c: F.coalesce(F.col(c), F.col(f"__f_{c}"), F.lit(0.0)) for c in by_median} | {c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)) for c in by_zero}
     return d.select(*[fill[c].alias(c) if c in fill else F.col(c) for c in df.columns])
