@@ -31,6 +31,55 @@ def clean_name(value, most: int = 60) -> str:
     return re.sub(r"[^0-9A-Za-z]+", "_", str(value)).strip("_").lower()[:most]
 
 
+def columns_of(df: DataFrame, column: str, least: int, most: int = 2000) -> list:
+    """Values of at least ``least`` rows, in order, for columns. More than ``most`` are an error, as no table holds so many: none is left out."""
+    found = frequent_values(df, column, least, most + 1)
+    if len(found) > most:
+        raise ValueError(f"{column} has over {most} values of {least} rows or more; raise the least number of rows")
+    return sorted(found)
+
+
+def _by_name(values: list, name) -> dict[str, list]:
+    """Values by their column's name: values with one name share a column."""
+    out: dict[str, list] = {}
+    for v in values:
+        out.setdefault(name(v), []).append(v)
+    return out
+
+
+def one_hot_from(df: DataFrame, column: str, prefix: str, least: int = 20) -> DataFrame:
+    """0/1 columns {prefix}_{value} for values that ``least`` rows have, {prefix}___other__ and {prefix}___missing__ (each where there are such), and {prefix}_is_missing.
+
+    Values are compared without blanks around them; a missing or blank one is missing. The vocabulary is one count by value, of bounded size.
+    """
+    v = F.coalesce(F.trim(F.col(column).cast("string")), F.lit(""))
+    blank = v == ""
+    keep = columns_of(df.select(F.when(~blank, v).alias("_v")), "_v", least)
+    label = F.when(blank, "__missing__").when(v.isin(*keep), v).otherwise("__other__") if keep else F.when(blank, "__missing__").otherwise("__other__")
+    there = df.agg(F.count_if(blank).alias("m"), F.count_if(label == "__other__").alias("o")).first()
+    names = keep + ["__missing__"] * bool(there.m) + ["__other__"] * bool(there.o)
+    return df.select("*", *[(label == n).cast("int").alias(f"{prefix}_{n}") for n in names], blank.cast("int").alias(f"{prefix}_is_missing"))
+
+
+def multi_hot_from(df: DataFrame, items: str, prefix: str, least: int = 30) -> DataFrame:
+    """{prefix}_num_concepts, {prefix}_is_missing and 0/1 columns {prefix}__{item} for items that ``least`` rows hold.
+
+    Names keep small letters, digits and underscores and end at 60; items that share a name share a column. A null array is an empty one.
+    """
+    xs = F.coalesce(F.array_compact(items), F.array().cast(df.schema[items].dataType))
+    keep = columns_of(df.select(F.explode(F.array_distinct(xs)).alias("_v")), "_v", least)
+    groups = _by_name(keep, lambda x: re.sub(r"[^a-z0-9_]+", "_", str(x))[:60])
+    cols = [F.arrays_overlap(xs, F.array(*[F.lit(x) for x in same])).cast("int").alias(f"{prefix}__{n}") for n, same in groups.items()]
+    return df.select("*", F.size(xs).alias(f"{prefix}_num_concepts"), (F.size(xs) == 0).cast("int").alias(f"{prefix}_is_missing"), *cols)
+
+
+def column_sums(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, n): the sum of each column, from one pass."""
+    one = df.agg(*[F.coalesce(F.sum(f"`{c}`"), F.lit(0)).cast("long").alias(f"_{i}") for i, c in enumerate(columns)])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{i}").alias("n")) for i, c in enumerate(columns)])
+    return one.select(F.explode(rows).alias("r")).select("r.*")
+
+
 def one_hot(df: DataFrame, column: str, values: list, prefix: str) -> DataFrame:
     """0/1 columns for ``values``, for other values and for missing ones."""
     blank = F.col(column).isNull() | (F.trim(F.col(column).cast("string")) == "")

@@ -81,10 +81,11 @@ def normal_id(c: str) -> Column:
     return F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"\.0$", ""), F.lit(""))
 
 
-def join_suffixed(left: DataFrame, right: DataFrame, on: list[str], suffix: str, how: str = "left") -> DataFrame:
-    """Join, with ``suffix`` on columns of ``right`` whose names ``left`` has too."""
-    renamed = right.select(*[F.col(c).alias(c + suffix if c in left.columns and c not in on else c) for c in right.columns])
-    return left.join(renamed, on, how)
+def join_suffixed(left: DataFrame, right: DataFrame, on: list[str], suffix: str, how: str = "left", left_suffix: str = "") -> DataFrame:
+    """Join, with ``suffix`` on columns of ``right`` whose names ``left`` has too, and ``left_suffix`` on those of ``left``."""
+    both = (set(left.columns) & set(right.columns)) - set(on)
+    names = lambda df, s: [F.col(f"`{c}`").alias(c + s if c in both else c) for c in df.columns]
+    return (left.select(*names(left, left_suffix)) if left_suffix else left).join(right.select(*names(right, suffix)), on, how)
 
 
 def display_name(c: Column) -> Column:
