@@ -6,7 +6,7 @@ import importlib
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-MODULES = ("figure_data", "group_stats", "merged", "rankings", "text_features", "shaping", "rated", "scored", "sources_and_vectors")
+MODULES = ("figure_data", "group_stats", "merged", "rankings", "text_features", "shaping", "rated", "scored", "sources_and_vectors", "stored_scorers")
 
 
 def _load() -> None:
