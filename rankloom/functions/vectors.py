@@ -72,26 +72,6 @@ def semantic_diversity(df: DataFrame, by: str, v: str) -> DataFrame:
     return df.filter(F.col(v).isNotNull()).select(by, v).groupBy(by).applyInPandas(one, f"{by} {kind}, n long, semantic_entropy double, semantic_spread_pc1 double, semantic_spread_pc2 double")
 
 
-def clusters(df: DataFrame, key: str, v: str, k: int = 10, components: int = 50, seed: int = 42, starts: int = 3) -> DataFrame:
-    """(key, embedding_cluster, embedding_cluster_distance, embedding_cluster_separation, embedding_cluster_size) by PCA and k-means of Spark ML, the best of ``starts`` runs."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    rows = df.filter(F.col(v).isNotNull()).select(key, array_to_vector(as_doubles(F.col(v))).alias("x"))
-    dims = len(rows.select(vector_to_array("x").alias("x")).first().x)
-    reduced = PCA(k=min(components, dims), inputCol="x", outputCol="p").fit(rows).transform(rows).select(key, "p")
-    models = [KMeans(k=k, seed=seed + i, featuresCol="p", predictionCol="embedding_cluster").fit(reduced) for i in range(starts)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in best.clusterCenters()])
-    p = best.transform(reduced).withColumn("a", vector_to_array("p"))
-    far = F.transform(centres, lambda c: F.sqrt(F.aggregate(F.zip_with(c, F.col("a"), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)))
-    p = p.withColumn("d", far)
-    size = p.groupBy("embedding_cluster").agg(F.count("*").alias("embedding_cluster_size"))
-    out = p.select(key, "embedding_cluster", F.get("d", F.col("embedding_cluster")).alias("embedding_cluster_distance"), F.get(F.array_sort("d"), F.lit(1)).alias("embedding_cluster_separation"))
-    return out.join(F.broadcast(size), "embedding_cluster")
-
-
 def hashed_embedding(text: Column, dims: int = 64) -> Column:
     """A stand-in for a sentence encoder: words hashed with signs into ``dims`` sums, scaled to length 1. It says how alike vocabularies are, no more."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))

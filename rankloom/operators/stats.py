@@ -28,13 +28,14 @@ def meet(left: DataFrame, right: DataFrame, on: list[str], few: bool = False) ->
     return left.join(right, same).drop(*[f"_r_{c}" for c in on])
 
 
-def value_ranks(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], weight: Column | None = None, few: bool = True) -> DataFrame:
+def value_ranks(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], weight: Column | None = None, few: bool = True, ranges_too: bool = False) -> DataFrame:
     """One row for each distinct value of a group: ``c`` (its rows, or their weight) and ``sums``, and of each of them before_ (over lower values) and all_ (over the group).
 
     ``avg_rank`` is the average rank, ties sharing it. No task holds a group: distinct values meet first, with their sums, in a table that is written at once, as
     it is read three times; a sketch of them parts each group into ranges of about equal size; sums of the ranges give what lies below a range, and a window sees
     the values of one range only. There are about as many ranges as shuffle partitions; where they are cut changes no result.
     Groups are comparisons by features, so a row for each of their ranges is broadcast; say ``few=False`` if ``by`` holds a key of the data.
+    ``ranges_too`` leaves the range's number as ``_range``.
     """
     cols = {"c": F.count("*") if weight is None else F.sum(weight), **{n: F.sum(e) for n, e in sums.items()}}
     each = scratch.stored(df.groupBy(*by, value).agg(*[e.cast("double").alias(n) for n, e in cols.items()]), "values")
@@ -48,7 +49,7 @@ def value_ranks(df: DataFrame, by: list[str], value: str, sums: dict[str, Column
     within = W.partitionBy(*by, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     out = meet(each, parts, [*by, "_range"], few)
     out = out.withColumns({f"before_{n}": F.coalesce(F.sum(n).over(within), F.lit(0.0)) + F.col(f"_b_{n}") for n in cols})
-    return out.drop("_range", *[f"_b_{n}" for n in cols]).withColumn("avg_rank", F.col("before_c") + (F.col("c") + 1) / 2)
+    return out.drop(*([] if ranges_too else ["_range"]), *[f"_b_{n}" for n in cols]).withColumn("avg_rank", F.col("before_c") + (F.col("c") + 1) / 2)
 
 
 def _at(value: Column, place: Column, before: Column, c: Column) -> Column:

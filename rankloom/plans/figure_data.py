@@ -25,3 +25,13 @@ def value_density(spark, sf_dir):
 def value_boxes(spark, sf_dir):
     b = figures.boxes(table(spark, sf_dir, "events"), ["event_type"], "value")
     return b.withColumns({c: F.round(c, 6) for c in ("q1", "median", "q3")})
+
+
+@query("toxic_roc_curve", """WITH d AS (SELECT source, n_chars::DOUBLE AS s, toxic FROM documents JOIN labels USING (doc_id)), v AS (SELECT source, s, sum(toxic)::BIGINT AS p, count(*)::BIGINT - sum(toxic)::BIGINT AS n FROM d WHERE s IS NOT NULL GROUP BY 1, 2),
+ t AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, lead(p) OVER w AS p2, lead(n) OVER w AS n2, row_number() OVER w AS i, sum(p) OVER (PARTITION BY source) AS ap, sum(n) OVER (PARTITION BY source) AS an FROM v WINDOW w AS (PARTITION BY source ORDER BY s DESC)),
+ k AS (SELECT source, s AS threshold, tp, fp, ap, an FROM t WHERE i = 1 OR p2 IS NULL OR p * n2 <> n * p2 UNION ALL SELECT source, 'inf'::DOUBLE, 0, 0, any_value(ap), any_value(an) FROM t GROUP BY source)
+ SELECT source, threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp::DOUBLE / nullif(ap, 0), 9) AS tpr, round(fp::DOUBLE / nullif(an, 0), 9) AS fpr FROM k""")
+def toxic_roc_curve(spark, sf_dir):
+    """How well a text's length tells toxic ones, by source: the corners of the curves."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("source", F.col("n_chars").cast("double").alias("s"), "toxic")
+    return figures.roc_curve(d, ["source"], "s", "toxic").withColumns({c: F.round(c, 9) for c in ("tpr", "fpr")})

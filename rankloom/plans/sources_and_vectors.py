@@ -36,7 +36,9 @@ def semantic_diversity(spark, sf_dir):
 
 @query("embedding_clusters")
 def embedding_clusters(spark, sf_dir):
-    return V.clusters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=10)
+    from ..operators import clusters
+
+    return clusters.clusters(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=10)
 
 
 _DONE = "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'"
