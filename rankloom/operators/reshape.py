@@ -113,41 +113,58 @@ def row_stats(columns: list[str]) -> tuple[Column, Column]:
     return mean, F.sqrt(F.when(n > 1, square / (n - 1)))
 
 
-def rating_interactions(df: DataFrame) -> DataFrame:
-    """Differences, ratios and composites of ratings; each needs its columns, all need three of the six."""
-    have = set(df.columns)
-    six = {"actionability", "clarity", "specificity", "technical_depth", "expected_observed_alignment", "causal_reasoning_quality"}
-    if len(have & six) < 3:
+#: Ratings of which three must be there for any of :data:`RATING_SPEC`.
+SIX_RATINGS = ("actionability", "clarity", "specificity", "technical_depth", "expected_observed_alignment", "causal_reasoning_quality")
+#: name: (columns that it needs, columns that it takes where they are there, SQL over them; one that isn't there counts 0).
+RATING_SPEC = {
+    "clarity_specificity_gap": (("clarity", "specificity"), (), "clarity - specificity"),
+    "clarity_specificity_ratio": (("clarity", "specificity"), (), "clarity / (specificity + 0.1D)"),
+    "actionability_depth_product": (("actionability", "technical_depth"), (), "actionability * technical_depth"),
+    "actionability_depth_ratio": (("actionability", "technical_depth"), (), "actionability / (technical_depth + 0.1D)"),
+    "technical_completeness": (("technical_depth", "expected_observed_alignment"), (), "(technical_depth + expected_observed_alignment) / 2"),
+    "reasoning_composite": (("causal_reasoning_quality",), ("hidden_s2r_present",), "(causal_reasoning_quality + hidden_s2r_present * 2) / 7"),
+    "clarity_minus_contradiction": (("contradiction_present", "clarity"), (), "clarity - contradiction_present * 2"),
+}
+#: name: (rating of 0 to 5, signs in the text that should go with it, how many of them make a full one).
+CONSISTENCY_SPEC = {
+    "technical_depth_consistency": ("technical_depth", ("has_code", "has_stacktrace", "has_version_info"), 3),
+    "causal_reasoning_consistency": ("causal_reasoning_quality", ("num_causal_markers",), 5),
+}
+
+
+def from_spec(df: DataFrame, spec: dict) -> dict[str, Column]:
+    """Columns of a spec like :data:`RATING_SPEC` that ``df`` has what they need for; all values count as doubles."""
+    out = {}
+    for name, (needs, takes, sql) in spec.items():
+        if set(needs) <= set(df.columns):
+            value = {c: f"CAST(`{c}` AS DOUBLE)" if c in df.columns else "0D" for c in (*needs, *takes)}
+            out[name] = F.expr(re.sub("|".join(rf"\b{c}\b" for c in value), lambda m: value[m[0]], sql))
+    return out
+
+
+def rating_interactions(df: DataFrame, spec: dict = RATING_SPEC) -> DataFrame:
+    """Differences, ratios and composites of ratings, each where its columns are there; none without three of :data:`SIX_RATINGS`."""
+    if len(set(SIX_RATINGS) & set(df.columns)) < 3:
         return df
-    c = lambda name: F.col(name).cast("double")
-    out: dict[str, Column] = {}
-    if {"clarity", "specificity"} <= have:
-        out |= {"clarity_specificity_gap": c("clarity") - c("specificity"), "clarity_specificity_ratio": c("clarity") / (c("specificity") + 0.1)}
-    if {"actionability", "technical_depth"} <= have:
-        out |= {"actionability_depth_product": c("actionability") * c("technical_depth"), "actionability_depth_ratio": c("actionability") / (c("technical_depth") + 0.1)}
-    quality = [q for q in ("actionability", "clarity", "specificity") if q in have]
-    if len(quality) >= 2:
+    out = from_spec(df, spec)
+    quality = [q for q in SIX_RATINGS[:3] if q in df.columns]
+    if len(quality) > 1:
         out["quality_composite"], out["quality_std"] = row_stats(quality)
-    if {"technical_depth", "expected_observed_alignment"} <= have:
-        out["technical_completeness"] = (c("technical_depth") + c("expected_observed_alignment")) / 2
-    if "causal_reasoning_quality" in have:
-        out["reasoning_composite"] = (c("causal_reasoning_quality") + (c("hidden_s2r_present") * 2 if "hidden_s2r_present" in have else 0)) / 7
-    if {"contradiction_present", "clarity"} <= have:
-        out["clarity_minus_contradiction"] = c("clarity") - c("contradiction_present") * 2
     return df.withColumns(out)
 
 
-def consistency(df: DataFrame) -> DataFrame:
-    """How well ratings agree with what the text holds, 1 being full agreement."""
-    have, out = set(df.columns), {}
-    c = lambda name: F.col(name).cast("double")
-    signs = [s for s in ("has_code", "has_stacktrace", "has_version_info") if s in have]
-    if "technical_depth" in have and signs:
-        out["technical_depth_consistency"] = 1 - F.abs(reduce(lambda a, b: a + b, map(c, signs)) / 3 - c("technical_depth") / 5)
-    if {"causal_reasoning_quality", "num_causal_markers"} <= have:
-        out["causal_reasoning_consistency"] = 1 - F.abs(F.least(c("num_causal_markers") / 5, F.lit(1.0)) - c("causal_reasoning_quality") / 5)
-    df = df.withColumns(out) if out else df
-    return df.withColumn("consistency_composite", row_stats(list(out))[0]) if out else df
+def consistency(df: DataFrame, spec: dict = CONSISTENCY_SPEC) -> DataFrame:
+    """How well ratings agree with what the text holds, 1 being full agreement, and their mean as consistency_composite."""
+    out = {}
+    for name, (rating, signs, full) in spec.items():
+        held = [F.col(s).cast("double") for s in signs if s in df.columns]
+        if rating in df.columns and held:
+            share = F.least(reduce(lambda a, b: a + b, held) / full, F.lit(1.0))  # null if a sign is: what isn't known doesn't agree
+            out[name] = 1 - F.abs(share - F.col(rating).cast("double") / 5)
+    if not out:
+        return df
+    df = df.withColumns(out)
+    return df.withColumn("consistency_composite", row_stats(list(out))[0])
 
 
 #: name: (columns, how they combine); "sum" adds all but the last, which is taken away.

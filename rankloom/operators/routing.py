@@ -86,3 +86,42 @@ def best_points(swept: DataFrame, budgets: list[float], spent: str, gain: str, n
 def energy(log: DataFrame, bug: str, amount: str) -> DataFrame:
     """Mean over bugs of a bug's total."""
     return log.groupBy(bug).agg(F.sum(amount).alias("e")).agg(F.avg("e").alias("per_bug"), F.count("*").alias("n"))
+
+
+def baselines(wide: DataFrame, ranks: dict[str, str], ks: tuple[int, ...] = (1, 5, 10), cutoff: int = 5) -> DataFrame:
+    """(name, n, hr_<k> for each k, mrr, map) of policies that send every report to one place: ``ranks`` names a column of ranks for each. One pass."""
+    rows = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.when(F.col(c) > 0, F.col(c)).alias("rank")) for n, c in ranks.items()])).alias("x")
+    q = quality(F.col("rank"), cutoff)
+    return wide.select(rows).select("x.*").groupBy("name").agg(F.count("*").alias("n"), *[quality(F.col("rank"), k)["hr"].alias(f"hr_{k}") for k in ks], q["mrr"].alias("mrr"), q["map"].alias("map"))
+
+
+def with_energy(df: DataFrame, key: str, first: DataFrame, second: DataFrame, third: DataFrame, amounts: list[str]) -> DataFrame:
+    """Add {amount}_1, _2, _3 (what each tier costs a report) and {amount}_full (the mean cost of all three).
+
+    ``first`` and ``third`` are logs (key, amounts) with any number of rows for a report, whose total is its cost; a report that a log lacks costs the mean of
+    those that it has. ``second`` is a log of stages of the whole run, whose total is dealt evenly to the rows of ``df``. Three rows of means are broadcast.
+    """
+    out = df
+    n = df.agg(F.count("*").alias("_n"))
+    for i, log in ((1, first), (3, third)):
+        each = log.filter(F.col(key).isNotNull()).groupBy(key).agg(*[F.sum(a).alias(f"_{a}_{i}") for a in amounts])
+        mean = each.agg(*[F.avg(f"_{a}_{i}").alias(f"_m_{a}_{i}") for a in amounts])
+        out = out.join(each, key, "left").crossJoin(F.broadcast(mean))
+    run = second.agg(*[F.sum(a).alias(f"_t_{a}") for a in amounts]).crossJoin(n)
+    out = out.crossJoin(F.broadcast(run.select(*[F.coalesce(F.try_divide(f"_t_{a}", "_n"), F.lit(0.0)).alias(f"_s_{a}") for a in amounts])))
+    cols = []
+    for a in amounts:
+        m = {i: F.coalesce(F.col(f"_m_{a}_{i}"), F.lit(0.0)) for i in (1, 3)}
+        cols += [F.coalesce(F.col(f"_{a}_{i}"), m[i]).alias(f"{a}_{i}") for i in (1, 3)]
+        cols += [F.col(f"_s_{a}").alias(f"{a}_2"), (m[1] + F.col(f"_s_{a}") + m[3]).alias(f"{a}_full")]
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *cols)
+
+
+def energy_of_routes(routed: DataFrame, by: list[str], amounts: list[str], tier: str = "tier") -> DataFrame:
+    """(by, n, escalated, amounts, {amount}_saved_pct): what the reports of each group cost by the tiers they got, on average, and what that saves.
+
+    All pay for the first tier, those of tiers 2 and 3 for the second, and those of tier 3 for the third; the saving is against all going through all three."""
+    t = F.col(tier)
+    paid = lambda a: F.avg(F.col(f"{a}_1") + F.when(t > 1, F.col(f"{a}_2")).otherwise(0.0) + F.when(t == 3, F.col(f"{a}_3")).otherwise(0.0))
+    out = routed.groupBy(*by).agg(F.count("*").alias("n"), F.avg((t > 1).cast("double")).alias("escalated"), *[paid(a).alias(a) for a in amounts], *[F.max(f"{a}_full").alias(f"_full_{a}") for a in amounts])
+    return out.select(*by, "n", "escalated", *amounts, *[(100 * (1 - F.try_divide(a, f"_full_{a}"))).alias(f"{a}_saved_pct") for a in amounts])

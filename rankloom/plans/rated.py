@@ -77,3 +77,17 @@ def checklist_rollup(spark, sf_dir):
 def checklist_derived(spark, sf_dir):
     d = J.derived(J.roll_up(J.adjudicate(_pairs(spark, sf_dir)), "doc_id"), "doc_id")
     return d.select("doc_id", "repair_difficulty", "ambiguity_count", "hidden_s2r_present")
+
+
+#: (column, rater's checklist, dimension): ratings of 0 to 5 by how sure the judge is of a dimension's items.
+_RATINGS = [("actionability", 1, "RepairReadiness"), ("clarity", 1, "Clarity"), ("specificity", 2, "Clarity"), ("technical_depth", 1, "Ambiguity"), ("expected_observed_alignment", 2, "Ambiguity"), ("causal_reasoning_quality", 2, "RepairReadiness")]
+RATINGS_SQL = f"""WITH {_LOW}, {_PAIRED} SELECT doc_id, {', '.join(f"round(10 * (avg(c{i}) FILTER (WHERE dimension = '{d}') - 0.5::DOUBLE), 3) AS {c}" for c, i, d in _RATINGS)},
+ bool_or(v1) FILTER (WHERE dimension = 'HiddenReproducibility')::INT::DOUBLE AS hidden_s2r_present, bool_or(v1 <> v2)::INT::DOUBLE AS contradiction_present FROM p GROUP BY doc_id"""
+
+
+def ratings(spark, sf_dir):
+    """(doc_id, six ratings of 0 to 5, hidden_s2r_present, contradiction_present) of each document, by two checklists of the offline judge."""
+    of = lambda dim, e: F.when(F.col("dimension") == dim, e)
+    cols = [F.round(10 * (F.avg(of(d, F.col(f"c{i}"))) - 0.5), 3).alias(c) for c, i, d in _RATINGS]
+    flags = [F.max(of("HiddenReproducibility", F.col("v1"))).cast("double").alias("hidden_s2r_present"), F.max(F.col("v1") != F.col("v2")).cast("double").alias("contradiction_present")]
+    return _pairs(spark, sf_dir).groupBy("doc_id").agg(*cols, *flags)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..operators import ranking as R
 from ..operators import routing as G
 from ..operators import scoring as Z
@@ -155,7 +156,8 @@ def cascade_baselines(spark, sf_dir):
     return d.groupBy(F.substring("t", 6, 1).cast("int").alias("tier")).agg(*[F.round(c, 6).alias(n) for n, c in G.quality(F.col("rank"), 5).items()])
 
 
-SPLITS = [(100, 0), (90, 0), (80, 10), (70, 10), (60, 20), (60, 10), (50, 25), (40, 30), (40, 20), (30, 40), (20, 50), (20, 30), (10, 60), (0, 80)]
+#: Percent of reports for the first and for the third tier.
+SPLITS = [(100, 0), (70, 10), (60, 15), (50, 20), (50, 10), (40, 20), (35, 25), (35, 30), (30, 30), (20, 30), (10, 30), (0, 30), (0, 0), (0, 100)]
 _ALL_SCORES = "al AS (SELECT x.bug, x.fold, w.model, round(sum(delta * (value - mu) / sd), 9) AS score FROM x JOIN w ON w.task = x.task AND w.feature = x.feature WHERE x.task = 'any' AND w.model >= 0 AND abs(delta) >= 1e-9 GROUP BY 1, 2, 3)"
 _QS = " UNION ALL ".join(f"SELECT model, {a} AS t1, {b} AS t3, {'''CAST('-infinity' AS DOUBLE)''' if a == 100 else f'quantile_cont(score, {1 - a / 100}::DOUBLE)'} AS high, {'''CAST('-infinity' AS DOUBLE)''' if b == 0 else f'quantile_cont(score, {b / 100}::DOUBLE)'} AS low FROM al WHERE fold <> model GROUP BY model" for a, b in SPLITS)
 _ROUTED = f"{_FOLD}, {_MODELS}, {_ALL_SCORES}, q AS ({_QS}), ro AS (SELECT t1 || '/' || t3 AS split, al.model AS fold, bug, CASE WHEN score >= high THEN 1 WHEN score < low THEN 3 ELSE 2 END AS tier FROM al JOIN q ON q.model = al.model WHERE al.fold = al.model), be AS ({_BEST})"
@@ -205,6 +207,46 @@ def best_operating_point(spark, sf_dir):
     return G.best_points(cascade_routing_sweep(spark, sf_dir), [0.25, 0.5, 0.75], "frac_3_mean", "hr_mean", "split").select("budget", "split", "hr_mean", "frac_3_mean")
 
 
+_TOOL_SQL = " UNION ALL ".join(f"SELECT '{n}' AS name, {c} AS rank FROM (SELECT * FROM w JOIN b USING (bug))" for n, c in {**{t: f"rank_{t}" for t in TOOLS}, **{f"tiers_1_to_{i}": f"best_{i}" for i in (1, 2, 3)}}.items())
+
+
+@query("standalone_baselines", f"WITH w AS ({_WIDE}), b AS ({_BEST}), x AS ({_TOOL_SQL}) SELECT name, count(*)::BIGINT AS n, " + ", ".join(f"round(avg(coalesce(rank <= {k}, false)::INT), 6) AS hr_{k}" for k in (1, 5, 10)) + ", round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE / rank ELSE 0 END), 6) AS mrr, round(avg(CASE WHEN rank <= 5 THEN 1.0::DOUBLE / rank END), 6) AS map FROM x GROUP BY name")
+def standalone_baselines(spark, sf_dir):
+    """Every tool alone and every cascade for all reports."""
+    from ..operators.reshape import pivot_tools
+
+    w = G.tier_best_rank(pivot_tools(ranks(spark, sf_dir), ["bug"], TOOLS, {"rank": "min"}), _TIERS)
+    b = G.baselines(w, {**{t: f"rank_{t}" for t in TOOLS}, **{f"tiers_1_to_{i}": f"best_{i}" for i in (1, 2, 3)}})
+    return b.select("name", "n", *[F.round(c, 6).alias(c) for c in b.columns[2:]])
+
+
+_LOGS = """l1 AS (SELECT l_orderkey AS bug, sum(l_extendedprice / 1e6::DOUBLE) AS kwh, sum(l_tax) AS co2 FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1), l3 AS (SELECT l_orderkey AS bug, sum(l_extendedprice / 1e5::DOUBLE) AS kwh, sum(l_discount) AS co2 FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1),
+ me AS (SELECT (SELECT avg(kwh) FROM l1) AS k1, (SELECT avg(co2) FROM l1) AS c1, (SELECT avg(kwh) FROM l3) AS k3, (SELECT avg(co2) FROM l3) AS c3, (SELECT sum(o_totalprice / 1e6::DOUBLE) FROM orders WHERE o_orderstatus = 'F') / (SELECT count(*) FROM be2) AS k2, (SELECT sum(o_totalprice / 1e7::DOUBLE) FROM orders WHERE o_orderstatus = 'F') / (SELECT count(*) FROM be2) AS c2),
+ en AS (SELECT be2.bug, coalesce(l1.kwh, k1) AS ka, k2 AS kb, coalesce(l3.kwh, k3) AS kc, coalesce(l1.co2, c1) AS ca, c2 AS cb, coalesce(l3.co2, c3) AS cc, k1 + k2 + k3 AS kf, c1 + c2 + c3 AS cf FROM be2 LEFT JOIN l1 ON l1.bug = be2.bug LEFT JOIN l3 ON l3.bug = be2.bug, me)"""
+_PAID = lambda t: ", ".join(f"avg({a}a + CASE WHEN {t} > 1 THEN {a}b ELSE 0 END + CASE WHEN {t} = 3 THEN {a}c ELSE 0 END) AS {n}" for a, n in (("k", "kwh"), ("c", "co2")))
+
+
+@query("routing_energy", f"""WITH {_ROUTED}, {_RAND}, be2 AS (SELECT DISTINCT bug FROM al), {_LOGS},
+ x AS (SELECT split, fold, count(*) AS n, avg((tier > 1)::INT) AS escalated, any_value(kf) AS kf, any_value(cf) AS cf, {_PAID('tier')} FROM rr JOIN en USING (bug) GROUP BY 1, 2),
+ y AS (SELECT split, fold, {_PAID('rt')} FROM rr JOIN en USING (bug) GROUP BY 1, 2)
+ SELECT split, round(avg(escalated), 6) AS escalated, round(avg(x.kwh), 6) AS kwh, round(avg(x.co2), 6) AS co2, round(avg(100 * (1 - x.kwh / kf)), 4) AS kwh_saved_pct, round(avg(100 * (1 - x.co2 / cf)), 4) AS co2_saved_pct, round(avg(y.kwh), 6) AS kwh_random, round(avg(y.kwh) - avg(x.kwh), 6) AS kwh_lift FROM x JOIN y USING (split, fold) GROUP BY split""")
+def routing_energy(spark, sf_dir):
+    """What each split costs in energy and CO2, what it saves and how it compares with random tiers of the same sizes, in order of the escalated share.
+
+    The first and the third tier have logs by report, with gaps; the second one's log has stages of the whole run."""
+    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    log = lambda rows, by, co2: rows.select(F.col("l_orderkey").alias("bug"), (F.col("l_extendedprice") / by).alias("kwh"), F.col(co2).alias("co2"))
+    second = o.filter("o_orderstatus = 'F'").select((F.col("o_totalprice") / 1e6).alias("kwh"), (F.col("o_totalprice") / 1e7).alias("co2"))
+    d = G.random_route(_routed(spark, sf_dir), ["split", "model"], "bug")
+    costs = G.with_energy(d.select("bug").distinct(), "bug", log(li.filter("l_returnflag = 'N'"), 1e6, "l_tax"), second, log(li.filter("l_linestatus = 'O'"), 1e5, "l_discount"), ["kwh", "co2"])
+    d = scratch.stored(d.select("bug", "split", "model", "tier", "random_tier").join(costs, "bug"), "routes")
+    x = G.energy_of_routes(d, ["split", "model"], ["kwh", "co2"])
+    y = G.energy_of_routes(d, ["split", "model"], ["kwh"], "random_tier").select("split", "model", F.col("kwh").alias("kwh_random"))
+    out = x.join(y, ["split", "model"]).groupBy("split").agg(*[F.avg(c).alias(c) for c in ("escalated", "kwh", "co2", "kwh_saved_pct", "co2_saved_pct", "kwh_random")])
+    out = out.withColumn("kwh_lift", F.col("kwh_random") - F.col("kwh"))
+    return out.select("split", *[F.round(c, 4 if c.endswith("pct") else 6).alias(c) for c in out.columns[1:]]).orderBy("escalated", "split")
+
+
 @query("energy_rollup", """WITH t1 AS (SELECT avg(e) AS e FROM (SELECT user_id, sum(value) AS e FROM events WHERE event_type IN ('click', 'view') GROUP BY 1)), t2 AS (SELECT sum(value) / count(DISTINCT user_id) AS e FROM events WHERE event_type = 'purchase'), t3 AS (SELECT avg(e) AS e FROM (SELECT user_id, sum(value) AS e FROM events GROUP BY 1))
  SELECT 1 AS tier, round((SELECT e FROM t1), 6) AS per_bug, round((SELECT e FROM t1), 6) AS cumulative UNION ALL SELECT 2, round((SELECT e FROM t2), 6), round((SELECT e FROM t1) + (SELECT e FROM t2), 6) UNION ALL SELECT 3, round((SELECT e FROM t3), 6), round((SELECT e FROM t1) + (SELECT e FROM t2) + (SELECT e FROM t3), 6)""")
 def energy_rollup(spark, sf_dir):

@@ -9,6 +9,7 @@ from ..operators import redundancy
 from ..operators import reshape as P
 from ..operators import stats as S
 from .base import FEATURES, FEATURES_SQL, LONG_SQL, RANKS, TOOLS, features, query, ranks, table
+from .rated import RATINGS_SQL, ratings
 
 
 @query("split_and_repair_ids", """WITH c AS (SELECT c_custkey, c_mktsegment AS project, CASE WHEN c_custkey % 3 = 0 THEN 'Chart-' || c_custkey ELSE c_custkey::VARCHAR END AS bug_id FROM customer)
@@ -83,34 +84,27 @@ def missing_share(spark, sf_dir):
     return m.groupBy("feature").agg(F.sum("m").alias("n_missing"), F.round(100 * F.avg("m"), 6).alias("share"))
 
 
-_RATE = "SELECT p_partkey, (p_partkey % 6)::DOUBLE AS actionability, (p_size % 6)::DOUBLE AS clarity, (p_partkey % 5)::DOUBLE AS specificity, (p_size % 4)::DOUBLE AS technical_depth, (p_partkey % 4)::DOUBLE AS expected_observed_alignment, (p_size % 5)::DOUBLE AS causal_reasoning_quality, (p_size % 2)::DOUBLE AS hidden_s2r_present, (p_partkey % 2)::DOUBLE AS contradiction_present FROM part"
+_RATE = RATINGS_SQL
 
 
-def _ratings(spark, sf_dir):
-    k, s = F.col("p_partkey"), F.col("p_size")
-    cols = {"actionability": k % 6, "clarity": s % 6, "specificity": k % 5, "technical_depth": s % 4, "expected_observed_alignment": k % 4, "causal_reasoning_quality": s % 5, "hidden_s2r_present": s % 2, "contradiction_present": k % 2}
-    return table(spark, sf_dir, "part").select("p_partkey", *[c.cast("double").alias(n) for n, c in cols.items()])
-
-
-@query("rating_interactions", f"""SELECT p_partkey, clarity - specificity AS clarity_specificity_gap, round(clarity / (specificity + 0.1::DOUBLE), 9) AS clarity_specificity_ratio, actionability * technical_depth AS actionability_depth_product, round(actionability / (technical_depth + 0.1::DOUBLE), 9) AS actionability_depth_ratio,
- round((actionability + clarity + specificity) / 3, 9) AS quality_composite, round(list_stddev_samp([actionability, clarity, specificity]), 9) AS quality_std, (technical_depth + expected_observed_alignment) / 2 AS technical_completeness, round((causal_reasoning_quality + 2 * hidden_s2r_present) / 7, 9) AS reasoning_composite, clarity - 2 * contradiction_present AS clarity_minus_contradiction FROM ({_RATE})""")
+@query("rating_interactions", f"""SELECT doc_id, round(clarity - specificity, 9) AS clarity_specificity_gap, round(clarity / (specificity + 0.1::DOUBLE), 9) AS clarity_specificity_ratio, round(actionability * technical_depth, 9) AS actionability_depth_product, round(actionability / (technical_depth + 0.1::DOUBLE), 9) AS actionability_depth_ratio,
+ round((actionability + clarity + specificity) / 3, 9) AS quality_composite, round(list_stddev_samp([actionability, clarity, specificity]), 9) AS quality_std, round((technical_depth + expected_observed_alignment) / 2, 9) AS technical_completeness, round((causal_reasoning_quality + 2 * hidden_s2r_present) / 7, 9) AS reasoning_composite, round(clarity - 2 * contradiction_present, 9) AS clarity_minus_contradiction FROM ({_RATE})""")
 def rating_interactions(spark, sf_dir):
-    d = P.rating_interactions(_ratings(spark, sf_dir))
-    fuzzy = {"clarity_specificity_ratio", "actionability_depth_ratio", "quality_composite", "quality_std", "reasoning_composite"}
-    return d.select("p_partkey", *[F.round(c, 9).alias(c) if c in fuzzy else F.col(c) for c in d.columns[9:]])
+    d = P.rating_interactions(ratings(spark, sf_dir))
+    return d.select("doc_id", *[F.round(c, 9).alias(c) for c in d.columns[9:]])
 
 
-@query("consistency_features", f"""WITH x AS (SELECT p_partkey, 1 - abs((contradiction_present + hidden_s2r_present) / 3 - technical_depth / 5) AS a, 1 - abs(least(actionability / 5, 1.0) - causal_reasoning_quality / 5) AS b FROM ({_RATE}))
- SELECT p_partkey, round(a, 9) AS technical_depth_consistency, round(b, 9) AS causal_reasoning_consistency, round((a + b) / 2, 9) AS consistency_composite FROM x""")
+@query("consistency_features", f"""WITH x AS (SELECT doc_id, 1 - abs((contradiction_present + hidden_s2r_present) / 3 - technical_depth / 5) AS a, 1 - abs(least(actionability / 5, 1.0::DOUBLE) - causal_reasoning_quality / 5) AS b FROM ({_RATE}))
+ SELECT doc_id, round(a, 9) AS technical_depth_consistency, round(b, 9) AS causal_reasoning_consistency, round((a + b) / 2, 9) AS consistency_composite FROM x""")
 def consistency_features(spark, sf_dir):
-    d = _ratings(spark, sf_dir).withColumnsRenamed({"contradiction_present": "has_code", "hidden_s2r_present": "has_stacktrace", "actionability": "num_causal_markers"})
-    return P.consistency(d).select("p_partkey", *[F.round(c, 9).alias(c) for c in ("technical_depth_consistency", "causal_reasoning_consistency", "consistency_composite")])
+    d = ratings(spark, sf_dir).withColumnsRenamed({"contradiction_present": "has_code", "hidden_s2r_present": "has_stacktrace", "actionability": "num_causal_markers"})
+    return P.consistency(d).select("doc_id", *[F.round(c, 9).alias(c) for c in ("technical_depth_consistency", "causal_reasoning_consistency", "consistency_composite")])
 
 
-@query("interaction_features", f"SELECT p_partkey, actionability * clarity AS complexity_reasoning, clarity * specificity AS reasoning_clarity, technical_depth + causal_reasoning_quality - expected_observed_alignment AS readability_combo FROM ({_RATE})")
+@query("interaction_features", f"SELECT doc_id, round(actionability * clarity, 9) AS complexity_reasoning, round(clarity * specificity, 9) AS reasoning_clarity, round(technical_depth + causal_reasoning_quality - expected_observed_alignment, 9) AS readability_combo FROM ({_RATE})")
 def interaction_features(spark, sf_dir):
-    d = _ratings(spark, sf_dir).withColumnsRenamed({"actionability": "z_repair_readiness", "clarity": "z_reasoning_quality", "specificity": "z_clarity", "technical_depth": "ari", "causal_reasoning_quality": "fog", "expected_observed_alignment": "flesch"})
-    return P.interactions(d).select("p_partkey", "complexity_reasoning", "reasoning_clarity", "readability_combo")
+    d = ratings(spark, sf_dir).withColumnsRenamed({"actionability": "z_repair_readiness", "clarity": "z_reasoning_quality", "specificity": "z_clarity", "technical_depth": "ari", "causal_reasoning_quality": "fog", "expected_observed_alignment": "flesch"})
+    return P.interactions(d).select("doc_id", *[F.round(c, 9).alias(c) for c in ("complexity_reasoning", "reasoning_clarity", "readability_combo")])
 
 
 @query("standard_scale", f"WITH feats AS ({FEATURES_SQL}) SELECT bug, " + ", ".join(f"round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) AS {c}" for c in FEATURES) + " FROM feats")

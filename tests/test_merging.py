@@ -77,3 +77,14 @@ def test_map_within(spark):
     d = spark.createDataFrame([(1, 0.4), (5, 0.3), (6, 0.9), (0, 0.9), (None, 0.9)], "rank int, map double")
     assert [r[0] for r in d.select(M.map_within("rank", 5, d.columns)).collect()] == [0.4, 0.3, 0.0, 0.0, 0.0]
     assert [r[0] for r in d.select(M.map_within("rank", 5, ["rank"])).collect()] == [1.0, 0.2, 0.0, 0.0, 0.0]
+
+
+def test_rating_specs(spark):
+    d = spark.createDataFrame([(2, 3, 4, 1, True), (None, 3, 4, 1, False)], "actionability int, clarity int, technical_depth int, causal_reasoning_quality int, has_code boolean")
+    r = P.rating_interactions(d).collect()
+    assert (r[0].actionability_depth_product, r[0].quality_composite, r[0].reasoning_composite) == (8.0, 2.5, 1 / 7) and r[0].actionability_depth_ratio == pytest.approx(2 / 4.1)
+    assert r[1].actionability_depth_product is None and r[1].quality_composite == 3.0 and "clarity_specificity_gap" not in r[0]
+    assert P.rating_interactions(d.select("actionability", "clarity")).columns == ["actionability", "clarity"]
+    c = P.consistency(d).collect()
+    assert c[0].technical_depth_consistency == pytest.approx(1 - abs(1 / 3 - 0.8)) == c[0].consistency_composite and c[1].technical_depth_consistency == pytest.approx(0.2)
+    assert "causal_reasoning_consistency" not in c[0] and P.consistency(d.select("clarity")).columns == ["clarity"]

@@ -23,6 +23,9 @@ VARY = {
     "process_once_stream": ("status", "event_type"),
     "split_report_ids": ("project",),
     "feature_group_values": ("grp",),
+    "rating_interactions": ("clarity_specificity_gap", "actionability_depth_ratio", "quality_std", "reasoning_composite", "clarity_minus_contradiction"),
+    "consistency_features": ("technical_depth_consistency", "causal_reasoning_consistency"),
+    "interaction_features": ("complexity_reasoning", "reasoning_clarity", "readability_combo"),
 }
 
 
