@@ -125,6 +125,26 @@ def significant(df: DataFrame, least_delta: float = 0.2) -> DataFrame:
     return df.withColumns({"abs_delta": F.abs("delta"), "practically_significant": F.col("reject") & (F.abs("delta") >= least_delta)})
 
 
+def best_of_category(tests: DataFrame, by: list[str], category: Column, gate: Column, size: str = "delta", name: str = "feature") -> DataFrame:
+    """(all columns, category): in each group and category the row of the largest |size|, the first by name on ties, where it passes ``gate``.
+
+    A category whose largest fails has no row, even if a smaller one passes. Rows without a size take no part. One aggregate, no window.
+    """
+    d = tests.filter(F.col(size).isNotNull()).withColumn("category", category)
+    whole = F.struct(*[F.col(f"`{c}`") for c in d.columns])
+    best = d.groupBy(*by, "category").agg(F.min_by(whole, F.struct(-F.abs(size), F.col(name))).alias("_b"))
+    return best.select("_b.*").filter(gate)
+
+
+def feature_report(long: DataFrame, tests: DataFrame, category: Column) -> DataFrame:
+    """(category, feature, n, mean, std, min, median, max, and what ``tests`` has of the feature): every feature of the long form, tested or not."""
+    d = describe(long, ["feature"], "value").select("feature", F.col("count").alias("n"), "mean", "std", "min", "median", "max")
+    clash = set(d.columns) - {"feature"}
+    right = tests.select(*[F.col(c).alias(f"test_{c}" if c in clash else c) for c in tests.columns])
+    out = d.join(right, "feature", "left")
+    return out.select(category.alias("category"), *out.columns)
+
+
 def spearman(df: DataFrame, by: list[str], x: str, y: str, p: bool = False) -> DataFrame:
     """(by, n, rho) of rows where both are there; a constant side gives null. ``p`` adds p_value.
 

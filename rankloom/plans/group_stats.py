@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import schema as C
 from ..operators import logits
 from ..operators import ranking as R
 from ..operators import redundancy
@@ -92,6 +93,32 @@ def top_pair_features(spark, sf_dir):
     return pairwise_unique_stats(spark, sf_dir).select("pair", "feature", "delta", F.row_number().over(w).alias("k")).filter("k <= 3")
 
 
+_CATEGORY = (("price", "price"), ("avg_", "rate"), ("n_", "counts"))
+_CATEGORY_SQL = "CASE " + " ".join(f"WHEN contains(feature, '{s}') THEN '{c}'" for s, c in _CATEGORY) + " ELSE 'other' END"
+
+
+def _category():
+    """A feature's category, as a lookup over the few names that there are."""
+    names = F.create_map(*[F.lit(x) for f in FEATURES for x in (f, C.category_of(f, _CATEGORY))])
+    return F.try_element_at(names, F.col("feature"))
+
+
+@query("category_best_features", f"""WITH feats AS ({FEATURES_SQL}), flags AS ({flags_sql(K)}), st AS (WITH {two_groups_sql(f'SELECT pair, feature, value, is_first FROM ({LONG_SQL}) JOIN ({_PAIR}) USING (bug)', ['pair', 'feature'])}),
+ k AS (SELECT *, {_CATEGORY_SQL} AS category FROM st WHERE delta IS NOT NULL) SELECT pair, category, feature, delta, effect_size FROM (SELECT *, row_number() OVER (PARTITION BY pair, category ORDER BY abs(delta) DESC, feature) AS i FROM k) WHERE i = 1 AND abs(delta) >= 0.02""")
+def category_best_features(spark, sf_dir):
+    """The feature of each category that tells two tools apart best, where it tells them apart at all."""
+    best = S.best_of_category(pairwise_unique_stats(spark, sf_dir), ["pair"], _category(), F.abs("delta") >= 0.02)
+    return best.select("pair", "category", "feature", "delta", "effect_size")
+
+
+@query("feature_report", f"""WITH feats AS ({FEATURES_SQL}), flags AS ({flags_sql(K)}), st AS (WITH {two_groups_sql(_ALL_NONE, ['feature'])}), d AS (SELECT feature, count(*)::BIGINT AS n, round(avg(value) + 1e-8::DOUBLE, 4) AS mean, round(stddev_samp(value), 4) AS std, min(value) AS min, median(value) AS median, max(value) AS max FROM ({LONG_SQL}) GROUP BY 1)
+ SELECT {_CATEGORY_SQL} AS category, feature, n, mean, std, min, median, max, n1, n2, delta, effect_size FROM d LEFT JOIN st USING (feature)""")
+def feature_report(spark, sf_dir):
+    """What each feature is like beside how it differs between bugs that all tools find and those that none finds."""
+    r = S.feature_report(_long(spark, sf_dir), all_vs_none_stats(spark, sf_dir), _category())
+    return r.select("category", "feature", "n", F.round(F.col("mean") + 1e-8, 4).alias("mean"), F.round("std", 4).alias("std"), "min", "median", "max", "n1", "n2", "delta", "effect_size")
+
+
 _SP = """SELECT feature, count(*)::BIGINT AS n, round(corr(rx, ry), 6) AS rho FROM (SELECT feature,
  rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0::DOUBLE AS rx,
  rank() OVER (PARTITION BY feature ORDER BY num_found) + (count(*) OVER (PARTITION BY feature, num_found) - 1) / 2.0::DOUBLE AS ry FROM x) GROUP BY feature"""

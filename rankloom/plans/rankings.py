@@ -77,6 +77,14 @@ def tool_performance_stats(spark, sf_dir):
     )
 
 
+@query("mrr_spread_by_tool", f"WITH r AS (SELECT tool, CASE WHEN rank > 0 AND rank <= 10 THEN 1.0::DOUBLE / rank ELSE 0 END AS mrr FROM ({_RES})) SELECT tool, count(*)::BIGINT AS n, round(avg(mrr), 6) AS mean_mrr, round(median(mrr), 6) AS median_mrr, round(max(mrr), 6) AS max_mrr FROM r GROUP BY tool UNION ALL SELECT 'overall', count(*)::BIGINT, round(avg(mrr), 6), round(median(mrr), 6), round(max(mrr), 6) FROM r")
+def mrr_spread_by_tool(spark, sf_dir):
+    """Mean, median and largest reciprocal rank of each tool and of all results."""
+    r = _results(spark, sf_dir).select(F.explode(F.array("tool", F.lit("overall"))).alias("tool"), R.reciprocal_at(F.col("rank"), 10).alias("mrr"))
+    d = S.describe(r, ["tool"], "mrr")
+    return d.select("tool", F.col("count").alias("n"), *[F.round(c, 6).alias(f"{n}_mrr") for n, c in (("mean", "mean"), ("median", "median"), ("max", "max"))])
+
+
 _KIND = f"SELECT bug, CASE WHEN bool_or(rank <= 10) THEN 'localised' WHEN bool_or(detected) THEN 'soft' ELSE 'hard' END AS kind FROM ({RANKS}) GROUP BY bug"
 
 

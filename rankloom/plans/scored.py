@@ -69,7 +69,9 @@ def cv_auc_summary(spark, sf_dir):
     return Z.summary(S.auc(_scores(spark, sf_dir), ["task", "fold"], "score", "y"), ["task"], ["auc"])
 
 
-@query("cv_f1_summary")
+@query("cv_f1_summary", f"""WITH {_FOLD}, {_MODELS}, {_SCORES}, v AS (SELECT task, fold, score, sum(y) AS p, count(*) AS c FROM sc GROUP BY 1, 2, 3),
+ t AS (SELECT task, fold, sum(p) OVER w AS tp, sum(c) OVER w AS found, sum(p) OVER (PARTITION BY task, fold) AS pos FROM v WINDOW w AS (PARTITION BY task, fold ORDER BY score DESC)), f AS (SELECT task, fold, max(2 * tp::DOUBLE / nullif(pos + found, 0)) AS f1 FROM t GROUP BY 1, 2)
+ SELECT task, round(avg(f1), 3) AS best_f1_mean, round(stddev_samp(f1), 3) AS best_f1_std FROM f GROUP BY task""")
 def cv_f1_summary(spark, sf_dir):
     return Z.summary(S.best_f1(_scores(spark, sf_dir), ["task", "fold"], "score", "y"), ["task"], ["best_f1"])
 

@@ -162,3 +162,18 @@ def test_densities_and_boxes(spark):
     assert got["b"][4.1] == pytest.approx(want)
     box = {r.g: r for r in figures.boxes(d, ["g"], "v").collect()}
     assert tuple(box["b"])[1:] == (5, 3.0, 3.0, 3.0, 3.0, 3.0, 1) and tuple(box[None])[1:] == (1, 1.0, 1.0, 1.0, 1.0, 1.0, 0) and "c" not in box
+
+
+def test_best_of_category(spark):
+    rows = [("t", "a1", 0.1), ("t", "a2", -0.4), ("t", "a3", 0.4), ("t", "b1", 0.01), ("u", "a1", None), ("u", "b1", -0.3), (None, "a1", 0.2)]
+    d = spark.createDataFrame(rows, "tool string, feature string, delta double")
+    got = S.best_of_category(d, ["tool"], F.substring("feature", 1, 1), F.abs("delta") >= 0.05)
+    assert {(r.tool, r.category): (r.feature, r.delta) for r in got.collect()} == {("t", "a"): ("a2", -0.4), ("u", "b"): ("b1", -0.3), (None, "a"): ("a1", 0.2)}
+
+
+def test_feature_report_keeps_what_is_not_tested(spark):
+    long = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0)], "feature string, value double")
+    tests = spark.createDataFrame([("a", 7, 0.5), ("z", 1, 0.1)], "feature string, n int, delta double")
+    r = {x.feature: x for x in S.feature_report(long, tests, F.lit("c")).collect()}
+    assert set(r) == {"a", "b"} and (r["a"].n, r["a"].median, r["a"].test_n, r["a"].delta) == (2, 2.0, 7, 0.5)
+    assert (r["b"].category, r["b"].std, r["b"].delta) == ("c", None, None)
