@@ -125,6 +125,22 @@ def significant(df: DataFrame, least_delta: float = 0.2) -> DataFrame:
     return df.withColumns({"abs_delta": F.abs("delta"), "practically_significant": F.col("reject") & (F.abs("delta") >= least_delta)})
 
 
+def independence(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """(by, n, chi2, df, p_value) of Pearson's test that ``a`` and ``b`` don't depend on each other, for each group of ``by``.
+
+    The p is exp(-chi2 / 2) for two degrees of freedom, as in a table of two by three, where that is exact; null for others. Rows with a missing value
+    take no part. Rows are counted by cell first, and a group's cells, at most values of a times values of b, meet in one list.
+    """
+    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").cast("double").alias("_o"))
+    total = lambda *on: F.sum("_o").over(W.partitionBy(*by, *on))
+    cells = cells.withColumns({"_n": total(), "_e": total("_a") * total("_b") / total()})
+    # The cells that are there give sum of o^2 / e - n, which counts the empty ones, too.
+    g = cells.groupBy(*by).agg(F.first("_n").alias("_n"), F.sum(F.col("_o") * F.col("_o") / F.col("_e")).alias("_s"), F.count_distinct("_a").alias("_ka"), F.count_distinct("_b").alias("_kb"))
+    chi2 = F.greatest(F.col("_s") - F.col("_n"), F.lit(0.0))
+    df_ = ((F.col("_ka") - 1) * (F.col("_kb") - 1)).cast("int")
+    return g.select(*by, F.col("_n").cast("long").alias("n"), chi2.alias("chi2"), df_.alias("df"), F.when(df_ == 2, F.exp(-chi2 / 2)).alias("p_value"))
+
+
 def best_of_category(tests: DataFrame, by: list[str], category: Column, gate: Column, size: str = "delta", name: str = "feature") -> DataFrame:
     """(all columns, category): in each group and category the row of the largest |size|, the first by name on ties, where it passes ``gate``.
 

@@ -137,17 +137,26 @@ def difficulty_spectrum_tested(spark, sf_dir):
     return out.withColumn("direction", F.when(F.col("rho") > 0, "easier").otherwise("harder"))
 
 
-_PSEUDO = "SELECT p_partkey, p_brand, CASE WHEN p_size = 50 THEN NULL ELSE (p_partkey * 37 % 1009 + 1) / 100000.0::DOUBLE END AS p_value FROM part"
+def _chi_sql(name: str, where: str) -> str:
+    """CTE ``name`` (l_suppkey, p): whether return flag and line status depend on each other in a supplier's lines."""
+    return f"""{name}_c AS (SELECT l_suppkey, l_returnflag AS a, l_linestatus AS b, count(*)::DOUBLE AS o FROM lineitem WHERE {where} AND l_returnflag IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1, 2, 3),
+ {name}_e AS (SELECT *, sum(o) OVER (PARTITION BY l_suppkey) AS n, sum(o) OVER (PARTITION BY l_suppkey, a) * sum(o) OVER (PARTITION BY l_suppkey, b) / sum(o) OVER (PARTITION BY l_suppkey) AS e FROM {name}_c),
+ {name} AS (SELECT l_suppkey, CASE WHEN (count(DISTINCT a) - 1) * (count(DISTINCT b) - 1) = 2 THEN round(exp(-greatest(sum(o * o / e) - any_value(n), 0) / 2), 9) END AS p FROM {name}_e GROUP BY 1)"""
 
 
-@query("holm_adjust", f"""WITH p AS ({_PSEUDO}), s AS (SELECT *, (count(*) OVER (PARTITION BY p_brand) - row_number() OVER (PARTITION BY p_brand ORDER BY p_value, p_partkey) + 1) * p_value AS st FROM p WHERE p_value IS NOT NULL),
- a AS (SELECT *, least(1.0::DOUBLE, max(st) OVER (PARTITION BY p_brand ORDER BY p_value, p_partkey ROWS UNBOUNDED PRECEDING)) AS adj FROM s)
- SELECT p_partkey, p_brand, p_value, round(adj, 9) AS pval_adj, adj <= 0.05 AS reject FROM a UNION ALL SELECT p_partkey, p_brand, p_value, NULL, false FROM p WHERE p_value IS NULL""")
+def _dependence(lines):
+    return S.independence(lines, ["l_suppkey"], "l_returnflag", "l_linestatus").select("l_suppkey", F.round("p_value", 9).alias("p"))
+
+
+@query("holm_adjust", f"""WITH {_chi_sql('t', 'true')}, p AS (SELECT s_suppkey, s_nationkey, p AS p_value FROM supplier JOIN t ON l_suppkey = s_suppkey), s AS (SELECT *, (count(*) OVER (PARTITION BY s_nationkey) - row_number() OVER (PARTITION BY s_nationkey ORDER BY p_value, s_suppkey) + 1) * p_value AS st FROM p WHERE p_value IS NOT NULL),
+ a AS (SELECT *, least(1.0::DOUBLE, max(st) OVER (PARTITION BY s_nationkey ORDER BY p_value, s_suppkey ROWS UNBOUNDED PRECEDING)) AS adj FROM s)
+ SELECT s_suppkey, s_nationkey, p_value, round(adj, 6) AS pval_adj, round(adj, 9) <= 0.05 AS reject FROM a UNION ALL SELECT s_suppkey, s_nationkey, p_value, NULL, false FROM p WHERE p_value IS NULL""")
 def holm_adjust(spark, sf_dir):
+    """Which suppliers' lines have a return flag that depends on their status, adjusted within each nation."""
     from .base import table
 
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.when(F.col("p_size") != 50, (F.col("p_partkey") * 37 % 1009 + 1) / F.lit(100000.0)).alias("p_value"))
-    return S.holm(p, ["p_brand"], tie=["p_partkey"]).withColumn("pval_adj", F.round("pval_adj", 9))
+    p = table(spark, sf_dir, "supplier").join(_dependence(table(spark, sf_dir, "lineitem")), F.col("s_suppkey") == F.col("l_suppkey")).select("s_suppkey", "s_nationkey", F.col("p").alias("p_value"))
+    return S.holm(p, ["s_nationkey"], tie=["s_suppkey"]).withColumn("pval_adj", F.round("pval_adj", 6))
 
 
 @query("category_difficulty", f"""WITH feats AS ({FEATURES_SQL}), flags AS ({flags_sql(K)}), t AS ({' UNION ALL '.join(f"SELECT '{t}' AS tool, bug FROM flags WHERE found_{t}" for t in TOOLS)} UNION ALL SELECT 'overall', bug FROM flags)
@@ -198,13 +207,20 @@ def confound_logit(spark, sf_dir):
     return fits.select("feature", "n", *[F.round(c, 4).alias(c) for c in ("raw_coef", "raw_p", "adj_coef", "adj_p", "attenuation")], "verdict")
 
 
-_V = "SELECT p_partkey, (p_partkey % 97) / 1000.0::DOUBLE AS raw_p, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE (p_partkey % 89) / 1000.0::DOUBLE END AS adj_p, (p_partkey % 13 - 6.5)::DOUBLE AS raw, (p_partkey % 7 - 1.5)::DOUBLE AS adj FROM part"
+_OPEN = "round(avg((l_linestatus = 'O')::INT) FILTER (WHERE l_returnflag = 'N'{w}) - avg((l_linestatus = 'O')::INT) FILTER (WHERE l_returnflag <> 'N'{w}), 9)"
 
 
-@query("confound_verdict", f"SELECT p_partkey, CASE WHEN adj_p IS NULL THEN 'model_failed' WHEN raw_p >= 0.05 THEN 'not_significant_raw' WHEN adj_p < 0.05 AND sign(raw) = sign(adj) AND 100 * (1 - adj / raw) < 40 THEN 'survives' WHEN adj_p < 0.05 AND sign(raw) = sign(adj) THEN 'attenuated_but_significant' WHEN sign(raw) <> sign(adj) THEN 'sign_flip' ELSE 'vanishes_after_adjustment' END AS verdict FROM ({_V})")
+@query("confound_verdict", f"""WITH {_chi_sql('t', 'true')}, {_chi_sql('u', 'l_quantity > 25')}, d AS (SELECT l_suppkey, {_OPEN.format(w='')} AS raw, {_OPEN.format(w=' AND l_quantity > 25')} AS adj FROM lineitem GROUP BY 1),
+ v AS (SELECT d.l_suppkey, raw, adj, t.p AS raw_p, u.p AS adj_p FROM d LEFT JOIN t USING (l_suppkey) LEFT JOIN u ON u.l_suppkey = d.l_suppkey)
+ SELECT l_suppkey, CASE WHEN adj_p IS NULL THEN 'model_failed' WHEN raw_p IS NULL OR raw_p >= 0.05 THEN 'not_significant_raw' WHEN adj_p < 0.05 AND sign(raw) = sign(adj) AND 100 * (1 - adj / nullif(raw, 0)) < 40 THEN 'survives' WHEN adj_p < 0.05 AND sign(raw) = sign(adj) THEN 'attenuated_but_significant' WHEN sign(raw) <> sign(adj) THEN 'sign_flip' ELSE 'vanishes_after_adjustment' END AS verdict FROM v""")
 def confound_verdict(spark, sf_dir):
+    """Whether what return flags say of open lines holds among large lines, too, by supplier: shares and tests of all lines and of the large ones."""
     from .base import table
 
-    k = F.col("p_partkey")
-    p = table(spark, sf_dir, "part").select(k, (k % 97 / F.lit(1000.0)).alias("raw_p"), F.when(k % 11 != 0, k % 89 / F.lit(1000.0)).alias("adj_p"), (k % 13 - F.lit(6.5)).cast("double").alias("raw"), (k % 7 - F.lit(1.5)).cast("double").alias("adj"))
-    return p.select("p_partkey", S.verdict(F.col("raw_p"), F.col("adj_p"), F.col("raw"), F.col("adj")).alias("verdict"))
+    li = table(spark, sf_dir, "lineitem")
+    large = F.col("l_quantity") > 25
+    share = lambda ok: F.avg(F.when(ok, (F.col("l_linestatus") == "O").cast("int")))
+    kept = F.col("l_returnflag") == "N"
+    d = li.groupBy("l_suppkey").agg(F.round(share(kept) - share(~kept), 9).alias("raw"), F.round(share(kept & large) - share(~kept & large), 9).alias("adj"))
+    d = d.join(_dependence(li).withColumnRenamed("p", "raw_p"), "l_suppkey", "left").join(_dependence(li.filter(large)).withColumnRenamed("p", "adj_p"), "l_suppkey", "left")
+    return d.select("l_suppkey", S.verdict(F.col("raw_p"), F.col("adj_p"), F.col("raw"), F.col("adj")).alias("verdict"))

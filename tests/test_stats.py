@@ -177,3 +177,18 @@ def test_feature_report_keeps_what_is_not_tested(spark):
     r = {x.feature: x for x in S.feature_report(long, tests, F.lit("c")).collect()}
     assert set(r) == {"a", "b"} and (r["a"].n, r["a"].median, r["a"].test_n, r["a"].delta) == (2, 2.0, 7, 0.5)
     assert (r["b"].category, r["b"].std, r["b"].delta) == ("c", None, None)
+
+
+def test_independence_against_plain_counts(spark):
+    import math
+
+    rng = random.Random(3)
+    rows = [(g, rng.choice("AB"), rng.choice("xyz")) for g in "pq" for _ in range(80)] + [("q", None, "x"), ("one", "A", "x"), ("two", "A", "x"), ("two", "B", "y"), ("gap", "A", "x"), ("gap", "A", "y"), ("gap", "B", "z")]
+    got = {r.g: r for r in S.independence(spark.createDataFrame(rows, "g string, a string, b string"), ["g"], "a", "b").collect()}
+    for g, r in got.items():
+        mine = [(a, b) for x, a, b in rows if x == g and a]
+        n, A, B = len(mine), {a for a, _ in mine}, {b for _, b in mine}
+        e = {(a, b): sum(x == a for x, _ in mine) * sum(y == b for _, y in mine) / n for a in A for b in B}
+        chi = sum((mine.count(c) - v) ** 2 / v for c, v in e.items())
+        assert r.n == n and abs(r.chi2 - chi) < 1e-9 and r.df == (len(A) - 1) * (len(B) - 1)
+        assert r.p_value is None if r.df != 2 else abs(r.p_value - math.exp(-chi / 2)) < 1e-9
