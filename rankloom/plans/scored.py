@@ -229,9 +229,9 @@ _PAID = lambda t: ", ".join(f"avg({a}a + CASE WHEN {t} > 1 THEN {a}b ELSE 0 END
 
 
 @query("routing_energy", f"""WITH {_ROUTED}, {_RAND}, be2 AS (SELECT DISTINCT bug FROM al), {_LOGS},
- x AS (SELECT split, fold, count(*) AS n, avg((tier > 1)::INT) AS escalated, any_value(kf) AS kf, any_value(cf) AS cf, {_PAID('tier')} FROM rr JOIN en USING (bug) GROUP BY 1, 2),
- y AS (SELECT split, fold, {_PAID('rt')} FROM rr JOIN en USING (bug) GROUP BY 1, 2)
- SELECT split, round(avg(escalated), 6) AS escalated, round(avg(x.kwh), 6) AS kwh, round(avg(x.co2), 6) AS co2, round(avg(100 * (1 - x.kwh / kf)), 4) AS kwh_saved_pct, round(avg(100 * (1 - x.co2 / cf)), 4) AS co2_saved_pct, round(avg(y.kwh), 6) AS kwh_random, round(avg(y.kwh) - avg(x.kwh), 6) AS kwh_lift FROM x JOIN y USING (split, fold) GROUP BY split""")
+ ex AS (SELECT split, fold, count(*) AS n, avg((tier > 1)::INT) AS escalated, any_value(kf) AS kf, any_value(cf) AS cf, {_PAID('tier')} FROM ro JOIN en USING (bug) GROUP BY 1, 2),
+ ey AS (SELECT split, fold, {_PAID('rt')} FROM rr JOIN en USING (bug) GROUP BY 1, 2)
+ SELECT split, round(avg(escalated), 6) AS escalated, round(avg(ex.kwh), 6) AS kwh, round(avg(ex.co2), 6) AS co2, round(avg(100 * (1 - ex.kwh / kf)), 4) AS kwh_saved_pct, round(avg(100 * (1 - ex.co2 / cf)), 4) AS co2_saved_pct, round(avg(ey.kwh), 6) AS kwh_random, CASE WHEN round(avg(ey.kwh) - avg(ex.kwh), 6) <> 0 THEN round(avg(ey.kwh) - avg(ex.kwh), 6) ELSE 0.0::DOUBLE END AS kwh_lift FROM ex JOIN ey USING (split, fold) GROUP BY split""")
 def routing_energy(spark, sf_dir):
     """What each split costs in energy and CO2, what it saves and how it compares with random tiers of the same sizes, in order of the escalated share.
 
@@ -246,7 +246,8 @@ def routing_energy(spark, sf_dir):
     y = G.energy_of_routes(d, ["split", "model"], ["kwh"], "random_tier").select("split", "model", F.col("kwh").alias("kwh_random"))
     out = x.join(y, ["split", "model"]).groupBy("split").agg(*[F.avg(c).alias(c) for c in ("escalated", "kwh", "co2", "kwh_saved_pct", "co2_saved_pct", "kwh_random")])
     out = out.withColumn("kwh_lift", F.col("kwh_random") - F.col("kwh"))
-    return out.select("split", *[F.round(c, 4 if c.endswith("pct") else 6).alias(c) for c in out.columns[1:]]).orderBy("escalated", "split")
+    out = out.select("split", *[F.round(c, 4 if c.endswith("pct") else 6).alias(c) for c in out.columns[1:]])
+    return out.withColumn("kwh_lift", F.when(F.col("kwh_lift") != 0, F.col("kwh_lift")).otherwise(0.0)).orderBy("escalated", "split")  # no -0.0
 
 
 @query("energy_rollup", """WITH t1 AS (SELECT avg(e) AS e FROM (SELECT user_id, sum(value) AS e FROM events WHERE event_type IN ('click', 'view') GROUP BY 1)), t2 AS (SELECT sum(value) / count(DISTINCT user_id) AS e FROM events WHERE event_type = 'purchase'), t3 AS (SELECT avg(e) AS e FROM (SELECT user_id, sum(value) AS e FROM events GROUP BY 1))
