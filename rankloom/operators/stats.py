@@ -28,12 +28,16 @@ def meet(left: DataFrame, right: DataFrame, on: list[str], few: bool = False) ->
     return left.join(right, same).drop(*[f"_r_{c}" for c in on])
 
 
+#: Cuts are looked up among every such one first, then between two of them.
+_STEP = 16
+
+
 def value_ranks(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], weight: Column | None = None, few: bool = True, ranges_too: bool = False) -> DataFrame:
     """One row for each distinct value of a group: ``c`` (its rows, or their weight) and ``sums``, and of each of them before_ (over lower values) and all_ (over the group).
 
     ``avg_rank`` is the average rank, ties sharing it. No task holds a group: distinct values meet first, with their sums, in a table that is written at once, as
     it is read three times; a sketch of them parts each group into ranges of about equal size; sums of the ranges give what lies below a range, and a window sees
-    the values of one range only. There are about as many ranges as shuffle partitions; where they are cut changes no result.
+    the values of one range only. There are about as many ranges as shuffle partitions; where they are cut changes no result, and the cuts are written, too.
     Groups are comparisons by features, so a row for each of their ranges is broadcast; say ``few=False`` if ``by`` holds a key of the data.
     ``ranges_too`` leaves the range's number as ``_range``.
     """
@@ -41,8 +45,11 @@ def value_ranks(df: DataFrame, by: list[str], value: str, sums: dict[str, Column
     each = scratch.stored(df.groupBy(*by, value).agg(*[e.cast("double").alias(n) for n, e in cols.items()]), "values")
     ranges = min(256, max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     cut = F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts")
-    whole = each.groupBy(*by).agg(cut, *[F.sum(n).alias(f"all_{n}") for n in cols])
-    each = meet(each, whole, by, few).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    whole = each.groupBy(*by).agg(cut, *[F.sum(n).alias(f"all_{n}") for n in cols]).withColumn("_every", F.filter("_cuts", lambda x, i: i % _STEP == 0))
+    # Written, as a sketch differs with the order in which its parts meet: both readers below must see the same cuts.
+    each = meet(each, scratch.stored(whole, "cuts"), by, few).withColumn("_range", F.size(F.filter("_every", lambda x: x < F.col(value))))
+    between = F.filter(F.slice("_cuts", F.greatest(F.col("_range") - 1, F.lit(0)) * _STEP + 2, F.lit(_STEP - 1)), lambda x: x < F.col(value))
+    each = each.withColumn("_range", F.when(F.col("_range") > 0, (F.col("_range") - 1) * _STEP + 1 + F.size(between)).otherwise(0)).drop("_cuts", "_every")
     lower = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     parts = each.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_p_{n}") for n in cols])
     parts = parts.select(*by, "_range", *[F.coalesce(F.sum(f"_p_{n}").over(lower), F.lit(0.0)).alias(f"_b_{n}") for n in cols])

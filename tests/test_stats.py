@@ -1,6 +1,7 @@
 """Hand-checked statistics and properties of rank statistics."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,3 +193,30 @@ def test_independence_against_plain_counts(spark):
         chi = sum((mine.count(c) - v) ** 2 / v for c, v in e.items())
         assert r.n == n and abs(r.chi2 - chi) < 1e-9 and r.df == (len(A) - 1) * (len(B) - 1)
         assert r.p_value is None if r.df != 2 else abs(r.p_value - math.exp(-chi / 2)) < 1e-9
+
+
+def test_ranges_come_from_one_sketch(spark, monkeypatch):
+    """Were the sketch computed by each reader, it could differ between them: here it does, as each reading jolts the cuts."""
+    once = S.F.percentile_approx
+    jolt = S.F.udf(lambda xs: [x + random.Random(time.time_ns()).uniform(-40, 40) for x in xs], "array<double>").asNondeterministic()
+    monkeypatch.setattr(S.F, "percentile_approx", lambda v, q, n: S.F.array_sort(jolt(once(v, q, n))))
+    rng = random.Random(5)
+    rows = [(g, float(rng.randrange(300))) for g in "ab" for _ in range(2000)]
+    got = {(r.g, r.v): r for r in S.value_ranks(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", {}).collect()}
+    for g, v in set(rows):
+        below, same = sum(x == g and w < v for x, w in rows), rows.count((g, v))
+        assert (got[g, v].before_c, got[g, v].c, got[g, v].avg_rank) == (below, same, below + (same + 1) / 2)
+
+
+@pytest.mark.parametrize("ranges", [4, 17, 64])
+def test_place_among_cuts(spark, monkeypatch, ranges):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        d = spark.range(1000).selectExpr("cast(id % 331 as double) v", "1 g")
+        got = S.value_ranks(d, ["g"], "v", {}, ranges_too=True).orderBy("v").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    places = [r._range for r in got]
+    assert places == sorted(places) and places[0] == 0 and len(set(places)) == places[-1] + 1 == ranges
+    assert [r.before_c for r in got] == [sum(x.c for x in got[:i]) for i in range(len(got))]
