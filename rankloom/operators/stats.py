@@ -32,6 +32,20 @@ def meet(left: DataFrame, right: DataFrame, on: list[str], few: bool = False) ->
 _STEP = 16
 
 
+def in_ranges(each: DataFrame, by: list[str], value: str, whole: dict[str, Column], few: bool = True) -> DataFrame:
+    """Add ``_range``, the number of the range of values that a row is in, and ``whole``, aggregates over its group.
+
+    A sketch parts each group's rows into about as many ranges of equal size as there are shuffle partitions; a value is in one range only. ``each`` is a written table.
+    """
+    ranges = min(256, max(4, int(each.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    cut = F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts")
+    cuts = each.groupBy(*by).agg(cut, *[e.alias(n) for n, e in whole.items()]).withColumn("_every", F.filter("_cuts", lambda x, i: i % _STEP == 0))
+    # Written, as a sketch differs with the order in which its parts meet: all readers must see the same cuts.
+    each = meet(each, scratch.stored(cuts, "cuts"), by, few).withColumn("_range", F.size(F.filter("_every", lambda x: x < F.col(value))))
+    between = F.filter(F.slice("_cuts", F.greatest(F.col("_range") - 1, F.lit(0)) * _STEP + 2, F.lit(_STEP - 1)), lambda x: x < F.col(value))
+    return each.withColumn("_range", F.when(F.col("_range") > 0, (F.col("_range") - 1) * _STEP + 1 + F.size(between)).otherwise(0)).drop("_cuts", "_every")
+
+
 def value_ranks(df: DataFrame, by: list[str], value: str, sums: dict[str, Column], weight: Column | None = None, few: bool = True, ranges_too: bool = False) -> DataFrame:
     """One row for each distinct value of a group: ``c`` (its rows, or their weight) and ``sums``, and of each of them before_ (over lower values) and all_ (over the group).
 
@@ -43,13 +57,7 @@ def value_ranks(df: DataFrame, by: list[str], value: str, sums: dict[str, Column
     """
     cols = {"c": F.count("*") if weight is None else F.sum(weight), **{n: F.sum(e) for n, e in sums.items()}}
     each = scratch.stored(df.groupBy(*by, value).agg(*[e.cast("double").alias(n) for n, e in cols.items()]), "values")
-    ranges = min(256, max(4, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    cut = F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("_cuts")
-    whole = each.groupBy(*by).agg(cut, *[F.sum(n).alias(f"all_{n}") for n in cols]).withColumn("_every", F.filter("_cuts", lambda x, i: i % _STEP == 0))
-    # Written, as a sketch differs with the order in which its parts meet: both readers below must see the same cuts.
-    each = meet(each, scratch.stored(whole, "cuts"), by, few).withColumn("_range", F.size(F.filter("_every", lambda x: x < F.col(value))))
-    between = F.filter(F.slice("_cuts", F.greatest(F.col("_range") - 1, F.lit(0)) * _STEP + 2, F.lit(_STEP - 1)), lambda x: x < F.col(value))
-    each = each.withColumn("_range", F.when(F.col("_range") > 0, (F.col("_range") - 1) * _STEP + 1 + F.size(between)).otherwise(0)).drop("_cuts", "_every")
+    each = in_ranges(each, by, value, {f"all_{n}": F.sum(n) for n in cols}, few)
     lower = W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     parts = each.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_p_{n}") for n in cols])
     parts = parts.select(*by, "_range", *[F.coalesce(F.sum(f"_p_{n}").over(lower), F.lit(0.0)).alias(f"_b_{n}") for n in cols])

@@ -21,3 +21,18 @@ def test_params_are_broadcast(spark):
         assert [tuple(r) for r in d.collect()] == [(1, "a", 0, 0.25)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_value_meets_once_and_no_window_sees_it(spark):
+    """Weights of all models from one small row for each range: every value's row went through windows over eleven sums before."""
+    rng = random.Random(3)
+    rows = [("ab"[i % 2], i, f, rng.choice([rng.random(), float(rng.randrange(4)), -0.0]), int(rng.random() < 0.3), rng.randrange(5)) for i in range(600) for f in ("f", "g")]
+    d = spark.createDataFrame(rows, LONG).repartition(7)
+    p = Z.fold_params(d, ["task"])
+    assert "Window" not in p._jdf.queryExecution().executedPlan().toString()
+    got = {(r.task, r.model, r.feature): r.delta for r in p.collect()}
+    for t, m, f in got:
+        mine = [r for r in rows if (r[0], r[2]) == (t, f) and r[5] != m]
+        ones, rest = [r[3] for r in mine if r[4]], [r[3] for r in mine if not r[4]]
+        assert got[t, m, f] == pytest.approx(sum((x > y) - (x < y) for x in ones for y in rest) / len(ones) / len(rest), abs=1e-12)
+    assert len(got) == 2 * 6 * 2
