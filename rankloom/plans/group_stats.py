@@ -6,7 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import schema as C
-from ..operators import logits
+from .. import scratch
+from ..operators import coded, logits
 from ..operators import ranking as R
 from ..operators import redundancy
 from ..operators import stats as S
@@ -82,9 +83,11 @@ _PAIR = " UNION ALL ".join(f"SELECT '{a}|{b}' AS pair, bug, found_{a} AS is_firs
 @query("pairwise_unique_stats", f"WITH feats AS ({FEATURES_SQL}), flags AS ({flags_sql(K)}), {two_groups_sql(f'SELECT pair, feature, value, is_first FROM ({LONG_SQL}) JOIN ({_PAIR}) USING (bug)', ['pair', 'feature'])}")
 def pairwise_unique_stats(spark, sf_dir):
     f = _flags(spark, sf_dir)
-    pairs = F.array(*[F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(f"found_{a}").alias("is_first"), (F.col(f"found_{a}") != F.col(f"found_{b}")).alias("ok")) for a, b in _PAIRS])
-    g = f.select("bug", F.explode(pairs).alias("x")).filter("x.ok").select("bug", "x.pair", "x.is_first")
-    return tidy(S.two_groups(_long(spark, sf_dir).join(g, "bug"), ["pair", "feature"]), ["pair", "feature"])
+    found = sum((F.col(f"found_{t}").cast("int") * F.lit(1 << i) for i, t in enumerate(TOOLS)), F.lit(0))
+    wide = scratch.stored(features(spark, sf_dir).drop("project").join(f.select("bug", found.alias("found")), "bug"), "rows")
+    has = lambda code, t: code >> TOOLS.index(t) & 1
+    sides = {f"{a}|{b}": [has(c, a) if has(c, a) != has(c, b) else None for c in range(1 << N)] for a, b in _PAIRS}
+    return tidy(coded.two_groups(wide, FEATURES, "found", sides, "pair"), ["pair", "feature"])
 
 
 @query("top_pair_features", f"WITH feats AS ({FEATURES_SQL}), flags AS ({flags_sql(K)}), st AS (WITH {two_groups_sql(f'SELECT pair, feature, value, is_first FROM ({LONG_SQL}) JOIN ({_PAIR}) USING (bug)', ['pair', 'feature'])}) SELECT pair, feature, delta, k::INT AS k FROM (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY abs(delta) DESC, feature) AS k FROM st) WHERE k <= 3")
