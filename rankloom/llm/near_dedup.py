@@ -12,12 +12,9 @@ bucket.
 
 1. Each member of a bucket is compared with the bucket's smallest key, its pivot, and links are joined into classes by
    passing the smallest key on and jumping along it. Most buckets are one class then, and done.
-2. In an open bucket, members of different classes are compared with one another where profiles (word counts, a sample of
-   word pairs) allow for the similarity. Groups of up to LEAF members test all their pairs. Larger ones, texts that share a
-   very common passage but little else, part first by the smallest of their word pairs under one of SLOTS further hashes,
-   which near-duplicates share in three cases of seven at least, and compare all with one more pivot at each parting. Such
-   texts meet in many buckets, each of which begins with another hash, so a pair has many chances. Groups that no hash parts
-   test all their pairs in blocks.
+2. In an open bucket, all pairs of members of different classes are tested behind profiles (word counts, a sample of word
+   pairs), in blocks of LEAF members, whatever the bucket's size; buckets of over WHOLE members are dealt to tasks as pairs of
+   blocks. ``levels`` above 0 parts groups of over LEAF members by further hashes first, which is faster and loses links.
 
 Rows stay in proportion to members throughout; pairs within a group are never rows, only those that profiles allow.
 """
@@ -33,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, dropped, free, small, stored, text_of, tidy
 
-#: Texts of up to SHORT words have bands of single words, longer ones and those nearly as short as that of k-mers. Groups of up
-#: to LEAF members test all their pairs; buckets of over WHOLE members part in the cluster before a task takes one on.
+#: Texts of up to SHORT words have bands of single words, longer ones and those nearly as short as that of k-mers. Pairs are tested
+#: in blocks of LEAF members; buckets of over WHOLE members part into pairs of blocks in the cluster before a task takes one on.
 SHORT, LEAF, WHOLE = 40, 128, 16_384
 #: Profiles: word counts in COUNTS buckets, and the smallest word pair under each of SLOTS hashes. Of texts of over SHORT words
 #: that are just similar enough, fewer than AGREE slots agree with probability 0.001; shorter ones are told by their counts.
@@ -499,7 +496,7 @@ def _components(links: DataFrame) -> DataFrame:
     return roots if roots is not None else links.sparkSession.createDataFrame([], "key binary, root binary")
 
 
-def classes(docs: DataFrame, least: float = 0.8, k: int = 5, bands: int = 64, picks: int = 2, fine: int = 24, doc_id: str = "doc_id", text: str = "text", whole: int = WHOLE, levels: int = SLOTS) -> DataFrame:
+def classes(docs: DataFrame, least: float = 0.8, k: int = 5, bands: int = 64, picks: int = 2, fine: int = 24, doc_id: str = "doc_id", text: str = "text", whole: int = WHOLE, levels: int = 0) -> DataFrame:
     """One row for each row of ``docs``: doc_id, class_id, kept, and h, the 64-bit hash of the text.
 
     Texts are near-duplicates if their words' edit similarity, 1 - distance / words of the longer one, is at least ``least``;

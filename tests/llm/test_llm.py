@@ -786,3 +786,9 @@ def test_network_against_a_plain_forward_pass():
     weight = np.exp([float(np.tanh(s @ p["a"]) @ p["v"][:, 0]) for s in both])
     pooled = sum(w * s for w, s in zip(weight / weight.sum(), both, strict=True))
     assert abs(float(got[0]) - float(pooled @ p["o"][:, 0] + p["c"][0])) < 1e-4
+
+
+def test_large_buckets_test_all_pairs_unless_told_otherwise():
+    import inspect
+
+    assert inspect.signature(N.classes).parameters["levels"].default == 0
