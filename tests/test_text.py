@@ -73,3 +73,13 @@ def test_response_clean_up(spark):
 def test_readability_of_short_texts_is_null(spark):
     r = one(spark, X.readability(F.col("t")), "Short text.")
     assert r.lix is None and r.n_sentences == 1
+
+
+def test_readability_counts_under_no_condition(spark):
+    """Under a condition a count is made anew for each formula that uses it: 28 passes over a text rather than six."""
+    r = X.readability(F.col("t"))
+    assert not any("CASE WHEN" in str(e)[:20] for e in r.values())
+    t = "L'été, beautiful queueing areas; 12 idiosyncratic rythms. Zzz ÆØÅ aaa! " * 3
+    words, hard, chars = 30, 15, 168
+    got = one(spark, {k: r[k] for k in ("gunning_fog", "automated_readability_index")}, t)
+    assert got["gunning_fog"] == 0.4 * (words / 6 + 100 * (hard / words)) and abs(got["automated_readability_index"] - (4.71 * chars / words + 0.5 * words / 6 - 21.43)) < 1e-9
