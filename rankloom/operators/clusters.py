@@ -14,18 +14,20 @@ SEEDS = 4096
 
 
 def projected(df: DataFrame, key: str, v: str, components: int = 50) -> DataFrame:
-    """(key, p): vectors less their mean along the first principal components, as a written table. Null vectors and those with null or non-finite parts take no part."""
+    """(key, p): vectors less their mean along the first principal components, as a written table.
+
+    Null vectors and those with null or non-finite parts take no part; shorter vectors than the longest are zero where they end."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     x = as_doubles(F.col(v))
     fine = F.col(v).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     rows = df.filter(fine).select(F.col(key), x.alias("_x"))
-    first = rows.select(F.size("_x").alias("n")).first()
-    if first is None:
-        return rows.select(key, F.col("_x").alias("p"))
-    d = min(components, first.n)
-    rows = rows.select(key, array_to_vector("_x").alias("_v"))
+    n = rows.agg(F.max(F.size("_x"))).first()[0]
+    if not n:
+        return rows.select(key, F.col("_x").alias("p")).filter(F.lit(False))
+    d = min(components, n)
+    rows = rows.select(key, array_to_vector(F.concat("_x", F.array_repeat(F.lit(0.0), F.lit(n) - F.size("_x")))).alias("_v"))
     p = PCA(k=d, inputCol="_v", outputCol="_p").fit(rows).transform(rows).select(key, vector_to_array("_p").alias("p"))
     p = scratch.stored(p, "projected")
     mean = p.agg(F.array(*[F.avg(F.col("p")[i]) for i in range(d)]).alias("_m"))  # one row

@@ -47,6 +47,14 @@ def test_few_or_no_vectors(spark):
     assert e.columns == K.clusters(d, "id", "v", k=2, starts=1).columns and e.count() == 0
 
 
+def test_vectors_of_different_lengths(spark):
+    rows = [(i, [10.0 * (i % 2), 1.0, 5.0 * (i % 2)][: 2 if i == 4 else 3]) for i in range(8)] + [(8, [])]
+    got = K.clusters(spark.createDataFrame(rows, "id int, v array<double>"), "id", "v", k=2, starts=4).collect()
+    assert sorted(r.id for r in got) == list(range(9))
+    of = {r.id: r.embedding_cluster for r in got}
+    assert of[4] == of[0] == of[8] != of[1]
+
+
 def test_corners_of_roc_curves(spark):
     rng = random.Random(8)
     rows = [(g, rng.choice([None, math.nan, *(float(i) for i in range(25))]), int(rng.random() < p)) for g, p, n in (("a", 0.3, 400), ("b", 0.5, 60), (None, 0.5, 30)) for _ in range(n)]
