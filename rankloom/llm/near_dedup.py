@@ -13,10 +13,12 @@ bucket.
 1. Each member of a bucket is compared with the bucket's smallest key, its pivot, and links are joined into classes by
    passing the smallest key on and jumping along it. Most buckets are one class then, and done.
 2. In an open bucket, all pairs of members of different classes are tested behind profiles (word counts, a sample of word
-   pairs), in blocks of LEAF members, whatever the bucket's size; buckets of over WHOLE members are dealt to tasks as pairs of
-   blocks. ``levels`` above 0 parts groups of over LEAF members by further hashes first, which is faster and loses links.
+   pairs), in blocks of LEAF members, whatever the bucket's size; buckets of over WHOLE members or HELD bytes are dealt to tasks
+   as pairs of blocks. Members bring their words along, so that the task that finds a pair aligns it and joins its classes
+   there and then; of the open buckets that two texts share, one that is drawn by their keys tests them. ``levels`` above 0 parts groups of over LEAF members by further hashes first, which is faster and loses links.
 
-Rows stay in proportion to members throughout; pairs within a group are never rows, only those that profiles allow.
+Rows stay in proportion to members throughout: pairs within a group are never rows, only links are, and of these fewer than
+the group has members, as two that links of the group lead to aren't tested again.
 """
 
 from __future__ import annotations
@@ -33,9 +35,11 @@ from .common import BROADCAST_BYTES, dropped, free, small, stored, text_of, tidy
 #: Texts of up to SHORT words have bands of single words, longer ones and those nearly as short as that of k-mers. Pairs are tested
 #: in blocks of LEAF members; buckets of over WHOLE members part into pairs of blocks in the cluster before a task takes one on.
 SHORT, LEAF, WHOLE = 40, 128, 16_384
+#: Bytes of members (words and profiles) that a task takes on at once; larger buckets part likewise.
+HELD = 48_000_000
 #: Profiles: word counts in COUNTS buckets, and the smallest word pair under each of SLOTS hashes. Of texts of over SHORT words
 #: that are just similar enough, fewer than AGREE slots agree with probability 0.001; shorter ones are told by their counts.
-COUNTS, SLOTS, AGREE = 256, 64, 16
+COUNTS, SLOTS, AGREE = 1024, 64, 16
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _EDGE = bytes(range(0x21, 0x30)) + bytes(range(0x3A, 0x41)) + bytes(range(0x5B, 0x61)) + bytes(range(0x7B, 0x7F))
@@ -143,31 +147,42 @@ def buckets(lists: list[np.ndarray], least: float, k: int, bands: int, picks: in
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 
+def word_counts(lists: list[np.ndarray]) -> np.ndarray:
+    """Each text's word counts in COUNTS buckets, 255 at most."""
+    return np.stack([np.minimum(np.bincount((w & w.dtype.type(COUNTS - 1)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8) for w in lists])
+
+
+def pair_slots(lists: list[np.ndarray]) -> np.ndarray:
+    """16 bits of each text's smallest word pair under each of SLOTS hashes."""
+    return np.concatenate([order_sketch(part, 2, SLOTS, 1).astype(np.uint16) for part in runs(lists)])
+
+
 def profiles(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Word counts in COUNTS buckets, 255 at most, and 16 bits of the smallest word pair under each of SLOTS hashes."""
-    counts = [np.minimum(np.bincount((w % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8) for w in lists]
-    slots = [order_sketch(part, 2, SLOTS, 1).astype(np.uint16) for part in runs(lists)]
-    return np.stack(counts), np.concatenate(slots)
+    """What :func:`word_counts` and :func:`pair_slots` say of each text."""
+    return word_counts(lists), pair_slots(lists)
 
 
 class Group:
-    """Members of a bucket: keys, the classes that they are in, numbers of words, and profiles."""
+    """Members of a bucket: keys, the classes that they are in, numbers of words, profiles, and for :meth:`links` their words and, unless every pair counts, all open buckets that each is in and this one."""
 
-    def __init__(self, least, keys, classes, n, counts, slots):
-        self.least, self.keys, self.n, self.counts, self.slots = least, keys, n, counts, slots
+    def __init__(self, least, keys, classes, n, counts, slots, words=None, own=None, home=None):
+        self.least, self.keys, self.n, self.counts, self.slots, self.words, self.own, self.home = least, keys, n, counts, slots, words, own, home
         self.of = np.unique(classes, return_inverse=True)[1]
 
     def possible(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The pairs (a, b) of different classes whose lengths and profiles allow for the similarity. An edit changes at most two counts by one."""
+        """The pairs (a, b) of different classes whose lengths and profiles allow for the similarity. An edit changes at most two counts by one, and only one where it changes the length."""
         ok = self.of[a] != self.of[b]
         a, b = a[ok], b[ok]
         short, long = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
         ok = short >= long * self.least - 1e-6
-        a, b, long = a[ok], b[ok], long[ok]
+        a, b, short, long = a[ok], b[ok], short[ok], long[ok]
         ok = (long <= SHORT) | ((self.slots[a] == self.slots[b]).sum(1) >= AGREE)
-        a, b, long = a[ok], b[ok], long[ok]
-        far = np.abs(self.counts[a].astype(np.int16) - self.counts[b].astype(np.int16)).sum(1, dtype=np.int64)
-        ok = far <= 2 * np.floor((1 - self.least) * long + 1e-9)
+        a, b, short, long = a[ok], b[ok], short[ok], long[ok]
+        far = np.zeros(len(a), np.int64)
+        for at in range(0, len(a), 2048):  # a few MB at a time
+            x, y = self.counts[a[at : at + 2048]], self.counts[b[at : at + 2048]]
+            far[at : at + 2048] = (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64)
+        ok = far <= 2 * np.floor((1 - self.least) * long + 1e-9) - (long - short)
         return a[ok], b[ok]
 
     def _all(self, m: np.ndarray):
@@ -196,6 +211,24 @@ class Group:
             order = np.argsort(slot, kind="stable")
             todo += [(m[i], level + 1) for i in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1)]
 
+    def _here(self, i: int, j: int) -> bool:
+        """Whether this is the bucket that tests a pair: any of those that the two share, but the same one wherever they meet."""
+        if self.own is None:
+            return True
+        both = np.intersect1d(self.own[i], self.own[j], assume_unique=True)
+        return int(both[(self.keys[i][-1] + self.keys[j][-1]) % len(both)]) == self.home
+
+    def links(self, first: int, levels: int = SLOTS):
+        """Similar pairs of different classes, in parts. A link makes its classes one, so there are fewer than members; every similar pair that :meth:`pairs` gives and that is tested here is in one class in the end."""
+        for a, b in self.pairs(first, levels):
+            found = []
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                if self.of[i] != self.of[j] and self._here(i, j) and alignment_similarity(self.words[i], self.words[j], self.least) >= self.least:
+                    self.of[self.of == self.of[j]] = self.of[i]
+                    found.append((i, j))
+            if found:
+                yield found
+
 
 def banded_distance(a: list[int], b: list[int], most: int) -> int:
     """Edit distance of two sequences if it is at most ``most``, else ``most`` + 1: bit vectors that hold a band around the diagonal.
@@ -320,50 +353,48 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
 
 
 def _profiled(members: DataFrame, words: DataFrame) -> DataFrame:
-    """Members with their texts' profiles."""
+    """Members with their texts' words and samples of word pairs, the open buckets of each text (``own``), and the bucket again (``home``), as ``bucket`` may part."""
 
     def rows(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            counts, slots = profiles([np.frombuffer(w.as_py(), "<u4").astype(np.uint64) for w in batch.column(1)])
-            yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in counts], pa.binary()), pa.array([x.tobytes() for x in slots.astype("<u2")], pa.binary())], ["key", "counts", "slots"])
+            slots = pair_slots([np.frombuffer(w.as_py(), "<u4").astype(np.uint64) for w in batch.column(1)])
+            yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in slots.astype("<u2")], pa.binary()), *batch.columns[1:]], ["key", "slots", "words", "own"])
 
-    keys = stored(members.select("key").distinct(), "keys")
+    keys = stored(members.groupBy("key").agg(F.sort_array(F.collect_set("bucket")).alias("own")), "keys")  # a few dozen for each
     asked = _asked(words, keys, "words")
-    each = stored(asked.mapInArrow(tidy(rows), "key binary, counts binary, slots binary"), "profiles")
-    out = stored(members.join(each, "key"), "profiled")
+    each = stored(asked.join(keys, "key").mapInArrow(tidy(rows), "key binary, slots binary, words binary, own array<long>"), "profiles")
+    out = stored(members.join(each, "key").withColumn("home", F.col("bucket")), "profiled")
     dropped(keys, asked, each)
     return out
 
 
-_MEMBER = ("key", "class", "n", "counts", "slots")
+_MEMBER = ("key", "class", "n", "slots", "words", "own", "home")
 
 
-def _group(least: float, columns: list) -> Group:
-    keys, classes, n, counts, slots = columns
-    return Group(least, keys, np.array(classes, object), np.array(n, np.int64), np.frombuffer(b"".join(counts), np.uint8).reshape(-1, COUNTS), np.frombuffer(b"".join(slots), "<u2").reshape(-1, SLOTS))
+def _group(least: float, columns: list, once: bool = False) -> Group:
+    keys, classes, n, slots, words, own, home = columns
+    words = [np.frombuffer(w, "<u4") for w in words]
+    return Group(least, keys, np.array(classes, object), np.array(n, np.int64), word_counts(words), np.frombuffer(b"".join(slots), "<u2").reshape(-1, SLOTS), words, own if once else None, home[0])
 
 
-def _pair_batch(group: Group, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    ends = [sorted((group.keys[i], group.keys[j])) for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+def _link_batch(group: Group, links: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = [sorted((group.keys[i], group.keys[j])) for i, j in links]
     return pa.record_batch([pa.array([x for x, _ in ends], pa.binary()), pa.array([y for _, y in ends], pa.binary())], ["a", "b"])
 
 
-def _pairs_of_buckets(members: DataFrame, least: float, levels: int) -> DataFrame:
-    """Pairs to verify of buckets that one task holds: at most WHOLE members of about 1 KB at a time."""
+def _links_of_buckets(members: DataFrame, least: float, levels: int) -> DataFrame:
+    """Links of buckets that one task holds: at most WHOLE members and HELD bytes at a time."""
 
     def rows(batches):
         held: dict[str, list] = {}
         last = None
 
         def done():
-            group, seen = _group(least, [held[x] for x in _MEMBER]), set()
-            for a, b in group.pairs(last % SLOTS, levels):
-                new = [(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if (min(i, j), max(i, j)) not in seen]
-                seen.update((min(p), max(p)) for p in new)
-                if new:
-                    yield _pair_batch(group, np.array([i for i, _ in new]), np.array([j for _, j in new]))
+            group = _group(least, [held[x] for x in _MEMBER], levels == 0)  # parts of a bucket may not test all of its pairs
+            for found in group.links(last % SLOTS, levels):
+                yield _link_batch(group, found)
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -376,7 +407,8 @@ def _pairs_of_buckets(members: DataFrame, least: float, levels: int) -> DataFram
                         yield from done()
                     last, held = int(ids[lo]), {x: [] for x in _MEMBER}
                 for i, x in enumerate(_MEMBER):
-                    held[x] += batch.column(i + 1).slice(lo, hi - lo).to_pylist()
+                    values = batch.column(i + 1).slice(lo, hi - lo)
+                    held[x] += [v.values.to_numpy().copy() for v in values] if x == "own" else values.to_pylist()
         if last is not None:
             yield from done()
 
@@ -385,7 +417,7 @@ def _pairs_of_buckets(members: DataFrame, least: float, levels: int) -> DataFram
 
 
 def _parted(members: DataFrame, stats: DataFrame, least: float, level: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs to verify of each member with its bucket's pivot, and the members in smaller buckets: of those that agree in one slot more."""
+    """Links of members with their bucket's pivot, and the members in smaller buckets: of those that agree in one slot more."""
 
     def rows(batches):
         for batch in batches:
@@ -395,8 +427,9 @@ def _parted(members: DataFrame, stats: DataFrame, least: float, level: int) -> t
             group = _group(least, [x + y for x, y in zip(own, of_pivot, strict=True)])
             at = np.arange(batch.num_rows)
             a, b = group.possible(at, at + batch.num_rows)
-            if len(a):
-                yield _pair_batch(group, a, b)
+            found = [(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if alignment_similarity(group.words[i], group.words[j], least) >= least]
+            if found:
+                yield _link_batch(group, found)
 
     pivots = stats.select("bucket", *[F.col(f"pivot.{x}").alias("p" + x) for x in _MEMBER])
     stars = members.join(small(pivots), "bucket").select(*_MEMBER, *["p" + x for x in _MEMBER]).mapInArrow(tidy(rows), "a binary, b binary")
@@ -405,27 +438,29 @@ def _parted(members: DataFrame, stats: DataFrame, least: float, level: int) -> t
 
 
 def _in_blocks(members: DataFrame, stats: DataFrame, whole: int) -> DataFrame:
-    """Buckets that no slot parts, as buckets of about ``whole`` / 2 members: one for every two of their blocks."""
-    blocks = F.ceil(F.col("c") * 4 / F.lit(whole)).cast("int")
-    own = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    at = members.join(small(stats.select("bucket", blocks.alias("blocks"))), "bucket").withColumn("own", own)
+    """Buckets that no slot parts, as buckets of about ``whole`` / 2 members or HELD / 2 bytes: one for every two of their blocks."""
+    blocks = F.ceil(F.greatest(F.col("c") * 4 / F.lit(whole), F.col("size") * 4 / F.lit(HELD))).cast("int")
+    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    at = members.join(small(stats.select("bucket", blocks.alias("blocks"))), "bucket").withColumn("block", block)
     each = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return each.withColumn("bucket", F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))).drop("blocks", "own", "other")
+    return each.withColumn("bucket", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))).drop("blocks", "block", "other")
 
 
 def _open_links(open_: DataFrame, words: DataFrame, least: float, whole: int, levels: int) -> DataFrame:
-    """Links between members of different classes in one bucket."""
-    live = _profiled(open_, words).withColumn("first", F.pmod("bucket", F.lit(SLOTS)))
+    """Links between members of different classes in one bucket, enough to join the classes that have some."""
+    profiled = _profiled(open_, words)
+    live = profiled.withColumn("first", F.pmod("bucket", F.lit(SLOTS)))
     parts = []
     for level in range(levels + 1):
         pivot = F.min(F.struct(F.xxhash64("bucket", "key").alias("o"), *_MEMBER)).alias("pivot")
-        large = live.groupBy("bucket").agg(F.count("*").alias("c"), F.min("class").alias("c0"), F.max("class").alias("c1")).filter((F.col("c") > whole) & (F.col("c0") != F.col("c1")))
-        large = stored(large.select("bucket", "c"), "large")
+        size = F.sum(F.col("n").cast("long") * 4 + F.size("own") * 8 + COUNTS + 2 * SLOTS + 500)  # with the objects that hold them
+        large = live.groupBy("bucket").agg(F.count("*").alias("c"), size.alias("size"), F.min("class").alias("c0"), F.max("class").alias("c1")).filter(((F.col("c") > whole) | (F.col("size") > HELD)) & (F.col("c0") != F.col("c1")))
+        large = stored(large.select("bucket", "c", "size"), "large")
         n = large.count()
         if not n:
             break
         big = live.join(small(large.select("bucket"), n), "bucket", "left_semi")
-        parts.append(_pairs_of_buckets(live.join(small(large.select("bucket"), n), "bucket", "left_anti"), least, levels))
+        parts.append(_links_of_buckets(live.join(small(large.select("bucket"), n), "bucket", "left_anti"), least, levels))
         if level == levels:
             live = _in_blocks(big, large, whole)
             break
@@ -433,12 +468,13 @@ def _open_links(open_: DataFrame, words: DataFrame, least: float, whole: int, le
         stars, deeper = _parted(big, stats, least, level)
         parts.append(stars)
         live = stored(deeper, "parted")
-    parts.append(_pairs_of_buckets(live, least, levels))
-    pairs = parts[0]
+    parts.append(_links_of_buckets(live, least, levels))
+    links = parts[0]
     for p in parts[1:]:
-        pairs = pairs.union(p)
-    pairs = stored(pairs.distinct(), "pairs")
-    return _verified(pairs, words, least)
+        links = links.union(p)
+    links = stored(links.distinct(), "links")
+    dropped(profiled)
+    return links
 
 
 def _roots_of(members: DataFrame, roots: DataFrame) -> DataFrame:

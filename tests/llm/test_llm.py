@@ -792,3 +792,35 @@ def test_large_buckets_test_all_pairs_unless_told_otherwise():
     import inspect
 
     assert inspect.signature(N.classes).parameters["levels"].default == 0
+
+
+def test_pairs_of_a_large_group_are_no_rows(spark, monkeypatch):
+    """A group's task aligns its pairs itself: it hands on fewer links than members, and of the buckets that two texts share one tests them."""
+    rng, calls = random.Random(31), []
+    base = [rng.randrange(1 << 30) for _ in range(100)]
+    lists = []
+    for i in range(80):  # 40 alike, and 40 of the same words in any order
+        w = list(base) if i < 40 else rng.sample(base, len(base))
+        for at in rng.sample(range(len(w)), 4 if i < 40 else 0):
+            w[at] = rng.randrange(1 << 30)
+        lists.append(np.array(w, np.uint32))
+    real = N.alignment_similarity
+    monkeypatch.setattr(N, "AGREE", 0)
+    monkeypatch.setattr(N, "alignment_similarity", lambda a, b, least: calls.append(1) or real(a, b, least))
+    counts, slots = N.profiles([x.astype(np.uint64) for x in lists])
+    keys = [bytes([i, 7 * i % 256]) for i in range(80)]
+    group = lambda m, **k: N.Group(0.8, [keys[i] for i in m], np.array([keys[i] for i in m], object), np.full(len(m), 100), counts[m], slots[m], [lists[i] for i in m], **k)
+    alike = np.arange(40)
+    assert sum(map(len, group(alike).links(0, 0))) == 39 and len(calls) < 40 * 39 / 2
+    far = [i for i in range(40, 80) if all(real(lists[i], lists[j], 0.8) == 0 for j in range(40, 80) if j != i)]
+    calls.clear()
+    assert not list(group(far).links(0, 0))
+    once = len(calls)
+    calls.clear()
+    assert not [x for home in (5, 9, 11) for x in group(far, own=[np.array([5, 9, 11])] * len(far), home=home).links(0, 0)]
+    assert len(calls) == once > len(far)
+    seen, verified = [], N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, words, least: seen.append(pairs.count()) or verified(pairs, words, least))
+    texts = _passage_family(random.Random(32), 60, 60, 60)
+    N.classes(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)).collect()
+    assert len(seen) == 1  # members with their pivots
