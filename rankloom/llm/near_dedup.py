@@ -14,8 +14,9 @@ bucket.
    passing the smallest key on and jumping along it. Most buckets are one class then, and done.
 2. In an open bucket, all pairs of members of different classes are tested behind profiles (word counts, a sample of word
    pairs), in blocks of LEAF members, whatever the bucket's size; buckets of over WHOLE members or HELD bytes are dealt to tasks
-   as pairs of blocks. Members bring their words along, so that the task that finds a pair aligns it and joins its classes
-   there and then; of the open buckets that two texts share, one that is drawn by their keys tests them. ``levels`` above 0 parts groups of over LEAF members by further hashes first, which is faster and loses links.
+   as pairs of blocks. Most texts that meet by chance have no counterpart in their bucket that lengths and samples allow for:
+   that is found with small profiles first (``samples``, 128 bytes a member), and they go no further. Members that go on bring
+   their words along, so that the task that finds a pair aligns it and joins its classes there and then; of the open buckets that two texts share, one that is drawn by their keys tests them. ``levels`` above 0 parts groups of over LEAF members by further hashes first, which is faster and loses links.
 
 Rows stay in proportion to members throughout: pairs within a group are never rows, only links are, and of these fewer than
 the group has members, as two that links of the group lead to aren't tested again.
@@ -147,9 +148,9 @@ def buckets(lists: list[np.ndarray], least: float, k: int, bands: int, picks: in
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
 
-def word_counts(lists: list[np.ndarray]) -> np.ndarray:
-    """Each text's word counts in COUNTS buckets, 255 at most."""
-    return np.stack([np.minimum(np.bincount((w & w.dtype.type(COUNTS - 1)).astype(np.int64), minlength=COUNTS), 255).astype(np.uint8) for w in lists])
+def word_counts(lists: list[np.ndarray], size: int = COUNTS) -> np.ndarray:
+    """Each text's word counts in ``size`` buckets (a power of 2), 255 at most."""
+    return np.stack([np.minimum(np.bincount((w & w.dtype.type(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8) for w in lists])
 
 
 def pair_slots(lists: list[np.ndarray]) -> np.ndarray:
@@ -162,16 +163,25 @@ def profiles(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return word_counts(lists), pair_slots(lists)
 
 
+def samples(lists: list[np.ndarray]) -> np.ndarray:
+    """Small profiles of 32-bit words, that allow for whatever :func:`profiles` do: a byte of each slot, and word counts in SLOTS buckets of texts of up to SHORT words."""
+    slots = pair_slots([w.astype(np.uint64) for w in lists]).astype(np.uint8)
+    return np.hstack([slots, word_counts([w if len(w) <= SHORT else w[:0] for w in lists], SLOTS)])
+
+
 class Group:
-    """Members of a bucket: keys, the classes that they are in, numbers of words, profiles, and for :meth:`links` their words and, unless every pair counts, all open buckets that each is in and this one."""
+    """Members of a bucket: keys, the classes that they are in, numbers of words, profiles (``rough``: small ones), and for :meth:`links` their words and, unless every pair counts, all open buckets that each is in and this one."""
 
-    def __init__(self, least, keys, classes, n, counts, slots, words=None, own=None, home=None):
+    def __init__(self, least, keys, classes, n, counts, slots, words=None, own=None, home=None, rough=False):
         self.least, self.keys, self.n, self.counts, self.slots, self.words, self.own, self.home = least, keys, n, counts, slots, words, own, home
         self.of = np.unique(classes, return_inverse=True)[1]
+        self.met, self.rough = None, rough
 
     def possible(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pairs (a, b) of different classes whose lengths and profiles allow for the similarity. An edit changes at most two counts by one, and only one where it changes the length."""
         ok = self.of[a] != self.of[b]
+        if self.met is not None:
+            ok &= ~(self.met[a] & self.met[b])
         a, b = a[ok], b[ok]
         short, long = np.minimum(self.n[a], self.n[b]), np.maximum(self.n[a], self.n[b])
         ok = short >= long * self.least - 1e-6
@@ -183,6 +193,8 @@ class Group:
             x, y = self.counts[a[at : at + 2048]], self.counts[b[at : at + 2048]]
             far[at : at + 2048] = (np.maximum(x, y) - np.minimum(x, y)).sum(1, dtype=np.int64)
         ok = far <= 2 * np.floor((1 - self.least) * long + 1e-9) - (long - short)
+        if self.rough:  # of longer texts there are no counts
+            ok |= long > SHORT
         return a[ok], b[ok]
 
     def _all(self, m: np.ndarray):
@@ -211,6 +223,13 @@ class Group:
             order = np.argsort(slot, kind="stable")
             todo += [(m[i], level + 1) for i in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1)]
 
+    def paired(self) -> np.ndarray:
+        """Whether each member is in a possible pair; pairs of two of whom that is known aren't tested."""
+        self.met = np.zeros(len(self.n), bool)
+        for a, b in self._all(np.arange(len(self.n))):
+            self.met[a] = self.met[b] = True
+        return self.met
+
     def _here(self, i: int, j: int) -> bool:
         """Whether this is the bucket that tests a pair: any of those that the two share, but the same one wherever they meet."""
         if self.own is None:
@@ -306,7 +325,7 @@ def alignment_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 
 def _sketches(docs: DataFrame, doc_id: str, text: str, least: float, k: int, bands: int, picks: int, fine: int) -> DataFrame:
-    names = ["doc_id", "h", "key", "n", "buckets", "words"]
+    names = ["doc_id", "h", "key", "n", "buckets", "words", "sample"]
 
     def rows(batches):
         for batch in batches:
@@ -315,31 +334,33 @@ def _sketches(docs: DataFrame, doc_id: str, text: str, least: float, k: int, ban
                 lists = word_hashes(b.column(2).to_pylist())
                 own = buckets(lists, least, k, bands, picks, fine)
                 ends = np.cumsum([0, *map(len, own)])
+                words = [w.astype("<u4") for w in lists]
                 yield pa.record_batch(
-                    [b.column(0), b.column(1), pa.array([xxhash.xxh3_128_digest(w.tobytes()) for w in lists], pa.binary()), pa.array([len(w) for w in lists], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own))), pa.array([w.astype("<u4").tobytes() for w in lists], pa.binary())],
+                    [b.column(0), b.column(1), pa.array([xxhash.xxh3_128_digest(w.tobytes()) for w in lists], pa.binary()), pa.array([len(w) for w in lists], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(own))), pa.array([w.tobytes() for w in words], pa.binary()), pa.array([x.tobytes() for x in samples(words)], pa.binary())],
                     names,
                 )
 
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text_of(text)).alias("h"), text_of(text).alias("text"))
-    return kept.mapInArrow(tidy(rows), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, h long, key binary, n int, buckets array<long>, words binary")
+    return kept.mapInArrow(tidy(rows), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, h long, key binary, n int, buckets array<long>, words binary, sample binary")
 
 
-def _asked(words: DataFrame, keys: DataFrame, name: str) -> DataFrame:
-    """(key, words) of the distinct ``keys``; copies of a text fall together before the shuffle."""
-    asked = words.join(small(keys.select(F.col("key").alias("k"))), words.key == F.col("k"), "left_semi")
-    return stored(asked.groupBy("key").agg(F.first("words").alias("words")), name)
+def _asked(texts: DataFrame, column: str, keys: DataFrame, name: str) -> DataFrame:
+    """``column`` of the texts of the distinct ``keys``, with what else these have; copies of a text fall together before the shuffle."""
+    found = texts.select("key", column).join(small(keys.withColumnRenamed("key", "k")), F.col("key") == F.col("k")).drop("k")
+    return stored(found.groupBy("key").agg(*[F.first(c).alias(c) for c in found.columns[1:]]), name)
 
 
-def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(a, b) of the distinct ``pairs`` (pivot a, member b) that are similar enough.
 
     Each member carries its words to its pivot, of which there is one: a pivot with very many members is one key of a plain
-    join, which adaptive execution splits.
+    join, which adaptive execution splits. Of the texts asked for, only pivots go to the one side and only members to the other.
     """
-    keys = stored(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct(), "keys")
-    asked = _asked(words, keys, "words")
-    members = pairs.join(asked, F.col("b") == F.col("key")).select("a", "b", F.col("words").alias("wb"))
-    pivots = asked.select(F.col("key").alias("p"), F.col("words").alias("wa"))
+    ends = pairs.select(F.col("a").alias("key"), F.lit(True).alias("pivot")).union(pairs.select("b", F.lit(False)))
+    keys = stored(ends.groupBy("key").agg(F.max("pivot").alias("pivot"), F.max(~F.col("pivot")).alias("member")), "keys")
+    asked = _asked(texts, "words", keys, "words")
+    members = pairs.join(asked.filter("member"), F.col("b") == F.col("key")).select("a", "b", F.col("words").alias("wb"))
+    pivots = asked.filter("pivot").select(F.col("key").alias("p"), F.col("words").alias("wa"))
 
     def rows(batches):
         for batch in batches:
@@ -352,7 +373,34 @@ def _verified(pairs: DataFrame, words: DataFrame, least: float) -> DataFrame:
     return found
 
 
-def _profiled(members: DataFrame, words: DataFrame) -> DataFrame:
+def _likely(open_: DataFrame, counts: DataFrame, texts: DataFrame, least: float, whole: int) -> DataFrame:
+    """Members of open buckets that their bucket holds a possible pair for, by lengths and :func:`samples`. ``counts``: the members of each bucket."""
+
+    def rows(batches):
+        for bucket, held in _by_bucket(batches, _SAMPLED):
+            keys, classes, n, sample, home = held
+            small_ones = np.frombuffer(b"".join(sample), np.uint8).reshape(-1, 2 * SLOTS)
+            group = Group(least, keys, np.array(classes, object), np.array(n, np.int64), small_ones[:, SLOTS:], small_ones[:, :SLOTS], rough=True)
+            at = np.flatnonzero(group.paired()).tolist()
+            if at:
+                yield pa.record_batch([pa.array([x[i] for i in at], kind) for x, kind in zip((home, keys, classes, n), (pa.int64(), pa.binary(), pa.binary(), pa.int32()), strict=True)], ["bucket", "key", "class", "n"])
+
+    large = stored(counts.filter(F.col("c") > whole).select("bucket", "c", F.lit(0).alias("size")), "large")
+    n = large.count()
+    members = open_.select("bucket", "key", "class", "n", F.col("bucket").alias("home"))
+    if n:
+        whole_ones, big = (members.join(small(large.select("bucket"), n), "bucket", how) for how in ("left_anti", "left_semi"))
+        members = whole_ones.unionByName(_in_blocks(big, large, whole))
+    keys = stored(open_.select("key").distinct(), "keys")
+    each = _asked(texts, "sample", keys, "samples")
+    dealt = members.join(each, "key").select("bucket", *_SAMPLED).repartition("bucket").sortWithinPartitions("bucket", "key")
+    found = dealt.mapInArrow(tidy(rows), "bucket long, key binary, class binary, n int")
+    found = stored(found.distinct() if n else found, "likely")
+    dropped(large, keys, each)
+    return found
+
+
+def _profiled(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Members with their texts' words and samples of word pairs, the open buckets of each text (``own``), and the bucket again (``home``), as ``bucket`` may part."""
 
     def rows(batches):
@@ -363,14 +411,36 @@ def _profiled(members: DataFrame, words: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column(0), pa.array([x.tobytes() for x in slots.astype("<u2")], pa.binary()), *batch.columns[1:]], ["key", "slots", "words", "own"])
 
     keys = stored(members.groupBy("key").agg(F.sort_array(F.collect_set("bucket")).alias("own")), "keys")  # a few dozen for each
-    asked = _asked(words, keys, "words")
-    each = stored(asked.join(keys, "key").mapInArrow(tidy(rows), "key binary, slots binary, words binary, own array<long>"), "profiles")
+    asked = _asked(texts, "words", keys, "words")
+    each = stored(asked.mapInArrow(tidy(rows), "key binary, slots binary, words binary, own array<long>"), "profiles")
     out = stored(members.join(each, "key").withColumn("home", F.col("bucket")), "profiled")
     dropped(keys, asked, each)
     return out
 
 
 _MEMBER = ("key", "class", "n", "slots", "words", "own", "home")
+_SAMPLED = ("key", "class", "n", "sample", "home")
+
+
+def _by_bucket(batches, names: tuple):
+    """Each bucket with its members' columns ``names``, of rows that begin with the bucket and are sorted by it."""
+    held: list[list] = []
+    last = None
+    for batch in batches:
+        ids = batch.column(0).to_numpy()
+        cuts = np.flatnonzero(np.diff(ids)) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
+            if hi == lo:
+                continue
+            if last != int(ids[lo]):
+                if last is not None:
+                    yield last, held
+                last, held = int(ids[lo]), [[] for _ in names]
+            for i, x in enumerate(names):
+                values = batch.column(i + 1).slice(lo, hi - lo)
+                held[i] += [v.values.to_numpy().copy() for v in values] if x == "own" else values.to_pylist()
+    if last is not None:
+        yield last, held
 
 
 def _group(least: float, columns: list, once: bool = False) -> Group:
@@ -388,30 +458,11 @@ def _links_of_buckets(members: DataFrame, least: float, levels: int) -> DataFram
     """Links of buckets that one task holds: at most WHOLE members and HELD bytes at a time."""
 
     def rows(batches):
-        held: dict[str, list] = {}
-        last = None
-
-        def done():
-            group = _group(least, [held[x] for x in _MEMBER], levels == 0)  # parts of a bucket may not test all of its pairs
-            for found in group.links(last % SLOTS, levels):
+        for bucket, held in _by_bucket(batches, _MEMBER):
+            group = _group(least, held, levels == 0)  # parts of a bucket may not test all of its pairs
+            for found in group.links(bucket % SLOTS, levels):
                 yield _link_batch(group, found)
 
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            cuts = np.flatnonzero(np.diff(ids)) + 1
-            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(ids)], strict=True):
-                if hi == lo:
-                    continue
-                if last != int(ids[lo]):
-                    if last is not None:
-                        yield from done()
-                    last, held = int(ids[lo]), {x: [] for x in _MEMBER}
-                for i, x in enumerate(_MEMBER):
-                    values = batch.column(i + 1).slice(lo, hi - lo)
-                    held[x] += [v.values.to_numpy().copy() for v in values] if x == "own" else values.to_pylist()
-        if last is not None:
-            yield from done()
-
     dealt = members.select("bucket", *_MEMBER).repartition("bucket").sortWithinPartitions("bucket", "key")
     return dealt.mapInArrow(tidy(rows), "a binary, b binary")
 
@@ -446,9 +497,9 @@ def _in_blocks(members: DataFrame, stats: DataFrame, whole: int) -> DataFrame:
     return each.withColumn("bucket", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other"))).drop("blocks", "block", "other")
 
 
-def _open_links(open_: DataFrame, words: DataFrame, least: float, whole: int, levels: int) -> DataFrame:
+def _open_links(open_: DataFrame, texts: DataFrame, least: float, whole: int, levels: int) -> DataFrame:
     """Links between members of different classes in one bucket, enough to join the classes that have some."""
-    profiled = _profiled(open_, words)
+    profiled = _profiled(open_, texts)
     live = profiled.withColumn("first", F.pmod("bucket", F.lit(SLOTS)))
     parts = []
     for level in range(levels + 1):
@@ -483,7 +534,7 @@ def _roots_of(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(small(of), F.col("key") == F.col("k"), "left").withColumn("class", F.coalesce("root", "key")).drop("k", "root")
 
 
-def _all_roots(reps: DataFrame, words: DataFrame, least: float, whole: int, levels: int) -> DataFrame:
+def _all_roots(reps: DataFrame, texts: DataFrame, least: float, whole: int, levels: int) -> DataFrame:
     """(key, root) of every text that is linked to another one."""
     all_of = reps.select("key", "n", F.explode("buckets").alias("bucket"))
     shared = stored(all_of.groupBy("bucket").agg(F.count("*").alias("c")).filter("c > 1").select("bucket"), "buckets")
@@ -492,11 +543,13 @@ def _all_roots(reps: DataFrame, words: DataFrame, least: float, whole: int, leve
     near_in_length = F.least("n", "p.n") >= F.greatest("n", "p.n") * least - 1e-6
     pairs = members.join(pivots, "bucket").filter((F.col("key") != F.col("p.key")) & near_in_length)
     pairs = stored(pairs.select(F.col("p.key").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    roots = _components(_verified(pairs, words, least))
+    roots = _components(_verified(pairs, texts, least))
     members = stored(_roots_of(members, roots), "members-of-classes")
-    still = stored(members.groupBy("bucket").agg(F.min("class").alias("c0"), F.max("class").alias("c1")).filter("c0 != c1").select("bucket"), "open")
-    open_ = members.join(small(still, most=BROADCAST_BYTES // 64), "bucket")
-    more = _open_links(open_, words, least, whole, levels)
+    still = stored(members.groupBy("bucket").agg(F.count("*").alias("c"), F.min("class").alias("c0"), F.max("class").alias("c1")).filter("c0 != c1").select("bucket", "c"), "open")
+    open_ = members.join(small(still.select("bucket"), most=BROADCAST_BYTES // 64), "bucket")
+    if levels == 0:
+        open_ = _likely(open_, still, texts, least, whole)
+    more = _open_links(open_, texts, least, whole, levels)
     ends = _roots_of(_roots_of(more.select("a", F.col("b").alias("key")), roots).select(F.col("class").alias("b"), F.col("a").alias("key")), roots)
     joined = _components(ends.select(F.col("class").alias("a"), "b").filter("a != b"))
     both = _roots_of(roots.select(F.col("root").alias("key"), F.col("key").alias("own")), joined).select(F.col("own").alias("key"), F.col("class").alias("root"))
@@ -541,13 +594,13 @@ def classes(docs: DataFrame, least: float = 0.8, k: int = 5, bands: int = 64, pi
     are kept only if their class has no other. Repeated rows share a class and ``kept``; other columns are ignored, whatever
     their names. An empty table gives none.
     """
-    sk = stored(_sketches(docs, doc_id, text, least, k, bands, picks, fine), "sketches")
+    sk = stored(_sketches(docs, doc_id, text, least, k, bands, picks, fine), "sketches", compression="zstd")
     ids = stored(sk.select("doc_id", "h", "key"), "ids")
     real = sk.filter(F.col("n") > 0)
     reps = stored(real.groupBy("key").agg(F.first("buckets").alias("buckets"), F.first("n").alias("n")), "texts")
     smallest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("rep")
     least_ids = stored(ids.groupBy("key").agg(smallest), "copies")
-    roots = _all_roots(reps, real.select("key", "words"), least, whole, levels)
+    roots = _all_roots(reps, real.select("key", "words", "sample"), least, whole, levels)
     dropped(reps, sk)
     linked = stored(roots.join(least_ids, "key"), "linked")
     whole_class = stored(linked.groupBy("root").agg(F.min("rep").alias("best")), "classes")

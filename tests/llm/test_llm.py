@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from rankloom.llm import decontaminate as D
@@ -824,3 +825,42 @@ def test_pairs_of_a_large_group_are_no_rows(spark, monkeypatch):
     texts = _passage_family(random.Random(32), 60, 60, 60)
     N.classes(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)).collect()
     assert len(seen) == 1  # members with their pivots
+
+
+def test_small_profiles_allow_for_what_profiles_do():
+    rng = random.Random(41)
+    vocabulary = [rng.randrange(1 << 32) for _ in range(90)]
+    lists = []
+    for n in [*range(1, 60), 90, 200] * 2:
+        base = rng.choices(vocabulary, k=n)
+        for changes in (0, n // 10, n // 5):
+            w = list(base)
+            for at in rng.sample(range(n), changes):
+                w[at] = rng.randrange(1 << 32)
+            lists.append(np.array(w, np.uint32))
+    keys = [i.to_bytes(2, "big") for i in range(len(lists))]
+    every = np.arange(len(lists))
+    classes, n = np.array(keys, object), np.array([len(x) for x in lists])
+    exact = N.Group(0.8, keys, classes, n, *N.profiles([x.astype(np.uint64) for x in lists]))
+    small = N.samples(lists)
+    rough = N.Group(0.8, keys, classes, n, small[:, N.SLOTS :], small[:, : N.SLOTS], rough=True)
+    pairs = [{(i, j) for a, b in g._all(every) for i, j in zip(a.tolist(), b.tolist(), strict=True)} for g in (exact, rough)]
+    assert len(pairs[0]) > 200 and pairs[0] <= pairs[1]
+    met = rough.paired()
+    assert {x for p in pairs[1] for x in p} == set(np.flatnonzero(met).tolist())
+
+
+def test_members_that_meet_by_chance_bring_no_words(spark, monkeypatch):
+    """Of an open bucket only members with a possible counterpart go on to the step that carries words, once for each bucket and whatever its blocks."""
+    rng, seen, profiled = random.Random(42), [], N._profiled
+    monkeypatch.setattr(N, "_profiled", lambda members, texts: seen.append(sorted((r.bucket, r.key) for r in members.select("bucket", "key").collect())) or profiled(members, texts))
+    alike = _passage_family(rng, 40, 60, 60)
+    far = [words(rng, 200) + " " + passage for passage in [words(rng, 40)] for _ in range(60)]
+    h = N.word_hashes(far)
+    assert not any(N.alignment_similarity(h[i], h[j], 0.8) for i in range(len(h)) for j in range(i))
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(alike + far)], SCHEMA)
+    got = [{r.doc_id: r.class_id for r in N.classes(d, whole=whole).collect()} for whole in (N.WHOLE, 16)]
+    assert got[0] == got[1] and len(set(got[0].values())) < len(got[0])
+    assert seen[0] == seen[1] == sorted(set(seen[0]))
+    keys = {xxhash.xxh3_128_digest(w.tobytes()) for w in h}
+    assert not [key for _, key in seen[0] if bytes(key) in keys]
