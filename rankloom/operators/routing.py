@@ -30,25 +30,42 @@ def cutoffs(train_scores: DataFrame, by: list[str], splits: list[tuple[int, int]
 
 
 def route(scores: DataFrame, cuts: DataFrame, by: list[str], score: str = "score") -> DataFrame:
-    """Add ``tier``: 1 from the high cutoff on, 3 below the low one, else 2. ``cuts`` is a few rows for each model."""
+    """Add ``tier``: 1 from the high cutoff on, 3 below the low one, else 2, and a row for each split. ``cuts`` is a few rows for each model: join what else is wanted of a report before."""
     tier = F.when(F.col(score) >= F.col("high"), 1).when(F.col(score) < F.col("low"), 3).otherwise(2)
     return scores.join(F.broadcast(cuts), by).withColumn("tier", tier)
 
 
-def random_route(routed: DataFrame, by: list[str], key: str, seed: int = 7, prefixes: int = 256) -> DataFrame:
-    """Tiers of the same sizes for each group of ``by``, dealt in the order of a hash of the key, ties by the key.
+def placed(rows: DataFrame, by: list[str], key: str, seed: int = 7, prefixes: int = 256) -> DataFrame:
+    """Add ``place``: where a row is in its group of ``by``, from 1, in the order of a hash of the key, ties by the key. ``rows`` is a written table, as it is read twice.
 
-    Rows are counted by the hash's prefix, which places each prefix among the sizes; a row's place is that of its prefix and its place in it,
-    so windows see a prefix, not a group. ``routed`` is written once, as it is read twice.
+    Rows are counted by the hash's prefix, which gives the places before each prefix, so windows see a prefix, not a group.
     """
     h = spread_key(F.col(key), seed)
-    rows = scratch.stored(routed.withColumns({"_h": h, "_p": F.floor(h / (4294967296 / prefixes)).cast("int")}), "routed")
-    n = rows.groupBy(*by, "_p").agg(F.count("*").alias("_c"), F.count_if(F.col("tier") == 1).alias("_1"), F.count_if(F.col("tier") == 2).alias("_2"))
-    all_, lower = W.partitionBy(*by), W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    n = n.select(*by, "_p", F.coalesce(F.sum("_c").over(lower), F.lit(0)).alias("_from"), F.sum("_1").over(all_).alias("_1"), F.sum("_2").over(all_).alias("_2"))
+    rows = rows.withColumns({"_h": h, "_p": F.floor(h / (4294967296 / prefixes)).cast("int")})
+    lower = W.partitionBy(*by).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    n = rows.groupBy(*by, "_p").agg(F.count("*").alias("_c")).select(*by, "_p", F.coalesce(F.sum("_c").over(lower), F.lit(0)).alias("_from"))
     i = F.col("_from") + F.row_number().over(W.partitionBy(*by, "_p").orderBy("_h", key))
-    tier = F.when(i <= F.col("_1"), 1).when(i <= F.col("_1") + F.col("_2"), 2).otherwise(3)
-    return meet(rows, n, [*by, "_p"], few=True).withColumn("random_tier", tier).drop("_h", "_p", "_from", "_1", "_2")
+    return meet(rows, n, [*by, "_p"], few=True).withColumn("place", i).drop("_h", "_p", "_from")
+
+
+def sizes(routed: DataFrame, by: list[str]) -> DataFrame:
+    """(by, n_1, n_2): how many of each group are in tiers 1 and 2."""
+    return routed.groupBy(*by).agg(F.count_if(F.col("tier") == 1).alias("n_1"), F.count_if(F.col("tier") == 2).alias("n_2"))
+
+
+def deal(routed: DataFrame, of: DataFrame, by: list[str]) -> DataFrame:
+    """Add ``random_tier`` by ``place``: as many of each tier as :func:`sizes` says in ``of``, a few rows. A map, whatever rows :func:`route` made of a placed one."""
+    i, first = F.col("place"), F.col("n_1")
+    return meet(routed, of, by, few=True).withColumn("random_tier", F.when(i <= first, 1).when(i <= first + F.col("n_2"), 2).otherwise(3)).drop("n_1", "n_2")
+
+
+def random_route(routed: DataFrame, by: list[str], key: str, seed: int = 7, prefixes: int = 256) -> DataFrame:
+    """Tiers of the same sizes for each group of ``by``, dealt in the order of a hash of the key, ties by the key. ``routed`` is written once, as it is read again.
+
+    Where all groups of a report share one order, as the splits of a model do, place the reports before they are routed and :func:`deal` then: no row for each split is written or shuffled.
+    """
+    rows = scratch.stored(routed, "routed")
+    return deal(placed(rows, by, key, seed, prefixes), sizes(rows, by), by).drop("place")
 
 
 def rank_of_tier(tier: Column) -> Column:

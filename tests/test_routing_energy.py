@@ -44,3 +44,40 @@ def test_energy_without_logs(spark):
     assert [tuple(r) for r in d.orderBy("bug").collect()] == [(1, 0.0, 0.0, 0.0, 0.0), (2, 0.0, 0.0, 0.0, 0.0)]
     r = G.energy_of_routes(d.withColumn("tier", d.bug), [], ["kwh"]).first()
     assert (r.n, r.kwh, r.kwh_saved_pct) == (2, 0.0, None)
+
+
+def test_splits_are_dealt_without_a_row_for_each(spark):
+    """Reports placed before they are routed get the tiers that plain Python deals in each split."""
+    rng = random.Random(3)
+    rows = [(k, k % 2, rng.random()) for k in range(300)] + [(7, 1, 0.5), (None, 0, 0.25)]
+    d = spark.createDataFrame(rows, "k bigint, model int, score double")
+    cuts = spark.createDataFrame([(m, s, h, w) for m in (0, 1) for s, h, w in (("a", 0.7, 0.2), ("b", float("-inf"), float("-inf")), ("c", 0.5, 0.5))], "model int, split string, high double, low double")
+    got = {}
+    for r in G.deal(G.route(G.placed(d, ["model"], "k", prefixes=16), cuts, ["model"]), G.sizes(G.route(d, cuts, ["model"]), ["model", "split"]), ["model", "split"]).collect():
+        got.setdefault((r.model, r.split), []).append((r.k is None, r.k or 0, r.tier, r.random_tier))
+    for (m, s), mine in got.items():
+        high, low = {"a": (0.7, 0.2), "b": (float("-inf"), float("-inf")), "c": (0.5, 0.5)}[s]
+        own = [(k, 1 if x >= high else 3 if x < low else 2) for k, g, x in rows if g == m]
+        assert sorted(x[:3] for x in mine) == sorted((k is None, k or 0, t) for k, t in own)
+        n1, n2 = (sum(t == i for _, t in own) for i in (1, 2))
+        order = sorted(k for k, _ in own if k is not None)
+        order.sort(key=lambda k: (k + 7) * 2654435761 % 4294967296)
+        want = [(k, 1 if i < n1 else 2 if i < n1 + n2 else 3) for i, k in enumerate(order)]
+        if m == 1:  # the one without a key has no hash, and its place is its prefix's
+            assert sorted((k, t) for _, k, _, t in mine) == sorted(want)
+        assert sorted(t for *_, t in mine) == sorted(t for _, t in own)
+    assert set(got) == {(m, s) for m in (0, 1) for s in "abc"}
+
+
+def test_routing_holds_a_bug_once(spark):
+    import os
+
+    from rankloom.plans import scored
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables")
+    own, cuts = scored._routed(spark, "/root/testdata/sf0.001")
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").join(spark.read.parquet("/root/testdata/sf0.001/orders.parquet").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").select("l_orderkey").distinct().count()
+    assert own.count() == own.select("bug").distinct().count() == n and cuts.count() == 5 * len(scored.SPLITS)
+    best = {r.bug: tuple(r)[1:] for r in scored._best(spark, "/root/testdata/sf0.001").collect()}
+    assert all(best[r.bug] == (r.best_1, r.best_2, r.best_3) for r in own.collect())
