@@ -36,3 +36,14 @@ def test_a_value_meets_once_and_no_window_sees_it(spark):
         ones, rest = [r[3] for r in mine if r[4]], [r[3] for r in mine if not r[4]]
         assert got[t, m, f] == pytest.approx(sum((x > y) - (x < y) for x in ones for y in rest) / len(ones) / len(rest), abs=1e-12)
     assert len(got) == 2 * 6 * 2
+
+
+def test_the_summary_has_a_task_for_every_tool(spark):
+    import os
+
+    from rankloom.plans import catalog
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no tables")
+    got = catalog.queries()["cv_auc_summary"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.task for r in got) == sorted(["any", *(f"T{i}" for i in range(1, 8))])
