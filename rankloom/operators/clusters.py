@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +24,12 @@ def projected(df: DataFrame, key: str, v: str, components: int = 50) -> DataFram
     x = as_doubles(F.col(v))
     fine = F.col(v).isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     rows = df.filter(fine).select(F.col(key), x.alias("_x"))
-    n = rows.agg(F.max(F.size("_x"))).first()[0]
+    n, count = rows.agg(F.max(F.size("_x")), F.count("*")).first()
     if not n:
         return rows.select(key, F.col("_x").alias("p")).filter(F.lit(False))
     d = min(components, n)
+    if count == 1:  # has no covariance, and lies at its own mean
+        return rows.select(key, F.array_repeat(F.lit(0.0), d).alias("p"))
     rows = rows.select(key, array_to_vector(F.concat("_x", F.array_repeat(F.lit(0.0), F.lit(n) - F.size("_x")))).alias("_v"))
     p = PCA(k=d, inputCol="_v", outputCol="_p").fit(rows).transform(rows).select(key, vector_to_array("_p").alias("p"))
     p = scratch.stored(p, "projected")
@@ -55,23 +58,23 @@ def _sums(points: DataFrame, centres: np.ndarray) -> dict:
     starts, k, dims = centres.shape
 
     def local(batches):
-        import pandas as pd
-
         n, cost, sums = np.zeros((starts, k)), np.zeros((starts, k)), np.zeros((starts, k, dims))
         for b in batches:
-            if not len(b):
+            if not b.num_rows:
                 continue
-            x = np.stack(b["p"].to_list())
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dims)
             for s in range(starts):
                 d = ((x * x).sum(1)[:, None] - 2 * x @ centres[s].T + (centres[s] ** 2).sum(1)).clip(0)
                 c = d.argmin(1)
                 n[s] += np.bincount(c, minlength=k)
                 cost[s] += np.bincount(c, d[np.arange(len(x)), c], minlength=k)
                 np.add.at(sums[s], c, x)
-        at = [(s, c) for s in range(starts) for c in range(k) if n[s, c]]
-        yield pd.DataFrame({"start": [s for s, _ in at], "cluster": [c for _, c in at], "n": [n[i] for i in at], "cost": [cost[i] for i in at], "sums": [sums[i].tolist() for i in at]})
+        s, c = np.nonzero(n)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * dims, pa.int32()), pa.array(sums[s, c].ravel(), pa.float64()))
+        # The types are given, as a task without rows, such as a part of a file in which no row group begins, has nothing to infer them from.
+        yield pa.record_batch([pa.array(s, pa.int32()), pa.array(c, pa.int32()), pa.array(n[s, c], pa.float64()), pa.array(cost[s, c], pa.float64()), lists], ["start", "cluster", "n", "cost", "sums"])
 
-    parts = points.select("p").mapInPandas(local, "start int, cluster int, n double, cost double, sums array<double>")
+    parts = points.select("p").mapInArrow(local, "start int, cluster int, n double, cost double, sums array<double>")
     rows = parts.groupBy("start", "cluster").agg(F.sum("n"), F.sum("cost"), F.array(*[F.sum(F.col("sums")[i]) for i in range(dims)])).collect()
     return {(r[0], r[1]): (r[2], r[3], np.array(r[4])) for r in rows}
 

@@ -47,6 +47,28 @@ def test_few_or_no_vectors(spark):
     assert e.columns == K.clusters(d, "id", "v", k=2, starts=1).columns and e.count() == 0
 
 
+def test_one_vector(spark):
+    d = spark.createDataFrame([(2, [1.0, 1.0]), (3, None)], "id int, v array<double>")
+    assert [tuple(r) for r in K.clusters(d, "id", "v", k=3, starts=2).collect()] == [(2, 0, 0.0, 0.0, 1)]
+
+
+def test_parts_without_rows(spark, tmp_path):
+    """Of a file that is read in parts, those in which no row group begins are tasks without rows."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [10.0 * (i % 2) + x for x in rng.random(3).tolist()]) for i in range(40)]
+    spark.createDataFrame(rows, "id int, p array<double>").coalesce(1).write.parquet(str(tmp_path / "p"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        d = spark.read.parquet(str(tmp_path / "p"))
+        assert d.rdd.getNumPartitions() > 1 and 0 in d.rdd.glom().map(len).collect()
+        centres, cost = K.kmeans(d, "id", 2, starts=2)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    x = np.array([v for _, v in rows])
+    assert cost == pytest.approx(((x[:, None] - centres) ** 2).sum(2).min(1).sum()) and len(centres) == 2
+
+
 def test_vectors_of_different_lengths(spark):
     rows = [(i, [10.0 * (i % 2), 1.0, 5.0 * (i % 2)][: 2 if i == 4 else 3]) for i in range(8)] + [(8, [])]
     got = K.clusters(spark.createDataFrame(rows, "id int, v array<double>"), "id", "v", k=2, starts=4).collect()
